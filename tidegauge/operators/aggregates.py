@@ -63,7 +63,7 @@ def group_events(events: DataFrame, key: str | Column = "pipeline") -> DataFrame
 
 def partition_counts(events: DataFrame, key: str | Column = "pipeline") -> DataFrame:
     """Rows per named partition, and a total row (``partition`` null)."""
-    return events.rollup(col(key).alias("partition")).agg(
+    return events.select(col(key).alias("partition")).rollup("partition").agg(
         F.count(F.lit(1)).alias("count"), F.grouping("partition").cast("boolean").alias("is_total")
     )
 
@@ -294,32 +294,17 @@ def rolling_anomalies(
     order: Sequence[str] = ("recorded_at",),
     max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
-    """z-score of every point against the ``points`` before it in its series.
-
-    Sums over the frame are differences of running sums (of integers, so they
-    are exact), which keeps long series parallel.
-    """
+    """z-score of every point against the ``points`` before it in its series."""
     require(points >= 2, "points must be >= 2")
-    v = F.round(F.col("value") * 10_000).cast("decimal(38,0)")
-    s = Spread(metrics.withColumn("_v", v), ["pipeline", "metric"], order, max_rows).position("_pos")
-    s.running(_s1=("sum", F.col("_v")), _s2=("sum", F.col("_v") * F.col("_v")))
-    rows = s.result()
-    past = rows.select(
-        "pipeline", "metric", F.col("_pos").alias("_back"), F.col("_s1").alias("_b1"), F.col("_s2").alias("_b2")
-    )
-    both = rows.withColumn("_back", F.col("_pos") - 1 - points).join(past, ["pipeline", "metric", "_back"], "left")
-    zero = F.lit(0).cast("decimal(38,0)")
-    n = F.least(F.col("_pos") - 1, F.lit(points)).cast("double")
-    s1 = (F.col("_s1") - F.col("_v") - F.coalesce("_b1", zero)).cast("double")
-    s2 = (F.col("_s2") - F.col("_v") * F.col("_v") - F.coalesce("_b2", zero)).cast("double")
-    var = F.try_divide(s2 * n - s1 * s1, n * n)
-    std = F.when(n >= 2, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(0.0) / 10_000
-    mean = F.coalesce(F.try_divide(s1, n) / 10_000, F.col("value"))
-    z = F.coalesce(F.try_divide(F.abs(F.col("value") - mean), std), F.lit(0.0))
-    return both.select(
-        "pipeline", "metric", *order, "value", mean.alias("mean"), std.alias("stddev"), z.alias("z_score"),
-        (z > F.lit(float(threshold))).alias("is_anomaly"),
-    )
+    s = Spread(metrics, ["pipeline", "metric"], order, max_rows).trailing("_past", "value", points)
+    n = F.size("_past")
+    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
+    mean = F.coalesce(F.try_divide(total("_past"), n), F.col("value"))
+    square = F.transform("_past", lambda x: F.pow(x - F.col("mean"), F.lit(2.0)))
+    std = F.when(n >= 2, F.sqrt(F.try_divide(total(square), n))).otherwise(0.0)
+    z = F.coalesce(F.try_divide(F.abs(F.col("value") - F.col("mean")), F.col("stddev")), F.lit(0.0))
+    out = s.result().withColumn("mean", mean).withColumn("stddev", std).withColumn("z_score", z)
+    return out.withColumn("is_anomaly", F.col("z_score") > F.lit(float(threshold))).drop("_past")
 
 
 def _line(metrics: DataFrame) -> DataFrame:

@@ -318,9 +318,12 @@ def _changes(batch: pa.RecordBatch, columns: Sequence[str], last: list | None) -
     return new, end
 
 
-def _runner(machine: Machine, keys: Sequence[str], schema: pa.Schema):
+_ARROW = {T.BooleanType(): pa.bool_(), T.LongType(): pa.int64(), T.StringType(): pa.string()}
+
+
+def _runner(machine: Machine, keys: Sequence[str]):
     """The Arrow-batch fold; columns pass through untouched, results are appended."""
-    names = [n for n, _ in machine.outputs]
+    fields = [pa.field(n, _ARROW[t]) for n, t in machine.outputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = None, None
@@ -337,10 +340,9 @@ def _runner(machine: Machine, keys: Sequence[str], schema: pa.Schema):
                     given = entry[i].as_py()
                     state = machine.start() if given is None else given
                 out.append(machine.step(state, t[i], ok[i]))
-            values = list(zip(*out))
-            arrays = [batch.column(f.name) for f in schema if f.name not in names]
-            arrays += [pa.array(v, type=schema.field(n).type) for n, v in zip(names, values)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            arrays = [pa.array(v, type=f.type) for v, f in zip(zip(*out), fields)]
+            schema = pa.schema([*batch.schema, *fields])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], schema=schema)
 
     return run
 
@@ -426,8 +428,6 @@ def fold(
     max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
     """Run ``machine`` over each key's rows in order; its outputs become columns."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     ok = F.coalesce(F.col(passed), F.lit(False)) if passed else F.lit(True)
     prepared = df.withColumn("_t", micros(order[0])).withColumn("_ok", ok)
     s = Spread(prepared, keys, order, max_rows)
@@ -458,15 +458,13 @@ def fold(
         rows = s._attach(entries, ["_entry"])
     else:
         rows = rows.withColumn("_entry", F.lit(None).cast(longs))
-    kept = [f for f in rows.schema.fields]
     out_schema = T.StructType(
-        [*kept, *[T.StructField(n, t) for n, t in machine.outputs]]
+        [*rows.schema.fields, *[T.StructField(n, t) for n, t in machine.outputs]]
     )
-    arrow_schema = to_arrow_schema(out_schema, timezone="UTC")
     folded = (
         rows.repartition(*keys, "_chunk")
         .sortWithinPartitions(*sort_by)
-        .mapInArrow(_runner(machine, [*keys, "_chunk"], arrow_schema), out_schema)
+        .mapInArrow(_runner(machine, [*keys, "_chunk"]), out_schema)
     )
     return folded.drop("_t", "_ok", "_entry", "_chunk")
 

@@ -33,9 +33,10 @@ def page(df: DataFrame, order: Sequence[str | Column], page: int = 1, page_size:
 def page_after(df: DataFrame, order: Sequence[str], last_seen: Sequence[object], page_size: int = 20) -> DataFrame:
     """The page after the row with the given order values: a filter and a top-n, at any depth."""
     _page_check(1, page_size)
-    after = F.struct(*order) > F.struct(*[F.lit(v) for v in last_seen])
+    seen = [F.lit(v).cast(df.schema[c].dataType) for c, v in zip(order, last_seen)]
+    after = F.struct(*order) > F.struct(*[v.alias(c) for c, v in zip(order, seen)])
     # The bare first-column bound is what a scan can use to skip files.
-    bound = F.col(order[0]) >= F.lit(last_seen[0])
+    bound = F.col(order[0]) >= seen[0]
     return df.filter(bound & after).orderBy(*order).limit(page_size)
 
 

@@ -128,6 +128,32 @@ class Spread:
         self.df = out.drop("_prev", "_in_prev")
         return self
 
+    def trailing(self, name: str, column: str, rows: int) -> Spread:
+        """Add the array of up to ``rows`` values of ``column`` before each row, oldest first."""
+        frame = self._window().rowsBetween(-rows, -1)
+        before = F.collect_list(column).over(frame)
+        if self.hot:
+            last = Window.partitionBy(*self.keys, "_chunk").orderBy(*[F.desc(c) for c in self.order])
+            tails = (
+                self.df.filter(F.col("_chunk") > 0)
+                .withColumn("_nth", F.row_number().over(last))
+                .filter(F.col("_nth") <= rows)
+                .groupBy(*self.keys, "_chunk")
+                .agg(F.array_sort(F.collect_list(F.struct(*self.order, F.col(column).alias("_v")))).alias("_tail"))
+            )
+            # Every chunk has a row, so the ``rows`` chunks before it hold enough of them.
+            earlier = self._chunk_window().rowsBetween(-rows, -1)
+            carry = tails.select(
+                *self.keys,
+                "_chunk",
+                F.transform(F.flatten(F.collect_list("_tail").over(earlier)), lambda x: x["_v"]).alias("_in"),
+            ).filter(F.size("_in") > 0)
+            self.df = self._attach(carry, ["_in"])
+            whole = F.concat(F.coalesce("_in", F.array().cast(carry.schema["_in"].dataType)), before)
+            before = F.slice(whole, F.greatest(F.lit(1), F.size(whole) - rows + 1), rows)
+        self.df = self.df.withColumn(name, before).drop("_in")
+        return self
+
     def with_columns(self, columns: dict[str, Column]) -> Spread:
         self.df = self.df.withColumns(columns)
         return self
