@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,6 +130,12 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder inside the shared checkpoint folder, for a table that is written and read back."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared checkpoint folder; make one only for a local session."""
     sc = spark.sparkContext
@@ -139,6 +147,4 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
-    import tempfile
-
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidegauge-checkpoint-"))

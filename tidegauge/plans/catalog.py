@@ -7,6 +7,7 @@ from tidegauge.plans import (  # noqa: F401
     filter_queries,
     ordered_queries,
     source_queries,
+    streaming_queries,
 )
 from tidegauge.plans.registry import QUERIES, SQL
 

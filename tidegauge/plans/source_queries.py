@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegauge.functions.common import ensure_checkpoint_dir
+from tidegauge.functions.common import work_folder
 from tidegauge.operators import checks as C
+from tidegauge.operators.limits import recent
 from tidegauge.operators.ordered import latest_per_key
 from tidegauge.plans.registry import query
 from tidegauge.sources import stores as S
@@ -15,14 +16,6 @@ from tidegauge.sources.testdata import with_tables
 EVENTS = with_tables("alert_event")
 
 
-def work_folder(spark, name: str) -> str:
-    """A new folder in the shared checkpoint folder for a query that writes and reads back."""
-    import uuid
-
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/tables/{name}-{uuid.uuid4().hex}"
-
-
 @query(
     "read_rules",
     """SELECT p_partkey AS rule_idx, p_brand AS name, p_type AS metric, CASE p_size % 5 WHEN 0 THEN 'gt' WHEN 1 THEN 'lt' WHEN 2 THEN 'gte' WHEN 3 THEN 'lte' ELSE 'eq' END AS operator,
@@ -53,8 +46,6 @@ def history_store(spark, folder):
     year = F.year("recorded_at")
     S.append(h.withColumn("year", year), path, ["year"])
     back = spark.read.parquet(path).filter("year >= 1997 and recorded_at >= timestamp_ntz'1997-01-01 00:00:00'")
-    from tidegauge.operators.limits import recent
-
     return recent(back.drop("year"), ["recorded_at", "run_id"], 200)
 
 
@@ -70,7 +61,10 @@ def run_entries(spark, folder):
     return S.run_entries(r, r.filter("not passed and severity = 'critical'"), F.col("triggered_at"))
 
 
-@query("read_jsonl")
+@query(
+    "read_jsonl",
+    "SELECT event_id, event_type, value FROM events WHERE event_id % 17 <> 0 AND event_id % 19 <> 0",
+)
 def read_jsonl(spark, folder):
     """Event lines, some of them blank or cut off, written as text and read as JSON lines."""
     path = work_folder(spark, "lines")
@@ -91,7 +85,7 @@ def parse_jsonl(spark, folder):
     return S.parse_lines(lines, "event_id bigint, event_type string, value double")
 
 
-@query("archive_sink")
+@query("archive_sink", "SELECT event_id, event_type, value FROM events WHERE ts < TIMESTAMP '2024-01-10'")
 def archive_sink(spark, folder):
     """Old events appended to gzip JSON lines and read back."""
     path = work_folder(spark, "archive")
@@ -123,8 +117,6 @@ FROM alert_event GROUP BY ALL ORDER BY triggered_at DESC LIMIT 50""",
 def checkpoint_table(spark, folder):
     e = D.alert_events(spark, folder)
     last = latest_per_key(e, ["pipeline", "check_name"], ["triggered_at", "event_id"], ["status", "value", "triggered_at"])
-    from tidegauge.operators.limits import recent
-
     return recent(last, ["triggered_at"], 50)
 
 

@@ -20,7 +20,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def alert_events(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events")
+    return as_alert_events(table(spark, folder, "events"))
+
+
+def alert_event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows as a stream of files; times become TIMESTAMP, which watermarks need."""
+    schema = table(spark, folder, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return as_alert_events(raw).withColumn("triggered_at", F.col("triggered_at").cast("timestamp"))
+
+
+def as_alert_events(e: DataFrame) -> DataFrame:
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
     pipeline = F.concat(F.lit("p"), (F.col("user_id") % 25).cast("string"))
     passed = F.col("value") >= 5
