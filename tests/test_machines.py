@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidegauge.operators import fold as f
+from tidegauge.operators import machines as f
 
 MACHINES = {
     "cooldown": lambda: f.Cooldown(30),

@@ -11,412 +11,33 @@ through which the pass jumps from one change of state to the next.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.functions.common import micros, plus_seconds, require
+from tidegauge.operators.machines import (
+    Backoff,
+    Batch,
+    Breaker,
+    Compact,
+    Cooldown,
+    Machine,
+    Quota,
+    digests,
+    relay,
+    runner,
+)
 from tidegauge.operators.ordered import EVENT_KEYS, EVENT_ORDER
 from tidegauge.operators.spread import MAX_ROWS, Spread
 
-# Events per digest row, so that one row stays far below the Arrow batch size.
-DIGEST_ROWS = 65_536
+_TYPES = {"boolean": T.BooleanType(), "bigint": T.LongType(), "string": T.StringType()}
 
 
-class Machine:
-    """A per-key state of a few integers; ``step`` moves it over one event.
-
-    ``skip`` must give the same final state as ``step`` over all the events,
-    but may jump. ``settle`` gives an index from which the final state no
-    longer depends on the state before the events, or None.
-    """
-
-    outputs: list[tuple[str, T.DataType]] = []
-
-    def start(self) -> list[int]:
-        raise NotImplementedError
-
-    def step(self, state: list[int], t: int, ok: bool) -> tuple:
-        raise NotImplementedError
-
-    def skip(self, state: list[int], t: np.ndarray, ok: np.ndarray) -> list[int]:
-        for x, y in zip(t.tolist(), ok.tolist()):
-            self.step(state, x, y)
-        return state
-
-    def settle(self, t: np.ndarray, ok: np.ndarray) -> int | None:
-        return None
-
-
-def _last(mask: np.ndarray) -> int | None:
-    found = np.flatnonzero(mask)
-    return int(found[-1]) + 1 if len(found) else None
-
-
-class Cooldown(Machine):
-    """Fire when the last fired event is at least ``cooldown`` ago; only fired events count."""
-
-    outputs = [("fired", T.BooleanType()), ("last_fired_us", T.LongType())]
-
-    def __init__(self, cooldown_us: int) -> None:
-        self.cooldown = cooldown_us
-
-    def start(self) -> list[int]:
-        return []
-
-    def step(self, state, t, ok):
-        fired = not state or t >= state[0] + self.cooldown
-        if fired:
-            state[:] = [t]
-        return fired, state[0]
-
-    def skip(self, state, t, ok):
-        i = 0 if not state else int(np.searchsorted(t, state[0] + self.cooldown))
-        while i < len(t):
-            state[:] = [int(t[i])]
-            i = max(i + 1, int(np.searchsorted(t, state[0] + self.cooldown)))
-        return state
-
-    def settle(self, t, ok):
-        return _last(np.diff(t) >= self.cooldown)
-
-
-class Quota(Machine):
-    """At most ``limit`` allowed events in ``[t - window, t]``; blocked events do not count."""
-
-    outputs = [("allowed", T.BooleanType()), ("current_count", T.LongType())]
-
-    def __init__(self, limit: int, window_us: int) -> None:
-        self.limit, self.window = limit, window_us
-
-    def start(self) -> list[int]:
-        return []
-
-    def step(self, state, t, ok):
-        while state and state[0] < t - self.window:
-            del state[0]
-        allowed = len(state) < self.limit
-        if allowed:
-            state.append(t)
-        return allowed, len(state)
-
-    def skip(self, state, t, ok):
-        i = 0
-        while i < len(t):
-            if len(state) >= self.limit:
-                i = max(i, int(np.searchsorted(t, state[-self.limit] + self.window, side="right")))
-                if i >= len(t):
-                    break
-            self.step(state, int(t[i]), True)
-            i += 1
-        return state
-
-    def settle(self, t, ok):
-        return _last(np.diff(t) > self.window)
-
-
-class Backoff(Machine):
-    """Attempts with growing delays; after ``max_attempts`` nothing is due any more."""
-
-    outputs = [("due", T.BooleanType()), ("attempts", T.LongType())]
-
-    def __init__(self, base: float, multiplier: float, max_delay: float, max_attempts: int) -> None:
-        self.delay = [
-            int(round(min(base * multiplier**n, max_delay) * 1_000_000)) for n in range(max_attempts + 1)
-        ]
-        self.max_attempts = max_attempts
-
-    def start(self) -> list[int]:
-        return [0, 0]
-
-    def step(self, state, t, ok):
-        n, last = state
-        due = n == 0 or (n < self.max_attempts and t >= last + self.delay[n])
-        if due:
-            state[:] = [n + 1, t]
-        return due, state[0]
-
-    def skip(self, state, t, ok):
-        i = 0
-        while state[0] < self.max_attempts:
-            if state[0]:
-                i = max(i, int(np.searchsorted(t, state[1] + self.delay[state[0]])))
-            if i >= len(t):
-                break
-            state[:] = [state[0] + 1, int(t[i])]
-            i += 1
-        return state
-
-
-class Breaker(Machine):
-    """Circuit breaker over outcomes; outcomes of blocked requests are not recorded.
-
-    State: failures, opened_at (-1 while not open).
-    """
-
-    outputs = [("state", T.StringType()), ("allowed", T.BooleanType()), ("failures", T.LongType())]
-
-    def __init__(self, threshold: int, timeout_us: int) -> None:
-        self.threshold, self.timeout = threshold, timeout_us
-
-    def start(self) -> list[int]:
-        return [0, -1]
-
-    def step(self, state, t, ok):
-        failures, opened = state
-        if opened < 0:
-            name = "closed"
-        elif t - opened >= self.timeout:
-            name = "half_open"
-        else:
-            return "open", False, failures
-        if ok:
-            state[:] = [0, -1]
-        elif failures + 1 >= self.threshold:
-            state[:] = [failures + 1, t]
-        else:
-            state[:] = [failures + 1, -1]
-        return name, True, state[0]
-
-    def skip(self, state, t, ok):
-        n = len(t)
-        at = np.arange(n)
-        last_ok = np.maximum.accumulate(np.where(ok, at, -1))
-        streak = at - last_ok
-        trips = np.flatnonzero(streak >= self.threshold).tolist()
-        lead = int(np.argmax(ok)) if ok.any() else n
-        i = 0
-        while i < n:
-            if state[1] < 0:
-                # Closed: to the next failure that trips, from the state's own count while
-                # still in the run of failures that the state belongs to.
-                end = lead if i == 0 else i
-                hit = i + max(self.threshold - state[0], 1) - 1
-                if i == 0 and hit < end:
-                    j = hit
-                else:
-                    k = bisect_left(trips, max(i, end))
-                    j = trips[k] if k < len(trips) else n
-                if j >= n:
-                    tail = int(streak[-1])
-                    state[0] = tail if last_ok[-1] >= 0 else state[0] + n
-                    break
-                state[:] = [state[0] + j - i + 1 if j < end else int(streak[j]), int(t[j])]
-                i = j + 1
-            else:
-                i = max(i, int(np.searchsorted(t, state[1] + self.timeout)))
-                if i < n:
-                    self.step(state, int(t[i]), bool(ok[i]))
-                    i += 1
-        return state
-
-    def settle(self, t, ok):
-        return _last((np.diff(t) >= self.timeout) & ok[1:])
-
-
-class Batch(Machine):
-    """Close the open batch at ``max_size`` events, or at the first event ``max_age`` after its start.
-
-    State: batch number, events in it, its first time.
-    """
-
-    outputs = [("batch_no", T.LongType()), ("closes", T.BooleanType())]
-
-    def __init__(self, max_size: int, max_age_us: int) -> None:
-        self.max_size, self.max_age = max_size, max_age_us
-
-    def start(self) -> list[int]:
-        return [0, 0, 0]
-
-    def step(self, state, t, ok):
-        number, size, first = state
-        if size == 0:
-            first = t
-        size += 1
-        closes = size >= self.max_size or t - first >= self.max_age
-        state[:] = [number + 1, 0, 0] if closes else [number, size, first]
-        return number, closes
-
-    def skip(self, state, t, ok):
-        number, size, first = state
-        ends = np.minimum(
-            np.arange(len(t)) + self.max_size - 1, np.searchsorted(t, t + self.max_age)
-        ).tolist()
-        i = 0
-        if size and len(t):
-            close = min(self.max_size - size - 1, int(np.searchsorted(t, first + self.max_age)))
-            if close >= len(t):
-                state[:] = [number, size + len(t), first]
-                return state
-            number, i = number + 1, close + 1
-        while i < len(t) and ends[i] < len(t):
-            number, i = number + 1, ends[i] + 1
-        state[:] = [number, len(t) - i, int(t[i])] if i < len(t) else [number, 0, 0]
-        return state
-
-
-class Compact(Machine):
-    """Keep an entry unless it and the previously kept one are passes within the window.
-
-    State: time of the last kept entry and whether it passed.
-    """
-
-    outputs = [("keep", T.BooleanType())]
-
-    def __init__(self, window_us: int) -> None:
-        self.window = window_us
-
-    def start(self) -> list[int]:
-        return []
-
-    def step(self, state, t, ok):
-        if state and ok and state[1] and t - state[0] <= self.window:
-            return (False,)
-        state[:] = [t, int(ok)]
-        return (True,)
-
-    def skip(self, state, t, ok):
-        bad = np.flatnonzero(~ok).tolist()
-        i = 0
-        while i < len(t):
-            if state and state[1]:
-                far = int(np.searchsorted(t, state[0] + self.window, side="right"))
-                k = bisect_left(bad, i)
-                i = max(i, min(far, bad[k] if k < len(bad) else len(t)))
-                if i >= len(t):
-                    break
-            state[:] = [int(t[i]), int(ok[i])]
-            i += 1
-        return state
-
-    def settle(self, t, ok):
-        reset = ~ok
-        reset[1:] |= np.diff(t) > self.window
-        found = np.flatnonzero(reset)
-        return int(found[-1]) if len(found) else None
-
-
-def _changes(batch: pa.RecordBatch, columns: Sequence[str], last: list | None) -> tuple[np.ndarray, list]:
-    """Flags of the rows that begin a new key, and the key of the last row."""
-    n = batch.num_rows
-    new = np.zeros(n, dtype=bool)
-    end = []
-    for i, name in enumerate(columns):
-        c = batch.column(name)
-        a, b = c.slice(0, n - 1), c.slice(1)
-        same = pc.or_kleene(pc.equal(a, b), pc.and_(pc.is_null(a), pc.is_null(b)))
-        new[1:] |= ~same.fill_null(False).to_numpy(zero_copy_only=False)
-        end.append(c[n - 1].as_py())
-        if last is None or c[0].as_py() != last[i]:
-            new[0] = True
-    return new, end
-
-
-_ARROW = {T.BooleanType(): pa.bool_(), T.LongType(): pa.int64(), T.StringType(): pa.string()}
-
-
-def _runner(machine: Machine, keys: Sequence[str]):
-    """The Arrow-batch fold; columns pass through untouched, results are appended."""
-    fields = [pa.field(n, _ARROW[t]) for n, t in machine.outputs]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new, last = _changes(batch, keys, last)
-            entry = batch.column("_entry")
-            t = batch.column("_t").to_numpy(zero_copy_only=False).tolist()
-            ok = batch.column("_ok").to_pylist()
-            out = []
-            for i, fresh in enumerate(new.tolist()):
-                if fresh:
-                    given = entry[i].as_py()
-                    state = machine.start() if given is None else given
-                out.append(machine.step(state, t[i], ok[i]))
-            arrays = [pa.array(v, type=f.type) for v, f in zip(zip(*out), fields)]
-            schema = pa.schema([*batch.schema, *fields])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], schema=schema)
-
-    return run
-
-
-def _digests(machine: Machine, keys: Sequence[str]):
-    """One row per piece of a chunk: a known state, or the times and outcomes of the piece."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, piece = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new, last = _changes(batch, [*keys, "_chunk"], last)
-            cuts = sorted({0, *np.flatnonzero(new).tolist(), batch.num_rows})
-            t = batch.column("_t").to_numpy(zero_copy_only=False)
-            ok = batch.column("_ok").to_numpy(zero_copy_only=False).astype(bool)
-            rows = []
-            for a, b in zip(cuts, cuts[1:]):
-                piece = 0 if new[a] else piece
-                for x in range(a, b, DIGEST_ROWS):
-                    tt, oo = t[x : min(b, x + DIGEST_ROWS)], ok[x : min(b, x + DIGEST_ROWS)]
-                    j = machine.settle(tt, oo)
-                    if j is None:
-                        rows.append((a, piece, None, tt.tolist(), oo.tolist()))
-                    else:
-                        known = machine.skip(machine.start(), tt[j:], oo[j:])
-                        rows.append((a, piece, known, None, None))
-                    piece += 1
-            take = pa.array([r[0] for r in rows])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(k).take(take) for k in [*keys, "_chunk"]]
-                + [
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.list_(pa.int64())),
-                    pa.array([r[3] for r in rows], pa.list_(pa.int64())),
-                    pa.array([r[4] for r in rows], pa.list_(pa.bool_())),
-                ],
-                names=[*keys, "_chunk", "_piece", "_known", "_times", "_oks"],
-            )
-
-    return run
-
-
-def _relay(machine: Machine, keys: Sequence[str]):
-    """Carry the state of a key over its digests; emit the state at each chunk's start."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new, last = _changes(batch, keys, last)
-            picked, states = [], []
-            for i in range(batch.num_rows):
-                if new[i]:
-                    state = machine.start()
-                if batch.column("_piece")[i].as_py() == 0:
-                    picked.append(i)
-                    states.append(list(state))
-                known = batch.column("_known")[i].as_py()
-                if known is not None:
-                    state = known
-                else:
-                    t = batch.column("_times")[i].values.to_numpy(zero_copy_only=False)
-                    ok = batch.column("_oks")[i].values.to_numpy(zero_copy_only=False)
-                    state = machine.skip(state, t, ok)
-            take = pa.array(picked, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(k).take(take) for k in [*keys, "_chunk"]]
-                + [pa.array(states, pa.list_(pa.int64()))],
-                names=[*keys, "_chunk", "_entry"],
-            )
-
-    return run
+def output_fields(machine: Machine) -> list[T.StructField]:
+    return [T.StructField(n, _TYPES[t]) for n, t in machine.outputs]
 
 
 def fold(
@@ -434,7 +55,6 @@ def fold(
     rows = s.df
     key_fields = [df.schema[k] for k in keys]
     chunk_field = T.StructField("_chunk", T.IntegerType())
-    longs = T.ArrayType(T.LongType())
     sort_by = [*keys, "_chunk", *order]
     if s.hot:
         digest_schema = T.StructType(
@@ -442,29 +62,23 @@ def fold(
                 *key_fields,
                 chunk_field,
                 T.StructField("_piece", T.LongType()),
-                T.StructField("_known", longs),
-                T.StructField("_times", longs),
-                T.StructField("_oks", T.ArrayType(T.BooleanType())),
+                *[T.StructField(n, T.BinaryType()) for n in ("_known", "_times", "_oks")],
             ]
         )
         ordered = s.hot_rows.sortWithinPartitions(*keys, *order).select(*keys, "_chunk", "_t", "_ok")
-        digests = ordered.mapInArrow(_digests(machine, keys), digest_schema)
-        entry_schema = T.StructType([*key_fields, chunk_field, T.StructField("_entry", longs)])
+        compact_rows = ordered.mapInArrow(digests(machine, keys), digest_schema)
+        entry_schema = T.StructType([*key_fields, chunk_field, T.StructField("_entry", T.BinaryType())])
         entries = (
-            digests.repartition(*keys)
+            compact_rows.repartition(*keys)
             .sortWithinPartitions(*keys, "_chunk", "_piece")
-            .mapInArrow(_relay(machine, keys), entry_schema)
+            .mapInArrow(relay(machine, keys), entry_schema)
         )
         rows = s._attach(entries, ["_entry"])
-    else:
-        rows = rows.withColumn("_entry", F.lit(None).cast(longs))
-    out_schema = T.StructType(
-        [*rows.schema.fields, *[T.StructField(n, t) for n, t in machine.outputs]]
-    )
+    out_schema = T.StructType([*rows.schema.fields, *output_fields(machine)])
     folded = (
         rows.repartition(*keys, "_chunk")
         .sortWithinPartitions(*sort_by)
-        .mapInArrow(_runner(machine, [*keys, "_chunk"]), out_schema)
+        .mapInArrow(runner(machine, [*keys, "_chunk"]), out_schema)
     )
     return folded.drop("_t", "_ok", "_entry", "_chunk")
 

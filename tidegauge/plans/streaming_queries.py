@@ -8,7 +8,7 @@ from tidegauge.functions.common import work_folder
 from tidegauge.operators import checks as C
 from tidegauge.operators import enrich as E
 from tidegauge.operators import filters as R
-from tidegauge.operators.fold import Breaker, Cooldown, Quota
+from tidegauge.operators.machines import Breaker, Cooldown, Quota
 from tidegauge.plans.filter_queries import MAINTENANCE_SQL, SILENCED, maintenance, silence_rules
 from tidegauge.plans.ordered_queries import FLAGSHIP_RULES
 from tidegauge.plans.registry import SQL, query, rule_table

@@ -6,17 +6,20 @@ source's rate limit (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidegauge.functions.common import micros
-from tidegauge.operators.fold import Machine
+from tidegauge.operators.fold import output_fields
+from tidegauge.operators.machines import Machine
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -53,7 +56,7 @@ def drop_repeats(events: DataFrame, keys: Sequence[str], delay: str) -> DataFram
 class Streak(Machine):
     """Consecutive failures; fires from the ``threshold``-th on."""
 
-    outputs = [("streak", T.LongType()), ("fires", T.BooleanType())]
+    outputs = [("streak", "bigint"), ("fires", "boolean")]
 
     def __init__(self, threshold: int) -> None:
         self.threshold = threshold
@@ -69,7 +72,7 @@ class Streak(Machine):
 class Throttle(Machine):
     """Runs of events with gaps below the cooldown; state: last time, suppressed so far in the run."""
 
-    outputs = [("suppressed_count", T.LongType()), ("throttled", T.BooleanType())]
+    outputs = [("suppressed_count", "bigint"), ("throttled", "boolean")]
 
     def __init__(self, cooldown_us: int, max_suppressed: int | None) -> None:
         self.cooldown, self.cap = cooldown_us, max_suppressed
@@ -86,7 +89,7 @@ class Throttle(Machine):
 class Watermark(Machine):
     """Newest event time so far; an event that does not move it is late."""
 
-    outputs = [("watermark_us", T.LongType()), ("late", T.BooleanType())]
+    outputs = [("watermark_us", "bigint"), ("late", "boolean")]
 
     def start(self) -> list[int]:
         return []
@@ -148,7 +151,7 @@ def suppress(
     micro-batches in the order of arrival.
     """
     out = T.StructType(
-        [T.StructField("event_id", T.LongType()), *[T.StructField(n, t) for n, t in machine.outputs]]
+        [T.StructField("event_id", T.LongType()), *output_fields(machine)]
     )
     slim = events.select(*keys, "event_id", micros("triggered_at").alias("at_us"), F.col("passed").alias("ok"))
     ttl = None if ttl_seconds is None else int(ttl_seconds * 1000)
@@ -223,3 +226,7 @@ def to_table(rows: DataFrame, path: str, checkpoint: str, available_now: bool =
     """Append a stream to a parquet table."""
     writer = rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+# Processors are pickled by value, so executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
