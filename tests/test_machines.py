@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidegauge.operators import machines as f
@@ -74,3 +75,31 @@ def alive(name, state, now):
         window = 40 if name == "quota" else 10
         return [x for x in state if x >= now - window]
     return state
+
+
+@pytest.mark.parametrize("name", [n for n, m in MACHINES.items() if m().chain])
+@pytest.mark.parametrize("size", [1, 2, 7, 30])
+def test_scouted_pieces_hold_every_fire(name, size):
+    """Relaying only the needed pieces gives the state at the start of every piece."""
+    rng = random.Random(5)
+    m = MACHINES[name]()
+    skipped = 0
+    for dense in [True] * 8 + [False] * 8:
+        t, ok = series(rng, rng.randint(2, 150), dense)
+        if name == "compact":
+            ok[:] = rng.random() < 0.5 or ok
+        batch = pa.record_batch({"k": ["x"] * len(t), "_chunk": pa.array([1] * len(t), pa.int32()), "_t": t, "_ok": ok})
+        parts = [batch.slice(i, size) for i in range(0, len(t), size)]
+        table = pa.Table.from_batches(f.digests(m, ["k"])(iter(parts)))
+        small = table.drop_columns(["_times", "_oks"]).to_batches()
+        needed = {r["_piece"] for b in f.scout(m, ["k"])(iter(small)) for r in b.to_pylist()}
+        # Emit the state at every piece, so that all of them are compared.
+        rows = [dict(r, _begins=True) if r["_piece"] in needed else dict(r, _begins=True, _times=None, _oks=None) for r in table.to_pylist()]
+        skipped += len(rows) - len(needed)
+        relayed = pa.RecordBatch.from_pylist(rows, schema=table.schema)
+        got = [f._unpack(r["_entry"]) for b in f.relay(m, ["k"])(iter([relayed])) for r in b.to_pylist()]
+        want = [stepped(m, m.start(), t[: i * size], ok[: i * size]) for i in range(len(parts))]
+        for i, (x, y) in enumerate(zip(got, want)):
+            assert alive(name, x, t[i * size]) == alive(name, y, t[i * size])
+        assert len(got) == len(want)
+    assert skipped > 0

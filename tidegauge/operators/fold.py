@@ -3,10 +3,11 @@
 ``lag`` cannot express these, so each key's rows are sorted and folded in
 Arrow batches with a state of constant size. A key with more than ``max_rows``
 rows is cut into chunks (see :mod:`spread`) that are folded in parallel. The
-state each chunk starts from is found first, by a pass over compact per-chunk
-digests: a chunk in which the state is reset whatever came before (a long
-gap, say) is one known state, any other chunk is its times and outcomes,
-through which the pass jumps from one change of state to the next.
+state each chunk starts from is found first, by a pass over compact digests:
+a piece in which the state is reset whatever came before (a long gap, say) is
+one known state, a piece in which nothing can fire is left out, and any other
+piece is its times and outcomes, through which the pass jumps from one change
+of state to the next.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.functions.common import micros, plus_seconds, require
+from tidegauge.functions.common import micros, plus_seconds, require, work_folder
 from tidegauge.operators.machines import (
     Backoff,
     Batch,
@@ -29,6 +30,7 @@ from tidegauge.operators.machines import (
     digests,
     relay,
     runner,
+    scout,
 )
 from tidegauge.operators.ordered import EVENT_KEYS, EVENT_ORDER
 from tidegauge.operators.spread import MAX_ROWS, Spread
@@ -40,6 +42,40 @@ def output_fields(machine: Machine) -> list[T.StructField]:
     return [T.StructField(n, _TYPES[t]) for n, t in machine.outputs]
 
 
+def _chunk_entries(spread: Spread, machine: Machine, keys: list[str]) -> DataFrame:
+    """The state in which each chunk of a frequent key starts.
+
+    Digests of the chunks are written once. For a chain machine a scout over
+    first and last times (one row per Arrow batch of events) picks the digests
+    in which an event may fire; only those are read in full by the relay.
+    """
+    spark = spread.hot_rows.sparkSession
+    key_ddl = [spread.hot_rows.schema[k] for k in keys]
+    long, flag, raw = T.LongType(), T.BooleanType(), T.BinaryType()
+    chunk = T.StructField("_chunk", T.IntegerType())
+    columns = [
+        ("_piece", long), ("_begins", flag), ("_first", long), ("_last", long), ("_rows", long),
+        ("_known", raw), ("_times", raw), ("_oks", raw),
+    ]
+    schema = T.StructType([*key_ddl, chunk, *[T.StructField(n, t) for n, t in columns]])
+    path = work_folder(spark, "digests")
+    in_order = spread.hot_rows.select(*keys, "_chunk", *spread.order, "_t", "_ok").sortWithinPartitions(*keys, *spread.order)
+    in_order.select(*keys, "_chunk", "_t", "_ok").mapInArrow(digests(machine, keys), schema).write.parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+
+    def by_key(df: DataFrame) -> DataFrame:
+        return df.repartition(*keys).sortWithinPartitions(*keys, "_chunk", "_piece")
+
+    if machine.chain:
+        piece = T.StructType([chunk, T.StructField("_piece", long)])
+        small = by_key(table.drop("_times", "_oks"))
+        needed = small.mapInArrow(scout(machine, keys), piece).withColumn("_needed", F.lit(True))
+        table = table.join(needed, ["_chunk", "_piece"], "left").filter("_needed or _begins or _known is not null")
+        table = table.withColumn("_times", F.when(F.col("_needed"), F.col("_times")))
+    entry = T.StructType([*key_ddl, chunk, T.StructField("_entry", raw)])
+    return by_key(table).mapInArrow(relay(machine, keys), entry)
+
+
 def fold(
     df: DataFrame,
     machine: Machine,
@@ -49,35 +85,15 @@ def fold(
     max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
     """Run ``machine`` over each key's rows in order; its outputs become columns."""
+    keys = list(keys)
     ok = F.coalesce(F.col(passed), F.lit(False)) if passed else F.lit(True)
     prepared = df.withColumn("_t", micros(order[0])).withColumn("_ok", ok)
     s = Spread(prepared, keys, order, max_rows)
-    rows = s.df
-    key_fields = [df.schema[k] for k in keys]
-    chunk_field = T.StructField("_chunk", T.IntegerType())
-    sort_by = [*keys, "_chunk", *order]
-    if s.hot:
-        digest_schema = T.StructType(
-            [
-                *key_fields,
-                chunk_field,
-                T.StructField("_piece", T.LongType()),
-                *[T.StructField(n, T.BinaryType()) for n in ("_known", "_times", "_oks")],
-            ]
-        )
-        ordered = s.hot_rows.sortWithinPartitions(*keys, *order).select(*keys, "_chunk", "_t", "_ok")
-        compact_rows = ordered.mapInArrow(digests(machine, keys), digest_schema)
-        entry_schema = T.StructType([*key_fields, chunk_field, T.StructField("_entry", T.BinaryType())])
-        entries = (
-            compact_rows.repartition(*keys)
-            .sortWithinPartitions(*keys, "_chunk", "_piece")
-            .mapInArrow(relay(machine, keys), entry_schema)
-        )
-        rows = s._attach(entries, ["_entry"])
+    rows = s._attach(_chunk_entries(s, machine, keys), ["_entry"]) if s.hot else s.df
     out_schema = T.StructType([*rows.schema.fields, *output_fields(machine)])
     folded = (
         rows.repartition(*keys, "_chunk")
-        .sortWithinPartitions(*sort_by)
+        .sortWithinPartitions(*keys, "_chunk", *order)
         .mapInArrow(runner(machine, [*keys, "_chunk"]), out_schema)
     )
     return folded.drop("_t", "_ok", "_entry", "_chunk")

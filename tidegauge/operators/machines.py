@@ -15,8 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 
-# Events per digest row, so that one row stays far below the Arrow batch size.
-DIGEST_ROWS = 65_536
+NEVER = 2**62
 
 
 class Machine:
@@ -25,19 +24,34 @@ class Machine:
     ``skip`` must give the same final state as ``step`` over all the events,
     but may jump. ``settle`` gives an index from which the final state no
     longer depends on the state before the events, or None.
+
+    In a ``chain`` machine the state changes only when an event fires: the
+    first event at or after ``due(state)``. A later last fire never makes the
+    next one earlier.
     """
 
     outputs: list[tuple[str, str]] = []
+    chain = False
 
     def start(self) -> list[int]:
-        raise NotImplementedError
+        return []
 
     def step(self, state: list[int], t: int, ok: bool) -> tuple:
         raise NotImplementedError
 
+    def due(self, state: list[int]) -> int:
+        raise NotImplementedError
+
+    def fire(self, state: list[int], t: int) -> None:
+        raise NotImplementedError
+
     def skip(self, state: list[int], t: np.ndarray, ok: np.ndarray) -> list[int]:
-        for x, y in zip(t.tolist(), ok.tolist()):
-            self.step(state, x, y)
+        i = 0
+        while i < len(t):
+            i = max(i, int(np.searchsorted(t, self.due(state))))
+            if i < len(t):
+                self.fire(state, int(t[i]))
+                i += 1
         return state
 
     def settle(self, t: np.ndarray, ok: np.ndarray) -> int | None:
@@ -53,26 +67,23 @@ class Cooldown(Machine):
     """Fire when the last fired event is at least ``cooldown`` ago; only fired events count."""
 
     outputs = [("fired", "boolean"), ("last_fired_us", "bigint")]
+    chain = True
 
     def __init__(self, cooldown_us: int) -> None:
         self.cooldown = cooldown_us
 
-    def start(self) -> list[int]:
-        return []
+    def due(self, state):
+        return state[0] + self.cooldown if state else -NEVER
+
+    def fire(self, state, t):
+        state[:] = [t]
 
     def step(self, state, t, ok):
-        fired = not state or t >= state[0] + self.cooldown
+        fired = t >= self.due(state)
         if fired:
-            state[:] = [t]
+            self.fire(state, t)
         return fired, state[0]
 
-    def skip(self, state, t, ok):
-        i = 0 if not state else int(np.searchsorted(t, state[0] + self.cooldown))
-        while i < len(t):
-            state[:] = [int(t[i])]
-            i = max(i + 1, int(np.searchsorted(t, state[0] + self.cooldown)))
-        return state
-
     def settle(self, t, ok):
         return _last(np.diff(t) >= self.cooldown)
 
@@ -81,12 +92,17 @@ class Quota(Machine):
     """At most ``limit`` allowed events in ``[t - window, t]``; blocked events do not count."""
 
     outputs = [("allowed", "boolean"), ("current_count", "bigint")]
+    chain = True
 
     def __init__(self, limit: int, window_us: int) -> None:
         self.limit, self.window = limit, window_us
 
-    def start(self) -> list[int]:
-        return []
+    def due(self, state):
+        return state[-self.limit] + self.window + 1 if len(state) >= self.limit else -NEVER
+
+    def fire(self, state, t):
+        state.append(t)
+        del state[: -self.limit]
 
     def step(self, state, t, ok):
         while state and state[0] < t - self.window:
@@ -96,17 +112,6 @@ class Quota(Machine):
             state.append(t)
         return allowed, len(state)
 
-    def skip(self, state, t, ok):
-        i = 0
-        while i < len(t):
-            if len(state) >= self.limit:
-                i = max(i, int(np.searchsorted(t, state[-self.limit] + self.window, side="right")))
-                if i >= len(t):
-                    break
-            self.step(state, int(t[i]), True)
-            i += 1
-        return state
-
     def settle(self, t, ok):
         return _last(np.diff(t) > self.window)
 
@@ -115,6 +120,7 @@ class Backoff(Machine):
     """Attempts with growing delays; after ``max_attempts`` nothing is due any more."""
 
     outputs = [("due", "boolean"), ("attempts", "bigint")]
+    chain = True
 
     def __init__(self, base: float, multiplier: float, max_delay: float, max_attempts: int) -> None:
         self.delay = [
@@ -125,24 +131,21 @@ class Backoff(Machine):
     def start(self) -> list[int]:
         return [0, 0]
 
-    def step(self, state, t, ok):
+    def due(self, state):
         n, last = state
-        due = n == 0 or (n < self.max_attempts and t >= last + self.delay[n])
+        if n >= self.max_attempts:
+            return NEVER
+        return last + self.delay[n] if n else -NEVER
+
+    def fire(self, state, t):
+        state[:] = [state[0] + 1, t]
+
+    def step(self, state, t, ok):
+        due = t >= self.due(state)
         if due:
-            state[:] = [n + 1, t]
+            self.fire(state, t)
         return due, state[0]
 
-    def skip(self, state, t, ok):
-        i = 0
-        while state[0] < self.max_attempts:
-            if state[0]:
-                i = max(i, int(np.searchsorted(t, state[1] + self.delay[state[0]])))
-            if i >= len(t):
-                break
-            state[:] = [state[0] + 1, int(t[i])]
-            i += 1
-        return state
-
 
 class Breaker(Machine):
     """Circuit breaker over outcomes; outcomes of blocked requests are not recorded.
@@ -258,12 +261,17 @@ class Compact(Machine):
     """
 
     outputs = [("keep", "boolean")]
+    chain = True
 
     def __init__(self, window_us: int) -> None:
         self.window = window_us
 
-    def start(self) -> list[int]:
-        return []
+    # A failure settles the state, so events that do not settle it are all passes.
+    def due(self, state):
+        return state[0] + self.window + 1 if state and state[1] else -NEVER
+
+    def fire(self, state, t):
+        state[:] = [t, 1]
 
     def step(self, state, t, ok):
         if state and ok and state[1] and t - state[0] <= self.window:
@@ -346,37 +354,74 @@ def runner(machine: Machine, keys: Sequence[str]):
 
 
 def digests(machine: Machine, keys: Sequence[str]):
-    """One row per piece of a chunk: a known state, or the times and outcomes of the piece."""
+    """One row per piece of a chunk: first and last time, size, and a known state or the times and outcomes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, piece = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new, last = _changes(batch, [*keys, "_chunk"], last)
+            new, last = _changes(batch, keys, last)
             cuts = sorted({0, *np.flatnonzero(new).tolist(), batch.num_rows})
             t = batch.column("_t").to_numpy(zero_copy_only=False)
             ok = batch.column("_ok").to_numpy(zero_copy_only=False).astype(bool)
             rows = []
             for a, b in zip(cuts, cuts[1:]):
-                piece = 0 if new[a] else piece
-                for x in range(a, b, DIGEST_ROWS):
-                    tt, oo = t[x : min(b, x + DIGEST_ROWS)], ok[x : min(b, x + DIGEST_ROWS)]
-                    j = machine.settle(tt, oo)
-                    if j is None:
-                        rows.append((a, piece, None, tt.tobytes(), oo.tobytes()))
-                    else:
-                        known = machine.skip(machine.start(), tt[j:], oo[j:])
-                        rows.append((a, piece, _pack(known), None, None))
-                    piece += 1
-            take = pa.array([r[0] for r in rows])
+                tt, oo = t[a:b], ok[a:b]
+                j = machine.settle(tt, oo)
+                known = None if j is None else _pack(machine.skip(machine.start(), tt[j:], oo[j:]))
+                raw = (tt.tobytes(), oo.tobytes()) if known is None else (None, None)
+                rows.append((piece, bool(new[a]), int(tt[0]), int(tt[-1]), b - a, known, *raw))
+                piece += 1
+            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 3]
+            take = pa.array(cuts[:-1])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k).take(take) for k in [*keys, "_chunk"]]
-                + [
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    *[pa.array([r[i] for r in rows], pa.binary()) for i in (2, 3, 4)],
-                ],
-                names=[*keys, "_chunk", "_piece", "_known", "_times", "_oks"],
+                + [pa.array(v, type=x) for v, x in zip(zip(*rows), types)],
+                names=[*keys, "_chunk", "_piece", "_begins", "_first", "_last", "_rows", "_known", "_times", "_oks"],
+            )
+
+    return run
+
+
+def scout(machine: Machine, keys: Sequence[str]):
+    """The pieces in which an event may fire, for a chain machine, from first and last times alone.
+
+    ``low`` fires as early as times allow, so at least as often as the truth;
+    ``high`` fires on the first and last events of pieces only, so at most as
+    often. No event fires in a piece by whose end ``low`` has fired no more
+    often than ``high`` had before it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, low, high, ahead = None, None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new, last = _changes(batch, keys, last)
+            cols = [batch.column(c).to_pylist() for c in ("_first", "_last", "_rows", "_known")]
+            needed = []
+            for i, (first, end, rows, known) in enumerate(zip(*cols)):
+                if new[i]:
+                    low, high, ahead = machine.start(), machine.start(), 0
+                if known is not None:
+                    low, high, ahead = _unpack(known), _unpack(known), 0
+                    continue
+                for _ in range(rows):
+                    t = max(machine.due(low), first)
+                    if t > end:
+                        break
+                    machine.fire(low, t)
+                    ahead += 1
+                if ahead > 0:
+                    needed.append(i)
+                for t in (first, end)[: min(rows, 2)]:
+                    if machine.due(high) <= t:
+                        machine.fire(high, t)
+                        ahead -= 1
+            take = pa.array(needed, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(take) for c in ("_chunk", "_piece")], names=["_chunk", "_piece"]
             )
 
     return run
@@ -391,24 +436,22 @@ def relay(machine: Machine, keys: Sequence[str]):
             if not batch.num_rows:
                 continue
             new, last = _changes(batch, keys, last)
+            begins, known, times, oks = (batch.column(c) for c in ("_begins", "_known", "_times", "_oks"))
             picked, states = [], []
             for i in range(batch.num_rows):
                 if new[i]:
                     state = machine.start()
-                if batch.column("_piece")[i].as_py() == 0:
+                if begins[i].as_py():
                     picked.append(i)
                     states.append(_pack(state))
-                known = batch.column("_known")[i].as_py()
-                if known is not None:
-                    state = _unpack(known)
-                else:
-                    t = np.frombuffer(batch.column("_times")[i].as_py(), dtype=np.int64)
-                    ok = np.frombuffer(batch.column("_oks")[i].as_py(), dtype=bool)
-                    state = machine.skip(state, t, ok)
+                if known[i].is_valid:
+                    state = _unpack(known[i].as_py())
+                elif times[i].is_valid:
+                    t = np.frombuffer(times[i].as_py(), dtype=np.int64)
+                    state = machine.skip(state, t, np.frombuffer(oks[i].as_py(), dtype=bool))
             take = pa.array(picked, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k).take(take) for k in [*keys, "_chunk"]]
-                + [pa.array(states, pa.binary())],
+                [batch.column(k).take(take) for k in [*keys, "_chunk"]] + [pa.array(states, pa.binary())],
                 names=[*keys, "_chunk", "_entry"],
             )
 
