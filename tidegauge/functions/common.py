@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Largest rule or dimension table that is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 20_000
@@ -81,6 +83,23 @@ def json_text(value: str | Column) -> Column:
     return F.substring(as_array, F.lit(2), F.length(as_array) - F.lit(2))
 
 
+def order_mark(df: DataFrame, order: Sequence[str]) -> Column:
+    """One comparable value per row for the given order.
+
+    A (time, whole number) order becomes a decimal, which hash aggregation can
+    take the maximum of; a struct would need a sort.
+    """
+    types = [df.schema[c].dataType for c in order]
+    if (
+        len(order) == 2
+        and isinstance(types[0], (T.TimestampType, T.TimestampNTZType))
+        and isinstance(types[1], (T.LongType, T.IntegerType))
+    ):
+        wide = micros(order[0]).cast("decimal(38,0)") * F.lit(Decimal(10) ** 20)
+        return (wide + F.col(order[1]).cast("decimal(20,0)")).cast("decimal(38,0)")
+    return F.struct(*order)
+
+
 def within_rows(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
     return df.limit(limit + 1).count() <= limit

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.common import (
-    broadcast_if_small,
     col,
     instant,
     micros,
@@ -277,7 +276,7 @@ def anomalies(current: DataFrame, history: DataFrame, threshold: float = 3.0) ->
     stats = history.groupBy(*keys).agg(
         F.count("value").alias("_n"), F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_std")
     )
-    joined = current.join(broadcast_if_small(stats), keys, "left")
+    joined = current.join(stats, keys, "left")
     enough = F.coalesce(F.col("_n"), F.lit(0)) >= 2
     mean = F.coalesce(F.col("_mean"), F.col("value"))
     std = F.when(enough, F.col("_std")).otherwise(0.0)

@@ -16,6 +16,7 @@ from tidegauge.functions.common import (
     json_text,
     plus_seconds,
     require,
+    within_rows,
 )
 from tidegauge.operators.filters import match_rules
 
@@ -53,13 +54,18 @@ def normalize(metrics: DataFrame, rules: DataFrame, history: DataFrame | None =
     """
     fields = ["strategy", "min_val", "max_val", "clamp_low", "clamp_high"]
     picked = rules.groupBy("metric").agg(F.max_by(F.struct(*fields), "rule_idx").alias("_r"))
-    r = broadcast_if_small(picked.select("metric", *[F.col(f"_r.{f}").alias(f) for f in fields]))
+    few = within_rows(picked, BROADCAST_ROWS)
+    r = picked.select("metric", *[F.col(f"_r.{f}").alias(f) for f in fields])
+    r = F.broadcast(r) if few else r
     joined = metrics.join(r, "metric")
     if history is not None:
-        stats = history.groupBy("metric").agg(
-            F.count("value").alias("_n"), F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_std")
+        # Statistics of metrics with a rule only, so there are no more of them than rules.
+        stats = (
+            history.join(r.select("metric"), "metric", "left_semi")
+            .groupBy("metric")
+            .agg(F.count("value").alias("_n"), F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_std"))
         )
-        joined = joined.join(broadcast_if_small(stats), "metric", "left")
+        joined = joined.join(F.broadcast(stats) if few else stats, "metric", "left")
     else:
         joined = joined.withColumns({"_n": F.lit(0), "_mean": F.lit(None).cast("double"), "_std": F.lit(None).cast("double")})
     v = F.col("value")

@@ -90,7 +90,7 @@ def silence(events: DataFrame, rules: DataFrame, now: str | Column) -> DataFrame
         F.regexp_like(F.col("pipeline"), F.col("_p")) & F.regexp_like(F.col("check_name"), F.col("_c")),
         "left_semi",
     )
-    return events.join(hit, ["pipeline", "check_name"], "left_anti")
+    return salted_join(events, hit, ["pipeline", "check_name"], salt="event_id", how="left_anti")
 
 
 def in_maintenance(events: DataFrame, windows: DataFrame, suppressed: bool = False) -> DataFrame:

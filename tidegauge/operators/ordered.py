@@ -15,6 +15,7 @@ from tidegauge.functions.common import (
     broadcast_if_small,
     instant,
     micros,
+    order_mark,
     plus_seconds,
     require,
     salted_join,
@@ -96,7 +97,7 @@ def current_streaks(
     Two aggregations joined per key; no window, so a frequent key is not
     gathered.
     """
-    at = F.struct(*order)
+    at = order_mark(runs, order)
     last_pass = runs.groupBy(*keys).agg(F.max(F.when(F.col("passed"), at)).alias("_pass"))
     after = salted_join(runs, last_pass, keys, salt)
     newer = F.col("_pass").isNull() | (at > F.col("_pass"))
