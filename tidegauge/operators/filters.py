@@ -312,32 +312,32 @@ def _field_due(field: Column, value: Column) -> Column:
 def due_minutes(schedules: DataFrame, start: str, end: str) -> DataFrame:
     """One row per schedule and due minute in ``[start, end]``.
 
-    Days are made first and filtered by the date fields, then only the
-    remaining days are expanded to minutes.
+    The due hours and minutes of a schedule are two short lists; days that
+    satisfy the date fields are expanded by them, so only due rows are made.
     """
     expr = F.col("expression")
     for alias, fields in SCHEDULE_ALIASES.items():
         expr = F.when(F.col("expression") == alias, fields).otherwise(expr)
-    f = F.split(F.trim(expr), r"\s+")
     s0, s1 = instant(start), instant(end)
-    parts = schedules.withColumn("_f", f).filter(F.size("_f") == 5)
-    days = parts.withColumn(
+    parts = schedules.withColumn("_f", F.split(F.trim(expr), r"\s+")).filter(F.size("_f") == 5)
+    listed = parts.withColumns(
+        {
+            "_minutes": F.filter(F.sequence(F.lit(0), F.lit(59)), lambda m: _field_due(F.col("_f")[0], m)),
+            "_hours": F.filter(F.sequence(F.lit(0), F.lit(23)), lambda h: _field_due(F.col("_f")[1], h)),
+        }
+    )
+    days = listed.withColumn(
         "_day", F.explode(F.sequence(s0.cast("date"), s1.cast("date"), F.expr("interval 1 day")))
     ).filter(
         _field_due(F.col("_f")[2], F.dayofmonth("_day"))
         & _field_due(F.col("_f")[3], F.month("_day"))
         & _field_due(F.col("_f")[4], F.weekday("_day"))
     )
-    hours = days.withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(23)))).filter(
-        _field_due(F.col("_f")[1], F.col("_h"))
-    )
-    minutes = hours.withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(59)))).filter(
-        _field_due(F.col("_f")[0], F.col("_m"))
-    )
+    due = days.withColumn("_h", F.explode("_hours")).withColumn("_m", F.explode("_minutes"))
     at = F.col("_day").cast("timestamp_ntz") + F.make_dt_interval(
         F.lit(0), F.col("_h"), F.col("_m"), F.lit(0).cast("decimal(18,6)")
     )
-    return minutes.withColumn("due_at", at).drop("_f", "_day", "_h", "_m").filter(
+    return due.withColumn("due_at", at).drop("_f", "_minutes", "_hours", "_day", "_h", "_m").filter(
         F.col("due_at").between(s0, s1)
     )
 

@@ -40,10 +40,11 @@ def cyclic_edges(edges: DataFrame) -> DataFrame:
     left = edges.select("upstream", "downstream").distinct().checkpoint()
     size = left.count()
     while size:
-        fed = left.select(F.col("downstream").alias("upstream")).distinct()
-        feeding = left.select(F.col("upstream").alias("downstream")).distinct()
-        left = salted_join(left, fed, ["upstream"], salt="downstream", how="left_semi")
-        left = salted_join(left, feeding, ["downstream"], salt="upstream", how="left_semi").checkpoint()
+        inner = degrees(left).filter("upstream_count > 0 and downstream_count > 0").select("pipeline")
+        for end, other in (("upstream", "downstream"), ("downstream", "upstream")):
+            nodes = inner.withColumnRenamed("pipeline", end)
+            left = salted_join(left, nodes, [end], salt=other, how="left_semi")
+        left = left.checkpoint()
         now = left.count()
         if now == size:
             break

@@ -16,7 +16,6 @@ from tidegauge.functions.common import (
     instant,
     micros,
     order_mark,
-    plus_seconds,
     require,
     salted_join,
 )
@@ -196,7 +195,3 @@ def watermark_advance(
 def recurrence(events: DataFrame, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Add ``recurrence``: how often the (pipeline, check) has occurred so far."""
     return Spread(events, EVENT_KEYS, EVENT_ORDER, max_rows).position("recurrence").result()
-
-
-def expires_at(ts: str | Column, seconds: float) -> Column:
-    return plus_seconds(ts, seconds)

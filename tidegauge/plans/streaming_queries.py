@@ -8,9 +8,9 @@ from tidegauge.functions.common import work_folder
 from tidegauge.operators import checks as C
 from tidegauge.operators import enrich as E
 from tidegauge.operators import filters as R
-from tidegauge.operators.machines import Breaker, Cooldown, Quota
+from tidegauge.operators.machines import Backoff, Batch, Breaker, Cooldown, Quota
 from tidegauge.plans.filter_queries import MAINTENANCE_SQL, SILENCED, maintenance, silence_rules
-from tidegauge.plans.ordered_queries import FLAGSHIP_RULES
+from tidegauge.plans.ordered_queries import BATCH_SQL, BY_PIPELINE, FLAGSHIP_RULES, WALK
 from tidegauge.plans.registry import SQL, query, rule_table
 from tidegauge.sources import stores as S
 from tidegauge.sources import testdata as D
@@ -86,6 +86,28 @@ def stream_throttle(spark, folder):
     return stateful(spark, folder, X.Throttle(10 * HOUR, 2), ["pipeline", "check_name"], "throttle")
 
 
+@query("stream_backoff", SQL["backoff"])
+def stream_backoff(spark, folder):
+    return stateful(spark, folder, Backoff(7200, 2, 172800, 5), ["pipeline", "check_name"], "backoff")
+
+
+@query("stream_batch", SQL["batch"])
+def stream_batch(spark, folder):
+    return stateful(spark, folder, Batch(5, 6 * HOUR), ["pipeline"], "batch")
+
+
+@query(
+    "stream_buffers",
+    f"""{WALK}, {BY_PIPELINE}, {BATCH_SQL.format(n=8, w='9 HOUR')},
+g AS (SELECT pipeline, batch_no::BIGINT AS batch_no, count(*) AS size, epoch_us(min(triggered_at)) AS opened_us, epoch_us(max(triggered_at)) AS last_us, bool_or(closes) AS closed FROM f GROUP BY ALL)
+SELECT pipeline, batch_no, size, opened_us, last_us, CASE WHEN size >= 8 THEN 'size' ELSE 'age' END AS reason FROM g
+WHERE closed OR opened_us + 9 * 3600000000 <= (SELECT epoch_us(max(triggered_at)) - 600000000 FROM alert_event)""",
+)
+def stream_buffers(spark, folder):
+    with X.rocksdb_state(spark):
+        return finish(spark, X.buffers(D.alert_event_stream(spark, folder), 8, 9 * 3600), "buffers")
+
+
 @query(
     "stream_latest",
     f"""{with_tables('alert_event')} SELECT pipeline, check_name, max_by(event_id, (triggered_at, event_id)) AS event_id,

@@ -206,6 +206,71 @@ def latest_results(events: DataFrame, ttl_seconds: float | None = None) -> DataF
     )
 
 
+class _BufferProcessor(StatefulProcessor):
+    """Open buffer per key: number, size, first and last time. A timer closes it when it is too old."""
+
+    def __init__(self, max_size: int, max_age_us: int, keys: Sequence[str]) -> None:
+        self.max_size, self.max_age, self.keys = max_size, max_age_us, list(keys)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("buffer", "number bigint, size bigint, first bigint, last bigint")
+
+    def _frame(self, key, flushed: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(flushed, columns=["batch_no", "size", "opened_us", "last_us", "reason"])
+        for i, k in enumerate(self.keys):
+            out.insert(i, k, key[i])
+        return out
+
+    def handleInputRows(self, key, rows, timerValues):
+        number, size, first, last = self.state.get() if self.state.exists() else (0, 0, 0, 0)
+        flushed = []
+        for t in sorted(t for part in rows for t in part["at_us"].tolist()):
+            first = t if size == 0 else first
+            size, last = size + 1, t
+            full = size >= self.max_size
+            if full or t - first >= self.max_age:
+                flushed.append((number, size, first, last, "size" if full else "age"))
+                number, size = number + 1, 0
+        self.state.update((number, size, first, last))
+        if size:
+            self.handle.registerTimer((first + self.max_age + 999) // 1000)
+        yield self._frame(key, flushed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        number, size, first, last = self.state.get()
+        if size and expiredTimerInfo.getExpiryTimeInMs() * 1000 >= first + self.max_age:
+            self.state.update((number + 1, 0, 0, 0))
+            yield self._frame(key, [(number, size, first, last, "age")])
+
+    def close(self) -> None:
+        pass
+
+
+def buffers(
+    events: DataFrame,
+    max_size: int = 50,
+    max_age_seconds: float = 300,
+    delay: str = "10 minutes",
+    keys: Sequence[str] = ("pipeline",),
+) -> DataFrame:
+    """Flushed buffers: by size, by an event that comes when the buffer is too old, or by the watermark."""
+    out = T.StructType(
+        [
+            *[events.schema[k] for k in keys],
+            *[T.StructField(n, T.LongType()) for n in ("batch_no", "size", "opened_us", "last_us")],
+            T.StructField("reason", T.StringType()),
+        ]
+    )
+    slim = events.withWatermark("triggered_at", delay).select(*keys, "triggered_at", micros("triggered_at").alias("at_us"))
+    return slim.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_BufferProcessor(max_size, int(max_age_seconds * 1_000_000), keys),
+        outputStructType=out,
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
 def deliver(
     events: DataFrame, to_records: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, available_now: bool = True
 ):
