@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.functions.common import ensure_checkpoint_dir, salted_join
+from tidegauge.functions.common import BROADCAST_ROWS, ensure_checkpoint_dir, salted_join, within_rows
 
 
 def upstream_of(edges: DataFrame, pipeline: str) -> DataFrame:
@@ -41,10 +41,14 @@ def cyclic_edges(edges: DataFrame) -> DataFrame:
     size = left.count()
     while size:
         inner = degrees(left).filter("upstream_count > 0 and downstream_count > 0").select("pipeline")
+        few = within_rows(inner, BROADCAST_ROWS)
         for end, other in (("upstream", "downstream"), ("downstream", "upstream")):
             nodes = inner.withColumnRenamed("pipeline", end)
-            left = salted_join(left, nodes, [end], salt=other, how="left_semi")
-        left = left.checkpoint()
+            if few:
+                left = left.join(F.broadcast(nodes), end, "left_semi")
+            else:
+                left = salted_join(left, nodes, [end], salt=other, how="left_semi")
+        left = left.select("upstream", "downstream").checkpoint()
         now = left.count()
         if now == size:
             break
