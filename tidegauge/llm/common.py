@@ -43,7 +43,7 @@ def slices(batch: pa.RecordBatch, text: int, limit: int):
     """Cut a batch so that each piece holds about ``limit`` bytes of text and at least one row."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
     part = np.cumsum(sizes) // limit
-    starts = np.flatnonzero(np.diff(part, prefix=-1)) if len(part) else []
+    starts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else []
     for a, b in zip(starts, [*starts[1:], len(part)]):
         yield batch.slice(int(a), int(b - a))
 

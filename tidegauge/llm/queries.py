@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, secrets, topk
+from tidegauge.llm import exact_dedup, packing, records, secrets, topk
 from tidegauge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,13 +29,24 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, folder, "documents")))
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op4_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    return records.read_files(records.write_records(table(spark, folder, "documents"), tokenizer_file()))
+
+
 @query(
     """
     WITH v AS (
-        SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v
+        SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
         FROM embeddings
         WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-          AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
     ), s AS (
         SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
         FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
@@ -49,6 +60,11 @@ def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+@query()
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer_file())
+
+
 @query(
     """
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
