@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, packing, records, secrets, topk
+from tidegauge.llm import exact_dedup, packing, quality, records, secrets, topk
 from tidegauge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,22 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_file())
 
 
+def quality_model(spark: SparkSession, folder: str) -> quality.Model:
+    labels = table(spark, folder, "labels").where(~quality.held_out())
+    return quality.fit(table(spark, folder, "documents"), labels)
+
+
+@query()
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.score(docs, quality_model(spark, folder)).select(
+        "doc_id",
+        quality.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 @query(
     """
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
