@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tidegauge.functions.common import work_folder
 
 U64 = np.uint64
+ODD = 0x9E3779B97F4A7C15
+ODD_INVERSE = pow(ODD, -1, 1 << 64)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -88,23 +90,22 @@ def hash_words(words: pa.Array) -> np.ndarray:
 
 
 def hash_runs(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every run of ``n`` consecutive words inside a text, and the text of each run.
+    """Hash of every run of ``n`` consecutive words inside a text, and the place of its first word.
 
-    The runs come in order; a text with fewer than ``n`` words has none.
+    The runs come in order; a text with fewer than ``n`` words has none. Runs of different
+    lengths have unrelated hashes.
     """
     if len(hashes) < n:
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    counts = np.diff(bounds)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    odd = U64(0x9E3779B97F4A7C15)
     m = len(hashes) - n + 1
-    run = np.zeros(m, U64)
-    with np.errstate(over="ignore"):
-        # Horner's rule by doubling would need powers of the factor; n is small or the caller rolls.
-        for i in range(n):
-            run = run * odd + hashes[i : i + m]
-    inside = doc[:m] == doc[n - 1 :]
-    return mix64(run[inside]), doc[:m][inside]
+    # Prefix sums of word * odd**place; the inverse power takes the place out again.
+    power = np.cumprod(np.concatenate([np.ones(1, U64), np.full(len(hashes) - 1, ODD, U64)]), dtype=U64)
+    inverse = np.cumprod(np.concatenate([np.ones(1, U64), np.full(m - 1, ODD_INVERSE, U64)]), dtype=U64)
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(hashes * power, dtype=U64)])
+    counts = np.diff(bounds)
+    left = np.repeat(bounds[1:], counts)[:m] - np.arange(m)
+    at = np.flatnonzero(left >= n)
+    return mix64((sums[at + n] - sums[at]) * inverse[at] + U64(n)), at
 
 
 def by_value(name: str) -> None:

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, packing, quality, records, secrets, topk
-from tidegauge.llm.common import table
+from tidegauge.llm import exact_dedup, mixing, packing, quality, records, secrets, substrings, topk
+from tidegauge.llm.common import table, text_or_empty
+
+WORD = r"[^\x20\x09-\x0D]+"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +26,81 @@ def query(sql: str | None = None):
     return add
 
 
+# What a document is made of, from its whole text, and its weight in words.
+TOPIC_SQL = """CASE WHEN text LIKE '% | %' THEN 'table'
+    WHEN text LIKE '%***%' OR text LIKE '%!!%' THEN 'marked'
+    WHEN {digits} THEN 'numbers'
+    WHEN length(text) < 1000 THEN 'brief' ELSE 'article' END"""
+MIX_PART, MIX_SEED = 0.4, 11
+MIX_POWERS = {"source": 0.5, "lang": 0.5, "topic": 0.0}
+
+
+def with_topic(docs: DataFrame) -> DataFrame:
+    """Add ``topic`` and ``tokens`` (words) of each document."""
+    topic = TOPIC_SQL.format(digits="rlike(text, '[0-9]{7}')")
+    text = text_or_empty("text")
+    return docs.withColumns({"topic": F.expr(topic), "tokens": F.regexp_count(text, F.lit(WORD)).cast("long")})
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    targets = {name: mixing.tempered(power) for name, power in MIX_POWERS.items()}
+    return mixing.mix(with_topic(docs), targets, "tokens", MIX_PART, MIX_SEED)
+
+
+def mixing_sql() -> str:
+    names = list(MIX_POWERS)
+    steps = [
+        f"""{n}_t AS (SELECT {n} AS v, sum(tokens) ** {p} AS w FROM cells GROUP BY {n}),
+        {n}_s AS (SELECT v, w / (SELECT sum(w) FROM {n}_t) AS s FROM {n}_t)"""
+        for n, p in MIX_POWERS.items()
+    ]
+    joins = " ".join(f"JOIN {n}_s ON {n} IS NOT DISTINCT FROM {n}_s.v" for n in names)
+    steps.append(
+        f"r0 AS (SELECT {', '.join(names)}, tokens, tokens::DOUBLE AS share, "
+        f"{', '.join(f'{n}_s.s AS g_{n}' for n in names)} FROM cells {joins})"
+    )
+    for i in range(mixing.SWEEPS * len(names)):
+        n = names[i % len(names)]
+        steps.append(
+            f"r{i + 1} AS MATERIALIZED (SELECT * REPLACE "
+            f"(g_{n} * share / sum(share) OVER (PARTITION BY {n}) AS share) FROM r{i})"
+        )
+    return f"""
+    WITH docs AS (
+        SELECT doc_id, source, lang, {TOPIC_SQL.format(digits="regexp_matches(text, '[0-9]{7}')")} AS topic,
+            len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens
+        FROM documents
+    ), cells AS (
+        SELECT {', '.join(names)}, sum(tokens)::BIGINT AS tokens FROM docs GROUP BY ALL HAVING sum(tokens) > 0
+    ), {', '.join(steps)},
+    f AS (SELECT *, share * (sum(tokens) OVER ()) / tokens AS factor FROM r{mixing.SWEEPS * len(names)}),
+    c AS (
+        SELECT *, coalesce(sum(tokens) OVER b, 0) AS capped,
+            (SELECT sum(factor * tokens) FROM f) AS whole,
+            (SELECT sum(factor * tokens) FROM f) - coalesce(sum(factor * tokens) OVER b, 0) AS scaled
+        FROM f
+        WINDOW b AS (ORDER BY factor DESC, tokens DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    ), k AS (
+        SELECT max(({MIX_PART} * (SELECT sum(tokens) FROM cells) - capped) / scaled) AS rate
+        FROM c WHERE scaled > whole * 1e-12
+    ), p AS (
+        SELECT d.*, CASE WHEN d.tokens > 0 THEN least(1.0, rate * factor) ELSE 0 END AS probability
+        FROM docs d CROSS JOIN k
+        LEFT JOIN f ON {' AND '.join(f'd.{n} IS NOT DISTINCT FROM f.{n}' for n in names)}
+    )
+    SELECT doc_id, source, lang, topic, tokens, round(probability, 9) AS probability,
+        ('0x' || substr(md5(doc_id || '|{MIX_SEED}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < probability AS sampled
+    FROM p
+    """
+
+
+@query(mixing_sql())
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed(table(spark, folder, "documents").drop("n_chars")).select(
+        "doc_id", "source", "lang", "topic", "tokens", F.round("probability", 9).alias("probability"), "sampled"
+    )
+
+
 @query()
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, folder, "documents")))
@@ -81,6 +158,30 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), win AS (
+        SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+    ), low AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+    hit AS (SELECT doc_id, i FROM win JOIN low USING (h) WHERE doc_id > m),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM hit),
+    word AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS i FROM d),
+    kept AS (
+        SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS k, count(*) AS n
+        FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+    )
+    SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)
+    """
+)
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query(
     """
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
