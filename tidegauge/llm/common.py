@@ -33,6 +33,24 @@ def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, takes_part: Column) -> DataFrame:
+    """Left join of rows to the group of their ``keys``; ``size`` is a group's number of rows.
+
+    Groups with more than a thousandth of all rows number less than a thousand and are
+    broadcast; the other rows meet their group by an exchange. Rows that take no part stay
+    without a group. ``groups`` must be a saved table.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) * 1000 > total
+    hot = F.broadcast(groups.where(large))
+    part = rows.where(takes_part)
+    joined = part.join(hot, keys).unionByName(
+        part.join(hot, keys, "left_anti").join(groups.where(~large), keys, "left")
+    )
+    rest = rows.where(~F.coalesce(takes_part, F.lit(False)))
+    return joined.unionByName(rest, allowMissingColumns=True)
+
+
 def own_name(columns: list[str], wanted: str) -> str:
     """``wanted``, or a longer form of it, that clashes with none of ``columns`` (case does not count)."""
     taken = {c.lower() for c in columns}

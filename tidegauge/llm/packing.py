@@ -154,7 +154,7 @@ def sequences(docs: DataFrame, tokenizer: str, room: int = ROOM, end: int = 1, p
     places = layout(cut.drop("ids"), room).select("piece", "sequence_id", "offset")
     rows = cut.select("piece", "length", "ids").join(places, "piece")
 
-    def fill(key, group: pd.DataFrame) -> pd.DataFrame:
+    def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         out = np.full(room, pad, np.int64)
         for offset, ids in zip(group["offset"], group["ids"]):
             own = np.frombuffer(ids, "<u4")

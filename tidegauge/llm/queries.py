@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, mixing, packing, quality, records, secrets, substrings, topk
+from tidegauge.llm import exact_dedup, mixing, ngram_join, packing, quality, records, secrets, substrings, topk
 from tidegauge.llm.common import table, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -101,6 +101,11 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.link(table(spark, folder, "documents"))
+
+
 @query()
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, folder, "documents")))

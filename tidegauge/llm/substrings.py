@@ -110,7 +110,7 @@ def sketch(docs: DataFrame, bits: int, width: int = WIDTH, gram: int = GRAM) ->
                     yield from flush()
         yield from flush()
 
-    def merge(key, group: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         once, twice = np.zeros(1 << block_bits, bool), np.zeros(1 << block_bits, bool)
         for cells in group["cells"]:
             own = np.frombuffer(cells, np.uint32)
