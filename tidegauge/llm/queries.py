@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, mixing, ngram_join, packing, quality, records, secrets, substrings, topk
+from tidegauge.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, quality, records, secrets, substrings, topk
 from tidegauge.llm.common import table, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -187,6 +187,12 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query()
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, folder, "documents"), with_text=False)
+    return found.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
 @query(
     """
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
