@@ -8,19 +8,57 @@ last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup
+from tidegauge.llm import exact_dedup, ngram_join, packing, quality
 from tidegauge.llm.common import saved, table
+from tidegauge.llm.queries import QUALITY_LEAST, mixed, tokenizer_file
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones, accepts; without text: the bias decides."""
+    labels = table(spark, sf_dir, "labels").where(~quality.held_out())
+    model = quality.fit(docs, labels)
+    name = "quality_score"
+    return quality.score(docs.select(*COLUMNS), model, name=name).where(F.col(name) >= QUALITY_LEAST).drop(name)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text stays, that with the greatest id."""
-    return exact_dedup.keep(docs)
+    return exact_dedup.keep(docs.select(*COLUMNS))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates stays, that with the smallest id.
+
+    Rows without an id are in no component and stay.
+    """
+    found = ngram_join.link(docs)
+    others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens come near the target weights of source, language and topic."""
+    return mixed(docs).where("sampled").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 ids."""
+    return packing.pack(docs, tokenizer_file())
 
 
-STAGES = [("exact dedup", exact)]
+STAGES = [
+    ("quality filter", quality_filter),
+    ("exact dedup", exact),
+    ("near dedup", near),
+    ("source mixing", mix),
+    ("packing", pack),
+]
 
-# Stages one, four and five (a trained model, raking, a tokenizer) can't be expressed in SQL.
+# A trained model, a similarity join and a tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 

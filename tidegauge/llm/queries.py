@@ -31,6 +31,7 @@ TOPIC_SQL = """CASE WHEN text LIKE '% | %' THEN 'table'
     WHEN text LIKE '%***%' OR text LIKE '%!!%' THEN 'marked'
     WHEN {digits} THEN 'numbers'
     WHEN length(text) < 1000 THEN 'brief' ELSE 'article' END"""
+QUALITY_LEAST = 0.3
 MIX_PART, MIX_SEED = 0.4, 11
 MIX_POWERS = {"source": 0.5, "lang": 0.5, "topic": 0.0}
 
@@ -159,7 +160,7 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id",
         quality.held_out().alias("held_out"),
         "score",
-        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"),
     )
 
 
