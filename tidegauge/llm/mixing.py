@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.common import hash_uniform
-from tidegauge.llm.common import saved
+from tidegauge.llm.common import own_name, saved
 
 SWEEPS = 8
 
@@ -95,14 +95,15 @@ def mix(docs: DataFrame, targets: Mapping[str, Column], tokens: str, part: float
     docs = docs.drop("probability", "sampled")
     cells = saved(cells_of(docs, names, tokens), "cells")
     found = saved(probabilities(rake(with_targets(cells, targets), names, sweeps), part), "raked")
-    found = found.select(*[F.col(n).alias(f"_{n}") for n in names], "probability")
+    keys = {n: own_name(docs.columns, f"cell_{n}") for n in names}
+    found = found.select(*[F.col(n).alias(k) for n, k in keys.items()], "probability")
     same = F.lit(True)
-    for n in names:
-        same = same & docs[n].eqNullSafe(found[f"_{n}"])
+    for n, k in keys.items():
+        same = same & docs[n].eqNullSafe(found[k])
     chance = F.when(F.col(tokens) > 0, F.col("probability")).otherwise(0.0)
     return (
         docs.join(found, same, "left")
-        .drop(*[f"_{n}" for n in names])
+        .drop(*keys.values())
         .withColumn("probability", F.coalesce(chance, F.lit(0.0)))
         .withColumn("sampled", hash_uniform(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), seed=seed)
                     < F.col("probability"))

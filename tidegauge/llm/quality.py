@@ -176,7 +176,8 @@ def probabilities(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the probability of label 1."""
+    """All columns of ``docs`` and the probability of label 1; a column of that name is replaced."""
+    docs = docs.drop(name)
     sent = docs.sparkSession.sparkContext.broadcast((model.vectors, model.weights, model.bias))
     place = docs.columns.index(text_col)
 
