@@ -3,10 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry
+from tidegauge.plans.catalog import QUERIES, SQL
 from tools.compare import compare, connect
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con(folder):
