@@ -61,14 +61,48 @@ def severity_of_rank(rank: Column) -> Column:
     return F.when(rank == 0, "critical").when(rank == 1, "warning").otherwise("info")
 
 
+# A bracket group (a first "]" is a member), or a single character.
+_GLOB_UNIT = r"(?s)\[!?+\]?+[^\]]*+\]|."
+
+
+def _glob_class(unit: Column) -> Column:
+    """A bracket group of a glob as a character class; ranges that run backwards are empty."""
+    negated = F.substring(unit, 2, 1) == "!"
+    body = F.substring(unit, F.when(negated, 3).otherwise(2), F.length(unit) - F.when(negated, 3).otherwise(2))
+    escaped = lambda c: F.regexp_replace(c, r"([\\\[\]&^-])", r"\\$1")
+    members = F.transform(
+        F.regexp_extract_all(body, F.lit(r"(?s)(.-.|.)"), F.lit(1)),
+        lambda m: F.when(F.length(m) < 3, escaped(m))
+        .when(F.substring(m, 1, 1) > F.substring(m, 3, 1), "")
+        .otherwise(F.concat(escaped(F.substring(m, 1, 1)), F.lit("-"), escaped(F.substring(m, 3, 1)))),
+    )
+    inner = F.array_join(members, "")
+    return (
+        F.when((inner == "") & negated, ".")
+        .when(inner == "", "(?!)")
+        .otherwise(F.concat(F.lit("["), F.when(negated, "^").otherwise(""), inner, F.lit("]")))
+    )
+
+
 def glob_regex(glob: str | Column) -> Column:
-    """Shell glob (``*``, ``?``, ``[..]``, ``[!..]``) as an anchored regular expression."""
-    out = F.regexp_replace(col(glob), r"([.+^$(){}|\\])", r"\\$1")
-    out = F.regexp_replace(out, r"\[(?![^\]]+\])", r"\\[")
-    out = F.regexp_replace(out, r"\[!", "[^")
-    out = F.regexp_replace(out, r"\*", ".*")
-    out = F.regexp_replace(out, r"\?", ".")
-    return F.concat(F.lit("(?s)^(?:"), out, F.lit(")$"))
+    """Shell glob (``*``, ``?``, ``[..]``, ``[!..]``) as an anchored regular expression.
+
+    The glob is cut into bracket groups and single characters, and each is translated alone.
+    """
+    units = F.regexp_extract_all(col(glob), F.lit(f"({_GLOB_UNIT})"), F.lit(1))
+    parts = F.transform(
+        units,
+        lambda u: F.when(u == "*", ".*")
+        .when(u == "?", ".")
+        .when(F.length(u) > 1, _glob_class(u))
+        .otherwise(F.regexp_replace(u, r"([.+^$(){}|\\\[\]&*?-])", r"\\$1")),
+    )
+    return F.concat(F.lit("(?s)^(?:"), F.array_join(parts, ""), F.lit(")\\z"))
+
+
+def is_literal_glob(glob: str | Column) -> Column:
+    """True if a glob can only match itself."""
+    return ~F.regexp_like(col(glob), F.lit(r"[*?\[]"))
 
 
 def hash_uniform(*parts: str | Column, seed: int = 0) -> Column:
@@ -83,6 +117,27 @@ def json_text(value: str | Column) -> Column:
     return F.substring(as_array, F.lit(2), F.length(as_array) - F.lit(2))
 
 
+# Short escapes in JSON text.
+JSON_ESCAPES = {34: '\\"', 92: "\\\\", 8: "\\b", 12: "\\f", 10: "\\n", 13: "\\r", 9: "\\t"}
+
+
+def ascii_json_text(value: str | Column) -> Column:
+    """A string as JSON in ASCII only: all else is escaped by UTF-16 unit, in lower case; null is ``null``."""
+    text = col(value)
+
+    def unit(u: Column) -> Column:
+        code = F.conv(u, 16, 10).cast("int")
+        out = F.when(code.between(32, 126), F.char(code)).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
+        for number, short in JSON_ESCAPES.items():
+            out = F.when(code == number, F.lit(short)).otherwise(out)
+        return out
+
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
+    plain = F.regexp_like(text, F.lit(r'^[ !#-\[\]-~]*\z'))
+    inner = F.when(plain, text).otherwise(F.array_join(F.transform(units, unit), ""))
+    return F.coalesce(F.concat(F.lit('"'), inner, F.lit('"')), F.lit("null"))
+
+
 def order_mark(df: DataFrame, order: Sequence[str]) -> Column:
     """One comparable value per row for the given order.
 
@@ -150,20 +205,31 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder inside the shared checkpoint folder, for a table that is written and read back."""
+    """A new folder inside the shared work folder, for a table that is written and read back."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/tables/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared work folder and read it back; its lineage ends there."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only for a local session."""
+    """Use the folder that ``spark.checkpoint.dir`` names; it must be shared by all executors.
+
+    Only a session whose executors are threads of the driver may leave it out. What is
+    in the folder belongs to whoever named it, and is theirs to clear.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
         return
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidegauge-checkpoint-"))

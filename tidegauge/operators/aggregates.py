@@ -173,7 +173,8 @@ def digest(
     )
     streaks = current_streaks(rows, ["pipeline"], order, salt)
     return (
-        totals.join(streaks, "pipeline")
+        totals.join(streaks.withColumnRenamed("pipeline", "_p"), F.col("pipeline").eqNullSafe(F.col("_p")))
+        .drop("_p")
         .withColumnRenamed("streak", "consecutive_failures")
         .withColumn("status", F.when(F.col("consecutive_failures") == 0, "OK").otherwise("DEGRADED"))
     )
@@ -373,9 +374,13 @@ def profile_report(
     ranked = Spread(
         samples.select(*keys, "duration_ms", "sample_id"), keys, ["duration_ms", "sample_id"], max_rows
     ).position("_rank").result()
-    return stats.join(
-        ranked.select(*keys, "_rank", F.col("duration_ms").alias("p95_ms")), [*keys, "_rank"]
-    ).select(*keys, "count", "mean_ms", "p95_ms", "stdev_ms")
+    ranked = ranked.select(
+        *[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_rank").alias("_at"), F.col("duration_ms").alias("p95_ms")
+    )
+    same = F.col("_rank") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return stats.join(ranked, same).select(*keys, "count", "mean_ms", "p95_ms", "stdev_ms")
 
 
 def shadow_summary(alerts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,11 +15,8 @@ from tidegauge.functions.common import (
     instant,
     micros,
     require,
-    within_rows,
 )
 
-MAX_VALIDATION_RULES = 1_000
-
 
 def _number(value: float | None) -> Column:
     return F.lit(None).cast("double") if value is None else F.lit(float(value))
@@ -132,9 +129,11 @@ class ValidationRule:
         )
 
 
-def validation_rules(rules: DataFrame, limit: int = MAX_VALIDATION_RULES) -> list[ValidationRule]:
-    """Rules from a ``validation_rule`` table, in ``rule_idx`` order; the table must be small."""
-    require(within_rows(rules, limit), f"more than {limit} validation rules")
+def validation_rules(rules: DataFrame) -> list[ValidationRule]:
+    """Rules from a ``validation_rule`` table, in ``rule_idx`` order, to be written into one projection.
+
+    For tables of many rules there is ``violations_by_table``, which joins them.
+    """
     out = []
     for r in rules.orderBy("rule_idx").collect():
         value = float(r["value"]) if r["rule"] in ("min", "max") else r["value"]
@@ -165,8 +164,9 @@ def _violated(df: DataFrame, rule: ValidationRule, record: str | None) -> tuple[
     if record is None:
         raw = F.col(name)
         text = raw.cast("string")
-        number = raw
         dtype = df.schema[name].dataType
+        # A text that is no number can't be compared, so it violates a limit.
+        number = raw.try_cast("double") if isinstance(dtype, T.StringType) else raw
     else:
         raw = F.try_variant_get(F.col(record), f"$.{name}", "variant")
         text = F.try_variant_get(F.col(record), f"$.{name}", "string")
@@ -178,6 +178,8 @@ def _violated(df: DataFrame, rule: ValidationRule, record: str | None) -> tuple[
     if rule.rule in ("min", "max"):
         word = ">=" if rule.rule == "min" else "<="
         bad = number < F.lit(rule.value) if rule.rule == "min" else number > F.lit(rule.value)
+        if record is None and isinstance(dtype, T.StringType):
+            bad = raw.isNotNull() & F.coalesce(bad, F.lit(True))
         head = F.lit(f"Field '{name}' must be {word} {rule.value}, got ")
         return bad, F.concat(head, text, F.lit("."))
     if rule.rule == "regex":
@@ -219,6 +221,42 @@ def validate_records(
     return df.withColumn("violations", violations).withColumn("passed", F.size("violations") == 0)
 
 
+def violations_by_table(df: DataFrame, rules: DataFrame, id_columns: Sequence[str]) -> DataFrame:
+    """One row per violation, for any number of rules: the fields of each row meet the rules on their names.
+
+    Rules of the kinds required, min, max and regex compare a field's text; the messages
+    are those of ``validate_records``. A rule on a field that is no column is an error.
+    """
+    unknown = rules.filter(~F.col("field").isin(df.columns))
+    require(unknown.isEmpty(), "rules must be on columns of the table")
+    fields = F.array(*[
+        F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("text"))
+        for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct", "variant"))
+    ])
+    long = df.select(*id_columns, F.explode(fields).alias("_f")).select(*id_columns, "_f.*")
+    r = rules.select("field", "rule", F.col("value").alias("_limit"), F.col("message").alias("_message"))
+    number, limit = F.col("text").try_cast("double"), F.col("_limit").try_cast("double")
+    has = F.col("text").isNotNull()
+    bad = (
+        F.when(F.col("rule") == "required", ~has | (F.col("text") == ""))
+        .when(F.col("rule") == "min", has & F.coalesce(number < limit, F.lit(True)))
+        .when(F.col("rule") == "max", has & F.coalesce(number > limit, F.lit(True)))
+        .when(F.col("rule") == "regex", has & ~F.regexp_like("text", F.concat(F.lit("^(?:"), F.col("_limit"), F.lit(")\\z"))))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown validation rule "), F.col("rule"))).cast("boolean"))
+    )
+    name = F.concat(F.lit("Field '"), F.col("field"), F.lit("' "))
+    bound = F.concat(limit.cast("string"), F.lit(", got "), F.col("text"), F.lit("."))
+    text = (
+        F.when(F.col("rule") == "required", F.concat(name, F.lit("is required.")))
+        .when(F.col("rule") == "min", F.concat(name, F.lit("must be >= "), bound))
+        .when(F.col("rule") == "max", F.concat(name, F.lit("must be <= "), bound))
+        .otherwise(F.concat(name, F.lit("does not match pattern '"), F.col("_limit"), F.lit("'.")))
+    )
+    return long.join(r, "field").filter(bad).select(
+        *id_columns, "field", "rule", F.coalesce("_message", text).alias("message")
+    )
+
+
 def violation_rows(validated: DataFrame, id_columns: Sequence[str]) -> DataFrame:
     """One row per violation."""
     return validated.select(*id_columns, F.explode("violations").alias("_v")).select(
@@ -261,19 +299,20 @@ def dependency_block(edges: DataFrame, failed: DataFrame) -> DataFrame:
 
 
 def schema_drift(catalog: DataFrame) -> DataFrame:
-    """Columns added, removed or retyped between consecutive batches of a column catalog.
+    """Columns added, removed or retyped between neighbouring batches of a column catalog.
 
-    ``catalog`` has ``batch, column, type``; batches are consecutive integers.
+    ``catalog`` has ``batch, column, type``; batch numbers may have gaps.
     """
-    old = catalog.select(
-        (F.col("batch") + 1).alias("batch"), "column", F.col("type").alias("old_type")
+    batches = catalog.select("batch").distinct()
+    following = batches.select("batch", F.lead("batch").over(Window.orderBy("batch")).alias("_next"))
+    old = catalog.join(following, "batch").filter(F.col("_next").isNotNull()).select(
+        F.col("_next").alias("batch"), "column", F.col("type").alias("old_type")
     )
-    last = catalog.agg(F.max("batch")).scalar()
     first = catalog.agg(F.min("batch")).scalar()
     new = catalog.select("batch", "column", F.col("type").alias("new_type"))
     joined = old.join(new, ["batch", "column"], "full_outer")
     return (
-        joined.filter((F.col("batch") > first) & (F.col("batch") <= last))
+        joined.filter(F.col("batch") > first)
         .filter(~F.col("old_type").eqNullSafe(F.col("new_type")))
         .select(
             "batch",

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tidegauge.functions import metrics as M
 from tidegauge.functions.common import (
     BROADCAST_ROWS,
+    ascii_json_text,
     broadcast_if_small,
     col,
     hash_uniform,
-    json_text,
     plus_seconds,
     require,
     within_rows,
@@ -76,6 +76,7 @@ def normalize(metrics: DataFrame, rules: DataFrame, history: DataFrame | None =
     ).otherwise(0.0)
     clamp = F.least(F.greatest(v, F.col("clamp_low")), F.col("clamp_high"))
     out = F.when(F.col("strategy") == "minmax", minmax).when(F.col("strategy") == "zscore", z).otherwise(clamp)
+    out = F.when(v.isNotNull(), out)
     return joined.withColumn("normalized", out).drop("_n", "_mean", "_std", *fields[1:])
 
 
@@ -148,15 +149,13 @@ def label(events: DataFrame, rules: DataFrame, limit: int = BROADCAST_ROWS) -> D
         "key", F.when(F.length("key") > 0, F.col("key")).otherwise(F.raise_error(F.lit("label key must not be empty")))
     )
     m = match_rules(events, checked, ["key", "value"], limit=limit)
-    pairs = F.transform("matched", lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
-    # The last pair of each key: drop a pair when a later one has the same key.
-    last = F.filter(
-        pairs,
-        lambda x, i: ~F.exists(
-            F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]
-        ),
-    )
-    return m.withColumn("labels", F.map_from_entries(last)).drop("matched")
+    # Sorted by key and then from the last rule to the first: the first of each key stays.
+    pairs = F.array_sort(F.transform(
+        "matched", lambda x, i: F.struct(x["key"].alias("key"), (-i).alias("back"), x["value"].alias("value"))
+    ))
+    last = F.filter(pairs, lambda x, i: (i == 0) | (x["key"] != F.get(pairs, i - 1)["key"]))
+    entries = F.transform(last, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+    return m.withColumn("labels", F.map_from_entries(entries)).drop("matched")
 
 
 def fingerprint(
@@ -164,9 +163,9 @@ def fingerprint(
 ) -> Column:
     """SHA-256 of the sorted-key JSON of check, pipeline and severity."""
     text = F.concat(
-        F.lit('{"check": '), json_text(check),
-        F.lit(', "pipeline": '), json_text(pipeline),
-        F.lit(', "severity": '), json_text(severity), F.lit("}"),
+        F.lit('{"check": '), ascii_json_text(check),
+        F.lit(', "pipeline": '), ascii_json_text(pipeline),
+        F.lit(', "severity": '), ascii_json_text(severity), F.lit("}"),
     )
     return F.sha2(text, 256)
 

@@ -12,6 +12,7 @@ from tidegauge.functions.common import (
     broadcast_if_small,
     col,
     glob_regex,
+    is_literal_glob,
     hash_uniform,
     instant,
     micros,
@@ -22,6 +23,10 @@ from tidegauge.functions.common import (
 )
 
 
+# Silence rules with two real globs that are tried together.
+SILENCE_BLOCK = 1_000
+
+
 def filter_chain(df: DataFrame, rules: Sequence[tuple[str, Column, str]]) -> DataFrame:
     """Add ``kept``: all include predicates hold and no exclude predicate does.
 
@@ -79,17 +84,38 @@ def active_silences(rules: DataFrame, now: str | Column) -> DataFrame:
 def silence(events: DataFrame, rules: DataFrame, now: str | Column) -> DataFrame:
     """Drop events whose pipeline and check match an active silence rule.
 
-    Globs are tried once per distinct (pipeline, check), not once per event.
+    Rules are tried once per distinct (pipeline, check), not once per event, and by
+    equality as far as they are literal. Rules with two real globs meet the keys in blocks
+    of rules, so that their number bounds no broadcast.
     """
-    r = active_silences(rules, now).select(
-        glob_regex("pipeline_glob").alias("_p"), glob_regex("check_glob").alias("_c")
-    )
+    r = active_silences(rules, now)
+    flags = [is_literal_glob("pipeline_glob").alias("_lp"), is_literal_glob("check_glob").alias("_lc")]
+    r = r.select(
+        F.col("pipeline_glob").alias("_gp"), F.col("check_glob").alias("_gc"), *flags,
+        glob_regex("pipeline_glob").alias("_p"), glob_regex("check_glob").alias("_c"),
+    ).distinct()
     keys = events.select("pipeline", "check_name").distinct()
-    hit = keys.join(
-        broadcast_if_small(r),
-        F.regexp_like(F.col("pipeline"), F.col("_p")) & F.regexp_like(F.col("check_name"), F.col("_c")),
-        "left_semi",
-    )
+    by_p, by_c = F.col("pipeline") == F.col("_gp"), F.col("check_name") == F.col("_gc")
+    like_p = F.regexp_like(F.col("pipeline"), F.col("_p"))
+    like_c = F.regexp_like(F.col("check_name"), F.col("_c"))
+    hits = [
+        keys.join(r.filter("_lp and _lc"), by_p & by_c, "left_semi"),
+        keys.join(r.filter("_lp and not _lc"), by_p & like_c, "left_semi"),
+        keys.join(r.filter("not _lp and _lc"), by_c & like_p, "left_semi"),
+    ]
+    open_rules = r.filter("not _lp and not _lc")
+    blocks = max(1, -(-open_rules.count() // SILENCE_BLOCK))
+    dealt = open_rules.withColumn("_block", F.pmod(F.xxhash64("_p", "_c"), F.lit(blocks)).cast("int"))
+    spread = keys.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # With one block the key is constant; its rules are few, so they are broadcast.
+    dealt = F.broadcast(dealt) if blocks == 1 else dealt
+    hits.append(spread.join(dealt, (F.col("_at") == F.col("_block")) & like_p & like_c, "left_semi").drop("_at"))
+    hit = hits[0]
+    for h in hits[1:]:
+        hit = hit.unionByName(h)
+    hit = hit.distinct()
+    if within_rows(hit, BROADCAST_ROWS):
+        return events.join(F.broadcast(hit), ["pipeline", "check_name"], "left_anti")
     return salted_join(events, hit, ["pipeline", "check_name"], salt="event_id", how="left_anti")
 
 
@@ -110,64 +136,42 @@ def window_status(windows: DataFrame, now: str | Column) -> DataFrame:
     )
 
 
-def match_rules(
-    events: DataFrame,
-    rules: DataFrame,
-    payload: Sequence[str],
-    event_id: str = "event_id",
-    limit: int = BROADCAST_ROWS,
-) -> DataFrame:
+def match_rules(events: DataFrame, rules: DataFrame, payload: Sequence[str], limit: int = BROADCAST_ROWS) -> DataFrame:
     """Add ``matched``: the rules that fit each event, as structs in ``rule_idx`` order.
 
-    A null or empty rule ``pipeline``/``severity``/``tags`` matches anything. A
-    small rule table becomes one constant array, so events are not shuffled. A
-    larger one is joined on equality after spreading each event over its four
-    (pipeline or any, severity or any) combinations.
+    A null or empty rule ``pipeline``/``severity``/``tags`` matches anything. Rules are
+    listed by what they ask for, and each event looks up four lists: those for its
+    pipeline and severity, for one of them, and for neither. Lists of up to ``limit`` keys
+    are broadcast, longer tables are joined on equality; rows stay as they are either way.
     """
     any_tags = F.array().cast("array<string>")
     tags = F.coalesce(F.col("tags"), any_tags) if "tags" in rules.columns else any_tags
     r = rules.select(
-        "rule_idx",
         F.when(F.col("pipeline") != "", F.col("pipeline")).alias("_p"),
         F.when(F.col("severity") != "", F.col("severity")).alias("_s"),
-        tags.alias("_t"),
-        *payload,
+        F.struct("rule_idx", *payload, tags.alias("_t")).alias("_rule"),
     )
-    shape = ["rule_idx", *payload]
     event_tags = F.coalesce(F.col("tags"), any_tags)
-    if within_rows(r, limit):
-        packed = r.agg(F.sort_array(F.collect_list(F.struct("rule_idx", "_p", "_s", "_t", *payload)))).scalar()
-        fits = F.filter(
-            F.col("_rules"),
-            lambda x: (x["_p"].isNull() | (x["_p"] == F.col("pipeline")))
-            & (x["_s"].isNull() | (x["_s"] == F.col("severity")))
-            & ((F.size(x["_t"]) == 0) | F.arrays_overlap(x["_t"], event_tags)),
-        )
-        slim = F.transform(fits, lambda x: F.struct(*[x[c].alias(c) for c in shape]))
-        return events.withColumn("_rules", packed).withColumn("matched", slim).drop("_rules")
-    none = F.lit(None).cast("string")
-    combos = F.array_distinct(
-        F.array(
-            *[
-                F.struct(p.alias("p"), s.alias("s"))
-                for p in (F.col("pipeline"), none)
-                for s in (F.col("severity"), none)
-            ]
-        )
-    )
-    spread = events.select(event_id, event_tags.alias("_et"), F.explode(combos).alias("_k"))
-    hits = spread.join(
-        r,
-        F.col("_k.p").eqNullSafe(F.col("_p"))
-        & F.col("_k.s").eqNullSafe(F.col("_s"))
-        & ((F.size("_t") == 0) | F.arrays_overlap("_t", "_et")),
-    )
-    per_event = hits.groupBy(event_id).agg(
-        F.sort_array(F.collect_list(F.struct(*shape))).alias("matched")
+    out, names = events, []
+    for keys in (("_p", "_s"), ("_p",), ("_s",)):
+        wanted = F.lit(True)
+        for k in ("_p", "_s"):
+            wanted = wanted & (F.col(k).isNotNull() if k in keys else F.col(k).isNull())
+        name = "_rules" + "".join(keys)
+        lists = r.filter(wanted).groupBy(*keys).agg(F.collect_list("_rule").alias(name))
+        same = F.lit(True)
+        for k in keys:
+            same = same & (F.col({"_p": "pipeline", "_s": "severity"}[k]) == F.col(k))
+        out = out.join(broadcast_if_small(lists, limit), same, "left").drop(*keys)
+        names.append(name)
+    out = out.withColumn(
+        "_rules", r.filter(F.col("_p").isNull() & F.col("_s").isNull()).agg(F.collect_list("_rule")).scalar()
     )
-    joined = events.join(per_event, event_id, "left")
-    empty = F.array().cast(per_event.schema["matched"].dataType)
-    return joined.withColumn("matched", F.coalesce("matched", empty))
+    none = F.array().cast(out.schema["_rules"].dataType)
+    found = F.concat("_rules", *[F.coalesce(F.col(n), none) for n in names])
+    fits = F.filter(found, lambda x: (F.size(x["_t"]) == 0) | F.arrays_overlap(x["_t"], event_tags))
+    slim = F.transform(fits, lambda x: F.struct(*[x[c].alias(c) for c in ("rule_idx", *payload)]))
+    return out.withColumn("matched", F.array_sort(slim)).drop("_rules", *names)
 
 
 def route(events: DataFrame, rules: DataFrame, default: str = "default", limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -296,7 +300,7 @@ SCHEDULE_ALIASES = {
 
 
 def _field_due(field: Column, value: Column) -> Column:
-    """Does a calendar value satisfy ``*``, ``*/n``, ``n-m`` or ``n``?"""
+    """Does a calendar value satisfy ``*``, ``*/n``, ``n-m`` or ``n``? Any other field is an error."""
     step = F.regexp_extract(field, r"^\*/(\d+)$", 1).try_cast("int")
     low = F.regexp_extract(field, r"^(\d+)-\d+$", 1).try_cast("int")
     high = F.regexp_extract(field, r"^\d+-(\d+)$", 1).try_cast("int")
@@ -305,7 +309,8 @@ def _field_due(field: Column, value: Column) -> Column:
         F.when(field == "*", True)
         .when(step.isNotNull(), F.try_mod(value, step) == 0)
         .when(low.isNotNull(), value.between(low, high))
-        .otherwise(value == one)
+        .when(one.isNotNull(), value == one)
+        .otherwise(F.raise_error(F.concat(F.lit("unsupported schedule field: "), field)).cast("boolean"))
     )
 
 
@@ -313,13 +318,19 @@ def due_minutes(schedules: DataFrame, start: str, end: str) -> DataFrame:
     """One row per schedule and due minute in ``[start, end]``.
 
     The due hours and minutes of a schedule are two short lists; days that
-    satisfy the date fields are expanded by them, so only due rows are made.
+    satisfy the date fields are expanded by them, so only due rows are made. An
+    expression that has not five fields, or a field of another form, is an error.
     """
     expr = F.col("expression")
     for alias, fields in SCHEDULE_ALIASES.items():
         expr = F.when(F.col("expression") == alias, fields).otherwise(expr)
     s0, s1 = instant(start), instant(end)
-    parts = schedules.withColumn("_f", F.split(F.trim(expr), r"\s+")).filter(F.size("_f") == 5)
+    fields = F.split(F.trim(expr), r"\s+")
+    wrong = F.raise_error(F.concat(F.lit("a schedule must have five fields: "), F.coalesce("expression", F.lit("null"))))
+    fields = F.when(F.size(fields) == 5, fields).otherwise(wrong.cast("array<string>"))
+    # Every field is looked at, also where another one already rules the time out.
+    checked = F.forall(fields, lambda f: _field_due(f, F.lit(0)).isNotNull())
+    parts = schedules.withColumn("_f", F.when(checked, fields))
     listed = parts.withColumns(
         {
             "_minutes": F.filter(F.sequence(F.lit(0), F.lit(59)), lambda m: _field_due(F.col("_f")[0], m)),
@@ -342,7 +353,16 @@ def due_minutes(schedules: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
-def missed_runs(due: DataFrame, runs: DataFrame) -> DataFrame:
-    """Due minutes in which the schedule's pipeline had no run."""
-    seen = runs.select("pipeline", F.date_trunc("minute", "triggered_at").cast("timestamp_ntz").alias("due_at")).distinct()
+def missed_runs(due: DataFrame, runs: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Due minutes in which the schedule's pipeline had no run.
+
+    With the bounds of ``due``, runs outside of them are left out before anything is compared.
+    """
+    if start is not None and end is not None:
+        last = plus_seconds(instant(end), 60.0)
+        runs = runs.filter((F.col("triggered_at") >= instant(start)) & (F.col("triggered_at") < last))
+    asked = due.select("pipeline").distinct()
+    seen = runs.join(asked, "pipeline", "left_semi").select(
+        "pipeline", F.date_trunc("minute", "triggered_at").cast("timestamp_ntz").alias("due_at")
+    ).distinct()
     return due.join(seen, ["pipeline", "due_at"], "left_anti")

@@ -212,14 +212,16 @@ def compact(
     At most ``max_entries`` passes are ranked, after a distributed top-n.
     """
     require(max_entries >= 1, "max_entries must be >= 1")
+    # What is not known to have passed counts as a failure.
+    ok = F.coalesce(F.col("passed"), F.lit(False))
     kept = compact_flags(history, window_seconds, order=order, max_rows=max_rows).filter("keep").drop("keep")
     newest = [F.desc(c) for c in order]
     if not keep_failures:
         return kept.orderBy(*newest).limit(max_entries)
-    failures = kept.filter(~F.col("passed"))
-    top = kept.filter("passed").orderBy(*newest).limit(max_entries)
+    failures = kept.filter(~ok)
+    top = kept.filter(ok).orderBy(*newest).limit(max_entries)
     ranked = top.withColumn("_rank", F.row_number().over(Window.orderBy(*newest)))
-    slots = F.lit(max_entries) - history.filter(~F.col("passed")).agg(F.count(F.lit(1))).scalar()
+    slots = F.lit(max_entries) - history.filter(~ok).agg(F.count(F.lit(1))).scalar()
     passes = ranked.withColumn("_slots", slots).filter("_rank <= _slots").drop("_rank", "_slots")
     return failures.unionByName(passes)
 

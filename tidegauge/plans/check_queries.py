@@ -136,8 +136,7 @@ def validate_json_records(spark, folder):
 
 @query(
     "watermark_lag",
-    f"""{with_tables('alert_event')}, w AS (SELECT pipeline, max(triggered_at) AS m FROM alert_event
-  WHERE check_name = 'error' GROUP BY 1),
+    f"""{with_tables('alert_event')}, w AS (SELECT pipeline, max(triggered_at) AS m FROM alert_event GROUP BY 1),
 n AS (SELECT DISTINCT 'p' || (c_custkey % 40) AS pipeline FROM customer),
 l AS (SELECT n.pipeline, coalesce(m, TIMESTAMP '2024-01-30 12:00:00') AS current_watermark,
   greatest(0.0, coalesce((epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(m)) / 1000000.0::DOUBLE, 0.0))::DOUBLE AS lag_seconds
@@ -150,8 +149,7 @@ def watermark_lag(spark, folder):
         .select(F.concat(F.lit("p"), (F.col("c_custkey") % 40).cast("string")).alias("pipeline"))
         .distinct()
     )
-    errors = D.alert_events(spark, folder).filter("check_name = 'error'")
-    return C.watermark_lag(pipelines, errors, "2024-01-30 12:00:00", 7200)
+    return C.watermark_lag(pipelines, D.alert_events(spark, folder), "2024-01-30 12:00:00", 7200)
 
 
 @query(
@@ -281,14 +279,14 @@ def run_report(spark, folder):
 
 @query(
     "run_summary",
-    f"""{with_tables('alert_event')}, r AS (SELECT strftime(triggered_at, '%Y%m%d') AS run_id, * FROM alert_event WHERE severity = 'critical')
+    f"""{with_tables('alert_event')}, r AS (SELECT strftime(triggered_at, '%Y%m%d') AS run_id, * FROM alert_event)
 SELECT run_id, event_id AS line_no, rpad(check_name, 30, ' ') || ' ' || rpad(CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END, 8, ' ') || ' '
   || rpad(CAST(value AS VARCHAR), 15, ' ') || ' ' || rpad('lt ' || CAST(threshold AS VARCHAR), 15, ' ') || ' ' || severity AS line FROM r
 UNION ALL SELECT run_id, NULL, 'Total: ' || count(*) || '  Passed: ' || count(*) FILTER (passed) || '  Failed: ' || count(*) FILTER (NOT passed)
   || '  Overall result: ' || CASE WHEN bool_and(passed) THEN 'PASSED' ELSE 'FAILED' END FROM r GROUP BY 1""",
 )
 def run_summary(spark, folder):
-    r = D.alert_events(spark, folder).filter("severity = 'critical'")
+    r = D.alert_events(spark, folder)
     return C.run_summary(
         r.select(
             F.date_format("triggered_at", "yyyyMMdd").alias("run_id"),

@@ -269,12 +269,12 @@ pairs AS (SELECT pipeline_a, pipeline_b, CASE WHEN (n * sx - sx * sx) * (n * sy
 
 @query(
     "strong_pairs",
-    f"""{EVENTS}, h AS (SELECT pipeline, passed, triggered_at AS recorded_at, event_id AS run_id FROM alert_event WHERE check_name = 'error'),
-{CORRELATION_SQL.format(source='h', limit=9)} SELECT * FROM pairs WHERE abs(score) >= 0.7""",
+    f"""{EVENTS}, h AS (SELECT pipeline, passed, triggered_at AS recorded_at, event_id AS run_id FROM alert_event),
+{CORRELATION_SQL.format(source='h', limit=50)} SELECT * FROM pairs WHERE abs(score) >= 0.3""",
 )
 def strong_pairs(spark, folder):
-    h = D.alert_events(spark, folder).filter("check_name = 'error'")
-    return keep_strong(correlate(h, 9, order=("triggered_at", "event_id")))
+    pairs = correlate(D.alert_events(spark, folder), 50, order=("triggered_at", "event_id"))
+    return keep_strong(pairs, 0.3)
 
 
 @query(
@@ -295,34 +295,34 @@ SCHEDULES = [
 ]
 
 
-@query(
-    "schedule_missed_runs",
-    f"""{EVENTS}, m AS (SELECT TIMESTAMP '2024-01-01' + to_minutes(i) AS t FROM range(0, 30 * 1440 + 1) r(i)),
+DUE_SQL = """m AS (SELECT TIMESTAMP '2024-01-01' + to_minutes(i) AS t FROM range(0, 30 * 1440 + 1) r(i)),
 due AS (SELECT 'hourly' AS name, 'p1' AS pipeline, t FROM m WHERE minute(t) = 0
  UNION ALL SELECT 'mondays', 'p2', t FROM m WHERE minute(t) % 20 = 0 AND hour(t) BETWEEN 3 AND 5 AND isodow(t) = 1
  UNION ALL SELECT 'new year', 'p3', t FROM m WHERE minute(t) = 30 AND hour(t) = 12 AND day(t) = 1 AND month(t) = 1
- UNION ALL SELECT 'weekly', 'p4', t FROM m WHERE minute(t) = 0 AND hour(t) = 0 AND isodow(t) = 1)
+ UNION ALL SELECT 'weekly', 'p4', t FROM m WHERE minute(t) = 0 AND hour(t) = 0 AND isodow(t) = 1)"""
+
+
+@query(
+    "schedule_missed_runs",
+    f"""{EVENTS}, {DUE_SQL}
 SELECT name, pipeline, t AS due_at FROM due WHERE NOT EXISTS (SELECT 1 FROM alert_event e WHERE e.pipeline = due.pipeline AND date_trunc('minute', triggered_at) = t)""",
 )
 def schedule_missed_runs(spark, folder):
     s = rule_table(spark, "name string, pipeline string, expression string", SCHEDULES)
     due = R.due_minutes(s, "2024-01-01 00:00:00", AS_OF)
-    return R.missed_runs(due, D.alert_events(spark, folder)).select("name", "pipeline", "due_at")
+    return R.missed_runs(due, D.alert_events(spark, folder), "2024-01-01 00:00:00", AS_OF).select("name", "pipeline", "due_at")
 
 
 @query(
     "schedule_runs_per_due_hour",
-    f"""{EVENTS}, m AS (SELECT TIMESTAMP '2024-01-01' + to_hours(i) AS t FROM range(0, 721) r(i)),
-n AS (SELECT date_trunc('hour', triggered_at) AS t, count(*) AS n FROM alert_event WHERE pipeline = 'p1' GROUP BY 1)
-SELECT t AS due_at, coalesce(n, 0) AS runs FROM m LEFT JOIN n USING (t)""",
+    f"""{EVENTS}, {DUE_SQL}, n AS (SELECT pipeline, date_trunc('hour', triggered_at) AS h, count(*) AS n FROM alert_event GROUP BY ALL)
+SELECT name, t AS due_at, coalesce(n, 0) AS runs FROM due LEFT JOIN n ON n.pipeline = due.pipeline AND h = date_trunc('hour', t)""",
 )
 def schedule_runs_per_due_hour(spark, folder):
-    s = rule_table(spark, "name string, pipeline string, expression string", SCHEDULES[:1])
+    """Runs in the hour of each due minute of every schedule."""
+    s = rule_table(spark, "name string, pipeline string, expression string", SCHEDULES)
     due = R.due_minutes(s, "2024-01-01 00:00:00", AS_OF)
-    runs = (
-        D.alert_events(spark, folder)
-        .filter("pipeline = 'p1'")
-        .groupBy(F.date_trunc("hour", "triggered_at").cast("timestamp_ntz").alias("due_at"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return due.join(runs, "due_at", "left").select("due_at", F.coalesce("n", F.lit(0)).alias("runs"))
+    hour = F.date_trunc("hour", "triggered_at").cast("timestamp_ntz")
+    runs = D.alert_events(spark, folder).groupBy("pipeline", hour.alias("_hour")).agg(F.count(F.lit(1)).alias("n"))
+    due = due.withColumn("_hour", F.date_trunc("hour", "due_at").cast("timestamp_ntz"))
+    return due.join(runs, ["pipeline", "_hour"], "left").select("name", "due_at", F.coalesce("n", F.lit(0)).alias("runs"))

@@ -51,7 +51,7 @@ def read_history(spark: SparkSession, path: str, limit: int | None = None) -> Da
 def run_entries(results: DataFrame, alerts: DataFrame, recorded_at: Column) -> DataFrame:
     """One history row per run from its check results and alerts."""
     per = results.groupBy("run_id").agg(
-        F.first("pipeline").alias("pipeline") if "pipeline" in results.columns else F.lit(None).cast("string").alias("pipeline"),
+        F.min("pipeline").alias("pipeline") if "pipeline" in results.columns else F.lit(None).cast("string").alias("pipeline"),
         F.count(F.lit(1)).alias("total_checks"),
         F.count_if(F.col("status") != "pass").alias("failed_checks"),
         F.max(recorded_at).alias("recorded_at"),
@@ -71,8 +71,8 @@ def run_entries(results: DataFrame, alerts: DataFrame, recorded_at: Column) -> D
 
 
 def append_history(entries: DataFrame, path: str) -> None:
-    """Append runs, one folder per day, so that time filters prune files."""
-    append(entries.withColumn("day", F.to_date("recorded_at")), path, ["day"])
+    """Append runs, one folder per month, so that time filters prune files and files are not tiny."""
+    append(entries.withColumn("month", F.trunc("recorded_at", "month")), path, ["month"])
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -99,6 +99,11 @@ def write_partitioned(rows: DataFrame, path: str, key: str) -> None:
     rows.write.mode("append").partitionBy(key).parquet(path)
 
 
+def last_entries(spark: SparkSession, path: str, schema: str, order: Sequence[str], limit: int = 50) -> DataFrame:
+    """The last ``limit`` entries of an appended store; no rows when nothing was recorded yet."""
+    return recent(read_table(spark, path, schema), order, limit)
+
+
 def audit_entries(log: DataFrame, pipeline: str | None = None, limit: int = 50) -> DataFrame:
     """The last ``limit`` audit entries, optionally of one pipeline."""
     return recent(log, ["at", "entry_id"], limit, pipeline)
@@ -136,6 +141,11 @@ def write_version(df: DataFrame, path: str, version: int) -> None:
     df.write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
+def read_version(spark: SparkSession, path: str, version: int, schema: str) -> DataFrame:
+    """One version of a store; a version that was never written has no rows."""
+    return read_table(spark, f"{path}/version={version}", schema)
+
+
 def enqueue_failures(results: DataFrame, at: Column) -> DataFrame:
     """Queue rows for the failed checks."""
     return results.filter(F.col("status") != "pass").select(
