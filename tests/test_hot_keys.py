@@ -54,7 +54,7 @@ CASES = {
         e.withColumn("metric", F.col("check_name")), 9, 1.0, ORDER, max_rows=m
     ),
     "profile": lambda e, m: A.profile_report(
-        e.select(*KEYS, F.col("value").alias("duration_ms"), F.col("event_id").alias("sample_id")).filter("pipeline is not null"),
+        e.select(*KEYS, F.col("value").alias("duration_ms"), F.col("event_id").alias("sample_id")),
         max_rows=m,
     ),
 }
