@@ -45,19 +45,44 @@ class Machine:
     def fire(self, state: list[int], t: int) -> None:
         raise NotImplementedError
 
-    def skip(self, state: list[int], t: np.ndarray, ok: np.ndarray) -> list[int]:
-        i = 0
+    def fires(self, state: list[int], t: np.ndarray) -> np.ndarray:
+        """Places of the events that fire, found by jumping from one to the next; moves the state."""
+        found, i = [], 0
         while i < len(t):
             i = max(i, int(np.searchsorted(t, self.due(state))))
             if i < len(t):
                 self.fire(state, int(t[i]))
+                found.append(i)
                 i += 1
+        return np.array(found, dtype=np.int64)
+
+    def skip(self, state: list[int], t: np.ndarray, ok: np.ndarray) -> list[int]:
+        self.fires(state, t)
         return state
 
+    def run(self, state: list[int], t: np.ndarray, ok: np.ndarray) -> list[np.ndarray]:
+        """The outputs of all events, column by column; moves the state as ``step`` would.
+
+        Machines override it to jump from change to change and fill in the rest.
+        """
+        rows = [self.step(state, x, o) for x, o in zip(t.tolist(), ok.tolist())]
+        return [np.array(c) for c in zip(*rows)] if rows else [np.zeros(0)] * len(self.outputs)
+
     def settle(self, t: np.ndarray, ok: np.ndarray) -> int | None:
         return None
 
 
+def _flags(n: int, places: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, dtype=bool)
+    out[places] = True
+    return out
+
+
+def _so_far(places: np.ndarray, n: int) -> np.ndarray:
+    """How many of the places come up to and with each event."""
+    return np.searchsorted(places, np.arange(n), side="right")
+
+
 def _last(mask: np.ndarray) -> int | None:
     found = np.flatnonzero(mask)
     return int(found[-1]) + 1 if len(found) else None
@@ -84,6 +109,12 @@ class Cooldown(Machine):
             self.fire(state, t)
         return fired, state[0]
 
+    def run(self, state, t, ok):
+        before = state[:1]
+        hit = self.fires(state, t)
+        times = np.concatenate([np.array(before, dtype=np.int64), t[hit]])
+        return [_flags(len(t), hit), times[_so_far(hit, len(t)) + len(before) - 1] if len(t) else t]
+
     def settle(self, t, ok):
         return _last(np.diff(t) >= self.cooldown)
 
@@ -112,6 +143,13 @@ class Quota(Machine):
             state.append(t)
         return allowed, len(state)
 
+    def run(self, state, t, ok):
+        before = np.array(state, dtype=np.int64)
+        hit = self.fires(state, t)
+        times = np.concatenate([before, t[hit]])
+        old = np.searchsorted(times, t - self.window)
+        return [_flags(len(t), hit), np.maximum(len(before) + _so_far(hit, len(t)) - old, 0)]
+
     def settle(self, t, ok):
         return _last(np.diff(t) > self.window)
 
@@ -140,6 +178,11 @@ class Backoff(Machine):
     def fire(self, state, t):
         state[:] = [state[0] + 1, t]
 
+    def run(self, state, t, ok):
+        made = state[0]
+        hit = self.fires(state, t)
+        return [_flags(len(t), hit), made + _so_far(hit, len(t))]
+
     def step(self, state, t, ok):
         due = t >= self.due(state)
         if due:
@@ -209,6 +252,32 @@ class Breaker(Machine):
                     i += 1
         return state
 
+    def run(self, state, t, ok):
+        n = len(t)
+        at = np.arange(n)
+        name = np.full(n, "open", dtype=object)
+        allowed, failures = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
+        streak = at - np.maximum.accumulate(np.where(ok, at, -1))
+        if n and state[1] < 0:
+            # The first run of failures goes on from the state's own count.
+            streak[: int(np.argmax(ok)) if ok.any() else n] += state[0]
+        trips = np.flatnonzero(streak >= self.threshold)
+        i = 0
+        while i < n:
+            if state[1] < 0:
+                k = int(np.searchsorted(trips, i))
+                j = int(trips[k]) if k < len(trips) else n - 1
+                name[i : j + 1], allowed[i : j + 1], failures[i : j + 1] = "closed", True, streak[i : j + 1]
+                state[:] = [int(streak[j]), int(t[j]) if k < len(trips) else -1]
+                i = j + 1
+            else:
+                j = max(i, int(np.searchsorted(t, state[1] + self.timeout)))
+                failures[i:j] = state[0]
+                if j < n:
+                    name[j], allowed[j], failures[j] = self.step(state, int(t[j]), bool(ok[j]))
+                i = j + 1
+        return [name, allowed, failures]
+
     def settle(self, t, ok):
         return _last((np.diff(t) >= self.timeout) & ok[1:])
 
@@ -237,7 +306,18 @@ class Batch(Machine):
         return number, closes
 
     def skip(self, state, t, ok):
+        self.closers(state, t)
+        return state
+
+    def run(self, state, t, ok):
+        number = state[0]
+        found = self.closers(state, t)
+        return [number + np.searchsorted(found, np.arange(len(t))), _flags(len(t), found)]
+
+    def closers(self, state: list[int], t: np.ndarray) -> np.ndarray:
+        """Places of the events that close a batch; moves the state."""
         number, size, first = state
+        found: list[int] = []
         ends = np.minimum(
             np.arange(len(t)) + self.max_size - 1, np.searchsorted(t, t + self.max_age)
         ).tolist()
@@ -246,12 +326,15 @@ class Batch(Machine):
             close = min(self.max_size - size - 1, int(np.searchsorted(t, first + self.max_age)))
             if close >= len(t):
                 state[:] = [number, size + len(t), first]
-                return state
-            number, i = number + 1, close + 1
+                return np.zeros(0, dtype=np.int64)
+            found.append(close)
+            i = close + 1
         while i < len(t) and ends[i] < len(t):
-            number, i = number + 1, ends[i] + 1
+            found.append(ends[i])
+            i = ends[i] + 1
+        number += len(found)
         state[:] = [number, len(t) - i, int(t[i])] if i < len(t) else [number, 0, 0]
-        return state
+        return np.array(found, dtype=np.int64)
 
 
 class Compact(Machine):
@@ -280,7 +363,15 @@ class Compact(Machine):
         return (True,)
 
     def skip(self, state, t, ok):
-        bad = np.flatnonzero(~ok).tolist()
+        self.kept(state, t, ok)
+        return state
+
+    def run(self, state, t, ok):
+        return [_flags(len(t), self.kept(state, t, ok))]
+
+    def kept(self, state: list[int], t: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        """Places of the entries that are kept; moves the state."""
+        bad, found = np.flatnonzero(~ok).tolist(), []
         i = 0
         while i < len(t):
             if state and state[1]:
@@ -290,8 +381,9 @@ class Compact(Machine):
                 if i >= len(t):
                     break
             state[:] = [int(t[i]), int(ok[i])]
+            found.append(i)
             i += 1
-        return state
+        return np.array(found, dtype=np.int64)
 
     def settle(self, t, ok):
         reset = ~ok
@@ -328,8 +420,12 @@ _ARROW = {"boolean": pa.bool_(), "bigint": pa.int64(), "string": pa.string()}
 
 
 def runner(machine: Machine, keys: Sequence[str]):
-    """The Arrow-batch fold; columns pass through untouched, results are appended."""
+    """The Arrow-batch fold; columns pass through untouched, results are appended.
+
+    Rows without a time move no state, and their results are null.
+    """
     fields = [pa.field(n, _ARROW[t]) for n, t in machine.outputs]
+    empty = {"boolean": (bool, False), "bigint": (np.int64, 0), "string": (object, None)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = None, None
@@ -338,15 +434,19 @@ def runner(machine: Machine, keys: Sequence[str]):
                 continue
             new, last = _changes(batch, keys, last)
             entry = batch.column("_entry") if "_entry" in batch.schema.names else None
-            t = batch.column("_t").to_numpy(zero_copy_only=False).tolist()
-            ok = batch.column("_ok").to_pylist()
-            out = []
-            for i, fresh in enumerate(new.tolist()):
-                if fresh:
-                    given = None if entry is None else entry[i].as_py()
+            timed = batch.column("_t").is_valid().to_numpy(zero_copy_only=False)
+            t = pc.fill_null(batch.column("_t"), 0).to_numpy(zero_copy_only=False)
+            ok = pc.fill_null(batch.column("_ok"), False).to_numpy(zero_copy_only=False).astype(bool)
+            out = [np.full(batch.num_rows, fill, dtype) for dtype, fill in (empty[kind] for _, kind in machine.outputs)]
+            cuts = sorted({0, *np.flatnonzero(new).tolist(), batch.num_rows})
+            for a, b in zip(cuts, cuts[1:]):
+                if new[a]:
+                    given = None if entry is None else entry[a].as_py()
                     state = machine.start() if given is None else _unpack(given)
-                out.append(machine.step(state, t[i], ok[i]))
-            arrays = [pa.array(v, type=f.type) for v, f in zip(zip(*out), fields)]
+                live = a + np.flatnonzero(timed[a:b])
+                for column, values in zip(out, machine.run(state, t[live], ok[live])):
+                    column[live] = values
+            arrays = [pa.array(v, type=f.type, mask=~timed) for v, f in zip(out, fields)]
             schema = pa.schema([*batch.schema, *fields])
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], schema=schema)
 
@@ -359,6 +459,7 @@ def digests(machine: Machine, keys: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, piece = None, 0
         for batch in batches:
+            batch = batch.filter(batch.column("_t").is_valid())
             if not batch.num_rows:
                 continue
             new, last = _changes(batch, keys, last)

@@ -54,7 +54,9 @@ def stream_sliding(spark, folder):
 
 def stateful(spark, folder, machine, keys, name):
     with X.rocksdb_state(spark):
-        return finish(spark, X.suppress(D.alert_event_stream(spark, folder), machine, keys), name)
+        out = finish(spark, X.suppress(D.alert_event_stream(spark, folder), machine, keys), name)
+    # The micro-batches come in order of time, so nothing may be late.
+    return out.filter(F.coalesce(F.assert_true(~F.col("late")).cast("boolean"), F.lit(True))).drop("late")
 
 
 @query("stream_dedupe", SQL["dedupe"])
@@ -63,6 +65,28 @@ def stream_dedupe(spark, folder):
     return stateful(spark, folder, Cooldown(12 * HOUR), keys, "dedupe").select("event_id", "fired")
 
 
+@query("stream_cooldown", SQL["cooldown"])
+def stream_cooldown(spark, folder):
+    out = stateful(spark, folder, Cooldown(6 * HOUR), ["pipeline", "check_name"], "cooldown")
+    last = F.timestamp_micros("last_fired_us").cast("timestamp_ntz")
+    return out.select("event_id", (~F.col("fired")).alias("cooling"), (last + F.expr("interval 6 hours")).alias("expires_at"))
+
+
+@query("stream_rate_limit", SQL["rate_limit"])
+def stream_rate_limit(spark, folder):
+    return stateful(spark, folder, Quota(5, 24 * HOUR), ["pipeline"], "rate")
+
+
+@query(
+    "stream_watermark",
+    f"""{with_tables('alert_event')}, m AS (SELECT *, max(triggered_at) OVER w AS watermark FROM alert_event WINDOW w AS (PARTITION BY pipeline ORDER BY triggered_at, event_id)),
+l AS (SELECT *, lag(watermark) OVER (PARTITION BY pipeline ORDER BY triggered_at, event_id) AS b FROM m)
+SELECT event_id, epoch_us(watermark) AS watermark_us, coalesce(triggered_at <= b, false) AS behind FROM l""",
+)
+def stream_watermark(spark, folder):
+    return stateful(spark, folder, X.Watermark(), ["pipeline"], "watermark")
+
+
 @query("stream_quota", SQL["quota"])
 def stream_quota(spark, folder):
     return stateful(spark, folder, Quota(3, 12 * HOUR), ["pipeline"], "quota")
@@ -115,18 +139,22 @@ def stream_buffers(spark, folder):
 )
 def stream_latest(spark, folder):
     with X.rocksdb_state(spark):
-        return finish(spark, X.latest_results(D.alert_event_stream(spark, folder)), "latest")
+        out = finish(spark, X.latest_results(D.alert_event_stream(spark, folder)), "latest")
+    # A key is emitted in every micro-batch that changes it.
+    return out.groupBy("pipeline", "check_name").agg(
+        F.max_by(F.struct("event_id", "status"), F.struct("at_us", "event_id")).alias("r")
+    ).select("pipeline", "check_name", "r.*")
 
 
 @query(
     "stream_drop_repeats",
-    f"""{with_tables('alert_event')} SELECT pipeline, check_name, count(*) > 0 AS seen FROM alert_event GROUP BY ALL""",
+    f"""{with_tables('alert_event')} SELECT DISTINCT pipeline, check_name, 1::BIGINT AS kept FROM alert_event""",
 )
 def stream_drop_repeats(spark, folder):
-    """Keys that passed the simple de-duplication of the stream."""
+    """How many events of each key passed the simple de-duplication of the stream: one."""
     rows = X.drop_repeats(D.alert_event_stream(spark, folder), ["pipeline", "check_name"], "30 days")
     out = finish(spark, rows.select("pipeline", "check_name"), "repeats")
-    return out.groupBy("pipeline", "check_name").agg((F.count(F.lit(1)) > 0).alias("seen"))
+    return out.groupBy("pipeline", "check_name").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.functions.common import use_utc
+from tidegauge.functions.common import use_utc, work_folder
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -23,10 +23,26 @@ def alert_events(spark: SparkSession, folder: str) -> DataFrame:
     return as_alert_events(table(spark, folder, "events"))
 
 
-def alert_event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The same rows as a stream of files; times become TIMESTAMP, which watermarks need."""
-    schema = table(spark, folder, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+#: Files of a micro-batch in the event stream.
+FILES = 2
+
+
+def alert_event_stream(spark: SparkSession, folder: str, slices: int = 6) -> DataFrame:
+    """The same rows as a stream of several micro-batches; times become TIMESTAMP, which watermarks need.
+
+    The events are cut into slices of time, which are written one after the other, each as
+    the files of one micro-batch.
+    """
+    events = table(spark, folder, "events")
+    path = work_folder(spark, "event-stream")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    step = (high - low) / slices
+    for i in range(slices):
+        own = F.col("ts") >= F.lit(low + i * step)
+        if i + 1 < slices:
+            own = own & (F.col("ts") < F.lit(low + (i + 1) * step))
+        events.filter(own).repartition(FILES).write.mode("append").parquet(path)
+    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(path)
     return as_alert_events(raw).withColumn("triggered_at", F.col("triggered_at").cast("timestamp"))
 
 

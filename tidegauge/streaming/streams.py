@@ -10,6 +10,7 @@ import sys
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidegauge.functions.common import micros
 from tidegauge.operators.fold import output_fields
-from tidegauge.operators.machines import Machine
+from tidegauge.operators.machines import NEVER, Machine
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -87,9 +88,9 @@ class Throttle(Machine):
 
 
 class Watermark(Machine):
-    """Newest event time so far; an event that does not move it is late."""
+    """Newest event time so far; an event that does not move it is behind."""
 
-    outputs = [("watermark_us", "bigint"), ("late", "boolean")]
+    outputs = [("watermark_us", "bigint"), ("behind", "boolean")]
 
     def start(self) -> list[int]:
         return []
@@ -101,6 +102,22 @@ class Watermark(Machine):
         return state[0], late
 
 
+#: Rows of one result frame.
+ROWS_OUT = 10_000
+_NULLABLE = {"boolean": "boolean", "bigint": "Int64", "string": "object"}
+
+
+def _slim(part: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Ids, times, whether there is a time, outcomes (an unknown one is a failure)."""
+    timed = part["at_us"].notna().to_numpy()
+    return (
+        part["event_id"].to_numpy(np.int64),
+        part["at_us"].fillna(0).to_numpy(np.int64),
+        timed,
+        part["ok"].fillna(False).to_numpy(bool),
+    )
+
+
 class _MachineProcessor(StatefulProcessor):
     """Runs a machine per key; the state survives between micro-batches, with an optional time to live."""
 
@@ -111,13 +128,21 @@ class _MachineProcessor(StatefulProcessor):
         self.state = handle.getValueState("state", "s array<bigint>", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at_us", "event_id"])
-        state = [int(x) for x in self.state.get()[0]] if self.state.exists() else self.machine.start()
-        out = [self.machine.step(state, t, ok) for t, ok in zip(batch["at_us"].tolist(), batch["ok"].tolist())]
-        self.state.update((state,))
-        result = pd.DataFrame(out, columns=[n for n, _ in self.machine.outputs])
-        result.insert(0, "event_id", batch["event_id"].to_numpy())
-        yield result
+        # Of a row only id, time and outcome are held, 17 bytes; the source bounds a micro-batch.
+        parts = [_slim(part) for part in rows]
+        ids, t, timed, ok = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((ids, t, timed))
+        ids, t, timed, ok = ids[order], t[order], timed[order], ok[order]
+        newest, *state = [int(x) for x in self.state.get()[0]] if self.state.exists() else [-NEVER, *self.machine.start()]
+        results = [pd.array([None] * len(ids), _NULLABLE[kind]) for _, kind in self.machine.outputs]
+        for column, values in zip(results, self.machine.run(state, t[timed], ok[timed])):
+            column[timed] = values
+        late = timed & (t < newest)
+        if timed.any():
+            self.state.update(([max(newest, int(t[-1])), *state],))
+        out = pd.DataFrame({"event_id": ids, **dict(zip([n for n, _ in self.machine.outputs], results)), "late": late})
+        for a in range(0, len(out), ROWS_OUT):
+            yield out.iloc[a : a + ROWS_OUT]
 
     def close(self) -> None:
         pass
@@ -148,11 +173,11 @@ def suppress(
 
     ``ttl_seconds`` forgets idle keys; such a stream runs on the wall clock and
     does not end by itself. Within a micro-batch a key's rows are taken in (time, id) order; across
-    micro-batches in the order of arrival.
+    micro-batches in the order of arrival, and ``late`` marks rows older than what their key
+    had seen before: they meet the state as it is. Rows without a time have null results.
     """
-    out = T.StructType(
-        [T.StructField("event_id", T.LongType()), *output_fields(machine)]
-    )
+    late = T.StructField("late", T.BooleanType())
+    out = T.StructType([T.StructField("event_id", T.LongType()), *output_fields(machine), late])
     slim = events.select(*keys, "event_id", micros("triggered_at").alias("at_us"), F.col("passed").alias("ok"))
     ttl = None if ttl_seconds is None else int(ttl_seconds * 1000)
     return slim.groupBy(*keys).transformWithStateInPandas(
@@ -183,7 +208,7 @@ class _LatestProcessor(StatefulProcessor):
         if row is not None:
             self.state.update(newest)
             yield pd.DataFrame(
-                {"pipeline": [key[0]], "check_name": [key[1]], "event_id": [newest[1]], "status": [row["status"]]}
+                {"pipeline": [key[0]], "check_name": [key[1]], "event_id": [newest[1]], "status": [row["status"]], "at_us": [newest[0]]}
             )
 
     def close(self) -> None:
@@ -200,7 +225,7 @@ def latest_results(events: DataFrame, ttl_seconds: float | None = None) -> DataF
     slim = events.select("pipeline", "check_name", "event_id", micros("triggered_at").alias("at_us"), "status")
     return slim.groupBy("pipeline", "check_name").transformWithStateInPandas(
         statefulProcessor=_LatestProcessor(ttl),
-        outputStructType="pipeline string, check_name string, event_id bigint, status string",
+        outputStructType="pipeline string, check_name string, event_id bigint, status string, at_us bigint",
         outputMode="Append",
         timeMode="None" if ttl is None else "ProcessingTime",
     )
