@@ -18,8 +18,8 @@ Documents with equal sets are one node from the start. Nodes of one posting list
 all compared with each other: each is compared with one of them, which joins near copies
 of a document into components after a few rounds. Comparisons inside a component say
 nothing new and are left out; at the end all pairs that share a prefix n-gram across two
-components are compared, except those that the triangle inequality of the Jaccard distance
-rules out. So components are exact, while a group of n near copies costs a multiple of n.
+components are compared. So components are exact, while a group of n near copies of a
+document costs a multiple of n.
 
 N-grams in more than a 20,000th of all set sizes (so at most 20,000 of them; they are found
 by their frequency inside tasks) bypass the fragments, as they would fill single ones.
@@ -51,7 +51,7 @@ SLICE_BYTES = 8_000_000
 FRAGMENT_GRAMS, MIN_BITS, MAX_BITS, LOW_BITS = 500_000, 4, 16, 48
 HOT_PARTS = 20_000
 SEGMENTS = 8
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 
 _PACKED = "key long, hot boolean, ids binary, tags binary, sizes binary, counts binary, grams binary, dfs binary"
 
@@ -267,7 +267,9 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def _fits(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    """Whether sizes and shared n-grams (``n``, ``r`` under two prefixes) leave room for a link."""
+    n_a, n_b, r = F.col(f"{a}n"), F.col(f"{b}n"), F.least(f"{a}r", f"{b}r")
+    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (r * 100 >= (n_a + n_b - r) * percent)
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -288,7 +290,7 @@ def node_labels(nodes: DataFrame, percent: int = PERCENT, rounds: int = HUB_ROUN
     """``node`` and ``label``, equal for nodes of a component. ``nodes``: ``node``, ``n``, ``grams``."""
     cut = F.ceil(F.col("n") * percent / 100)
     prefix = F.slice("grams", F.lit(1), (F.size("grams") - cut + 1).cast("int"))
-    postings = nodes.select("node", "n", F.explode(prefix).alias("gram"))
+    postings = nodes.select("node", "n", F.size("grams").alias("r"), F.explode(prefix).alias("gram"))
     shared = postings.groupBy("gram").agg(F.count("*").alias("times")).where(F.col("times") > 1).select("gram")
     postings = saved(postings.join(shared, "gram"), "postings")
     fragment = F.pmod(F.xxhash64("gram"), F.lit(SEGMENTS))
@@ -317,10 +319,13 @@ def node_labels(nodes: DataFrame, percent: int = PERCENT, rounds: int = HUB_ROUN
 
     for number in range(rounds):
         here = postings.join(labels, "node")
-        hub = F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(number)))
+        # What has been copied has fewer n-grams of its own than its copies, which may be alike
+        # only through it. The rounds after the first take any member.
+        own = (F.col("n") - F.col("r")) if number == 0 else F.lit(0)
+        hub = F.min_by(F.struct("node", "n", "r", "label"), F.struct(own, F.xxhash64("node", F.lit(number))))
         open_ = here.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), hub.alias("hub"))
         pairs = here.join(open_.where(F.col("low") < F.col("high")), "gram")
-        pairs = pairs.where((F.col("label") != F.col("hub.label")) & _fits("n", "hub.n", percent))
+        pairs = pairs.where((F.col("label") != F.col("hub.label")) & _fits("", "hub.", percent))
         compared(pairs.select(*_ordered(F.col("node"), F.col("hub.node"))).distinct())
     # What is left: pairs across components, one of which is not the largest of its posting list.
     here = saved(postings.join(labels, "node"), "labelled")
@@ -329,8 +334,8 @@ def node_labels(nodes: DataFrame, percent: int = PERCENT, rounds: int = HUB_ROUN
     main = main.where(F.col("labels") > 1).select("gram", "main")
     opened = here.join(main, "gram")
     strays = opened.where(F.col("label") != F.col("main")).select(
-        "gram", F.col("node").alias("s_node"), F.col("n").alias("s_n"), F.col("label").alias("s_label"))
-    pairs = opened.join(strays, "gram").where((F.col("label") != F.col("s_label")) & _fits("n", "s_n", percent))
+        "gram", *[F.col(c).alias(f"s_{c}") for c in ("node", "n", "r", "label")])
+    pairs = opened.join(strays, "gram").where((F.col("label") != F.col("s_label")) & _fits("", "s_", percent))
     compared(pairs.select(*_ordered(F.col("node"), F.col("s_node"))).distinct())
     return labels
 
