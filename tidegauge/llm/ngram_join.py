@@ -266,6 +266,10 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
+def _least_overlap(n_a, n_b, percent: int):
+    return F.ceil((n_a + n_b) * percent / (100 + percent))
+
+
 def _fits(a: str, b: str, percent: int):
     """Whether sizes and shared n-grams (``n``, ``r`` under two prefixes) leave room for a link."""
     n_a, n_b, r = F.col(f"{a}n"), F.col(f"{b}n"), F.least(f"{a}r", f"{b}r")
@@ -290,7 +294,9 @@ def node_labels(nodes: DataFrame, percent: int = PERCENT, rounds: int = HUB_ROUN
     """``node`` and ``label``, equal for nodes of a component. ``nodes``: ``node``, ``n``, ``grams``."""
     cut = F.ceil(F.col("n") * percent / 100)
     prefix = F.slice("grams", F.lit(1), (F.size("grams") - cut + 1).cast("int"))
-    postings = nodes.select("node", "n", F.size("grams").alias("r"), F.explode(prefix).alias("gram"))
+    postings = nodes.select("node", "n", F.size("grams").alias("r"), F.posexplode(prefix).alias("at", "gram"))
+    # The place in the order of all n-grams: those of the document alone come first.
+    postings = postings.withColumn("at", F.col("n") - F.col("r") + F.col("at") + 1)
     shared = postings.groupBy("gram").agg(F.count("*").alias("times")).where(F.col("times") > 1).select("gram")
     postings = saved(postings.join(shared, "gram"), "postings")
     fragment = F.pmod(F.xxhash64("gram"), F.lit(SEGMENTS))
@@ -334,8 +340,13 @@ def node_labels(nodes: DataFrame, percent: int = PERCENT, rounds: int = HUB_ROUN
     main = main.where(F.col("labels") > 1).select("gram", "main")
     opened = here.join(main, "gram")
     strays = opened.where(F.col("label") != F.col("main")).select(
-        "gram", *[F.col(c).alias(f"s_{c}") for c in ("node", "n", "r", "label")])
-    pairs = opened.join(strays, "gram").where((F.col("label") != F.col("s_label")) & _fits("", "s_", percent))
+        "gram", *[F.col(c).alias(f"s_{c}") for c in ("node", "n", "r", "at", "label")])
+    # From the first n-gram that two sets share, enough must follow in both.
+    rest = F.least(F.col("n") - F.col("at"), F.col("s_n") - F.col("s_at")) + 1
+    pairs = opened.join(strays, "gram").where(
+        (F.col("label") != F.col("s_label")) & _fits("", "s_", percent)
+        & (rest >= _least_overlap(F.col("n"), F.col("s_n"), percent))
+    )
     compared(pairs.select(*_ordered(F.col("node"), F.col("s_node"))).distinct())
     return labels
 
