@@ -276,10 +276,29 @@ def _fits(a: str, b: str, percent: int):
     return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (r * 100 >= (n_a + n_b - r) * percent)
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def _prefix_size(n, percent: int):
+    return n - F.ceil(n * percent / 100) + 1
+
+
+def _promising(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes, the first fragment to be counted, share enough for a link.
+
+    Of the set whose prefix ends first in the order, all n-grams of the prefix that the
+    other set has are in the other's prefix too. So it lacks the rest of its prefix.
+    """
+    a = heads.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("head").alias("a_head"))
+    b = heads.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("head").alias("b_head"))
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    both = F.size(F.array_intersect("a_head", "b_head"))
+    least = _least_overlap(n_a, n_b, percent)
+    enough = F.least(*[least - n + _prefix_size(n, percent) for n in (n_a, n_b)])
+    return pairs.join(a, "a").join(b, "b").where(both >= enough).select("a", "b")
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, heads: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs that are linked."""
     sizes = nodes.select("node", "n")
-    found = overlaps(pairs, segments)
+    found = overlaps(saved(_promising(pairs, heads, percent), "promising"), segments)
     found = found.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
     found = found.join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
     union = F.col("n_a") + F.col("n_b") - F.col("overlap")
@@ -292,8 +311,9 @@ def _ordered(a, b):
 
 def node_labels(nodes: DataFrame, percent: int = PERCENT, rounds: int = HUB_ROUNDS) -> DataFrame:
     """``node`` and ``label``, equal for nodes of a component. ``nodes``: ``node``, ``n``, ``grams``."""
-    cut = F.ceil(F.col("n") * percent / 100)
-    prefix = F.slice("grams", F.lit(1), (F.size("grams") - cut + 1).cast("int"))
+    # The n-grams of a document alone, which come first, are not among its shared ones.
+    alone = F.col("n") - F.size("grams")
+    prefix = F.slice("grams", F.lit(1), (_prefix_size(F.col("n"), percent) - alone).cast("int"))
     postings = nodes.select("node", "n", F.size("grams").alias("r"), F.posexplode(prefix).alias("at", "gram"))
     # The place in the order of all n-grams: those of the document alone come first.
     postings = postings.withColumn("at", F.col("n") - F.col("r") + F.col("at") + 1)
@@ -307,6 +327,7 @@ def node_labels(nodes: DataFrame, percent: int = PERCENT, rounds: int = HUB_ROUN
         .agg(F.collect_list("gram").alias("grams")),
         "segments",
     )
+    heads = saved(nodes.select("node", "n", prefix.alias("head")), "heads")
     labels = nodes.select("node", F.col("node").alias("label"))
     tested = None
 
@@ -319,7 +340,7 @@ def node_labels(nodes: DataFrame, percent: int = PERCENT, rounds: int = HUB_ROUN
         if pairs.isEmpty():
             return
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = _similar(pairs, nodes, segments, percent)
+        links = _similar(pairs, nodes, heads, segments, percent)
         links = join_labels(join_labels(links, "a", labels), "b", labels)
         labels = saved(join_labels(labels, "label", merge_components(links)), "node-labels")
 
