@@ -15,7 +15,8 @@ threshold with it. Lines are judged on the input, so a line that goes still remo
    filter), places in the order (positional filter) and the parity of hashed words (which
    bounds the difference of two sets) leave few pairs, whose words are then compared.
 
-Definitions. Hashes of words have 64 bits, those of sets 128. A line without words stays.
+Definitions. Hashes of words have 64 bits (56 where candidates are looked for), those of
+sets 128. A line without words stays.
 Null and empty texts have no lines. Rows with equal ids and texts are one document; equal
 ids with different texts are ordered by a hash of the text. A null id comes before all
 others. Extra columns are ignored. An empty table gives an empty result.
@@ -30,6 +31,7 @@ from tidegauge.llm.common import join_groups, saved
 
 PERCENT = 80
 CELLS = 1 << 18
+LEVEL = 1 << 56
 #: Prefix words with this byte or more are met by the first class of each first (about 256 lines).
 FREQUENT = 24
 
@@ -42,19 +44,32 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _once(value: Column) -> Column:
+    """The value as a generated column: what is selected from it later does not compute it again."""
+    return F.explode(F.array(value))
+
+
 def _words() -> Column:
-    spaced = F.translate(F.lower("line"), "\t\x0b\x0c\r", "    ")
-    return F.array_distinct(F.array_remove(F.split(spaced, " "), ""))
+    return F.array_distinct(F.array_remove(F.split("line", " "), ""))
 
 
 def _lines(docs: DataFrame, *others: str) -> DataFrame:
     """``id``, ``text_key``, ``line_no``, ``words`` (distinct) of every line."""
-    rows = docs.select("id", "text_key", *others, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.select("id", "text_key", *others, "line_no", _words().alias("words"))
+    text = F.lower("text")
+    for space in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    rows = docs.select("id", "text_key", *others, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return rows.select("id", "text_key", *others, "line_no", _once(_words()).alias("words"))
+
 
+def _hashes() -> Column:
+    return F.sort_array(F.transform("words", lambda w: F.xxhash64(w)))
 
-def _key() -> Column:
-    return F.unhex(F.md5(F.array_join(F.sort_array("words"), " ")))
+
+def _key(hashes: Column) -> Column:
+    """128 bits of a set of words, from its sorted hashes."""
+    halves = [F.lpad(F.hex(F.xxhash64(F.lit(seed), hashes)), 16, "0") for seed in (1, 2)]
+    return F.unhex(F.concat(*halves))
 
 
 def _cell(h: Column) -> Column:
@@ -75,31 +90,32 @@ def word_counts(lines: DataFrame) -> DataFrame:
 
 
 def _level(levels: Column, h: Column) -> Column:
-    return F.ascii(F.substring(levels, _cell(h) + 1, F.lit(1)).cast("string"))
+    return F.ascii(F.substring(levels, _cell(h) + 1, F.lit(1)).cast("string")).cast("long")
 
 
-def classes(lines: DataFrame, levels: DataFrame, percent: int) -> DataFrame:
-    """One row per set: ``key``, ``n``, ``first`` (its first line), ``copies``, ``prefix``, ``parity``."""
-    lines = lines.where(F.size("words") > 0).withColumn("levels", levels.scalar())
-    ordered = F.sort_array(
-        F.transform("words", lambda w: F.struct(_level(F.col("levels"), F.xxhash64(w)).alias("level"),
-                                                F.xxhash64(w).alias("h")))
-    )
+def described(lines: DataFrame, levels: DataFrame, percent: int) -> DataFrame:
+    """Every line's ``place``, ``key`` (null without words), ``n``, ``prefix`` and ``parity``."""
     rows = lines.select(
         F.struct("id", "text_key", "line_no").alias("place"),
-        _key().alias("key"),
         F.size("words").alias("n"),
-        ordered.alias("ordered"),
+        _once(_hashes()).alias("hashes"),
     )
-    rows = rows.select(
+    # The optimizer puts the bytes of the cells into the expression that looks them up, so no row holds them.
+    # An ordered word is one number: the level above, the hash without its upper bits below.
+    ordered = F.sort_array(F.transform("hashes", lambda h: _level(F.col("levels"), h) * LEVEL + F.pmod(h, F.lit(LEVEL))))
+    rows = rows.withColumn("levels", levels.scalar()).select(
+        "place", F.when(F.col("n") > 0, _key(F.col("hashes"))).alias("key"), "n", ordered.alias("ordered"))
+    rows = rows.select("place", "key", "n", _once(F.col("ordered")).alias("ordered"))
+    return rows.select(
         "place", "key", "n",
         F.slice("ordered", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1).alias("prefix"),
-        F.aggregate(
-            "ordered", F.lit(0).cast("long"),
-            lambda acc, x: acc.bitwiseXOR(_bit(x["h"])),
-        ).alias("parity"),
+        F.aggregate("ordered", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(_bit(x))).alias("parity"),
     )
-    return rows.groupBy("key").agg(
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """One row per set: ``key``, ``n``, ``first`` (its first line), ``copies``, ``prefix``, ``parity``."""
+    return rows.where(F.col("key").isNotNull()).groupBy("key").agg(
         F.min("place").alias("first"), F.count("*").alias("copies"),
         F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("parity").alias("parity"),
     )
@@ -123,8 +139,7 @@ def _may_match(a: str, b: str, percent: int) -> Column:
 
 def matched(found: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Keys of the classes that match a class with an earlier first line."""
-    postings = found.select("key", "first", "n", "parity", F.posexplode("prefix").alias("at", "x")).select(
-        "key", "first", "n", "parity", "at", F.col("x.h").alias("word"), F.col("x.level").alias("level"))
+    postings = found.select("key", "first", "n", "parity", F.posexplode("prefix").alias("at", "word"))
 
     def renamed(df: DataFrame) -> DataFrame:
         return df.select("word", *[F.col(c).alias(f"e_{c}") for c in ("key", "first", "n", "parity", "at")])
@@ -135,7 +150,7 @@ def matched(found: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
         pairs = saved(pairs.select("key", "first", "e_key", "e_first").distinct(), "line-pairs")
         return saved(_verified(pairs, docs, percent), "line-hits")
 
-    often = postings.where(F.col("level") >= FREQUENT)
+    often = postings.where(F.col("word") >= FREQUENT * LEVEL)
     hub = F.min(F.struct("first", "key", "n", "parity", "at")).alias("hub")
     hubs = often.groupBy("word").agg(hub).select("word", "hub.*")
     settled = hits(often, hubs)
@@ -172,12 +187,13 @@ def label_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     docs = _documents(docs, id_col, text_col)
     lines = _lines(docs)
     levels = saved(word_counts(lines), "word-levels")
-    found = saved(classes(lines, levels, percent), "line-classes")
+    rows = saved(described(lines, levels, percent), "lines")
+    found = saved(classes(rows), "line-classes")
     repeats = matched(found, docs, percent).withColumn("similar", F.lit(True))
     groups = saved(found.select("key", "first", "copies").join(repeats, "key", "left"), "line-groups")
-    rows = lines.select("id", "text_key", "line_no", F.when(F.size("words") > 0, _key()).alias("key"))
-    placed = join_groups(rows, groups, ["key"], "copies", F.col("key").isNotNull())
-    later = F.struct("id", "text_key", "line_no") > F.col("first")
+    placed = join_groups(rows.select("place", "key"), groups, ["key"], "copies", F.col("key").isNotNull())
+    placed = placed.select("place.*", "first", "similar", "place")
+    later = F.col("place") > F.col("first")
     gone = F.col("similar").isNotNull() | F.coalesce(later, F.lit(False))
     return placed.groupBy("id", "text_key").agg(
         F.countDistinct("line_no").alias("n_lines"),
