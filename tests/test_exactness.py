@@ -163,3 +163,21 @@ def test_small_cycles(spark):
     schema = "upstream string, downstream string"
     for edges, want in (([], False), ([("a", "a")], True), ([("a", "b"), ("b", "a")], True), ([("a", "b"), ("b", "c"), ("a", "c")], False)):
         assert N.has_cycle(spark.createDataFrame(edges, schema)).first()[0] is want
+
+
+def test_events_without_a_time_are_set_aside(spark):
+    df = events(spark, event(1, 0), event(2, 1), event(4, 50)).unionByName(
+        events(spark, event(3, 0), event(5, 0, pipeline="q")).withColumn("triggered_at", F.lit(None).cast("timestamp_ntz")))
+    for max_rows in (None, 2):
+        got = {r.event_id: r.fired for r in K.dedupe(df, 30, max_rows=max_rows).collect()}
+        assert got == {1: True, 2: False, 4: True, 3: None, 5: None}
+        got = {r.event_id: r.batch_no for r in K.batch(df, 2, 10_000, max_rows=max_rows).collect()}
+        assert got == {1: 0, 2: 0, 4: 1, 3: None, 5: None}
+
+
+def test_joins_per_key_do_not_shuffle_events_for_few_keys(spark):
+    df = events(spark, event(1), event(2, pipeline=None))
+    plan = R.backlog_depth(df, F.col("pipeline"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    got = {r.event_id: r.queue_depth for r in R.backlog_depth(df, F.col("pipeline")).collect()}
+    assert got == {1: 1, 2: 1}

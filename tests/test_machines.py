@@ -50,6 +50,24 @@ def test_skip_equals_step(name, dense):
         assert alive(name, got, t[-1]) == alive(name, want, t[-1]), (t[cut:], ok[cut:], entry)
 
 
+@pytest.mark.parametrize("name", MACHINES)
+@pytest.mark.parametrize("dense", [True, False])
+def test_run_equals_step(name, dense):
+    """Outputs filled in between changes are those of stepping, from any state."""
+    rng = random.Random(3)
+    m = MACHINES[name]()
+    for _ in range(400):
+        t, ok = series(rng, rng.randint(0, 60), dense)
+        cut = rng.randint(0, len(t))
+        state = stepped(m, m.start(), t[:cut], ok[:cut])
+        other = list(state)
+        want = [m.step(state, a, b) for a, b in zip(t[cut:].tolist(), ok[cut:].tolist())]
+        got = m.run(other, t[cut:], ok[cut:])
+        assert [tuple(r) for r in zip(*(c.tolist() for c in got))] == want, (t[:cut], t[cut:], ok)
+        if len(t):
+            assert alive(name, other, t[-1]) == alive(name, state, t[-1])
+
+
 @pytest.mark.parametrize("name", MACHINES)
 def test_settle_forgets_the_past(name):
     rng = random.Random(11)

@@ -171,23 +171,28 @@ def salted_join(
     keys: Sequence[str],
     salt: str,
     how: str = "left",
-    salts: int = 32,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join a table with one row per key to a big table, one key of which may be very frequent.
 
-    The rows of a key are spread over ``salts`` tasks by the hash of the
-    ``salt`` column; the one-row-per-key side is repeated for each. When that
-    side turns out small at run time, AQE broadcasts it instead.
+    The one-row-per-key side is written once, so that its size is known: if it is small it
+    is broadcast, and the big table is not shuffled. Else the rows of a key are spread over
+    ``salts`` tasks (by default as many as there are shuffle partitions) by the hash of the
+    ``salt`` column, and the other side is repeated for each.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
-    right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in (*keys, "_salt")],
-                           *[c for c in per_key.columns if c not in keys])
-    cond = F.col("_salt") == F.col("_r__salt")
+    others = [c for c in per_key.columns if c not in keys]
+    per_key = written(per_key.select(*keys, *others), "per-key")
+    renamed = [F.col(k).alias(f"_r_{k}") for k in keys]
+    if within_rows(per_key, BROADCAST_ROWS):
+        left, right, cond = big, F.broadcast(per_key.select(*renamed, *others)), F.lit(True)
+    else:
+        salts = salts or max(32, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        left = big.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
+        copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_r__salt")
+        right, cond = per_key.select(*renamed, *others, copies), F.col("_salt") == F.col("_r__salt")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    joined = left.join(renamed, cond, how)
-    return joined.drop("_salt", "_r__salt", *[f"_r_{k}" for k in keys])
+    return left.join(right, cond, how).drop("_salt", "_r__salt", *[f"_r_{k}" for k in keys])
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:

@@ -19,7 +19,6 @@ from tidegauge.functions.common import (
     plus_seconds,
     require,
     salted_join,
-    within_rows,
 )
 
 
@@ -113,10 +112,7 @@ def silence(events: DataFrame, rules: DataFrame, now: str | Column) -> DataFrame
     hit = hits[0]
     for h in hits[1:]:
         hit = hit.unionByName(h)
-    hit = hit.distinct()
-    if within_rows(hit, BROADCAST_ROWS):
-        return events.join(F.broadcast(hit), ["pipeline", "check_name"], "left_anti")
-    return salted_join(events, hit, ["pipeline", "check_name"], salt="event_id", how="left_anti")
+    return salted_join(events, hit.distinct(), ["pipeline", "check_name"], salt="event_id", how="left_anti")
 
 
 def in_maintenance(events: DataFrame, windows: DataFrame, suppressed: bool = False) -> DataFrame:

@@ -316,6 +316,8 @@ class Batch(Machine):
 
     def closers(self, state: list[int], t: np.ndarray) -> np.ndarray:
         """Places of the events that close a batch; moves the state."""
+        if not len(t):
+            return np.zeros(0, dtype=np.int64)
         number, size, first = state
         found: list[int] = []
         ends = np.minimum(
