@@ -21,7 +21,29 @@ HEADLINE = [
     "diff_previous", "debounce", "throttle", "escalation",
     "dedupe", "quota", "backoff", "circuit_breaker", "batch", "compaction",
     "tumbling_windows", "sliding_windows", "paginate", "has_cycle_acyclic", "flagship_health",
+    "stream_dedupe", "stream_tumbling", "baseline_table", "audit_log",
 ]
+# Folds on ten times the events, half of them of one key: the key cut into chunks, and in one task.
+HOT_ROWS = {"hot_dedupe_cut": 100_000, "hot_dedupe_whole": None}
+
+
+def hot_dedupe(max_rows):
+    from pyspark.sql import functions as F
+
+    from tidegauge.operators import fold
+    from tidegauge.sources.testdata import alert_events
+
+    def run(spark, folder):
+        copies = F.explode(F.sequence(F.lit(0), F.lit(9)))
+        e = alert_events(spark, folder).select("event_id", "pipeline", "check_name", "triggered_at", copies.alias("i"))
+        e = e.withColumns({
+            "event_id": F.col("event_id") * 10 + F.col("i"),
+            "pipeline": F.when(F.col("i") < 5, "hot").otherwise(F.col("pipeline")),
+            "check_name": F.when(F.col("i") < 5, "hot").otherwise(F.col("check_name")),
+        })
+        return fold.dedupe(e.drop("i"), 30, max_rows=max_rows)
+
+    return run
 
 
 def main() -> None:
@@ -42,13 +64,14 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
-    wanted = sys.argv[1:] or HEADLINE
+    wanted = sys.argv[1:] or [*HEADLINE, *HOT_ROWS]
+    queries = dict(QUERIES) | {name: hot_dedupe(rows) for name, rows in HOT_ROWS.items()}
     seconds = {}
     for name in wanted:
         taken = []
         for i in range(runs + 1):
             t = time.perf_counter()
-            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+            queries[name](spark, folder).write.format("noop").mode("overwrite").save()
             if i:
                 taken.append(time.perf_counter() - t)
         seconds[name] = round(statistics.median(taken), 3)
