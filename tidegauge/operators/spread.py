@@ -20,6 +20,8 @@ from tidegauge.functions.common import ensure_checkpoint_dir, null_safe_on
 
 # A key with more rows than this is cut into chunks of about this size.
 MAX_ROWS = 4_000_000
+# Values of chunks that are broadcast at most (8 MB).
+CARRIED_VALUES = 1_000_000
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -51,10 +53,10 @@ class Spread:
         ensure_checkpoint_dir(df.sparkSession)
         hot_keys = F.broadcast(frequent.select(*self.keys).checkpoint())
         on = null_safe_on(df, hot_keys, self.keys)
-        chunks = 2 * -(-size // max_rows)
+        self.chunks = int(2 * -(-size // max_rows))
         cut = (
             df.join(hot_keys, on, "left_semi")
-            .repartitionByRange(int(chunks), *self.keys, *self.order)
+            .repartitionByRange(self.chunks, *self.keys, *self.order)
             .withColumn("_chunk", F.spark_partition_id() + F.lit(1))
             .checkpoint()
         )
@@ -64,14 +66,21 @@ class Spread:
     def _window(self):
         return Window.partitionBy(*self.keys, "_chunk").orderBy(*self.order)
 
-    def _attach(self, carry: DataFrame, names: Sequence[str]) -> DataFrame:
-        """Join per-chunk values; there is at most one continued key per chunk, so they are broadcast."""
+    def _attach(self, carry: DataFrame, names: Sequence[str], width: int = 1) -> DataFrame:
+        """Join per-chunk values, of ``width`` numbers each.
+
+        There is at most one continued key per chunk, so the number of chunks bounds the
+        size. If that is small the values are broadcast; else chunks, which are of even
+        size, are joined on equality.
+        """
         right = carry.select(*[F.col(k).alias(f"_k_{k}") for k in (*self.keys, "_chunk")], *names)
         cond = F.col("_chunk") == F.col("_k__chunk")
         for k in self.keys:
             cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
         drop = [f"_k_{k}" for k in (*self.keys, "_chunk")]
-        return self.df.join(F.broadcast(right), cond, "left").drop(*drop)
+        if self.chunks * width <= CARRIED_VALUES:
+            right = F.broadcast(right)
+        return self.df.join(right, cond, "left").drop(*drop)
 
     def _per_chunk(self, *aggregates: Column) -> DataFrame:
         return self.df.filter(F.col("_chunk") > 0).groupBy(*self.keys, "_chunk").agg(*aggregates)
@@ -143,12 +152,10 @@ class Spread:
             )
             # Every chunk has a row, so the ``rows`` chunks before it hold enough of them.
             earlier = self._chunk_window().rowsBetween(-rows, -1)
-            carry = tails.select(
-                *self.keys,
-                "_chunk",
-                F.transform(F.flatten(F.collect_list("_tail").over(earlier)), lambda x: x["_v"]).alias("_in"),
-            ).filter(F.size("_in") > 0)
-            self.df = self._attach(carry, ["_in"])
+            values = F.transform(F.flatten(F.collect_list("_tail").over(earlier)), lambda x: x["_v"])
+            carry = tails.select(*self.keys, "_chunk", values.alias("_in")).filter(F.size("_in") > 0)
+            newest = F.slice("_in", F.greatest(F.lit(1), F.size("_in") - rows + 1), rows)
+            self.df = self._attach(carry.withColumn("_in", newest), ["_in"], rows)
             whole = F.concat(F.coalesce("_in", F.array().cast(carry.schema["_in"].dataType)), before)
             before = F.slice(whole, F.greatest(F.lit(1), F.size(whole) - rows + 1), rows)
         self.df = self.df.withColumn(name, before).drop("_in")
