@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import join_groups, saved
 
 PERCENT = 80
-CELLS = 1 << 18
+CELLS = 1 << 16
 LEVEL = 1 << 56
 #: Prefix words with this byte or more are met by the first class of each first (about 256 lines).
 FREQUENT = 24
@@ -93,17 +93,16 @@ def _level(levels: Column, h: Column) -> Column:
     return F.ascii(F.substring(levels, _cell(h) + 1, F.lit(1)).cast("string")).cast("long")
 
 
-def described(lines: DataFrame, levels: DataFrame, percent: int) -> DataFrame:
+def described(lines: DataFrame, levels: bytes, percent: int) -> DataFrame:
     """Every line's ``place``, ``key`` (null without words), ``n``, ``prefix`` and ``parity``."""
     rows = lines.select(
         F.struct("id", "text_key", "line_no").alias("place"),
         F.size("words").alias("n"),
         _once(_hashes()).alias("hashes"),
     )
-    # The optimizer puts the bytes of the cells into the expression that looks them up, so no row holds them.
     # An ordered word is one number: the level above, the hash without its upper bits below.
-    ordered = F.sort_array(F.transform("hashes", lambda h: _level(F.col("levels"), h) * LEVEL + F.pmod(h, F.lit(LEVEL))))
-    rows = rows.withColumn("levels", levels.scalar()).select(
+    ordered = F.sort_array(F.transform("hashes", lambda h: _level(F.lit(levels), h) * LEVEL + F.pmod(h, F.lit(LEVEL))))
+    rows = rows.select(
         "place", F.when(F.col("n") > 0, _key(F.col("hashes"))).alias("key"), "n", ordered.alias("ordered"))
     rows = rows.select("place", "key", "n", _once(F.col("ordered")).alias("ordered"))
     return rows.select(
@@ -186,7 +185,8 @@ def label_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     """Per document with lines: ``id``, ``text_key``, ``n_lines`` and ``removed`` (sorted numbers, from 0)."""
     docs = _documents(docs, id_col, text_col)
     lines = _lines(docs)
-    levels = saved(word_counts(lines), "word-levels")
+    # One value of CELLS bytes; as a constant it is in the expression that looks words up, not in rows.
+    levels = bytes(word_counts(lines).first()[0])
     rows = saved(described(lines, levels, percent), "lines")
     found = saved(classes(rows), "line-classes")
     repeats = matched(found, docs, percent).withColumn("similar", F.lit(True))
