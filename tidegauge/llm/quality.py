@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import U64, by_value, hash_words, mix64, slices, words_of
+from tidegauge.llm.common import U64, by_value, hash_words, mix64, saved, slices, words_of
 
 SAMPLE_ROWS = 5_000
 DIMS, EPOCHS, RATE, SEED = 8, 4, 2.0, 7
@@ -135,24 +135,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.string()), batch.column(1),
-                    pa.array([b for b, _ in found], pa.list_(pa.int32())),
-                    pa.array([w for _, w in found], pa.list_(pa.float32())),
+                    pa.array([b.tobytes() for b, _ in found], pa.binary()),
+                    pa.array([w.tobytes() for _, w in found], pa.binary()),
                 ],
                 names=["id", "label", "buckets", "weights"],
             )
 
-    got = rows.mapInArrow(extract, "id string, label int, buckets array<int>, weights array<float>").toArrow()
-    got = got.take(np.argsort(np.asarray(got["id"].to_pylist(), dtype=str), kind="stable")) if len(got) else got
-    pairs = [
-        (np.asarray(b.values), np.asarray(w.values)) for b, w in zip(_lists(got, "buckets"), _lists(got, "weights"))
-    ]
-    if not pairs:
+    # Written by the tasks and fetched part by part: the driver holds the sample once, and its JVM one part.
+    kept = saved(rows.mapInArrow(extract, "id string, label int, buckets binary, weights binary"), "features")
+    got = sorted((tuple(r) for r in kept.toLocalIterator()), key=lambda r: r[:2])
+    if not got:
         return Model(np.zeros((3 * BUCKETS, DIMS), np.float32), np.zeros((DIMS, 2), np.float32), np.zeros(2, np.float32))
-    return train(pairs, np.asarray(got["label"]))
-
-
-def _lists(rows: pa.Table, name: str) -> list:
-    return [x for chunk in rows[name].chunks for x in chunk]
+    pairs = [(np.frombuffer(b, np.int32), np.frombuffer(w, np.float32)) for _, _, b, w in got]
+    return train(pairs, np.array([label for _, label, _, _ in got]))
 
 
 def probabilities(model: Model, texts: pa.Array) -> np.ndarray:
