@@ -27,7 +27,7 @@ def alert_events(spark: SparkSession, folder: str) -> DataFrame:
 FILES = 2
 
 
-def alert_event_stream(spark: SparkSession, folder: str, slices: int = 6) -> DataFrame:
+def alert_event_stream(spark: SparkSession, folder: str, slices: int = 5) -> DataFrame:
     """The same rows as a stream of several micro-batches; times become TIMESTAMP, which watermarks need.
 
     The events are cut into slices of time, which are written one after the other, each as
