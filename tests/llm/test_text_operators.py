@@ -193,6 +193,42 @@ def test_substrings_shared_passages(make, width, gram):
     assert got == kept(rows, width)
 
 
+def most_in_a_task(found):
+    """(rows of the result, rows of its largest partition)."""
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    return sum(sizes), max(sizes)
+
+
+def keyed(docs):
+    return docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("text_key"))
+
+
+def test_substrings_known_repeats_are_not_grouped(make):
+    text = " ".join(f"w{x}" for x in range(80))
+    rows = [(i, text) for i in range(400)]
+    rows_found, largest = most_in_a_task(substrings.repeats(keyed(make(rows, extra=False).repartition(8))))
+    assert rows_found >= 390 and largest < rows_found / 2
+    assert Counter(map(tuple, substrings.remove_repeats(make(rows)).collect())) == kept(rows)
+
+
+def test_substrings_windows_of_a_frequent_anchor_are_spread(make, spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_WINDOWS", 20, raising=False)
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    rng = np.random.default_rng(3)
+    # Passages of less than a window in all documents, some of which share what stands around them.
+    passage = " ".join(f"p{x}" for x in range(30))
+    around = [" ".join(f"r{x}" for x in rng.integers(0, 10**9, 60)) for _ in range(80)]
+    rows = [(i, f"{around[i % 80]} {passage} {around[i * 7 % 80]}") for i in range(200)]
+    docs = make(rows, extra=False).repartition(8)
+    spark.conf.set(merging, False)  # small partitions stay apart
+    try:
+        rows_found, largest = most_in_a_task(substrings.repeats(keyed(docs)))
+    finally:
+        spark.conf.unset(merging)
+    assert rows_found > 100 and largest < rows_found / 2
+    assert Counter(map(tuple, substrings.remove_repeats(docs).collect())) == kept(rows)
+
+
 # -- 9 lines ------------------------------------------------------------------------------
 
 

@@ -11,8 +11,11 @@ neighbouring windows mostly share their anchor.
 2. Windows whose anchor is estimated repeated go, in runs, to the task of their anchor,
    where they are grouped exactly by anchor and window hash (two independent 64-bit
    values). Of equal windows inside a slice of a task only those of the smallest id are
-   sent, as the others are known to be repeats; so a passage that very many documents
-   share is sent once a slice.
+   sent, as the others are known to be repeats and go straight to the result; so a passage
+   that very many documents share is sent once a slice. The windows of an anchor with more
+   than ``HOT_WINDOWS`` of them, say of a passage shorter than a window in very many
+   documents, are dealt by their own hash instead, after the smallest id of each window is
+   found by a combining aggregate.
 3. The removed stretches meet their documents by id and text.
 
 The sketch has about four cells per expected anchor up to ``1 << MAX_BITS`` cells in each
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +46,7 @@ ROWS, BLOCK_BITS, MIN_BITS, MAX_BITS = 2, 18, 18, 29
 FLUSH_ANCHORS = 4_000_000
 SLICE_BYTES = 8_000_000
 GROUP_WINDOWS = 500_000
+HOT_WINDOWS = 50_000
 
 
 def _least_of(values: np.ndarray, n: int) -> np.ndarray:
@@ -165,7 +170,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     # Five letters a word, an anchor for every (width - gram + 2) / 2 words, four cells an anchor.
     bits = int(np.clip(np.ceil(np.log2(chars / 5 * 2 / (width - gram + 2) * 4 + 1)), MIN_BITS, MAX_BITS))
     sent = docs.sparkSession.sparkContext.broadcast(sketch(docs, bits, width, gram))
-    schema = "group_key long, id long, text_key long, first long, last long, anchor long, windows binary"
+    # A run that is known to repeat has neither anchor nor windows.
+    schema = "id long, text_key long, first long, last long, anchor long, windows binary"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -186,40 +192,59 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
                 code = window.view(np.int64).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.where(told, keys[cut], anchor[cut].view(np.int64))),
                         pa.array(ids[cut]), pa.array(keys[cut]), pa.array(place[cut]),
-                        pa.array(place[ends - 1] + width), pa.array(anchor[cut].view(np.int64)),
+                        pa.array(place[ends - 1] + width), pa.array(anchor[cut].view(np.int64), mask=told),
                         pa.array([None if t else code[8 * a : 8 * b] for t, a, b in zip(told, cut, ends)], pa.binary()),
                     ],
-                    names=["group_key", "id", "text_key", "first", "last", "anchor", "windows"],
+                    names=["id", "text_key", "first", "last", "anchor", "windows"],
                 )
 
-    def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        told = group["windows"].isna().to_numpy()
-        rest = group[~told]
-        parts = [group.loc[told, ["id", "text_key", "first", "last"]]]
-        if len(rest):
-            window = np.frombuffer(b"".join(rest["windows"]), U64)
-            count = np.array([len(x) // 8 for x in rest["windows"]])
-            run = np.repeat(np.arange(len(rest)), count)
-            ids = rest["id"].to_numpy()[run]
-            anchor = rest["anchor"].to_numpy().view(U64)[run]
-            place = np.repeat(rest["first"].to_numpy() - np.cumsum(count) + count, count) + np.arange(len(run))
-            hit = np.flatnonzero(_least_id(ids, anchor, window) < ids)
-            if len(hit):
-                cut = _starts(run[hit], hit - np.arange(len(hit)))
-                ends = np.array([*cut[1:], len(hit)])
-                parts.append(pd.DataFrame({
-                    "id": ids[hit[cut]], "text_key": rest["text_key"].to_numpy()[run[hit[cut]]],
-                    "first": place[hit[cut]], "last": place[hit[ends - 1]] + width,
-                }))
-        return pd.concat(parts)
+    def resolve(rest: pd.DataFrame) -> pd.DataFrame:
+        window = np.frombuffer(b"".join(rest["windows"]), U64)
+        count = np.array([len(x) // 8 for x in rest["windows"]])
+        run = np.repeat(np.arange(len(rest)), count)
+        ids = rest["id"].to_numpy()[run]
+        anchor = rest["anchor"].to_numpy().view(U64)[run]
+        place = np.repeat(rest["first"].to_numpy() - np.cumsum(count) + count, count) + np.arange(len(run))
+        hit = np.flatnonzero(_least_id(ids, anchor, window) < ids)
+        cut = _starts(run[hit], hit - np.arange(len(hit)))
+        ends = np.array([*cut[1:], len(hit)], np.int64)[: len(cut)]
+        return pd.DataFrame({
+            "id": ids[hit[cut]], "text_key": rest["text_key"].to_numpy()[run[hit[cut]]],
+            "first": place[hit[cut]], "last": place[hit[ends - 1]] + width,
+        })
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column(4)
+            count = np.asarray(pc.binary_length(codes), np.int64) // 8
+            run = np.repeat(np.arange(len(count)), count)
+            window = np.frombuffer(b"".join(codes.to_pylist()), np.int64)
+            step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+            ids, keys, first, anchor = (np.asarray(batch.column(i), np.int64)[run] for i in range(4))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (anchor, window, ids, keys, first + step)],
+                names=["anchor", "window", "id", "text_key", "first"],
+            )
 
     runs = saved(docs.mapInArrow(find, schema), "window-runs")
-    sent_windows = runs.agg(F.sum(F.octet_length("windows"))).first()[0] or 0
-    groups = max(1, -(-sent_windows // 8 // GROUP_WINDOWS))
-    dealt = runs.withColumn("group", F.pmod(F.xxhash64("group_key"), F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(resolve, "id long, text_key long, first long, last long")
+    told = runs.where(F.col("anchor").isNull()).select("id", "text_key", "first", "last")
+    rest = runs.where(F.col("anchor").isNotNull())
+    of_run = F.col("last") - F.col("first") - width + 1
+    windows_sent = rest.agg(F.sum(of_run)).first()[0] or 0
+    groups = max(1, -(-windows_sent // GROUP_WINDOWS))
+    often = rest.groupBy("anchor").agg(F.sum(of_run).alias("sent")).where(F.col("sent") > HOT_WINDOWS)
+    # There are at most windows_sent / HOT_WINDOWS of these anchors.
+    often = F.broadcast(saved(often.select("anchor"), "frequent-anchors"))
+    dealt = rest.join(often, "anchor", "left_anti").withColumn("group", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
+    found = dealt.groupBy("group").applyInPandas(resolve, "id long, text_key long, first long, last long")
+    spread = rest.join(often, "anchor").select("id", "text_key", "first", "anchor", "windows").mapInArrow(
+        single, "anchor long, window long, id long, text_key long, first long")
+    least = spread.groupBy("anchor", "window").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    least = least.where(F.col("least") < F.col("most")).drop("most")
+    hits = spread.join(least, ["anchor", "window"]).where(F.col("id") > F.col("least"))
+    hits = hits.select("id", "text_key", "first", (F.col("first") + width).alias("last"))
+    return told.unionByName(found).unionByName(hits)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id",
