@@ -4,9 +4,11 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.functions.common import work_folder
 from tidegauge.operators.machines import Cooldown
+from tidegauge.sources import testdata
 from tidegauge.streaming import streams as X
 
 T0 = datetime(2024, 1, 1)
@@ -83,3 +85,15 @@ def test_latest_results_with_time_to_live(spark):
             stream.stop()
     got = [(r.event_id, r.status) for r in spark.read.schema(rows.schema).parquet(path + "-out").orderBy("event_id").collect()]
     assert got == [(1, "new"), (2, "older")]
+
+
+@pytest.mark.parametrize("times", ["some", "none", "no rows"])
+def test_event_stream_keeps_rows_without_a_time(spark, folder, tmp_path, times):
+    events = spark.read.parquet(f"{folder}/events.parquet").orderBy("event_id").limit(0 if times == "no rows" else 40)
+    lost = F.col("ts").isNull() | (F.lit(True) if times == "none" else F.col("event_id") % 4 == 0)
+    events.withColumn("ts", F.when(~lost, F.col("ts"))).write.parquet(f"{tmp_path}/events.parquet")
+    stream = testdata.alert_event_stream(spark, str(tmp_path))
+    out = work_folder(spark, "stream-null")
+    X.to_table(stream, out, out + "-progress").awaitTermination()
+    got = {r.event_id for r in spark.read.schema(stream.schema).parquet(out).collect()}
+    assert got == {r.event_id for r in events.collect()}

@@ -31,17 +31,22 @@ def alert_event_stream(spark: SparkSession, folder: str, slices: int = 5) -> Dat
     """The same rows as a stream of several micro-batches; times become TIMESTAMP, which watermarks need.
 
     The events are cut into slices of time, which are written one after the other, each as
-    the files of one micro-batch.
+    the files of one micro-batch. Rows without a time are in the first slice.
     """
     events = table(spark, folder, "events")
     path = work_folder(spark, "event-stream")
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
-    step = (high - low) / slices
-    for i in range(slices):
-        own = F.col("ts") >= F.lit(low + i * step)
-        if i + 1 < slices:
-            own = own & (F.col("ts") < F.lit(low + (i + 1) * step))
-        events.filter(own).repartition(FILES).write.mode("append").parquet(path)
+    if low is None:  # no times: one slice, which may be empty
+        events.repartition(FILES).write.mode("append").parquet(path)
+    else:
+        step = (high - low) / slices
+        for i in range(slices):
+            own = F.col("ts") >= F.lit(low + i * step)
+            if i + 1 < slices:
+                own = own & (F.col("ts") < F.lit(low + (i + 1) * step))
+            if i == 0:
+                own = own | F.col("ts").isNull()
+            events.filter(own).repartition(FILES).write.mode("append").parquet(path)
     raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(path)
     return as_alert_events(raw).withColumn("triggered_at", F.col("triggered_at").cast("timestamp"))
 
