@@ -31,13 +31,19 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays, that with the smallest id.
+    """One row of each component of near duplicates stays, one with the smallest id.
 
-    Rows without an id are in no component and stay.
+    Rows are told apart by a key of their own, as ids may repeat; it is the same each time
+    the stage's input, a saved table, is read. Rows without an id are in no component and stay.
     """
-    found = ngram_join.link(docs)
-    others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id())
+    key = F.when(F.col("doc_id").isNotNull(), F.col("row_key")).alias("row_key")
+    found = ngram_join.link(keyed.select(key, "text"), id_col="row_key").withColumnRenamed("doc_id", "row_key")
+    found = saved(found.where(F.col("row_key").isNotNull()).select("row_key", "component_id"), "near-rows")
+    first = F.min(F.struct("doc_id", "row_key")).alias("first")
+    stay = found.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(first)
+    others = found.join(stay.select("first.row_key"), "row_key", "left_anti").select("row_key")
+    return keyed.join(others, "row_key", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

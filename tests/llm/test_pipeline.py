@@ -93,3 +93,14 @@ def test_ids_that_repeat_stay_apart(spark, make):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "quite another text")]
     got = pipeline.exact(spark, make(rows), "")
     assert Counter(pairs(got)) == Counter({(1, "a b c d e f g"): 1, (1, "quite another text"): 1})
+
+
+def test_near_stage_removes_rows_not_ids(spark, make):
+    words = [f"w{i}" for i in range(60)]
+    first, close, other = " ".join(words), " ".join([*words[:-1], "x"]), "a text that nothing else is like at all"
+    rows = [(1, first), (2, close), (2, other), (3, other + " y"), (4, "alone with its id"), (None, first), (7, "")]
+    got = pipeline.near(spark, saved(make(rows), "test-near"), "")
+    assert Counter(pairs(got)) == Counter([(1, first), (2, other), *rows[4:]])
+    both = [(5, first), (5, close), (5, other)]
+    got = pairs(pipeline.near(spark, saved(make(both), "test-near"), ""))
+    assert len(got) == 2 and (5, other) in got
