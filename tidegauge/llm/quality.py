@@ -117,7 +117,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE_ROWS,
         id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on at most ``sample`` of the given labels (id and label column, 0 or 1)."""
+    """Train on at most ``sample`` of the given labels (id and label column, 0 or 1).
+
+    Of rows with one id only one is learnt from, that with the greatest hash of its text.
+    """
     chosen = (
         labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label}`").isin(0, 1))
         .groupBy(F.col(f"`{id_col}`").alias("id"))
@@ -127,7 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     )
     # At most ``sample`` rows of two numbers are broadcast.
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "label", "text")
+    rows = texts.join(F.broadcast(chosen), "id")
+    order = F.struct(F.xxhash64("text"), "text")
+    rows = rows.groupBy("id").agg(F.max("label").alias("label"), F.max_by("text", order).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
