@@ -152,6 +152,27 @@ def test_ngram_join_frequent_grams(make, monkeypatch):
     assert Counter(map(tuple, ngram_join.link(make(rows)).collect())) == components(rows)
 
 
+# -- 6 packing, 7 quality: repeated ids ---------------------------------------------------
+
+
+def test_packing_spreads_pieces_that_are_alike(spark):
+    cut = spark.range(2000, numPartitions=4).select(
+        F.col("id").alias("piece"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("start"),
+        F.lit(2048).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"),
+        F.lit(2048).cast("long").alias("doc_tokens"))
+    got = packing.layout(cut, group_pieces=200).collect()
+    sizes = Counter(r.sequence_id % 10 for r in got)
+    assert len(got) == 2000 and len({r.sequence_id for r in got}) == 2000 and max(sizes.values()) < 400
+
+
+def test_quality_learns_one_row_of_an_id(spark, make, monkeypatch):
+    learnt = []
+    monkeypatch.setattr(quality, "train", lambda rows, labels: learnt.append(labels.tolist()))
+    docs = make([(1, "good words here")] * 50 + [(1, "another text"), (2, "bad bad"), (3, None), (9, "no label")])
+    quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int"))
+    assert learnt == [[1, 0, 0]]
+
+
 # -- 8 substrings ----------------------------------------------------------------------
 
 

@@ -9,7 +9,9 @@ class and group.
 
 Definitions. A null or empty text has the end id only. Every id lies in exactly one piece.
 Repeated rows are packed each. Equal lengths are placed in order of id and place, so the
-result does not depend on how rows arrive. Extra columns are ignored. An empty table gives
+result does not depend on how rows arrive; only pieces that are alike in id, place, length
+and checksum, and so many that they would fill a tenth of a group, are dealt by their
+number, which spreads them. Extra columns are ignored. An empty table gives
 an empty result.
 """
 
@@ -136,7 +138,16 @@ def layout(cut: DataFrame, room: int = ROOM, group_pieces: int = GROUP_PIECES) -
         return group.drop(columns="group")
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(groups)))
+    alike = ["doc_id", "start", "length", "ids_crc32"]
+    # No more than ten per group, so they can be broadcast.
+    often = cut.groupBy(*alike).agg(F.count("*").alias("times")).where(F.col("times") * 10 > group_pieces)
+    often = F.broadcast(often.select(*[F.col(c).alias(f"often_{c}") for c in alike]))
+    same = F.lit(True)
+    for c in alike:
+        same = same & F.col(c).eqNullSafe(F.col(f"often_{c}"))
+    number = F.when(F.col("often_length").isNotNull(), F.col("piece"))
+    dealt = cut.join(often, same, "left").withColumn("group", F.pmod(F.xxhash64(*alike, number), F.lit(groups)))
+    dealt = dealt.drop(*[f"often_{c}" for c in alike])
     return dealt.groupBy("group").applyInPandas(pack, schema + ", sequence_id long, offset long")
 
 
