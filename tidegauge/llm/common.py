@@ -88,6 +88,18 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return codes, coded.dictionary, bounds
 
 
+def rewritten(texts: pa.Array, change) -> pa.Array:
+    """The texts after ``change`` of all their bytes, which keeps the number of bytes; a null text is empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    if not len(texts) or data is None:
+        return texts
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    part = data.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
+    return pa.Array.from_buffers(
+        pa.large_string(), len(texts), [None, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(change(part))])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64-bit integers that spreads their bits."""
     x = x.astype(U64, copy=True)

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, quality, records, secrets, substrings, topk
+from tidegauge.llm import (
+    decontamination, exact_dedup, line_dedup, merkle, mixing, ngram_join, oracles, packing, quality, records, secrets,
+    spelling, substrings, topk,
+)
 from tidegauge.llm.common import table, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -204,3 +207,19 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.label(table(spark, folder, "documents"))
+
+
+@query(oracles.decontamination_sql())
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontamination.digest(decontamination.find(docs, items))
+
+
+@query(oracles.manifest_sql())
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.digest(merkle.manifest(table(spark, folder, "documents")))
+
+
+@query(oracles.spelling_sql())
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
