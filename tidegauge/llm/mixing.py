@@ -1,36 +1,49 @@
 """Mixing sources to target weights by raking.
 
 Documents are counted into cells of all dimensions (say source, language and topic), with
-their tokens as weight. Iterative proportional fitting scales the cells so that the share
-of every value of every dimension comes to its target; each sweep scales one dimension
-after the other. A cell's factor is its raked share over its own. Factors become sampling
-probabilities min(1, rate * factor), the rate being such that the expected tokens are the
-wanted part of all tokens. A document is taken if a hash of its id, uniform in [0, 1), is
-below its probability, so a lost task takes the same documents again.
-
-Cells are a table with one row per combination of values that occurs. The rate needs
-running sums over that table in order of factor, which is one task over cells, not
-documents.
+their tokens as weight. Iterative proportional fitting gives every value of every dimension
+a factor; a cell's probability is the product of its factors, at most 1. Each sweep goes
+over the dimensions and sets each value's factor so that the expected tokens of the value,
+with those of its cells that are whole at 1 left as they are and the others scaled, are its
+target. So cells that run out are raked again with all others, until the shares agree.
+
+The expected tokens are the wanted part of all tokens, or less: no value can give more than
+it has, so the part is at most the least ratio of a value's tokens to its target, and where
+the targets are not met within ``TOLERANCE`` even so, as the values of several dimensions
+stand in each other's way, the largest of ``FRACTIONS`` of it at which they are (if there is
+none, that with the smallest deviation). ``shares`` returns what is reached. A document is
+taken if a hash of its id, uniform in [0, 1), is below its probability, so a lost task takes
+the same documents again.
+
+Cells are a table with one row per combination of values that occurs. Up to ``FEW_CELLS``
+of them are raked in one task, more by exchanges on the values.
 
 Definitions. A null value of a dimension is a value of its own. Target shares are taken
 relative to each other over the values that have tokens. Documents without tokens have
-probability 0. Rows with equal ids fall together. With few sweeps, or targets that no
-scaling can meet at once, the last dimension is met exactly and the others nearly. Extra
-columns pass through, except that ``probability`` and ``sampled`` are replaced. An empty
-table gives an empty result.
+probability 0. Rows with equal ids fall together. Extra columns of any name pass through,
+except that ``probability`` and ``sampled`` are replaced; a dimension may not be called
+``tokens``, by which targets know a value's tokens. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.common import hash_uniform
+from tidegauge.functions.common import hash_uniform, require
 from tidegauge.llm.common import own_name, saved
 
-SWEEPS = 8
+SWEEPS = 16
+TOLERANCE = 0.001
+FRACTIONS = (1.0, 0.75, 0.5, 0.25)
+FEW_CELLS = 20_000
+#: Factors stay between this and its inverse, so that products of a few are finite.
+LEAST = 1e-90
+#: Sweeps that are planned together.
+PLANNED = 4
 
 
 def tempered(power: float) -> Column:
@@ -47,44 +60,72 @@ def listed(column: str, shares: Mapping[str, float], other: float = 0.0) -> Colu
 
 
 def cells_of(docs: DataFrame, dimensions: list[str], tokens: str) -> DataFrame:
-    """Tokens of each combination of values that has any."""
-    return docs.groupBy(*dimensions).agg(F.sum(tokens).alias("tokens")).where(F.col("tokens") > 0)
+    """``d0``, ``d1``, ... and ``tokens`` of each combination of values that has any."""
+    keys = [F.col(f"`{n}`").alias(f"d{i}") for i, n in enumerate(dimensions)]
+    return docs.groupBy(*keys).agg(F.sum(tokens).alias("tokens")).where(F.col("tokens") > 0)
 
 
 def with_targets(cells: DataFrame, targets: Mapping[str, Column]) -> DataFrame:
-    """Add ``target_<dimension>``: the wanted share of the cell's value."""
-    for name, wanted in targets.items():
-        shares = cells.groupBy(name).agg(F.sum("tokens").alias("tokens")).withColumn("_wanted", wanted)
+    """Add ``t0``, ``t1``, ...: the wanted share of the cell's value in each dimension."""
+    for i, (name, wanted) in enumerate(targets.items()):
+        values = cells.groupBy(F.col(f"d{i}").alias(name)).agg(F.sum("tokens").alias("tokens"))
+        values = values.select(F.col(f"`{name}`").alias("_value"), wanted.alias("_wanted"))
         whole = F.sum("_wanted").over(Window.partitionBy())
-        shares = shares.select(F.col(name).alias("_value"), (F.col("_wanted") / whole).alias(f"target_{name}"))
-        cells = cells.join(shares, F.col(name).eqNullSafe(F.col("_value"))).drop("_value")
+        values = values.select("_value", (F.col("_wanted") / whole).alias(f"t{i}"))
+        cells = cells.join(values, F.col(f"d{i}").eqNullSafe(F.col("_value"))).drop("_value")
     return cells
 
 
-def rake(cells: DataFrame, dimensions: list[str], sweeps: int = SWEEPS) -> DataFrame:
-    """Add ``share``: the cell's part of all tokens after raking to the targets."""
-    out = cells.withColumn("share", F.col("tokens").cast("double"))
-    for _ in range(sweeps):
-        for name in dimensions:
-            whole = F.sum("share").over(Window.partitionBy(name))
-            out = out.withColumn("share", F.col(f"target_{name}") * F.col("share") / whole)
-    return out
-
-
-def probabilities(raked: DataFrame, part: float) -> DataFrame:
-    """Add ``probability`` such that the expected tokens are ``part`` of all tokens."""
-    all_cells = Window.partitionBy()
-    total = F.sum("tokens").over(all_cells)
-    by_factor = Window.orderBy(F.desc("factor"), F.desc("tokens")).rowsBetween(Window.unboundedPreceding, -1)
-    # If the cells before this one are taken whole, the rest is scaled by this rate; the true rate is the largest.
-    capped = F.coalesce(F.sum("tokens").over(by_factor), F.lit(0))
-    scaled = F.col("factor_tokens") - F.coalesce(F.sum(F.col("factor") * F.col("tokens")).over(by_factor), F.lit(0.0))
-    out = raked.withColumn("factor", F.col("share") * total / F.col("tokens"))
-    out = out.withColumn("factor_tokens", F.sum(F.col("factor") * F.col("tokens")).over(all_cells))
-    out = out.withColumn("rate", F.when(scaled > F.col("factor_tokens") * 1e-12, (part * total - capped) / scaled))
-    return out.withColumn(
-        "probability", F.least(F.lit(1.0), F.max("rate").over(all_cells) * F.col("factor"))
-    ).drop("factor_tokens", "rate")
+def _product(names: list[str]) -> Column:
+    return reduce(lambda a, b: a * b, [F.col(n) for n in names])
+
+
+def rake(cells: DataFrame, dimensions: int, part: float, sweeps: int = SWEEPS) -> DataFrame:
+    """Every cell, for each of ``FRACTIONS``, with its ``part`` and ``probability``."""
+    every, total = range(dimensions), F.sum("tokens").over(Window.partitionBy())
+    bounds = [F.sum("tokens").over(Window.partitionBy(f"d{i}")) / (F.col(f"t{i}") * total) for i in every]
+    out = cells.withColumn("_bound", F.least(*bounds) if dimensions > 1 else bounds[0])
+    most = F.least(F.lit(float(part)), F.min("_bound").over(Window.partitionBy()))
+    out = out.withColumn("_most", most).withColumn("_total", total.cast("double"))
+    out = out.withColumn("fraction", F.explode(F.array(*[F.lit(x) for x in FRACTIONS])))
+    out = out.withColumn("part", F.col("_most") * F.col("fraction")).drop("_bound", "_most")
+    out = out.withColumns({f"f{i}": F.lit(1.0) for i in every})
+    for sweep in range(sweeps):
+        for i in every:
+            own = Window.partitionBy("fraction", f"d{i}")
+            by = own.orderBy(F.desc("_others"))
+            # If the cells before this one are whole, the others have this factor; the true one is the largest.
+            before = F.coalesce(F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            rest = F.sum(F.col("_others") * F.col("tokens")).over(by.rowsBetween(0, Window.unboundedFollowing))
+            wanted = F.col(f"t{i}") * F.col("part") * F.col("_total")
+            others = [f"f{j}" for j in every if j != i]
+            out = out.withColumn("_others", _product(others) if others else F.lit(1.0))
+            out = out.withColumn("_own", (wanted - before) / rest)
+            best = F.least(F.lit(1 / LEAST), F.greatest(F.lit(LEAST), F.max("_own").over(own)))
+            out = out.withColumn(f"f{i}", best).drop("_others", "_own")
+        if sweep % PLANNED == PLANNED - 1:
+            out = saved(out, "raking")
+            out = out.coalesce(1) if _few(cells) else out
+    return out.withColumn("probability", F.least(F.lit(1.0), _product([f"f{i}" for i in every])))
+
+
+def _few(cells: DataFrame) -> bool:
+    return cells.limit(FEW_CELLS + 1).count() <= FEW_CELLS
+
+
+def chosen(raked: DataFrame, dimensions: int, tolerance: float = TOLERANCE) -> DataFrame:
+    """The cells at the largest fraction whose shares meet the targets."""
+    expected = F.col("probability") * F.col("tokens")
+    raked = raked.withColumn("_expected", F.sum(expected).over(Window.partitionBy("fraction")))
+    away = [
+        F.abs(F.sum(expected).over(Window.partitionBy("fraction", f"d{i}")) / F.col("_expected") - F.col(f"t{i}"))
+        for i in range(dimensions)
+    ]
+    raked = raked.withColumn("_away", F.greatest(*away) if dimensions > 1 else away[0])
+    away = F.max("_away").over(Window.partitionBy("fraction"))
+    raked = raked.withColumn("_rank", F.when(away <= tolerance, -F.col("fraction")).otherwise(away))
+    raked = raked.withColumn("_first", F.min("_rank").over(Window.partitionBy()))
+    return raked.where(F.col("_rank") == F.col("_first")).drop("_expected", "_away", "_rank", "_first")
 
 
 def mix(docs: DataFrame, targets: Mapping[str, Column], tokens: str, part: float, seed: int = 0,
@@ -92,19 +133,41 @@ def mix(docs: DataFrame, targets: Mapping[str, Column], tokens: str, part: float
     """All documents with ``probability`` and ``sampled``. ``targets`` has the wanted weight of each
     dimension's values, as a column of ``tokens`` (those of the value) or of the value."""
     names = list(targets)
+    require("tokens" not in names, "a dimension may not be called tokens")
     docs = docs.drop("probability", "sampled")
-    cells = saved(cells_of(docs, names, tokens), "cells")
-    found = saved(probabilities(rake(with_targets(cells, targets), names, sweeps), part), "raked")
+    cells = saved(with_targets(saved(cells_of(docs, names, tokens), "cells"), targets), "cell-targets")
+    cells = cells.coalesce(1) if _few(cells) else cells
+    found = saved(chosen(rake(cells, len(names), part, sweeps), len(names)), "raked")
     keys = {n: own_name(docs.columns, f"cell_{n}") for n in names}
-    found = found.select(*[F.col(n).alias(k) for n, k in keys.items()], "probability")
+    chance = own_name(docs.columns, "chance")
+    found = found.select(
+        *[F.col(f"d{i}").alias(k) for i, k in enumerate(keys.values())], F.col("probability").alias(chance))
     same = F.lit(True)
     for n, k in keys.items():
-        same = same & docs[n].eqNullSafe(found[k])
-    chance = F.when(F.col(tokens) > 0, F.col("probability")).otherwise(0.0)
+        same = same & docs[f"`{n}`"].eqNullSafe(found[k])
+    own = F.when(F.col(f"`{tokens}`") > 0, F.col(chance)).otherwise(0.0)
     return (
-        docs.join(found, same, "left")
-        .drop(*keys.values())
-        .withColumn("probability", F.coalesce(chance, F.lit(0.0)))
+        docs.join(F.broadcast(found) if _few(found) else found, same, "left")
+        .withColumn("probability", F.coalesce(own, F.lit(0.0)))
+        .drop(*keys.values(), chance)
         .withColumn("sampled", hash_uniform(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), seed=seed)
                     < F.col("probability"))
     )
+
+
+def shares(mixed: DataFrame, targets: Mapping[str, Column], tokens: str) -> DataFrame:
+    """``dimension``, ``value``, and its shares: of all tokens, ``target``, ``expected`` and ``sampled``."""
+    out = []
+    for name, wanted in targets.items():
+        per = mixed.where(F.col(f"`{tokens}`") > 0).groupBy(F.col(f"`{name}`").alias(name)).agg(
+            F.sum(tokens).alias("tokens"), F.sum(F.col(tokens) * F.col("probability")).alias("_expected"),
+            F.sum(F.when(F.col("sampled"), F.col(tokens)).otherwise(0)).alias("_sampled"))
+        per = per.select(
+            F.lit(name).alias("dimension"), F.col(f"`{name}`").cast("string").alias("value"),
+            F.col("tokens").alias("all"), wanted.alias("target"), F.col("_expected").alias("expected"),
+            F.col("_sampled").alias("sampled"))
+        whole = Window.partitionBy("dimension")
+        out.append(per.select(
+            "dimension", "value",
+            *[(F.col(c) / F.sum(c).over(whole)).alias(c) for c in ("all", "target", "expected", "sampled")]))
+    return reduce(DataFrame.unionByName, out)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import (
@@ -46,9 +46,12 @@ def with_topic(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"topic": F.expr(topic), "tokens": F.regexp_count(text, F.lit(WORD)).cast("long")})
 
 
+def mixing_targets() -> dict[str, Column]:
+    return {name: mixing.tempered(power) for name, power in MIX_POWERS.items()}
+
+
 def mixed(docs: DataFrame) -> DataFrame:
-    targets = {name: mixing.tempered(power) for name, power in MIX_POWERS.items()}
-    return mixing.mix(with_topic(docs), targets, "tokens", MIX_PART, MIX_SEED)
+    return mixing.mix(with_topic(docs), mixing_targets(), "tokens", MIX_PART, MIX_SEED)
 
 
 def mixing_sql() -> str:
@@ -59,16 +62,28 @@ def mixing_sql() -> str:
         for n, p in MIX_POWERS.items()
     ]
     joins = " ".join(f"JOIN {n}_s ON {n} IS NOT DISTINCT FROM {n}_s.v" for n in names)
+    bounds = ", ".join(f"sum(tokens) OVER (PARTITION BY {n}) / ({n}_s.s * sum(tokens) OVER ())" for n in names)
+    fractions = ", ".join(f"({x}::DOUBLE)" for x in mixing.FRACTIONS)
+    factors = " * ".join(f"f_{n}" for n in names)
     steps.append(
-        f"r0 AS (SELECT {', '.join(names)}, tokens, tokens::DOUBLE AS share, "
-        f"{', '.join(f'{n}_s.s AS g_{n}' for n in names)} FROM cells {joins})"
+        f"""b AS (SELECT {', '.join(names)}, tokens, {', '.join(f'{n}_s.s AS g_{n}' for n in names)},
+            least({bounds}) AS bound FROM cells {joins}),
+        r0 AS (SELECT b.* EXCLUDE (bound), fraction, {', '.join(f'1.0::DOUBLE AS f_{n}' for n in names)},
+            fraction * least({MIX_PART}, min(bound) OVER ()) * (SELECT sum(tokens) FROM cells) AS wanted
+            FROM b, (VALUES {fractions}) x(fraction))"""
     )
     for i in range(mixing.SWEEPS * len(names)):
         n = names[i % len(names)]
+        others = " * ".join(f"f_{m}" for m in names if m != n)
         steps.append(
-            f"r{i + 1} AS MATERIALIZED (SELECT * REPLACE "
-            f"(g_{n} * share / sum(share) OVER (PARTITION BY {n}) AS share) FROM r{i})"
+            f"""q{i} AS MATERIALIZED (SELECT *, (g_{n} * wanted - coalesce(sum(tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(tokens * ({others})) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own
+            FROM r{i} WINDOW w AS (PARTITION BY fraction, {n} ORDER BY {others} DESC)),
+            r{i + 1} AS MATERIALIZED (SELECT * EXCLUDE (own) REPLACE (least({1 / mixing.LEAST}, greatest({mixing.LEAST},
+            max(own) OVER (PARTITION BY fraction, {n}))) AS f_{n}) FROM q{i})"""
         )
+    away = ", ".join(
+        f"abs(sum(e) OVER (PARTITION BY fraction, {n}) / sum(e) OVER (PARTITION BY fraction) - g_{n})" for n in names)
     return f"""
     WITH docs AS (
         SELECT doc_id, source, lang, {TOPIC_SQL.format(digits="regexp_matches(text, '[0-9]{7}')")} AS topic,
@@ -77,20 +92,15 @@ def mixing_sql() -> str:
     ), cells AS (
         SELECT {', '.join(names)}, sum(tokens)::BIGINT AS tokens FROM docs GROUP BY ALL HAVING sum(tokens) > 0
     ), {', '.join(steps)},
-    f AS (SELECT *, share * (sum(tokens) OVER ()) / tokens AS factor FROM r{mixing.SWEEPS * len(names)}),
-    c AS (
-        SELECT *, coalesce(sum(tokens) OVER b, 0) AS capped,
-            (SELECT sum(factor * tokens) FROM f) AS whole,
-            (SELECT sum(factor * tokens) FROM f) - coalesce(sum(factor * tokens) OVER b, 0) AS scaled
-        FROM f
-        WINDOW b AS (ORDER BY factor DESC, tokens DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-    ), k AS (
-        SELECT max(({MIX_PART} * (SELECT sum(tokens) FROM cells) - capped) / scaled) AS rate
-        FROM c WHERE scaled > whole * 1e-12
-    ), p AS (
-        SELECT d.*, CASE WHEN d.tokens > 0 THEN least(1.0, rate * factor) ELSE 0 END AS probability
-        FROM docs d CROSS JOIN k
-        LEFT JOIN f ON {' AND '.join(f'd.{n} IS NOT DISTINCT FROM f.{n}' for n in names)}
+    raked AS (SELECT *, least(1.0, {factors}) AS p, tokens * least(1.0, {factors}) AS e FROM r{mixing.SWEEPS * len(names)}),
+    away AS (SELECT *, greatest({away}) AS away FROM raked),
+    pick AS (
+        SELECT fraction FROM away GROUP BY fraction
+        ORDER BY CASE WHEN max(away) <= {mixing.TOLERANCE} THEN -fraction ELSE max(away) END LIMIT 1
+    ), f AS (SELECT * FROM raked WHERE fraction = (SELECT fraction FROM pick)),
+    p AS (
+        SELECT d.*, CASE WHEN d.tokens > 0 THEN f.p ELSE 0 END AS probability
+        FROM docs d LEFT JOIN f ON {' AND '.join(f'd.{n} IS NOT DISTINCT FROM f.{n}' for n in names)}
     )
     SELECT doc_id, source, lang, topic, tokens, round(probability, 9) AS probability,
         ('0x' || substr(md5(doc_id || '|{MIX_SEED}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < probability AS sampled
