@@ -5,7 +5,9 @@ n-grams. A document is the mean of its words and of the vectors of its hashed wo
 bigrams (a word followed by itself has a bucket of its own, whatever the word). A softmax
 layer gives the probability of each label. All vectors are learnt together by stochastic
 gradient descent in numpy, on a sample of labelled documents of at most ``sample`` rows
-(those with the smallest hash of their id); the model has a fixed size and is broadcast.
+(those with the smallest hash of their id). Tasks write the features of the sample; each
+epoch is a job whose one task reads them in an order of its own, batch by batch, and moves
+the model. The model has a fixed size (6 MB) and is all that the driver holds.
 
 Definitions. Only the text is an input of a score. Null and empty texts get the score of
 the bias alone. Labels that are null are left out; of several labels of an id the greatest
@@ -91,28 +93,51 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.int32), np.bincount(place, weights=weight).astype(np.float32)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE,
-          seed: int = SEED) -> Model:
-    """Stochastic gradient descent over sparse means; the rate falls to zero linearly."""
+def start(seed: int = SEED) -> Model:
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMS, 1 / DIMS, (3 * BUCKETS, DIMS)).astype(np.float32)
-    weights, bias = np.zeros((DIMS, 2), np.float32), np.zeros(2, np.float32)
-    steps, done = epochs * len(rows), 0
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            bucket, weight = rows[i]
-            hidden = weight @ vectors[bucket]
-            z = hidden @ weights + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[labels[i]] -= 1
-            step = np.float32(rate * (1 - done / steps))
-            back = weights @ p
-            weights -= step * np.outer(hidden, p)
-            bias -= np.float32(0.1) * step * p
-            vectors[bucket] -= step * weight[:, None] * back
-            done += 1
-    return Model(vectors, weights, bias)
+    return Model(vectors, np.zeros((DIMS, 2), np.float32), np.zeros(2, np.float32))
+
+
+def learn(model: Model, bucket: np.ndarray, weight: np.ndarray, label: int, step: np.float32) -> None:
+    """One step of stochastic gradient descent over the sparse mean of a text."""
+    hidden = weight @ model.vectors[bucket]
+    z = hidden @ model.weights + model.bias
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    p[label] -= 1
+    back = model.weights @ p
+    model.weights -= step * np.outer(hidden, p)
+    model.bias -= np.float32(0.1) * step * p
+    model.vectors[bucket] -= step * weight[:, None] * back
+
+
+def train(features: DataFrame, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
+    """Learn from a saved table of ``id``, ``label``, ``buckets``, ``weights``; the rate falls to zero linearly."""
+    spark, model, rows = features.sparkSession, start(seed), features.count()
+    if not rows:
+        return Model(np.zeros_like(model.vectors), model.weights, model.bias)
+    for epoch in range(epochs):
+        sent = spark.sparkContext.broadcast((model.vectors, model.weights, model.bias))
+
+        def run(batches: Iterator[pa.RecordBatch], done: int = epoch * rows, sent=sent) -> Iterator[pa.RecordBatch]:
+            own = Model(*[x.copy() for x in sent.value])
+            for batch in batches:
+                for label, bucket, weight in zip(*(batch.column(c) for c in ("label", "buckets", "weights"))):
+                    step = np.float32(rate * (1 - done / (epochs * rows)))
+                    learn(own, np.frombuffer(bucket.as_buffer(), np.int32), np.frombuffer(weight.as_buffer(), np.float32),
+                          label.as_py(), step)
+                    done += 1
+            parts = [pa.array([x.tobytes()], pa.binary()) for x in (own.vectors, own.weights, own.bias)]
+            yield pa.RecordBatch.from_arrays(parts, names=["vectors", "weights", "bias"])
+
+        # The steps of an epoch follow each other: one task, over a sample of bounded size.
+        ordered = features.coalesce(1).sortWithinPartitions(F.xxhash64("id", F.lit(seed + epoch)), "id")
+        parts = ordered.mapInArrow(run, "vectors binary, weights binary, bias binary").first()
+        arrays = [np.frombuffer(bytes(p), np.float32) for p in parts]
+        model = Model(*[a.reshape(x.shape) for a, x in zip(arrays, (model.vectors, model.weights, model.bias))])
+        sent.unpersist()
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE_ROWS,
@@ -146,13 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
                 names=["id", "label", "buckets", "weights"],
             )
 
-    # Written by the tasks and fetched part by part: the driver holds the sample once, and its JVM one part.
-    kept = saved(rows.mapInArrow(extract, "id string, label int, buckets binary, weights binary"), "features")
-    got = sorted((tuple(r) for r in kept.toLocalIterator()), key=lambda r: r[:2])
-    if not got:
-        return Model(np.zeros((3 * BUCKETS, DIMS), np.float32), np.zeros((DIMS, 2), np.float32), np.zeros(2, np.float32))
-    pairs = [(np.frombuffer(b, np.int32), np.frombuffer(w, np.float32)) for _, _, b, w in got]
-    return train(pairs, np.array([label for _, label, _, _ in got]))
+    return train(saved(rows.mapInArrow(extract, "id string, label int, buckets binary, weights binary"), "features"))
 
 
 def probabilities(model: Model, texts: pa.Array) -> np.ndarray:
