@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.llm import (
-    common, exact_dedup, line_dedup, mixing, ngram_join, packing, quality, records, secrets, substrings,
+    common, exact_dedup, line_dedup, mixing, ngram_join, packing, quality, queries, records, secrets, substrings,
 )
 from tidegauge.llm.tokens import Encoder
 
@@ -167,10 +167,10 @@ def test_packing_spreads_pieces_that_are_alike(spark):
 
 def test_quality_learns_one_row_of_an_id(spark, make, monkeypatch):
     learnt = []
-    monkeypatch.setattr(quality, "train", lambda rows, labels: learnt.append(labels.tolist()))
+    monkeypatch.setattr(quality, "train", lambda rows: learnt.append(sorted((r.id, r.label) for r in rows.collect())))
     docs = make([(1, "good words here")] * 50 + [(1, "another text"), (2, "bad bad"), (3, None), (9, "no label")])
     quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int"))
-    assert learnt == [[1, 0, 0]]
+    assert learnt == [[("1", 1), ("2", 0), ("3", 0)]]
 
 
 # -- 8 substrings ----------------------------------------------------------------------
@@ -285,9 +285,12 @@ def line_rows():
     return rows
 
 
-@pytest.mark.parametrize("frequent", [24, 3])
-def test_lines(make, monkeypatch, frequent):
-    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+@pytest.mark.parametrize("often,hubs,shared", [(1000, 20_000, 4), (5, 20_000, 4), (0, 0, 1), (1000, 0, 9)])
+def test_lines(make, monkeypatch, often, hubs, shared):
+    """Without hubs, with some, and with a hub for every word; one common word that counts, and many."""
+    monkeypatch.setattr(line_dedup, "OFTEN", often)
+    monkeypatch.setattr(line_dedup, "FEW_HUBS", hubs)
+    monkeypatch.setattr(line_dedup, "SHARED", shared)
     rows = line_rows()
     got = line_dedup.dedup_lines(make(rows)).collect()
     assert Counter((r.doc_id, r.n_lines, r.n_removed, tuple(r.removed)) for r in got) == removed_lines(rows)
@@ -303,6 +306,48 @@ def test_lines_odd_rows(make, odd_rows):
     assert Counter((r.doc_id, r.n_lines, r.n_removed, tuple(r.removed)) for r in got) == removed_lines(rows)
 
 
+def test_lines_of_one_id_with_different_texts(make):
+    """They are ordered by a hash of the text; one of two equal lines stays."""
+    rows = [(11, "same line here\nfirst"), (11, "other\nsame line here"), (11, "same line here\nfirst"), (12, "same line here")]
+    got = line_dedup.dedup_lines(make(rows)).collect()
+    kept = {(r.doc_id, r.kept_text) for r in got}
+    assert len(got) == 4 and (12, "") in kept
+    assert kept - {(12, "")} in ({(11, "same line here\nfirst"), (11, "other")}, {(11, "first"), (11, "other\nsame line here")})
+
+
+def test_line_postings_are_exchanged_once(make, monkeypatch):
+    docs = line_dedup._documents(make(line_rows()), "doc_id", "text")
+    rows = common.saved(line_dedup.described(docs, line_dedup.word_levels(docs), 80), "test-lines")
+    found = common.saved(line_dedup.classes(rows), "test-classes")
+    plans, write = [], line_dedup.saved
+
+    def watched(df, *a):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *a)
+
+    monkeypatch.setattr(line_dedup, "saved", watched)
+    line_dedup._pairs(found, found.select("number").limit(3), 80)
+    assert len(plans) == line_dedup.PASSES and all("ReusedExchange" in p for p in plans)
+
+
+def test_long_lines_that_share_words(make):
+    """Lines of 40 to 160 words at similarities on both sides of the threshold."""
+    rng = np.random.default_rng(12)
+    rows, number = [], 0
+    for n in (40, 90, 160):
+        for _ in range(6):
+            base = [f"w{x}" for x in rng.choice(900, n, replace=False)]
+            for change in (0, 0.08, 0.1, 0.11, 0.12, 0.2):
+                line = list(base)
+                for at in rng.choice(n, int(n * change), replace=False):
+                    line[at] = f"w{rng.integers(0, 900)}"
+                rows.append((number, " ".join(rng.permutation(line))))
+                number += 1
+    got = line_dedup.dedup_lines(make(rows), with_text=False).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, tuple(r.removed)) for r in got) == removed_lines(rows)
+
+
 def test_lines_are_native(make):
     plan = line_dedup.dedup_lines(make(line_rows()))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -388,8 +433,9 @@ def test_encoder_equals_whole_texts(odd_rows):
 
 
 def test_records_round_trip(make, odd_rows, spark):
-    rows = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    index = records.write_records(make(odd_rows).repartition(4), TOKENIZER)
+    rows = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    rows = [r for r in rows if r[0] not in (None, 11)]  # ids that repeat with other texts are ordered by a hash
+    index = records.write_records(make(rows).repartition(4), TOKENIZER)
     want, start = Counter(), 0
     for (i, _), ids in zip(rows, encoded(rows)):
         want[i, start, len(ids), crc(ids)] += 1
@@ -401,6 +447,34 @@ def test_records_round_trip(make, odd_rows, spark):
     assert index.agg(F.countDistinct("file", "offset")).first()[0] == len(rows)
 
 
+@pytest.mark.parametrize("size", [200, 128_000_000])
+def test_records_in_many_files(spark, make, odd_rows, monkeypatch, size):
+    """Files cut by bytes, in order over all shards, each read by a task of its own; ids that repeat together."""
+    monkeypatch.setattr(records, "FILE_BYTES", size)
+    monkeypatch.setattr(records, "ROWS_OUT", 3)
+    rows = [(i * 7 % 301, f"text number {i} " * (i % 5)) for i in range(301)] + [r for r in odd_rows if r[0] in (None, 11)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        index = records.write_records(make(rows).repartition(4), TOKENIZER)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = index.groupBy("shard", "file").agg(F.sum("bytes").alias("b"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    files = files.orderBy("shard").collect()
+    assert len(files) > (40 if size == 200 else 4) and len({f.shard for f in files}) == len(files)
+    held = [f for f in files if f.lo is not None]
+    assert all(a.hi <= b.lo for a, b in zip(held, held[1:]))
+    back = records.read_files(index)
+    # Every file is in a partition of its own.
+    assert back.rdd.getNumPartitions() >= len(files) - 1
+    got = back.orderBy("start").collect()
+    ids = dict(zip(rows, encoded(rows)))
+    want = Counter((i, len(ids[i, t]), crc(ids[i, t])) for i, t in rows)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)]).tolist()[:-1]
+    order = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert order == sorted(order)
+
+
 def test_damaged_records():
     import io
 
@@ -493,14 +567,74 @@ def test_quality(make, spark, odd_rows):
     assert {r.score for r in quality.score(df, empty).collect()} == {0.5}
 
 
+def learnt_model(texts, labels, epochs=2):
+    model = quality.start()
+    rows = [quality.features(t) for t in texts]
+    for _ in range(epochs):
+        for (bucket, weight), label in zip(rows, labels):
+            quality.learn(model, bucket, weight, label, np.float32(0.5))
+    return model
+
+
 def test_quality_slices_do_not_change_scores():
-    model = quality.train([quality.features("a b c"), quality.features("d d d")], np.array([1, 0]), epochs=2)
+    model = learnt_model(["a b c", "d d d"], [1, 0])
     texts = ["a b c d", "", "d d", "x", "a b c d"]
     together = quality.probabilities(model, pa.array(texts))
     alone = [quality.probabilities(model, pa.array([t]))[0] for t in texts]
     assert np.allclose(together, alone)
 
 
+def test_quality_score_word_by_word():
+    """The score from its definition: word by word, gram by gram, pair by pair."""
+    texts = ["One two, two\nthree", "x", "", "ÄÖ ä日本 one one one"]
+    model = learnt_model(["one two three x", "ä ö two two"], [1, 0])
+
+    def word_vector(word):
+        own = common.hash_words(pa.array([word]))[0]
+        framed, at = b"<" + word.encode() + b">", [int(own) % quality.BUCKETS]
+        for size in quality.GRAMS:
+            for i in range(len(framed) - size + 1):
+                code = size
+                for byte in framed[i : i + size]:
+                    code = (code << 8 | byte) % 2**64
+                at.append(quality.BUCKETS + int(common.mix64(np.array([code], np.uint64))[0]) % quality.BUCKETS)
+        return np.mean([model.vectors[b].astype(float) for b in at], axis=0), own
+
+    def score(text):
+        words = [word_vector(w) for w in WORD.findall(text)]
+        parts = [v for v, _ in words]
+        for (_, a), (_, b) in zip(words, words[1:]):
+            code = (int(a) * 0x9E3779B97F4A7C15 + int(b)) % 2**64
+            pair = 0 if a == b else int(common.mix64(np.array([code], np.uint64))[0]) % (quality.BUCKETS - 1) + 1
+            parts.append(model.vectors[2 * quality.BUCKETS + pair].astype(float))
+        z = (np.sum(parts, axis=0) / len(parts) if parts else np.zeros(quality.DIMS)) @ model.weights + model.bias
+        return 1 / (1 + np.exp(z[0] - z[1]))
+
+    assert np.allclose(quality.probabilities(model, pa.array(texts)), [score(t) for t in texts], atol=1e-6)
+
+
+def test_quality_on_held_out_labels(spark, folder):
+    """Labels that nothing was learnt from: the score ranks and the threshold parts them."""
+    folder = f"{folder}/../sf0.1"
+    scored = queries.QUERIES["op7_quality"](spark, folder).where("held_out")
+    rows = scored.join(common.table(spark, folder, "labels").select("doc_id", "quality"), "doc_id").collect()
+    good = np.array([r.score for r in rows if r.quality == 1])
+    bad = np.array([r.score for r in rows if r.quality == 0])
+    assert len(good) > 100 and len(bad) > 100
+    assert (good[:, None] > bad).mean() > 0.95
+    assert np.mean([r.predicted for r in rows if r.quality == 1]) > 0.97
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.9
+
+
+def test_quality_trains_in_tasks(spark, make):
+    """What comes back is the model; an epoch takes the rows in another order; the result is the same again."""
+    docs = make([(i, f"word{i % 7} text{i % 3}") for i in range(40)])
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    first, second = quality.fit(docs, marks), quality.fit(docs.repartition(7), marks)
+    assert first.vectors.shape == (3 * quality.BUCKETS, quality.DIMS) and first.weights.any()
+    assert np.array_equal(first.vectors, second.vectors) and np.array_equal(first.weights, second.weights)
+
+
 # -- 1 mixing ------------------------------------------------------------------------------------
 
 
@@ -523,16 +657,85 @@ def test_mixing_meets_targets(spark):
     assert abs(taken - 0.2) < 0.03
 
 
-def test_mixing_caps_probabilities(spark):
+def reached(docs, targets, tokens, part, **options):
+    out = mixing.mix(docs, targets, tokens, part, **options)
+    return {(r.dimension, r.value): r for r in mixing.shares(out, targets, tokens).collect()}, out.toPandas()
+
+
+def test_mixing_takes_the_largest_part_that_meets_the_targets(spark):
+    """Half of all tokens is asked for, but a third may come from a value that has 5 of 1005."""
     docs = spark.createDataFrame([(i, "a" if i < 10 else "b", 10) for i in range(100)] + [(200, "c", 0), (None, None, 5)],
                                  "doc_id long, source string, tokens long")
-    out = mixing.mix(docs, {"source": mixing.tempered(0.0)}, "tokens", 0.5).toPandas()
-    assert out.probability.max() <= 1
-    assert abs((out.probability * out.tokens).sum() - 0.5 * out.tokens.sum()) < 1e-9
-    assert out[out.source == "a"].probability.min() == 1
+    got, out = reached(docs, {"source": mixing.tempered(0.0)}, "tokens", 0.5)
+    assert out[out.source.isna()].probability.tolist() == [1.0]
+    assert abs((out.probability * out.tokens).sum() - 15) < 1e-9
+    assert all(abs(r.expected - 1 / 3) < 1e-9 for r in got.values())
     assert out[out.source == "c"].probability.max() == 0
 
 
+def test_mixing_rakes_capped_cells_again(spark):
+    """Cells that are taken whole; those beside them make up for it in both dimensions."""
+    cells = {("a", "x"): 500, ("a", "y"): 10, ("b", "x"): 300, ("b", "y"): 40, ("c", "y"): 150}
+    docs = spark.createDataFrame([(k * 1000 + i, s, l, 1) for k, ((s, l), n) in enumerate(cells.items()) for i in range(n)],
+                                 "doc_id long, source string, lang string, tokens long")
+    targets = {"source": mixing.listed("source", {"a": 0.2, "b": 0.4, "c": 0.4}), "lang": mixing.listed("lang", {"x": 0.5, "y": 0.5})}
+    got, out = reached(docs, targets, "tokens", 0.3)
+    assert all(abs(r.expected - r.target) < mixing.TOLERANCE for r in got.values())
+    assert abs((out.probability * out.tokens).sum() - 300) < 1e-6
+    got, out = reached(docs, targets, "tokens", 1.0)
+    assert abs((out.probability * out.tokens).sum() - 150 / 0.4) < 1e-6 and out.probability.max() == 1
+    assert all(abs(r.expected - r.target) < mixing.TOLERANCE for r in got.values())
+
+
+def test_mixing_with_targets_that_exclude_each_other(spark):
+    """No scaling meets both dimensions: the fraction with the smallest deviation is taken."""
+    docs = spark.createDataFrame([(i, "a" if i % 4 else "b", "x" if i % 4 else "y", 1) for i in range(40)],
+                                 "doc_id long, source string, lang string, tokens long")
+    targets = {"source": mixing.listed("source", {"a": 0.9, "b": 0.1}), "lang": mixing.listed("lang", {"x": 0.1, "y": 0.9})}
+    got, out = reached(docs, targets, "tokens", 0.5)
+    assert out.probability.between(0, 1).all() and abs(got["lang", "y"].expected - 0.9) < 1e-6
+
+
+def test_mixing_in_exchanges_is_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    docs = spark.createDataFrame(
+        [(i, str(rng.integers(0, 9)), str(rng.integers(0, 3)), int(rng.integers(1, 99))) for i in range(300)],
+        "doc_id long, source string, lang string, tokens long")
+    targets = {"source": mixing.tempered(0.0), "lang": mixing.tempered(0.5)}
+    _, one = reached(docs, targets, "tokens", 0.9, sweeps=4)
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)
+    _, many = reached(docs, targets, "tokens", 0.9, sweeps=4)
+    both = one.set_index("doc_id").join(many.set_index("doc_id"), rsuffix="_")
+    assert np.allclose(both.probability, both.probability_, atol=1e-12)
+
+
+def test_mixing_with_clashing_names_and_repeated_rows(spark):
+    """Dimensions and further columns by names that are used inside; ids that repeat fall together."""
+    names = ["share", "factor", "rate", "target_source", "d0", "t1", "f0", "fraction", "part", "chance"]
+    rows = [(i // 2, "ab"[i % 2], ["x", None, "y"][i % 3], 5 + i % 7, *range(8)) for i in range(200)]
+    long = spark.range(1).selectExpr("repeat('word ', 200000) AS text").first().text
+    docs = spark.createDataFrame(
+        rows, "doc_id long, share string, factor string, rate long, " + ", ".join(f"{n} int" for n in names[3:]) + ", text int"
+    ).withColumn("text", F.lit(long))
+    targets = {"share": mixing.listed("share", {"a": 0.3, "b": 0.7}), "factor": mixing.tempered(0.0)}
+    got, out = reached(docs, targets, "rate", 0.2)
+    assert all(abs(r.expected - r.target) < mixing.TOLERANCE for r in got.values()) and len(out) == 200
+    assert out.columns.tolist() == [*docs.columns, "probability", "sampled"]
+    same = out.groupby(["doc_id", "share", out.factor.fillna("-")]).sampled.nunique()
+    assert same.max() == 1
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"tokens": mixing.tempered(1.0)}, "rate", 0.1)
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_mixing_query_meets_its_targets(spark, folder, scale):
+    """The shares that the production parameters reach."""
+    docs = common.table(spark, f"{folder}/../{scale}", "documents")
+    found = mixing.shares(queries.mixed(docs), queries.mixing_targets(), "tokens").collect()
+    assert len(found) == 29 and max(abs(r.expected - r.target) for r in found) < 0.001
+    assert max(abs(r.sampled - r.target) for r in found) < (0.05 if scale == "sf0.01" else 0.02)
+
+
 # -- empty tables ------------------------------------------------------------------------------
 
 
