@@ -4,36 +4,53 @@ A line is the set of its words (lower case, split at ASCII white space). A line
 earlier line, by document id and line number, has a Jaccard similarity of at least the
 threshold with it. Lines are judged on the input, so a line that goes still removes others.
 
-1. Words are counted, over all lines, in ``CELLS`` cells by hash. A cell's count is never
-   below that of its words, and on a logarithmic scale is one byte; all cells are one binary
-   value of fixed size. Words ordered by that byte, then by hash, are ordered by rarity.
-2. Equal sets are one class, with its first line. A class keeps the hashes of its prefix,
-   the n - ceil(threshold * n) + 1 rarest words: two similar sets share one of them.
-3. Each class meets, for every frequent prefix word, the class of that word that comes
-   first. This settles most lines of large groups of variants. The classes that are left
-   meet all classes with a common prefix word that come before them. Sizes (length
-   filter), places in the order (positional filter) and the parity of hashed words (which
-   bounds the difference of two sets) leave few pairs, whose words are then compared.
-
-Definitions. Hashes of words have 64 bits (56 where candidates are looked for), those of
-sets 128. A line without words stays.
-Null and empty texts have no lines. Rows with equal ids and texts are one document; equal
-ids with different texts are ordered by a hash of the text. A null id comes before all
-others. Extra columns are ignored. An empty table gives an empty result.
+1. Words are counted, by documents, in ``CELLS`` cells by hash. A cell's count is never
+   below that of its words; its binary logarithm is a level from 0 to 9, and all levels are
+   one constant of fixed size. Words ordered by level, then by hash, are ordered by rarity;
+   any fixed order gives exact results, a coarse one costs candidates.
+2. Equal sets are one class, with its first line and a number. A class has a posting for each
+   word of its prefix, the n - ceil(threshold * n) + 1 rarest: two similar sets share one.
+3. A word in the prefixes of more than ``OFTEN`` classes has a hub, the class with the first
+   line of those, which the others are compared with first. That settles most lines of large
+   groups of variants.
+4. Postings meet by word, a part of the words at a time. Two classes that are both settled are
+   left out; sizes (length filter), places in the order (positional filter) and the parity of
+   hashed words (which bounds the difference of two sets) leave few pairs. Similar sets share
+   not one of their first words but several, at places that move on with each; pairs that
+   share fewer are left out.
+5. Words are compared, for each class with the first of its candidates first, and with the
+   others if that is not similar.
+
+Postings are exchanged once and read on both sides of the join. The shuffle files of each
+step are given back before the next.
+
+Definitions. Hashes of words have 64 bits (56 in prefixes and in what tells classes apart,
+of which there are 128 bits a set). A line without words stays. Null and empty texts have no
+lines. Rows with equal ids and texts are one document; equal ids with different texts are
+ordered by a hash of the text. A null id comes before all others. Extra columns are ignored.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import join_groups, saved
+from tidegauge.llm.common import release, saved
 
 PERCENT = 80
-CELLS = 1 << 16
+CELLS = 1 << 18
 LEVEL = 1 << 56
-#: Prefix words with this byte or more are met by the first class of each first (about 256 lines).
-FREQUENT = 24
+#: A word in more prefixes than this has a hub.
+OFTEN = 1_000
+#: Hubs are broadcast up to this number.
+FEW_HUBS = 20_000
+#: Parts of the words whose postings meet one after the other.
+PASSES = 3
+#: Common words that are counted at most.
+SHARED = 4
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -49,169 +66,230 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _words() -> Column:
-    return F.array_distinct(F.array_remove(F.split("line", " "), ""))
-
-
-def _lines(docs: DataFrame, *others: str) -> DataFrame:
-    """``id``, ``text_key``, ``line_no``, ``words`` (distinct) of every line."""
+def _folded() -> Column:
+    """The text in lower case, with only blanks and line feeds as white space."""
     text = F.lower("text")
     for space in "\t\x0b\x0c\r":
         text = F.replace(text, F.lit(space), F.lit(" "))
-    rows = docs.select("id", "text_key", *others, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return rows.select("id", "text_key", *others, "line_no", _once(_words()).alias("words"))
-
-
-def _hashes() -> Column:
-    return F.sort_array(F.transform("words", lambda w: F.xxhash64(w)))
+    return text
 
 
-def _key(hashes: Column) -> Column:
-    """128 bits of a set of words, from its sorted hashes."""
-    halves = [F.lpad(F.hex(F.xxhash64(F.lit(seed), hashes)), 16, "0") for seed in (1, 2)]
-    return F.unhex(F.concat(*halves))
+def _cell(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
-def _cell(h: Column) -> Column:
-    return F.pmod(h, F.lit(CELLS)).cast("int")
-
-
-def word_counts(lines: DataFrame) -> DataFrame:
-    """One row, one column: a byte for each cell, three times the binary logarithm of its count."""
-    counted = lines.select(F.explode("words").alias("word")).groupBy(_cell(F.xxhash64("word")).alias("cell"))
-    counted = counted.agg(F.count("*").alias("times"))
-    cells = lines.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell"))
-    every = cells.join(counted, "cell", "left")
-    level = F.least(F.lit(127), F.floor(3 * F.log2(F.coalesce("times", F.lit(1)) + 1)))
-    bytes_ = F.transform(
-        F.sort_array(F.collect_list(F.struct("cell", F.lpad(F.hex(level), 2, "0").alias("byte")))), lambda x: x["byte"]
-    )
-    return every.agg(F.unhex(F.array_join(bytes_, "")).alias("levels"))
+def _level_of(count: Column) -> Column:
+    """0 to 9: a step for each factor of 4 from 2 on."""
+    return F.greatest(F.lit(0), F.least(F.lit(9), F.floor(F.log2(count) / 2))).cast("tinyint")
 
 
-def _level(levels: Column, h: Column) -> Column:
-    return F.ascii(F.substring(levels, _cell(h) + 1, F.lit(1)).cast("string")).cast("long")
+def word_levels(docs: DataFrame) -> Column:
+    """The level of each cell as a constant array, from the documents that have its words."""
+    # A document counts once for a word.
+    words = F.array_distinct(F.split(F.replace(_folded(), F.lit("\n"), F.lit(" ")), " "))
+    words = docs.select(F.explode(words).alias("word"))
+    counted = words.where("word <> ''").groupBy(_cell(F.xxhash64("word")).alias("cell"))
+    counted = counted.agg(_level_of(F.count("*").cast("double")).alias("level"))
+    # A row of two small numbers for each cell, so CELLS of them at most.
+    levels = bytearray(b"0" * CELLS)
+    for cell, level in saved(counted, "word-levels").toLocalIterator():
+        levels[cell] = ord("0") + level
+    return F.split(F.lit(levels.decode()), "").cast("array<tinyint>")
 
 
-def described(lines: DataFrame, levels: bytes, percent: int) -> DataFrame:
-    """Every line's ``place``, ``key`` (null without words), ``n``, ``prefix`` and ``parity``."""
-    rows = lines.select(
-        F.struct("id", "text_key", "line_no").alias("place"),
-        F.size("words").alias("n"),
-        _once(_hashes()).alias("hashes"),
-    )
+def described(docs: DataFrame, levels: Column, percent: int) -> DataFrame:
+    """Every line: ``id``, ``text_key``, ``line_no``, ``k1``, ``k2`` (null without words), ``n``, ``prefix``, ``parity``."""
+    lines = docs.select("id", "text_key", F.posexplode(F.split(_folded(), "\n")).alias("line_no", "line"))
+    hashes = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
+    hashes = F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
     # An ordered word is one number: the level above, the hash without its upper bits below.
-    ordered = F.sort_array(F.transform("hashes", lambda h: _level(F.lit(levels), h) * LEVEL + F.pmod(h, F.lit(LEVEL))))
-    rows = rows.select(
-        "place", F.when(F.col("n") > 0, _key(F.col("hashes"))).alias("key"), "n", ordered.alias("ordered"))
-    rows = rows.select("place", "key", "n", _once(F.col("ordered")).alias("ordered"))
+    ordered = F.transform(
+        hashes,
+        lambda h: F.shiftleft(F.get(levels, _cell(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(LEVEL - 1))))
+    rows = lines.select("id", "text_key", "line_no", _once(F.sort_array(ordered)).alias("ordered"))
+    n = F.size("ordered")
+    parity = F.aggregate(
+        "ordered", F.lit(0).cast("long"),
+        lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    some = n > 0
     return rows.select(
-        "place", "key", "n",
-        F.slice("ordered", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1).alias("prefix"),
-        F.aggregate("ordered", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(_bit(x))).alias("parity"),
+        "id", "text_key", "line_no",
+        *[F.when(some, F.xxhash64(F.lit(seed), "ordered")).alias(k) for seed, k in ((1, "k1"), (2, "k2"))],
+        n.alias("n"), F.slice("ordered", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int")).alias("prefix"),
+        parity.alias("parity"),
     )
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """One row per set: ``key``, ``n``, ``first`` (its first line), ``copies``, ``prefix``, ``parity``."""
-    return rows.where(F.col("key").isNotNull()).groupBy("key").agg(
-        F.min("place").alias("first"), F.count("*").alias("copies"),
-        F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("parity").alias("parity"),
-    )
+    """One row per set: ``number``, ``k1``, ``k2``, ``first`` (its first line), ``copies``, ``n``, ``prefix``, ``parity``."""
+    found = rows.where(F.col("k1").isNotNull()).groupBy("k1", "k2").agg(
+        F.min(F.struct("id", "text_key", "line_no")).alias("first"), F.count("*").alias("copies"),
+        F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("parity").alias("parity"))
+    return found.withColumn("number", F.monotonically_increasing_id())
 
 
-def _bit(h: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+def _postings(found: DataFrame, *others: str) -> DataFrame:
+    """``word``, ``number``, ``sizes`` (that of the set above, the word's place in the order below), ``parity``."""
+    rows = found.select("number", "n", "parity", *others, F.posexplode("prefix").alias("at", "word"))
+    sizes = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
+    return rows.select("word", "number", sizes.alias("sizes"), "parity", *others)
 
 
-def _may_match(a: str, b: str, percent: int) -> Column:
-    """Length, positional and parity filters for two postings of one word."""
-    n_a, n_b = F.col(f"{a}n"), F.col(f"{b}n")
+def _bounds(a: str, b: str, percent: int) -> tuple[Column, Column, Column]:
+    """For two postings of one word: length and parity filter, the least overlap, and what is left after the word."""
+    (n_a, at_a), (n_b, at_b) = (
+        (F.shiftright(f"{x}sizes", 32), F.col(f"{x}sizes").bitwiseAND(F.lit((1 << 32) - 1))) for x in (a, b))
     least = F.ceil((n_a + n_b) * percent / (100 + percent))
-    rest = F.least(n_a - F.col(f"{a}at"), n_b - F.col(f"{b}at"))
-    return (
-        (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent)
-        & (rest >= least)
-        & (F.bit_count(F.col(f"{a}parity").bitwiseXOR(F.col(f"{b}parity"))) <= n_a + n_b - 2 * least)
-    )
-
-
-def matched(found: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Keys of the classes that match a class with an earlier first line."""
-    postings = found.select("key", "first", "n", "parity", F.posexplode("prefix").alias("at", "word"))
-
-    def renamed(df: DataFrame) -> DataFrame:
-        return df.select("word", *[F.col(c).alias(f"e_{c}") for c in ("key", "first", "n", "parity", "at")])
-
-    def hits(later: DataFrame, earlier: DataFrame) -> DataFrame:
-        pairs = later.join(renamed(earlier), "word").where(
-            (F.col("e_first") < F.col("first")) & _may_match("", "e_", percent))
-        pairs = saved(pairs.select("key", "first", "e_key", "e_first").distinct(), "line-pairs")
-        return saved(_verified(pairs, docs, percent), "line-hits")
-
-    often = postings.where(F.col("word") >= FREQUENT * LEVEL)
-    hub = F.min(F.struct("first", "key", "n", "parity", "at")).alias("hub")
-    hubs = often.groupBy("word").agg(hub).select("word", "hub.*")
-    settled = hits(often, hubs)
-    rest = hits(postings.join(settled, "key", "left_anti"), postings)
-    return settled.unionByName(rest)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Keys of the later classes of pairs that are similar, from the words of their first lines."""
-    ends = pairs.select("key", F.col("first").alias("place")).unionByName(
-        pairs.select(F.col("e_key").alias("key"), F.col("e_first").alias("place"))).distinct()
-    asked = ends.groupBy(F.col("place.id").alias("a_id"), F.col("place.text_key").alias("a_key")).agg(
-        F.collect_list(F.struct(F.col("place.line_no").alias("line_no"), "key")).alias("asked"))
+    near = (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (
+        F.bit_count(F.col(f"{a}parity").bitwiseXOR(F.col(f"{b}parity"))) <= n_a + n_b - 2 * least)
+    return near, least, F.least(n_a - at_a, n_b - at_b)
+
+
+def _shared(a: str, b: str, least: Column, percent: int) -> Column:
+    """How many words two similar sets share in both prefixes, at least, counted up to ``SHARED``.
+
+    A set has n - least words that are not shared at most, so the k-th shared word is among its
+    first k + n - least, which are in the prefix for the first least - ceil(threshold * n) + 1.
+    """
+    larger = F.greatest(F.shiftright(f"{a}sizes", 32), F.shiftright(f"{b}sizes", 32))
+    return F.greatest(F.lit(1), F.least(F.lit(SHARED), least - F.ceil(larger * percent / 100) + 1))
+
+
+def _hub_pairs(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``x``, ``y`` of classes and the hubs of their frequent words that may match."""
+    least = F.lit(OFTEN).cast("double")
+    often = _postings(found, "first").where(F.col("word") >= F.shiftleft(_level_of(least).cast("long"), 56))
+    hub = F.min(F.struct("first", "number", "sizes", "parity")).alias("hub")
+    hubs = often.groupBy("word").agg(F.count("*").alias("times"), hub).where(F.col("times") > OFTEN)
+    hubs = saved(hubs.select("word", *[F.col(f"hub.{c}").alias(f"h_{c}") for c in ("number", "sizes", "parity")]), "hubs")
+    few = hubs.limit(FEW_HUBS + 1).count() <= FEW_HUBS
+    met = often.drop("first").join(F.broadcast(hubs) if few else hubs, "word")
+    near, overlap, rest = _bounds("", "h_", percent)
+    met = met.where((F.col("number") != F.col("h_number")) & near & (rest >= overlap))
+    return met.select(F.col("h_number").alias("x"), F.col("number").alias("y")).distinct()
+
+
+def _pairs(found: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes with enough common prefix words that may match; not both are settled."""
+    marked = found.join(settled.withColumn("settled", F.lit(True)), "number", "left")
+    parts = []
+    for part in range(PASSES):
+        postings = _postings(marked, "settled").where(F.pmod("word", F.lit(PASSES)) == part)
+        # The same plan on both sides, so that postings are exchanged once.
+        met = postings.alias("a").join(postings.alias("b"), F.col("a.word") == F.col("b.word"))
+        both = F.coalesce(F.col("a.settled") & F.col("b.settled"), F.lit(False))
+        near, least, rest = _bounds("a.", "b.", percent)
+        shared = _shared("a.", "b.", least, percent)
+        met = met.where((F.col("a.number") < F.col("b.number")) & ~both & near & (rest >= least - shared + 1))
+        met = met.groupBy(F.col("a.number").alias("x"), F.col("b.number").alias("y"))
+        parts.append(saved(
+            met.agg(F.count("*").alias("times"), F.max(shared).alias("shared"), F.max(rest - least).alias("spare")),
+            "line-pairs"))
+        release(parts[-1])
+    every = reduce(DataFrame.unionByName, parts).groupBy("x", "y").agg(
+        F.sum("times").alias("times"), F.max("shared").alias("shared"), F.max("spare").alias("spare"))
+    return every.where((F.col("times") >= F.col("shared")) & (F.col("spare") >= 0)).select("x", "y")
+
+
+def _ordered(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs as ``later`` and ``earlier`` by their first lines, with ``place`` of the earlier."""
+    for end in ("x", "y"):
+        places = found.select(F.col("number").alias(end), F.col("first").alias(f"{end}_first"))
+        pairs = pairs.join(places, end)
+    after = F.col("x_first") > F.col("y_first")
+    return pairs.select(
+        F.when(after, F.col("x")).otherwise(F.col("y")).alias("later"),
+        F.when(after, F.col("y")).otherwise(F.col("x")).alias("earlier"),
+        F.least("x_first", "y_first").alias("place"))
+
+
+def _similar(pairs: DataFrame, found: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """``number`` of the later class of each pair that is similar, from the words of their first lines."""
+    ends = pairs.select(F.explode(F.array("later", "earlier")).alias("number")).distinct()
+    asked = found.join(ends, "number").groupBy("first.id", "first.text_key").agg(
+        F.collect_list(F.struct("number", "first.line_no")).alias("asked"))
+    asked = asked.select(F.col("id").alias("a_id"), F.col("text_key").alias("a_key"), "asked")
     same = docs["id"].eqNullSafe(F.col("a_id")) & (docs["text_key"] == F.col("a_key"))
-    words = (
-        _lines(docs.join(asked, same), "asked")
-        .withColumn("asked", F.filter("asked", lambda x: x["line_no"] == F.col("line_no")))
-        .where(F.size("asked") > 0)
-        .groupBy(F.col("asked")[0]["key"].alias("key"))
-        .agg(F.any_value("words").alias("words"))
-    )
+    rows = docs.join(asked, same).select("asked", _once(F.split(_folded(), "\n")).alias("lines"))
+    line = F.transform("asked", lambda a: F.struct(a["number"].alias("number"), F.get("lines", a["line_no"]).alias("line")))
+    rows = rows.select(F.explode(line).alias("own"))
+    # A row that repeats has the same lines.
+    words = rows.groupBy(F.col("own.number").alias("number")).agg(
+        F.any_value(F.array_distinct(F.array_remove(F.split("own.line", " "), ""))).alias("words"))
     words = saved(words, "line-words")
-    both = (
-        pairs.join(words, "key")
-        .join(words.select(F.col("key").alias("e_key"), F.col("words").alias("e_words")), "e_key")
-        .withColumn("both", F.size(F.array_intersect("words", "e_words")))
-    )
-    union = F.size("words") + F.size("e_words") - F.col("both")
-    return both.where(F.col("both") * 100 >= union * percent).select("key").distinct()
+    release(words)
+    met = pairs.select("later", "earlier")
+    for end in met.columns:
+        met = met.join(words.select(F.col("number").alias(end), F.col("words").alias(f"{end}_words")), end)
+    met = met.withColumn("both", F.size(F.array_intersect("later_words", "earlier_words")))
+    union = F.size("later_words") + F.size("earlier_words") - F.col("both")
+    return met.where(F.col("both") * 100 >= union * percent).select(F.col("later").alias("number")).distinct()
+
+
+def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, percent: int) -> list[DataFrame]:
+    """``number`` of the classes that are later in a similar pair, in two parts."""
+    if pairs.isEmpty():
+        return []
+    ordered = saved(_ordered(pairs, found), "line-pairs")
+    release(ordered)
+    first = ordered.groupBy("later").agg(F.min_by("earlier", "place").alias("earlier"))
+    settled = saved(_similar(saved(first, "line-first"), found, docs, percent), "line-hits")
+    release(settled)
+    rest = ordered.join(settled.withColumnRenamed("number", "later"), "later", "left_anti").select("later", "earlier")
+    rest = saved(rest.join(first, ["later", "earlier"], "left_anti"), "line-rest")
+    if rest.isEmpty():
+        return [settled]
+    more = saved(_similar(rest, found, docs, percent), "line-hits")
+    release(more)
+    return [settled, more]
 
 
-def label_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document with lines: ``id``, ``text_key``, ``n_lines`` and ``removed`` (sorted numbers, from 0)."""
-    docs = _documents(docs, id_col, text_col)
-    lines = _lines(docs)
-    # One value of CELLS bytes; as a constant it is in the expression that looks words up, not in rows.
-    levels = bytes(word_counts(lines).first()[0])
-    rows = saved(described(lines, levels, percent), "lines")
+def matched(found: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``number`` of the classes that match a class with an earlier first line."""
+    none = found.select("number").limit(0)
+    by_hub = _verified(saved(_hub_pairs(found, percent), "line-pairs"), found, docs, percent)
+    settled = reduce(DataFrame.unionByName, by_hub, none)
+    pairs = saved(_pairs(found, settled, percent), "line-pairs")
+    release(pairs)
+    return reduce(DataFrame.unionByName, _verified(pairs, found, docs, percent), settled).distinct()
+
+
+def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``id``, ``text_key`` and ``removed`` (sorted numbers, from 0) of the documents that lose lines."""
+    rows = saved(described(docs, word_levels(docs), percent), "lines")
+    release(rows)
     found = saved(classes(rows), "line-classes")
-    repeats = matched(found, docs, percent).withColumn("similar", F.lit(True))
-    groups = saved(found.select("key", "first", "copies").join(repeats, "key", "left"), "line-groups")
-    placed = join_groups(rows.select("place", "key"), groups, ["key"], "copies", F.col("key").isNotNull())
-    placed = placed.select("place.*", "first", "similar", "place")
-    later = F.col("place") > F.col("first")
-    gone = F.col("similar").isNotNull() | F.coalesce(later, F.lit(False))
-    return placed.groupBy("id", "text_key").agg(
-        F.countDistinct("line_no").alias("n_lines"),
-        F.sort_array(F.collect_set(F.when(gone, F.col("line_no")))).alias("removed"),
-    )
+    release(found)
+    similar = matched(found, docs, percent).withColumn("similar", F.lit(True))
+    groups = found.select("number", "k1", "k2", "first", "copies").join(similar, "number", "left")
+    groups = saved(groups.where((F.col("copies") > 1) | F.col("similar")), "line-groups")
+    release(groups)
+    # A class of one line needs no look at the lines.
+    lone = groups.where(F.col("copies") == 1).select("first.*")
+    many = groups.where(F.col("copies") > 1)
+    total = many.agg(F.sum("copies")).first()[0] or 0
+    # Sets with more than a thousandth of these lines number less than a thousand.
+    hot = F.broadcast(many.where(F.col("copies") * 1000 > total))
+    lines, keys = rows.select("k1", "k2", "id", "text_key", "line_no"), ["k1", "k2"]
+    placed = lines.join(hot, keys).unionByName(
+        lines.join(hot, keys, "left_anti").join(many.where(F.col("copies") * 1000 <= total), keys))
+    place = F.struct("id", "text_key", "line_no")
+    gone = placed.where(F.col("similar") | (place > F.col("first"))).select("id", "text_key", "line_no")
+    return gone.unionByName(lone).groupBy("id", "text_key").agg(
+        F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
                 with_text: bool = True) -> DataFrame:
     """Every row as ``doc_id``, ``n_lines``, ``n_removed``, ``removed`` and, if asked for, ``kept_text``."""
-    found = label_lines(docs, percent, id_col, text_col)
+    found = removed_lines(_documents(docs, id_col, text_col), percent)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    n_lines = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("own_key"),
-                       *[text.alias("text")] * with_text)
+                       n_lines.cast("long").alias("n_lines"), *[text.alias("text")] * with_text)
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("text_key"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    out = rows.join(found, same, "left").withColumn("removed", removed).withColumn(
-        "n_lines", F.coalesce("n_lines", F.lit(0)).cast("long"))
+    out = rows.join(found, same, "left").withColumn("removed", removed)
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed",
                       *[F.array_join(kept, "\n").alias("kept_text")] * with_text)
