@@ -67,6 +67,34 @@ def test_chunks_change_nothing(events, name):
     same(plain, cut)
 
 
+@pytest.mark.parametrize("name", ["dedupe", "cooldown", "backoff", "breaker", "batch", "compact"])
+def test_tables_joined_by_doubling_change_nothing(events, name, monkeypatch):
+    """Chunks whose tables are too large for one task are put together by joins."""
+    monkeypatch.setattr(K, "RELAY_BYTES", 0)
+    same(CASES[name](events, None), CASES[name](events, 60))
+
+
+@pytest.mark.parametrize("limit,minutes", [(1, 10), (4, 10), (40, 3000), (2, 100_000)])
+def test_quota_from_guesses(events, limit, minutes):
+    """Short windows that forget at once, and a window that no chunk outlasts."""
+    same(K.quota(events, limit, minutes), K.quota(events, limit, minutes, max_rows=60))
+
+
+def test_no_task_reads_a_whole_key(spark):
+    """Of a frequent key, what a chunk passes on is far shorter than its events."""
+    from tidegauge.operators.machines import Breaker, tables
+
+    rows = spark.range(40_000).select(
+        F.lit("hot").alias("pipeline"), F.col("id").alias("event_id"), (F.col("id") % 7 > 0).alias("_ok"),
+        F.timestamp_micros(F.col("id") * 1_000_000).cast("timestamp_ntz").alias("triggered_at"),
+        (F.col("id") * 1_000_000).alias("_t"))
+    s = Spread(rows, ["pipeline"], ORDER, 5_000)
+    fields = K._fields(s, ["pipeline"], _table=K._RAW)
+    found = K._in_order(s, ["pipeline"], s.hot_rows).mapInArrow(tables(Breaker(5, 60_000_000), ["pipeline"]), fields)
+    sizes = [r.n for r in found.select(F.octet_length("_table").alias("n")).collect()]
+    assert len(sizes) == s.chunks >= 8 and max(sizes) < 10_000
+
+
 def test_hot_key_is_cut(events):
     s = Spread(events, KEYS, ORDER, 120)
     assert s.hot

@@ -1,9 +1,8 @@
-"""``skip`` and ``settle`` must agree with stepping over every event."""
+"""Runs, tables of chunks and tables put together must agree with stepping over every event."""
 
 import random
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from tidegauge.operators import machines as f
@@ -36,20 +35,6 @@ def stepped(m, state, t, ok):
     return state
 
 
-@pytest.mark.parametrize("name", MACHINES)
-@pytest.mark.parametrize("dense", [True, False])
-def test_skip_equals_step(name, dense):
-    rng = random.Random(7)
-    m = MACHINES[name]()
-    for _ in range(400):
-        t, ok = series(rng, rng.randint(2, 60), dense)
-        cut = rng.randint(0, len(t) - 1)
-        entry = stepped(m, m.start(), t[:cut], ok[:cut])
-        want = stepped(m, entry, t[cut:], ok[cut:])
-        got = m.skip(list(entry), t[cut:], ok[cut:])
-        assert alive(name, got, t[-1]) == alive(name, want, t[-1]), (t[cut:], ok[cut:], entry)
-
-
 @pytest.mark.parametrize("name", MACHINES)
 @pytest.mark.parametrize("dense", [True, False])
 def test_run_equals_step(name, dense):
@@ -68,23 +53,58 @@ def test_run_equals_step(name, dense):
             assert alive(name, other, t[-1]) == alive(name, state, t[-1])
 
 
-@pytest.mark.parametrize("name", MACHINES)
-def test_settle_forgets_the_past(name):
-    rng = random.Random(11)
+TABLED = [n for n, m in MACHINES.items() if isinstance(m(), f.Tabled)]
+
+
+@pytest.mark.parametrize("name", TABLED)
+@pytest.mark.parametrize("dense", [True, False])
+def test_table_equals_step(name, dense):
+    """A chunk's table sends every state before it to the state after it."""
+    rng = random.Random(7)
     m = MACHINES[name]()
-    hits = 0
-    for _ in range(300):
-        t, ok = series(rng, rng.randint(3, 40), dense=False)
-        cut = rng.randint(1, len(t) - 1)
+    for _ in range(400):
+        t, ok = series(rng, rng.randint(1, 60), dense)
+        cut = rng.randint(0, len(t) - 1)
         entry = stepped(m, m.start(), t[:cut], ok[:cut])
-        j = m.settle(t[cut:], ok[cut:])
-        if j is None:
-            continue
-        hits += 1
         want = stepped(m, entry, t[cut:], ok[cut:])
-        got = stepped(m, m.start(), t[cut + j :], ok[cut + j :])
-        assert alive(name, got, t[-1]) == alive(name, want, t[-1])
-    assert hits or name in ("backoff", "batch")
+        got = m.enter(m.table(t[cut:], ok[cut:]), m.columns(entry))[0, : m.width].tolist()
+        assert normal(name, got) == normal(name, want), (t[:cut], t[cut:], ok, entry)
+
+
+@pytest.mark.parametrize("name", TABLED)
+@pytest.mark.parametrize("dense", [True, False])
+def test_joined_tables_equal_step(name, dense):
+    """Any way of putting pieces together, pieces of one event included."""
+    rng = random.Random(13)
+    m = MACHINES[name]()
+    for _ in range(300):
+        t, ok = series(rng, rng.randint(3, 60), dense)
+        ok = ok if rng.random() < 0.7 else np.full(len(t), rng.random() < 0.5)
+        cuts = sorted({0, len(t), *(rng.randint(0, len(t)) for _ in range(rng.randint(1, 12)))})
+        entry = stepped(m, m.start(), t[: cuts[1]], ok[: cuts[1]])
+        parts = [m.table(t[a:b], ok[a:b]) for a, b in zip(cuts[1:], cuts[2:])]
+        if not parts:
+            continue
+        while len(parts) > 1:
+            k = rng.randrange(len(parts) - 1)
+            parts[k : k + 2] = [f.unpack_table(f.pack_table(m.joined(*parts[k : k + 2])))]
+        want = stepped(m, entry, t[cuts[1] :], ok[cuts[1] :])
+        got = m.enter(parts[0], m.columns(entry))[0, : m.width].tolist()
+        assert normal(name, got) == normal(name, want), (cuts, t, ok, entry)
+
+
+@pytest.mark.parametrize("name", TABLED)
+def test_tables_are_short(name):
+    """A table has no more rows than events that may be the first to change a state."""
+    t = np.arange(0, 20_000, 2, dtype=np.int64)
+    ok = np.arange(len(t)) % 3 > 0
+    m = MACHINES[name]()
+    assert sum(len(e.at) for e in m.table(t, ok).exits.values()) < 120
+
+
+def normal(name, state):
+    """An empty batch has no first time."""
+    return [state[0], 0, 0] if name == "batch" and state[1] == 0 else state
 
 
 def alive(name, state, now):
@@ -93,31 +113,3 @@ def alive(name, state, now):
         window = 40 if name == "quota" else 10
         return [x for x in state if x >= now - window]
     return state
-
-
-@pytest.mark.parametrize("name", [n for n, m in MACHINES.items() if m().chain])
-@pytest.mark.parametrize("size", [1, 2, 7, 30])
-def test_scouted_pieces_hold_every_fire(name, size):
-    """Relaying only the needed pieces gives the state at the start of every piece."""
-    rng = random.Random(5)
-    m = MACHINES[name]()
-    skipped = 0
-    for dense in [True] * 8 + [False] * 8:
-        t, ok = series(rng, rng.randint(2, 150), dense)
-        if name == "compact":
-            ok[:] = rng.random() < 0.5 or ok
-        batch = pa.record_batch({"k": ["x"] * len(t), "_chunk": pa.array([1] * len(t), pa.int32()), "_t": t, "_ok": ok})
-        parts = [batch.slice(i, size) for i in range(0, len(t), size)]
-        table = pa.Table.from_batches(f.digests(m, ["k"])(iter(parts)))
-        small = table.drop_columns(["_times", "_oks"]).to_batches()
-        needed = {r["_piece"] for b in f.scout(m, ["k"])(iter(small)) for r in b.to_pylist()}
-        # Emit the state at every piece, so that all of them are compared.
-        rows = [dict(r, _begins=True) if r["_piece"] in needed else dict(r, _begins=True, _times=None, _oks=None) for r in table.to_pylist()]
-        skipped += len(rows) - len(needed)
-        relayed = pa.RecordBatch.from_pylist(rows, schema=table.schema)
-        got = [f._unpack(r["_entry"]) for b in f.relay(m, ["k"])(iter([relayed])) for r in b.to_pylist()]
-        want = [stepped(m, m.start(), t[: i * size], ok[: i * size]) for i in range(len(parts))]
-        for i, (x, y) in enumerate(zip(got, want)):
-            assert alive(name, x, t[i * size]) == alive(name, y, t[i * size])
-        assert len(got) == len(want)
-    assert skipped > 0

@@ -3,11 +3,17 @@
 ``lag`` cannot express these, so each key's rows are sorted and folded in
 Arrow batches with a state of constant size. A key with more than ``max_rows``
 rows is cut into chunks (see :mod:`spread`) that are folded in parallel. The
-state each chunk starts from is found first, by a pass over compact digests:
-a piece in which the state is reset whatever came before (a long gap, say) is
-one known state, a piece in which nothing can fire is left out, and any other
-piece is its times and outcomes, through which the pass jumps from one change
-of state to the next.
+state each chunk starts from is found first, and no task reads a whole key for it:
+
+- What follows a change of state depends on its place alone, but for quotas. Each chunk
+  becomes a short table of exit states by the place of the first change, found by doubling
+  pointers from event to event, and the tables of a key are put together: up to
+  ``RELAY_BYTES`` one after the other, which is a look-up each; beyond that by joins of each
+  chunk's table with the one before it, twice as far in every round.
+- A quota remembers several events. Every chunk is folded from a guess, the state in which
+  the chunk before it ended when last folded, and again until no guess changes. Old events
+  leave the window, so two rounds mostly do; after as many rounds as there are chunks it is
+  exact in any case.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.functions.common import micros, plus_seconds, require, work_folder
+from tidegauge.functions.common import micros, null_safe_on, plus_seconds, require, written
 from tidegauge.operators.machines import (
     Backoff,
     Batch,
@@ -27,13 +33,18 @@ from tidegauge.operators.machines import (
     Cooldown,
     Machine,
     Quota,
-    digests,
+    Tabled,
+    chunk_exits,
+    joiner,
     relay,
     runner,
-    scout,
+    tables,
 )
 from tidegauge.operators.ordered import EVENT_KEYS, EVENT_ORDER
-from tidegauge.operators.spread import MAX_ROWS, Spread
+from tidegauge.operators.spread import CARRIED_VALUES, MAX_ROWS, Spread
+
+# Tables of chunks that are read one after the other, in one task.
+RELAY_BYTES = 64_000_000
 
 _TYPES = {"boolean": T.BooleanType(), "bigint": T.LongType(), "string": T.StringType()}
 
@@ -42,38 +53,91 @@ def output_fields(machine: Machine) -> list[T.StructField]:
     return [T.StructField(n, _TYPES[t]) for n, t in machine.outputs]
 
 
-def _chunk_entries(spread: Spread, machine: Machine, keys: list[str]) -> DataFrame:
-    """The state in which each chunk of a frequent key starts.
+_RAW = T.BinaryType()
+
+
+def _fields(spread: Spread, keys: list[str], **others: T.DataType) -> T.StructType:
+    own = [spread.hot_rows.schema[k] for k in keys] + [T.StructField("_chunk", T.IntegerType())]
+    return T.StructType([*own, *[T.StructField(n, t) for n, t in others.items()]])
+
+
+def _in_order(spread: Spread, keys: list[str], rows: DataFrame, *others: str) -> DataFrame:
+    """The rows of each chunk in order; a chunk is within one partition."""
+    slim = rows.select(*keys, "_chunk", *spread.order, "_t", "_ok", *others)
+    return slim.sortWithinPartitions(*keys, "_chunk", *spread.order).select(*keys, "_chunk", "_t", "_ok", *others)
+
+
+def _by_chunk(keys: list[str]):
+    return Window.partitionBy(*keys).orderBy("_chunk")
+
+
+def _tabled_entries(spread: Spread, machine: Tabled, keys: list[str], relay_bytes: int) -> DataFrame:
+    """The state in which each chunk of a frequent key starts, from the chunks' tables."""
+    rows = _in_order(spread, keys, spread.hot_rows)
+    found = written(rows.mapInArrow(tables(machine, keys), _fields(spread, keys, _table=_RAW)), "chunk-tables")
+    entry = _fields(spread, keys, _entry=_RAW)
+    if (found.agg(F.sum(F.octet_length("_table"))).first()[0] or 0) <= relay_bytes:
+        # A key's tables, of bounded size.
+        in_order = found.repartition(*keys).sortWithinPartitions(*keys, "_chunk")
+        return in_order.mapInArrow(relay(machine, keys), entry)
+    schema = _fields(spread, keys, _nth=T.LongType(), _state=_RAW, _table=_RAW)
+    start = machine.columns(machine.start()).tobytes()
+    nothing = F.lit(None).cast(_RAW)
+    nth = F.row_number().over(_by_chunk(keys)).cast("long")
+    found = found.select(*keys, "_chunk", nth.alias("_nth"), "_table")
+    first = found.select("*", F.when(F.col("_nth") == 1, F.lit(start)).alias("_before_state"), nothing.alias("_before"))
+    found = written(first.mapInArrow(joiner(machine), schema), "chunk-states")
+    reach, most = 1, found.agg(F.max("_nth")).first()[0] or 0
+    while reach < most:
+        # The table of a chunk now covers ``reach`` chunks, or is a state as it covers all up to it.
+        named = [F.col(k).alias(f"_b_{k}") for k in keys]
+        before = found.select(
+            *named, (F.col("_nth") + reach).alias("_b_nth"), F.col("_state").alias("_before_state"),
+            F.col("_table").alias("_before"))
+        same = F.col("_nth") == F.col("_b_nth")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+        met = found.where(F.col("_state").isNull()).drop("_state").join(before, same)
+        met = met.drop("_b_nth", *[f"_b_{k}" for k in keys]).mapInArrow(joiner(machine), schema)
+        found = written(found.where(F.col("_state").isNotNull()).unionByName(met), "chunk-states")
+        reach *= 2
+    state = F.lag("_state").over(_by_chunk(keys))
+    return found.select(*keys, "_chunk", F.substring(state, 1, 8 * machine.width).alias("_entry"))
+
+
+def _guessed_entries(spread: Spread, machine: Machine, keys: list[str]) -> DataFrame:
+    """The state in which each chunk of a frequent key starts, by folding from guesses until none changes."""
+    schema = _fields(spread, keys, _exit=_RAW)
+
+    def folded(rows: DataFrame) -> DataFrame:
+        return _in_order(spread, keys, rows, "_entry").mapInArrow(chunk_exits(machine, keys), schema)
+
+    exits = written(folded(spread.hot_rows.withColumn("_entry", F.lit(None).cast(_RAW))), "chunk-exits")
+    entries = written(exits.select(*keys, "_chunk", F.lit(None).cast(_RAW).alias("_entry")), "chunk-entries")
+    while True:
+        guess = exits.select(*keys, "_chunk", F.lag("_exit").over(_by_chunk(keys)).alias("_guess"))
+        guess = guess.select(*[F.col(k).alias(f"_b_{k}") for k in (*keys, "_chunk")], "_guess")
+        same = F.col("_chunk") == F.col("_b__chunk")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+        both = entries.join(guess, same).select(
+            *keys, "_chunk", F.col("_guess").alias("_entry"), (~F.col("_entry").eqNullSafe(F.col("_guess"))).alias("_new"))
+        entries = written(both, "chunk-entries")
+        new = entries.where("_new").select(*keys, "_chunk", "_entry")
+        entries = entries.drop("_new")
+        if new.isEmpty():
+            return entries
+        wanted = new.select(*[F.col(k).alias(f"_b_{k}") for k in (*keys, "_chunk")], "_entry")
+        wanted = F.broadcast(wanted) if spread.chunks * machine.size() <= CARRIED_VALUES else wanted
+        again = folded(spread.hot_rows.join(wanted, same))
+        kept = exits.join(new.drop("_entry"), null_safe_on(exits, new, [*keys, "_chunk"]), "left_anti")
+        exits = written(kept.unionByName(again), "chunk-exits")
 
-    Digests of the chunks are written once. For a chain machine a scout over
-    first and last times (one row per Arrow batch of events) picks the digests
-    in which an event may fire; only those are read in full by the relay.
-    """
-    spark = spread.hot_rows.sparkSession
-    key_ddl = [spread.hot_rows.schema[k] for k in keys]
-    long, flag, raw = T.LongType(), T.BooleanType(), T.BinaryType()
-    chunk = T.StructField("_chunk", T.IntegerType())
-    columns = [
-        ("_piece", long), ("_begins", flag), ("_first", long), ("_last", long), ("_rows", long),
-        ("_known", raw), ("_times", raw), ("_oks", raw),
-    ]
-    schema = T.StructType([*key_ddl, chunk, *[T.StructField(n, t) for n, t in columns]])
-    path = work_folder(spark, "digests")
-    in_order = spread.hot_rows.select(*keys, "_chunk", *spread.order, "_t", "_ok").sortWithinPartitions(*keys, *spread.order)
-    in_order.select(*keys, "_chunk", "_t", "_ok").mapInArrow(digests(machine, keys), schema).write.parquet(path)
-    table = spark.read.schema(schema).parquet(path)
-
-    def by_key(df: DataFrame) -> DataFrame:
-        return df.repartition(*keys).sortWithinPartitions(*keys, "_chunk", "_piece")
-
-    if machine.chain:
-        piece = T.StructType([chunk, T.StructField("_piece", long)])
-        small = by_key(table.drop("_times", "_oks"))
-        needed = small.mapInArrow(scout(machine, keys), piece).withColumn("_needed", F.lit(True))
-        table = table.join(needed, ["_chunk", "_piece"], "left").filter("_needed or _begins or _known is not null")
-        table = table.withColumn("_times", F.when(F.col("_needed"), F.col("_times")))
-    entry = T.StructType([*key_ddl, chunk, T.StructField("_entry", raw)])
-    return by_key(table).mapInArrow(relay(machine, keys), entry)
+
+def _chunk_entries(spread: Spread, machine: Machine, keys: list[str]) -> DataFrame:
+    if isinstance(machine, Tabled):
+        return _tabled_entries(spread, machine, keys, RELAY_BYTES)
+    return _guessed_entries(spread, machine, keys)
 
 
 def fold(
@@ -89,7 +153,7 @@ def fold(
     ok = F.coalesce(F.col(passed), F.lit(False)) if passed else F.lit(True)
     prepared = df.withColumn("_t", micros(order[0])).withColumn("_ok", ok)
     s = Spread(prepared, keys, order, max_rows)
-    rows = s._attach(_chunk_entries(s, machine, keys), ["_entry"]) if s.hot else s.df
+    rows = s._attach(_chunk_entries(s, machine, keys), ["_entry"], machine.size()) if s.hot else s.df
     out_schema = T.StructType([*rows.schema.fields, *output_fields(machine)])
     folded = (
         rows.repartition(*keys, "_chunk")

@@ -6,9 +6,11 @@ executors need not have the package installed.
 
 from __future__ import annotations
 
+import pickle
 import sys
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +21,10 @@ NEVER = 2**62
 
 
 class Machine:
-    """A per-key state of a few integers; ``step`` moves it over one event.
+    """A per-key state of a few integers; ``step`` moves it over one event, ``run`` over many.
 
-    ``skip`` must give the same final state as ``step`` over all the events,
-    but may jump. ``settle`` gives an index from which the final state no
-    longer depends on the state before the events, or None.
-
-    In a ``chain`` machine the state changes only when an event fires: the
-    first event at or after ``due(state)``. A later last fire never makes the
-    next one earlier.
+    In a ``chain`` machine the state changes only when an event fires: the first event at
+    or after ``due(state)``.
     """
 
     outputs: list[tuple[str, str]] = []
@@ -56,10 +53,6 @@ class Machine:
                 i += 1
         return np.array(found, dtype=np.int64)
 
-    def skip(self, state: list[int], t: np.ndarray, ok: np.ndarray) -> list[int]:
-        self.fires(state, t)
-        return state
-
     def run(self, state: list[int], t: np.ndarray, ok: np.ndarray) -> list[np.ndarray]:
         """The outputs of all events, column by column; moves the state as ``step`` would.
 
@@ -68,8 +61,114 @@ class Machine:
         rows = [self.step(state, x, o) for x, o in zip(t.tolist(), ok.tolist())]
         return [np.array(c) for c in zip(*rows)] if rows else [np.zeros(0)] * len(self.outputs)
 
-    def settle(self, t: np.ndarray, ok: np.ndarray) -> int | None:
-        return None
+    def trimmed(self, state: list[int], now: int) -> list[int]:
+        """The state without what can make no difference from ``now`` on."""
+        return state
+
+    def size(self) -> int:
+        """Numbers in a state, at most."""
+        return max(1, len(self.start()))
+
+
+class Exits(NamedTuple):
+    """Where an event may be the first to change the state of one class: its time, the state at the end.
+
+    Events are listed from the first of the chunk on. ``full``: one of them does, whatever
+    the state; else they are all events of the chunk, and it may be none.
+    """
+
+    at: np.ndarray
+    states: np.ndarray
+    full: bool
+
+
+class Table(NamedTuple):
+    """What a chunk of ``n`` events does to any state; ``exits`` by class of state."""
+
+    n: int
+    exits: dict[int, Exits]
+
+
+def _followed(to: np.ndarray, *sums: np.ndarray) -> list[np.ndarray]:
+    """Follow pointers to their ends by doubling; ``sums`` are added up on the way. Ends point to themselves."""
+    out = [to, *sums]
+    while True:
+        after = out[0][out[0]]
+        if (after == out[0]).all():
+            return out
+        out = [after, *(x + x[out[0]] for x in out[1:])]
+
+
+class Tabled(Machine):
+    """A machine whose chunks can be put together: what follows a change depends on its place alone.
+
+    From every place where the state may first change, the next changes are followed to the
+    end of the chunk by doubling pointers. A chunk is then a short table of exit states, by
+    the place of the first change; two chunks that follow each other are one table, in which
+    the exits of the first have entered the second. Columns after ``width`` are marks that
+    only tables need.
+    """
+
+    width = 1
+
+    def columns(self, state: list[int]) -> np.ndarray:
+        """One state as a row."""
+        return np.array([state], dtype=np.int64)
+
+    def exits(self, t: np.ndarray, ok: np.ndarray) -> dict[int, Exits]:
+        raise NotImplementedError
+
+    def classes(self, states: np.ndarray) -> np.ndarray:
+        return np.zeros(len(states), dtype=np.int64)
+
+    def place(self, kind: int, states: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The first event, of those listed, that changes each state; their number if it is none."""
+        raise NotImplementedError
+
+    def reached(self, states: np.ndarray, exits: np.ndarray) -> np.ndarray:
+        return exits
+
+    def unchanged(self, states: np.ndarray, table: Table) -> np.ndarray:
+        """States after a chunk none of whose events changes them."""
+        return states
+
+    def table(self, t: np.ndarray, ok: np.ndarray) -> Table:
+        return Table(len(t), self.exits(t, ok))
+
+    def enter(self, table: Table, states: np.ndarray) -> np.ndarray:
+        """States after a chunk, from those before it."""
+        out, kinds = self.unchanged(states, table).copy(), self.classes(states)
+        for kind, (at, exits, full) in table.exits.items():
+            own = np.flatnonzero(kinds == kind)
+            if not len(own):
+                continue
+            place = self.place(kind, states[own], at)
+            place = np.minimum(place, len(at) - 1) if full else place
+            hit = place < len(at)
+            out[own[hit]] = self.reached(states[own[hit]], exits[place[hit]])
+        return out
+
+    def joined(self, a: Table, b: Table) -> Table:
+        """One table for a chunk and the one after it."""
+        exits = {}
+        for kind, (at, states, full) in a.exits.items():
+            states = self.enter(b, states)
+            if not full:
+                at = np.concatenate([at, b.exits[kind].at])
+                states = np.concatenate([states, self.shifted(kind, b.exits[kind].states, a)])
+                full = b.exits[kind].full
+            exits[kind] = Exits(at, states, full)
+        return Table(a.n + b.n, exits)
+
+    def shifted(self, kind: int, states: np.ndarray, before: Table) -> np.ndarray:
+        """Exits of the second chunk for states that the first did not change."""
+        return states
+
+
+def _until(t: np.ndarray, limit: int) -> tuple[int, bool]:
+    """How many events to list if the first at or after ``limit`` changes the state at the latest."""
+    k = int(np.searchsorted(t, limit))
+    return (k + 1, True) if k < len(t) else (len(t), False)
 
 
 def _flags(n: int, places: np.ndarray) -> np.ndarray:
@@ -83,12 +182,7 @@ def _so_far(places: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(places, np.arange(n), side="right")
 
 
-def _last(mask: np.ndarray) -> int | None:
-    found = np.flatnonzero(mask)
-    return int(found[-1]) + 1 if len(found) else None
-
-
-class Cooldown(Machine):
+class Cooldown(Tabled):
     """Fire when the last fired event is at least ``cooldown`` ago; only fired events count."""
 
     outputs = [("fired", "boolean"), ("last_fired_us", "bigint")]
@@ -97,8 +191,11 @@ class Cooldown(Machine):
     def __init__(self, cooldown_us: int) -> None:
         self.cooldown = cooldown_us
 
+    def start(self) -> list[int]:
+        return [-NEVER]
+
     def due(self, state):
-        return state[0] + self.cooldown if state else -NEVER
+        return state[0] + self.cooldown
 
     def fire(self, state, t):
         state[:] = [t]
@@ -113,10 +210,17 @@ class Cooldown(Machine):
         before = state[:1]
         hit = self.fires(state, t)
         times = np.concatenate([np.array(before, dtype=np.int64), t[hit]])
-        return [_flags(len(t), hit), times[_so_far(hit, len(t)) + len(before) - 1] if len(t) else t]
+        return [_flags(len(t), hit), times[_so_far(hit, len(t))] if len(t) else t]
+
+    def exits(self, t, ok):
+        n, here = len(t), np.arange(len(t))
+        after = np.maximum(np.searchsorted(t, t + self.cooldown), here + 1)
+        last, = _followed(np.where(after < n, after, here))
+        k, full = _until(t, int(t[0]) + self.cooldown)
+        return {0: Exits(t[:k], t[last[:k], None], full)}
 
-    def settle(self, t, ok):
-        return _last(np.diff(t) >= self.cooldown)
+    def place(self, kind, states, at):
+        return np.searchsorted(at, states[:, 0] + self.cooldown)
 
 
 class Quota(Machine):
@@ -150,11 +254,14 @@ class Quota(Machine):
         old = np.searchsorted(times, t - self.window)
         return [_flags(len(t), hit), np.maximum(len(before) + _so_far(hit, len(t)) - old, 0)]
 
-    def settle(self, t, ok):
-        return _last(np.diff(t) > self.window)
+    def trimmed(self, state, now):
+        return [x for x in state if x >= now - self.window]
 
+    def size(self):
+        return self.limit
 
-class Backoff(Machine):
+
+class Backoff(Tabled):
     """Attempts with growing delays; after ``max_attempts`` nothing is due any more."""
 
     outputs = [("due", "boolean"), ("attempts", "bigint")]
@@ -189,8 +296,28 @@ class Backoff(Machine):
             self.fire(state, t)
         return due, state[0]
 
+    width = 2
+
+    def exits(self, t, ok):
+        n, out = len(t), {}
+        # The state at the end after attempt number ``made`` at each event, from the last number down.
+        end = np.stack([np.full(n, self.max_attempts), t], axis=1)
+        for made in range(self.max_attempts - 1, -1, -1):
+            k, full = _until(t, int(t[0]) + self.delay[made]) if made else (1, True)
+            out[made] = Exits(t[:k], end[:k], full)
+            after = np.maximum(np.searchsorted(t, t + self.delay[made]), np.arange(n) + 1)
+            stay = np.stack([np.full(n, made), t], axis=1)
+            end = np.where((after < n)[:, None], end[np.minimum(after, n - 1)], stay)
+        return out
+
+    def classes(self, states):
+        return states[:, 0]
 
-class Breaker(Machine):
+    def place(self, kind, states, at):
+        return np.searchsorted(at, states[:, 1] + self.delay[kind]) if kind else np.zeros(len(states), np.int64)
+
+
+class Breaker(Tabled):
     """Circuit breaker over outcomes; outcomes of blocked requests are not recorded.
 
     State: failures, opened_at (-1 while not open).
@@ -220,38 +347,6 @@ class Breaker(Machine):
             state[:] = [failures + 1, -1]
         return name, True, state[0]
 
-    def skip(self, state, t, ok):
-        n = len(t)
-        at = np.arange(n)
-        last_ok = np.maximum.accumulate(np.where(ok, at, -1))
-        streak = at - last_ok
-        trips = np.flatnonzero(streak >= self.threshold).tolist()
-        lead = int(np.argmax(ok)) if ok.any() else n
-        i = 0
-        while i < n:
-            if state[1] < 0:
-                # Closed: to the next failure that trips, from the state's own count while
-                # still in the run of failures that the state belongs to.
-                end = lead if i == 0 else i
-                hit = i + max(self.threshold - state[0], 1) - 1
-                if i == 0 and hit < end:
-                    j = hit
-                else:
-                    k = bisect_left(trips, max(i, end))
-                    j = trips[k] if k < len(trips) else n
-                if j >= n:
-                    tail = int(streak[-1])
-                    state[0] = tail if last_ok[-1] >= 0 else state[0] + n
-                    break
-                state[:] = [state[0] + j - i + 1 if j < end else int(streak[j]), int(t[j])]
-                i = j + 1
-            else:
-                i = max(i, int(np.searchsorted(t, state[1] + self.timeout)))
-                if i < n:
-                    self.step(state, int(t[i]), bool(ok[i]))
-                    i += 1
-        return state
-
     def run(self, state, t, ok):
         n = len(t)
         at = np.arange(n)
@@ -278,11 +373,80 @@ class Breaker(Machine):
                 i = j + 1
         return [name, allowed, failures]
 
-    def settle(self, t, ok):
-        return _last((np.diff(t) >= self.timeout) & ok[1:])
+    width = 2
+
+    # In tables a third column marks failures that are to be added to those at the first change.
 
+    def columns(self, state):
+        return np.array([[*state, 0]], dtype=np.int64)
 
-class Batch(Machine):
+    def exits(self, t, ok):
+        n = len(t)
+        at = np.arange(n)
+        last_ok = np.maximum.accumulate(np.where(ok, at, -1))
+        streak = at - last_ok
+        # Nodes: the breaker opened at event i; n + i: it closed at event i. A step adds the failures that it
+        # records; ``fresh`` counts the steps that set them instead, after which only what follows counts.
+        after = np.searchsorted(t, t + self.timeout)
+        retry = np.minimum(after, n - 1)
+        opened_to = np.where(after < n, np.where(ok[retry], n + retry, retry), at)
+        trips = np.flatnonzero((streak >= self.threshold) & (last_ok >= 0))
+        k = np.searchsorted(trips, at, side="right")
+        trip = np.append(trips, n)[k]
+        closed_to = np.where(trip < n, trip, n + at)
+        to = np.concatenate([opened_to, closed_to])
+        fresh = np.concatenate([(after < n) & ok[retry], trip < n]).astype(np.int64)
+        # Counted back from the end: failures since the last step that set them.
+        value = np.concatenate([((after < n) & ~ok[retry]), np.where(trip < n, self.threshold, 0)]).astype(np.int64)
+        while True:
+            onward = to[to]
+            if (onward == to).all():
+                break
+            value = np.where(fresh[to] > 0, value[to], value + value[to])
+            fresh, to = fresh + fresh[to], onward
+
+        def end(start: np.ndarray, failures: np.ndarray, added: np.ndarray) -> np.ndarray:
+            last, reset = to[start], fresh[start] > 0
+            count = np.where(reset, value[start], failures + value[start])
+            is_open = last < n
+            return np.stack([
+                np.where(is_open, count, streak[n - 1]), np.where(is_open, t[np.minimum(last, n - 1)], -1),
+                np.where(is_open & ~reset, added, 0),
+            ], axis=1)
+
+        lead = int(np.argmax(ok)) if ok.any() else n
+        k = min(lead, self.threshold)
+        closed, full = end(at[:k], np.full(k, self.threshold), np.zeros(k, np.int64)), k == self.threshold
+        if not full and lead < n:
+            zero = np.zeros(1, np.int64)
+            closed, full = np.concatenate([closed, end(np.array([n + lead]), zero, zero)]), True
+        m, half = _until(t, int(t[0]) + self.timeout)
+        own_ok = ok[:m].astype(np.int64)
+        opened = end(at[:m] + n * own_ok, 1 - own_ok, 1 - own_ok)
+        return {0: Exits(t[: len(closed)], closed, full), 1: Exits(t[:m], opened, half)}
+
+    def classes(self, states):
+        return (states[:, 1] >= 0).astype(np.int64)
+
+    def place(self, kind, states, at):
+        if kind:
+            return np.searchsorted(at, states[:, 1] + self.timeout)
+        return np.maximum(self.threshold - states[:, 0], 1) - 1
+
+    def reached(self, states, exits):
+        out = exits.copy()
+        added = exits[:, 2] == 1
+        out[added, 0] += states[added, 0]
+        out[added, 2] = states[added, 2]
+        return out
+
+    def unchanged(self, states, table):
+        out = states.copy()
+        out[states[:, 1] < 0, 0] += table.n
+        return out
+
+
+class Batch(Tabled):
     """Close the open batch at ``max_size`` events, or at the first event ``max_age`` after its start.
 
     State: batch number, events in it, its first time.
@@ -305,9 +469,36 @@ class Batch(Machine):
         state[:] = [number + 1, 0, 0] if closes else [number, size, first]
         return number, closes
 
-    def skip(self, state, t, ok):
-        self.closers(state, t)
-        return state
+    width = 3
+
+    def exits(self, t, ok):
+        n = len(t)
+        ends = np.minimum(np.arange(n) + self.max_size - 1, np.searchsorted(t, t + self.max_age))
+        # From the first event of a batch to that of the next; n is the end of the chunk.
+        to = np.append(np.where(ends < n, ends + 1, np.arange(n)), n)
+        last, closed = _followed(to, np.append(ends < n, False).astype(np.int64))
+        k, full = _until(t, int(t[0]) + self.max_age)
+        k, full = (self.max_size, True) if self.max_size <= k else (k, full)
+        first = np.arange(k) + 1
+        rest = last[first]
+        states = np.stack([1 + closed[first], n - rest, np.where(rest < n, t[np.minimum(rest, n - 1)], 0)], axis=1)
+        return {0: Exits(t[:k], states, full)}
+
+    def place(self, kind, states, at):
+        size = states[:, 1]
+        first = np.where(size > 0, states[:, 2], at[0])
+        return np.minimum(self.max_size - size - 1, np.searchsorted(at, first + self.max_age))
+
+    def reached(self, states, exits):
+        out = exits.copy()
+        out[:, 0] += states[:, 0]
+        return out
+
+    def unchanged(self, states, table):
+        out = states.copy()
+        out[:, 2] = np.where(states[:, 1] > 0, states[:, 2], table.exits[0].at[0])
+        out[:, 1] += table.n
+        return out
 
     def run(self, state, t, ok):
         number = state[0]
@@ -339,34 +530,40 @@ class Batch(Machine):
         return np.array(found, dtype=np.int64)
 
 
-class Compact(Machine):
+class Compact(Tabled):
     """Keep an entry unless it and the previously kept one are passes within the window.
 
     State: time of the last kept entry and whether it passed.
     """
 
     outputs = [("keep", "boolean")]
-    chain = True
+    width = 2
 
     def __init__(self, window_us: int) -> None:
         self.window = window_us
 
-    # A failure settles the state, so events that do not settle it are all passes.
-    def due(self, state):
-        return state[0] + self.window + 1 if state and state[1] else -NEVER
-
-    def fire(self, state, t):
-        state[:] = [t, 1]
+    def start(self) -> list[int]:
+        return [-NEVER, 0]
 
     def step(self, state, t, ok):
-        if state and ok and state[1] and t - state[0] <= self.window:
+        if ok and state[1] and t - state[0] <= self.window:
             return (False,)
         state[:] = [t, int(ok)]
         return (True,)
 
-    def skip(self, state, t, ok):
-        self.kept(state, t, ok)
-        return state
+    def exits(self, t, ok):
+        n, here = len(t), np.arange(len(t))
+        bad = np.append(np.flatnonzero(~ok), n)
+        far = np.searchsorted(t, t + self.window, side="right")
+        after = np.where(ok, np.minimum(far, bad[np.searchsorted(bad, here, side="right").clip(max=len(bad) - 1)]), here + 1)
+        last, = _followed(np.where(after < n, after, here))
+        k, full = _until(t, int(t[0]) + self.window + 1)
+        if bad[0] < k:
+            k, full = int(bad[0]) + 1, True
+        return {0: Exits(t[:k], np.stack([t[last[:k]], ok[last[:k]].astype(np.int64)], axis=1), full)}
+
+    def place(self, kind, states, at):
+        return np.where(states[:, 1] > 0, np.searchsorted(at, states[:, 0] + self.window, side="right"), 0)
 
     def run(self, state, t, ok):
         return [_flags(len(t), self.kept(state, t, ok))]
@@ -376,7 +573,7 @@ class Compact(Machine):
         bad, found = np.flatnonzero(~ok).tolist(), []
         i = 0
         while i < len(t):
-            if state and state[1]:
+            if state[1]:
                 far = int(np.searchsorted(t, state[0] + self.window, side="right"))
                 k = bisect_left(bad, i)
                 i = max(i, min(far, bad[k] if k < len(bad) else len(t)))
@@ -387,12 +584,6 @@ class Compact(Machine):
             i += 1
         return np.array(found, dtype=np.int64)
 
-    def settle(self, t, ok):
-        reset = ~ok
-        reset[1:] |= np.diff(t) > self.window
-        found = np.flatnonzero(reset)
-        return int(found[-1]) if len(found) else None
-
 
 def _changes(batch: pa.RecordBatch, columns: Sequence[str], last: list | None) -> tuple[np.ndarray, list]:
     """Flags of the rows that begin a new key, and the key of the last row."""
@@ -455,108 +646,110 @@ def runner(machine: Machine, keys: Sequence[str]):
     return run
 
 
-def digests(machine: Machine, keys: Sequence[str]):
-    """One row per piece of a chunk: first and last time, size, and a known state or the times and outcomes."""
+def _pieces(batches: Iterator[pa.RecordBatch], keys: Sequence[str]):
+    """(first row of it, does it begin a new key, times, outcomes) of each run of one key in a batch; timed rows only."""
+    last = None
+    for batch in batches:
+        batch = batch.filter(batch.column("_t").is_valid())
+        if not batch.num_rows:
+            continue
+        new, last = _changes(batch, keys, last)
+        cuts = sorted({0, *np.flatnonzero(new).tolist(), batch.num_rows})
+        t = batch.column("_t").to_numpy(zero_copy_only=False)
+        ok = batch.column("_ok").to_numpy(zero_copy_only=False).astype(bool)
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, 1), bool(new[a]), t[a:b], ok[a:b]
+
+
+def _row(row: pa.RecordBatch, names: Sequence[str], **values: bytes) -> pa.RecordBatch:
+    columns = [row.column(n) for n in names] + [pa.array([v], pa.binary()) for v in values.values()]
+    return pa.RecordBatch.from_arrays(columns, names=[*names, *values])
+
+
+def tables(machine: Tabled, keys: Sequence[str]):
+    """The table of each chunk, put together from those of the Arrow batches that it comes in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, piece = None, 0
-        for batch in batches:
-            batch = batch.filter(batch.column("_t").is_valid())
-            if not batch.num_rows:
-                continue
-            new, last = _changes(batch, keys, last)
-            cuts = sorted({0, *np.flatnonzero(new).tolist(), batch.num_rows})
-            t = batch.column("_t").to_numpy(zero_copy_only=False)
-            ok = batch.column("_ok").to_numpy(zero_copy_only=False).astype(bool)
-            rows = []
-            for a, b in zip(cuts, cuts[1:]):
-                tt, oo = t[a:b], ok[a:b]
-                j = machine.settle(tt, oo)
-                known = None if j is None else _pack(machine.skip(machine.start(), tt[j:], oo[j:]))
-                raw = (tt.tobytes(), oo.tobytes()) if known is None else (None, None)
-                rows.append((piece, bool(new[a]), int(tt[0]), int(tt[-1]), b - a, known, *raw))
-                piece += 1
-            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 3]
-            take = pa.array(cuts[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(k).take(take) for k in [*keys, "_chunk"]]
-                + [pa.array(v, type=x) for v, x in zip(zip(*rows), types)],
-                names=[*keys, "_chunk", "_piece", "_begins", "_first", "_last", "_rows", "_known", "_times", "_oks"],
-            )
+        row, held = None, None
+        for first, begins, t, ok in _pieces(batches, [*keys, "_chunk"]):
+            own = machine.table(t, ok)
+            if begins and row is not None:
+                yield _row(row, [*keys, "_chunk"], _table=pack_table(held))
+            row, held = (first, own) if begins else (row, machine.joined(held, own))
+        if row is not None:
+            yield _row(row, [*keys, "_chunk"], _table=pack_table(held))
 
     return run
 
 
-def scout(machine: Machine, keys: Sequence[str]):
-    """The pieces in which an event may fire, for a chain machine, from first and last times alone.
+def pack_table(table: Table) -> bytes:
+    return pickle.dumps((table.n, {k: tuple(e) for k, e in table.exits.items()}))
+
+
+def unpack_table(raw: bytes) -> Table:
+    n, exits = pickle.loads(raw)
+    return Table(n, {k: Exits(*e) for k, e in exits.items()})
 
-    ``low`` fires as early as times allow, so at least as often as the truth;
-    ``high`` fires on the first and last events of pieces only, so at most as
-    often. No event fires in a piece by whose end ``low`` has fired no more
-    often than ``high`` had before it.
-    """
+
+def relay(machine: Tabled, keys: Sequence[str]):
+    """The state at each chunk's start, from the tables of a key's chunks one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, low, high, ahead = None, None, None, 0
+        last, state = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             new, last = _changes(batch, keys, last)
-            cols = [batch.column(c).to_pylist() for c in ("_first", "_last", "_rows", "_known")]
-            needed = []
-            for i, (first, end, rows, known) in enumerate(zip(*cols)):
-                if new[i]:
-                    low, high, ahead = machine.start(), machine.start(), 0
-                if known is not None:
-                    low, high, ahead = _unpack(known), _unpack(known), 0
-                    continue
-                for _ in range(rows):
-                    t = max(machine.due(low), first)
-                    if t > end:
-                        break
-                    machine.fire(low, t)
-                    ahead += 1
-                if ahead > 0:
-                    needed.append(i)
-                for t in (first, end)[: min(rows, 2)]:
-                    if machine.due(high) <= t:
-                        machine.fire(high, t)
-                        ahead -= 1
-            take = pa.array(needed, pa.int64())
+            entries = []
+            for begins, table in zip(new, batch.column("_table")):
+                state = machine.columns(machine.start()) if begins else state
+                entries.append(_pack(state[0, : machine.width].tolist()))
+                state = machine.enter(unpack_table(table.as_py()), state)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c).take(take) for c in ("_chunk", "_piece")], names=["_chunk", "_piece"]
+                [*(batch.column(k) for k in [*keys, "_chunk"]), pa.array(entries, pa.binary())],
+                names=[*keys, "_chunk", "_entry"],
             )
 
     return run
 
 
-def relay(machine: Machine, keys: Sequence[str]):
-    """Carry the state of a key over its digests; emit the state at each chunk's start."""
+def joiner(machine: Tabled):
+    """Rows of ``_before`` and ``_table``: the two as one table. What reaches the first chunk is a state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            new, last = _changes(batch, keys, last)
-            begins, known, times, oks = (batch.column(c) for c in ("_begins", "_known", "_times", "_oks"))
-            picked, states = [], []
-            for i in range(batch.num_rows):
-                if new[i]:
-                    state = machine.start()
-                if begins[i].as_py():
-                    picked.append(i)
-                    states.append(_pack(state))
-                if known[i].is_valid:
-                    state = _unpack(known[i].as_py())
-                elif times[i].is_valid:
-                    t = np.frombuffer(times[i].as_py(), dtype=np.int64)
-                    state = machine.skip(state, t, np.frombuffer(oks[i].as_py(), dtype=bool))
-            take = pa.array(picked, pa.int64())
+            states, tables = [], []
+            for state, before, table in zip(*(batch.column(n).to_pylist() for n in ("_before_state", "_before", "_table"))):
+                own = unpack_table(table)
+                if state is not None:
+                    states.append(machine.enter(own, np.array([_unpack(state)])).tobytes())
+                    tables.append(None)
+                else:
+                    states.append(None)
+                    tables.append(table if before is None else pack_table(machine.joined(unpack_table(before), own)))
+            others = [n for n in batch.schema.names if n not in ("_before_state", "_before", "_table", "_state")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k).take(take) for k in [*keys, "_chunk"]] + [pa.array(states, pa.binary())],
-                names=[*keys, "_chunk", "_entry"],
-            )
+                [*(batch.column(n) for n in others), pa.array(states, pa.binary()), pa.array(tables, pa.binary())],
+                names=[*others, "_state", "_table"])
+
+    return run
+
+
+def chunk_exits(machine: Machine, keys: Sequence[str]):
+    """The state at each chunk's end, from that in ``_entry`` (none: the start), trimmed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, state, now = None, None, None
+        for first, begins, t, ok in _pieces(batches, [*keys, "_chunk"]):
+            if begins:
+                if row is not None:
+                    yield _row(row, [*keys, "_chunk"], _exit=_pack(machine.trimmed(state, now)))
+                given = first.column("_entry")[0].as_py()
+                row, state = first, machine.start() if given is None else _unpack(given)
+            machine.fires(state, t)
+            now = int(t[-1])
+        if row is not None:
+            yield _row(row, [*keys, "_chunk"], _exit=_pack(machine.trimmed(state, now)))
 
     return run
 
