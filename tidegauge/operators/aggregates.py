@@ -13,6 +13,7 @@ from tidegauge.functions.common import (
     micros,
     plus_seconds,
     require,
+    salted_join,
     severity_of_rank,
     severity_rank,
 )
@@ -287,6 +288,18 @@ def anomalies(current: DataFrame, history: DataFrame, threshold: float = 3.0) ->
     ).drop("_n", "_mean", "_std")
 
 
+def newest_anomalies(metrics: DataFrame, threshold: float = 3.0) -> DataFrame:
+    """Population z-score of each series' last value against all values before it.
+
+    Of several values at the last time the greatest is the current one, and none of them is history.
+    """
+    keys = ["pipeline", "metric"]
+    newest = metrics.groupBy(*keys).agg(F.max(F.struct("recorded_at", "value")).alias("_newest"))
+    newest = newest.select(*keys, F.col("_newest.recorded_at").alias("_until"), F.col("_newest.value").alias("value"))
+    past = salted_join(metrics, newest.drop("value"), keys, salt="recorded_at").filter(F.col("recorded_at") < F.col("_until"))
+    return anomalies(newest.drop("_until"), past.drop("_until"), threshold)
+
+
 def rolling_anomalies(
     metrics: DataFrame,
     points: int = 30,

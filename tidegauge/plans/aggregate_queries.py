@@ -13,7 +13,6 @@ from tidegauge.plans.check_queries import (
     METRIC_RULE_VALUES,
     METRIC_RULES,
     SPLIT_SQL,
-    split_metrics,
 )
 from tidegauge.plans.filter_queries import CORRELATION_SQL
 from tidegauge.plans.registry import query, rule_table
@@ -162,14 +161,13 @@ def rank_pairs(spark, folder):
 
 @query(
     "anomaly",
-    f"""{SPLIT_SQL}, h AS (SELECT pipeline, metric, avg(value) AS mean, stddev_pop(value) AS sd FROM metric WHERE recorded_at < TIMESTAMP '1998-01-01' GROUP BY ALL)
+    f"""{SPLIT_SQL}, u AS (SELECT pipeline, metric, max(recorded_at) AS until FROM metric GROUP BY ALL),
+h AS (SELECT pipeline, metric, avg(value) AS mean, stddev_pop(value) AS sd FROM metric JOIN u USING (pipeline, metric) WHERE recorded_at < until GROUP BY ALL)
 SELECT pipeline, metric, v AS value, round(mean, 6) AS mean, round(sd, 6) AS stddev, round(abs(v - mean) / sd, 6) AS z_score,
   abs(v - mean) / sd > 1.5 AS is_anomaly FROM cur JOIN h USING (pipeline, metric)""",
 )
 def anomaly(spark, folder):
-    _, now = split_metrics(spark, folder)
-    past = D.metrics(spark, folder).filter("recorded_at < timestamp_ntz'1998-01-01'")
-    out = A.anomalies(now.select("pipeline", "metric", "value"), past, 1.5)
+    out = A.newest_anomalies(D.metrics(spark, folder), 1.5)
     return out.select("pipeline", "metric", "value", *[F.round(c, 6).alias(c) for c in ("mean", "stddev", "z_score")], "is_anomaly")
 
 

@@ -297,7 +297,7 @@ def run_summary(spark, folder):
 
 
 def split_metrics(spark, folder):
-    """Baselines: the value at each series' first day of 1996; current: its last value."""
+    """Baselines: each series' last value before 1998; current: its last value."""
     m = D.metrics(spark, folder)
     keys = ["pipeline", "metric"]
     base = O.latest_per_key(m.filter("recorded_at < timestamp_ntz'1998-01-01'"), keys, ["recorded_at"], ["value", "recorded_at"])

@@ -120,6 +120,36 @@ def stream_batch(spark, folder):
     return stateful(spark, folder, Batch(5, 6 * HOUR), ["pipeline"], "batch")
 
 
+def released(name):
+    """What a query says of the events whose slot the watermark has passed at the end of the stream."""
+    return f"""{with_tables('alert_event')}, e AS (SELECT event_id FROM alert_event WHERE triggered_at <
+  time_bucket(INTERVAL 1 HOUR, (SELECT date_trunc('milliseconds', max(triggered_at)) FROM alert_event) - INTERVAL 24 HOUR))
+SELECT q.* FROM ({SQL[name]}) q JOIN e USING (event_id)"""
+
+
+def in_order(spark, folder, machine, keys, name):
+    """Events that come up to eleven hours before or after their turn, put in order behind a watermark of a day."""
+    events = D.alert_event_stream(spark, folder, disorder_seconds=11 * 3600)
+    with X.rocksdb_state(spark):
+        return finish(spark, X.suppress_in_order(events, machine, keys, "24 hours", 3600), name)
+
+
+@query("stream_dedupe_in_order", released("dedupe"))
+def stream_dedupe_in_order(spark, folder):
+    keys = ["pipeline", "check_name"]
+    return in_order(spark, folder, Cooldown(12 * HOUR), keys, "dedupe-in-order").select("event_id", "fired")
+
+
+@query("stream_quota_in_order", released("quota"))
+def stream_quota_in_order(spark, folder):
+    return in_order(spark, folder, Quota(3, 12 * HOUR), ["pipeline"], "quota-in-order")
+
+
+@query("stream_breaker_in_order", released("circuit_breaker"))
+def stream_breaker_in_order(spark, folder):
+    return in_order(spark, folder, Breaker(2, 3 * HOUR), ["pipeline"], "breaker-in-order")
+
+
 @query(
     "stream_buffers",
     f"""{WALK}, {BY_PIPELINE}, {BATCH_SQL.format(n=8, w='9 HOUR')},

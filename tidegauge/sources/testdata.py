@@ -27,11 +27,12 @@ def alert_events(spark: SparkSession, folder: str) -> DataFrame:
 FILES = 2
 
 
-def alert_event_stream(spark: SparkSession, folder: str, slices: int = 5) -> DataFrame:
+def alert_event_stream(spark: SparkSession, folder: str, slices: int = 5, disorder_seconds: int = 0) -> DataFrame:
     """The same rows as a stream of several micro-batches; times become TIMESTAMP, which watermarks need.
 
     The events are cut into slices of time, which are written one after the other, each as
-    the files of one micro-batch. Rows without a time are in the first slice.
+    the files of one micro-batch. Rows without a time are in the first slice. With
+    ``disorder_seconds`` events come up to so much before or after their turn.
     """
     events = table(spark, folder, "events")
     path = work_folder(spark, "event-stream")
@@ -40,10 +41,12 @@ def alert_event_stream(spark: SparkSession, folder: str, slices: int = 5) -> Dat
         events.repartition(FILES).write.mode("append").parquet(path)
     else:
         step = (high - low) / slices
+        away = F.pmod(F.xxhash64("event_id"), F.lit(2 * disorder_seconds + 1)) - disorder_seconds
+        turn = F.col("ts") + F.make_dt_interval(secs=away.cast("decimal(18,6)")) if disorder_seconds else F.col("ts")
         for i in range(slices):
-            own = F.col("ts") >= F.lit(low + i * step)
+            own = F.lit(True) if i == 0 else turn >= F.lit(low + i * step)
             if i + 1 < slices:
-                own = own & (F.col("ts") < F.lit(low + (i + 1) * step))
+                own = own & (turn < F.lit(low + (i + 1) * step))
             if i == 0:
                 own = own | F.col("ts").isNull()
             events.filter(own).repartition(FILES).write.mode("append").parquet(path)
