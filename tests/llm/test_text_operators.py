@@ -666,13 +666,26 @@ def test_mixing_takes_the_largest_part_that_meets_the_targets(spark):
     """Half of all tokens is asked for, but a third may come from a value that has 5 of 1005."""
     docs = spark.createDataFrame([(i, "a" if i < 10 else "b", 10) for i in range(100)] + [(200, "c", 0), (None, None, 5)],
                                  "doc_id long, source string, tokens long")
-    got, out = reached(docs, {"source": mixing.tempered(0.0)}, "tokens", 0.5)
+    got, out = reached(docs, {"source": mixing.tempered(0.0)}, "tokens", 0.5, least_part=0.0)
     assert out[out.source.isna()].probability.tolist() == [1.0]
     assert abs((out.probability * out.tokens).sum() - 15) < 1e-9
     assert all(abs(r.expected - 1 / 3) < 1e-9 for r in got.values())
     assert out[out.source == "c"].probability.max() == 0
 
 
+def test_mixing_keeps_the_least_part(spark):
+    """A value with next to no tokens is taken whole; the others share the rest as their targets say."""
+    docs = spark.createDataFrame([(i, "abc"[min(2, i // 500)], 10) for i in range(1002)], "doc_id long, source string, tokens long")
+    targets = {"source": mixing.listed("source", {"a": 0.5, "b": 0.25, "c": 0.25})}
+    got, out = reached(docs, targets, "tokens", 0.9)
+    assert abs((out.probability * out.tokens).sum() / out.tokens.sum() - 0.1) < 1e-9
+    assert out[out.source == "c"].probability.min() == 1
+    assert abs(got["source", "a"].expected / got["source", "b"].expected - 2) < 1e-9
+    # Where all targets can be met, they are, and the part is the largest.
+    got, out = reached(docs.where("source <> 'c'"), {"source": mixing.tempered(1.0)}, "tokens", 0.9)
+    assert abs((out.probability * out.tokens).sum() / out.tokens.sum() - 0.9) < 1e-9
+
+
 def test_mixing_rakes_capped_cells_again(spark):
     """Cells that are taken whole; those beside them make up for it in both dimensions."""
     cells = {("a", "x"): 500, ("a", "y"): 10, ("b", "x"): 300, ("b", "y"): 40, ("c", "y"): 150}

@@ -8,12 +8,15 @@ with those of its cells that are whole at 1 left as they are and the others scal
 target. So cells that run out are raked again with all others, until the shares agree.
 
 The expected tokens are the wanted part of all tokens, or less: no value can give more than
-it has, so the part is at most the least ratio of a value's tokens to its target, and where
-the targets are not met within ``TOLERANCE`` even so, as the values of several dimensions
-stand in each other's way, the largest of ``FRACTIONS`` of it at which they are (if there is
-none, that with the smallest deviation). ``shares`` returns what is reached. A document is
-taken if a hash of its id, uniform in [0, 1), is below its probability, so a lost task takes
-the same documents again.
+it has, so the part is at most the least ratio of a value's share of all tokens to its
+target. It is not lowered below ``least_part`` for that, else a value with next to no tokens
+would leave next to nothing of the others; at that part, values that run out are taken
+whole, and the others keep their proportions to each other. Where targets are not met within
+``TOLERANCE`` even so, as the values of several dimensions stand in each other's way, the
+largest of ``FRACTIONS`` of the part is taken at which they are (if there is none, that with
+the smallest deviation). ``shares`` returns what is reached. A document is taken if a hash
+of its id, uniform in [0, 1), is below its probability, so a lost task takes the same
+documents again.
 
 Cells are a table with one row per combination of values that occurs. Up to ``FEW_CELLS``
 of them are raked in one task, more by exchanges on the values.
@@ -34,9 +37,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.common import hash_uniform, require
-from tidegauge.llm.common import own_name, saved
+from tidegauge.llm.common import own_name, release, saved
 
 SWEEPS = 16
+LEAST_PART = 0.1
 TOLERANCE = 0.001
 FRACTIONS = (1.0, 0.75, 0.5, 0.25)
 FEW_CELLS = 20_000
@@ -65,14 +69,35 @@ def cells_of(docs: DataFrame, dimensions: list[str], tokens: str) -> DataFrame:
     return docs.groupBy(*keys).agg(F.sum(tokens).alias("tokens")).where(F.col("tokens") > 0)
 
 
-def with_targets(cells: DataFrame, targets: Mapping[str, Column]) -> DataFrame:
-    """Add ``t0``, ``t1``, ...: the wanted share of the cell's value in each dimension."""
+def with_targets(cells: DataFrame, targets: Mapping[str, Column], part: float, least_part: float) -> DataFrame:
+    """Every cell, for each of ``FRACTIONS``, with its ``part`` and ``t0``, ``t1``, ...: the share of all sampled
+    tokens that the cell's value of each dimension is to have."""
+    wanted_of = []
     for i, (name, wanted) in enumerate(targets.items()):
         values = cells.groupBy(F.col(f"d{i}").alias(name)).agg(F.sum("tokens").alias("tokens"))
-        values = values.select(F.col(f"`{name}`").alias("_value"), wanted.alias("_wanted"))
-        whole = F.sum("_wanted").over(Window.partitionBy())
-        values = values.select("_value", (F.col("_wanted") / whole).alias(f"t{i}"))
-        cells = cells.join(values, F.col(f"d{i}").eqNullSafe(F.col("_value"))).drop("_value")
+        whole = Window.partitionBy()
+        values = values.select(F.col(f"`{name}`").alias("_value"), "tokens", wanted.alias("_wanted"))
+        wanted_of.append(saved(
+            values.select(
+                "_value", (F.col("tokens") / F.sum("tokens").over(whole)).alias("_share"),
+                (F.col("_wanted") / F.sum("_wanted").over(whole)).alias("_target")),
+            "mixing-values"))
+    bounds = [v.agg(F.min(F.col("_share") / F.col("_target"))).first()[0] for v in wanted_of]
+    largest = min([float(part), *[max(b, least_part) for b in bounds if b is not None]])
+    cells = cells.withColumn("fraction", F.explode(F.array(*[F.lit(x) for x in FRACTIONS])))
+    cells = cells.withColumn("part", F.lit(largest) * F.col("fraction"))
+    for i, values in enumerate(wanted_of):
+        values = values.withColumn("_of", F.explode(F.array(*[F.lit(x) for x in FRACTIONS])))
+        values = values.withColumn("_most", F.col("_share") / (F.lit(largest) * F.col("_of")))
+        # Targets are raised alike until those that are not cut at what there is make up for the rest.
+        by = Window.partitionBy("_of").orderBy(F.desc(F.col("_target") / F.col("_most")))
+        before = F.coalesce(F.sum("_most").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        rest = F.sum("_target").over(by.rowsBetween(0, Window.unboundedFollowing))
+        values = values.withColumn("_raise", (1 - before) / rest)
+        raised = F.max("_raise").over(Window.partitionBy("_of")) * F.col("_target")
+        values = values.withColumn(f"t{i}", F.least("_most", raised)).select("_value", "_of", f"t{i}")
+        same = F.col(f"d{i}").eqNullSafe(F.col("_value")) & (F.col("fraction") == F.col("_of"))
+        cells = cells.join(values, same).drop("_value", "_of")
     return cells
 
 
@@ -80,15 +105,10 @@ def _product(names: list[str]) -> Column:
     return reduce(lambda a, b: a * b, [F.col(n) for n in names])
 
 
-def rake(cells: DataFrame, dimensions: int, part: float, sweeps: int = SWEEPS) -> DataFrame:
-    """Every cell, for each of ``FRACTIONS``, with its ``part`` and ``probability``."""
-    every, total = range(dimensions), F.sum("tokens").over(Window.partitionBy())
-    bounds = [F.sum("tokens").over(Window.partitionBy(f"d{i}")) / (F.col(f"t{i}") * total) for i in every]
-    out = cells.withColumn("_bound", F.least(*bounds) if dimensions > 1 else bounds[0])
-    most = F.least(F.lit(float(part)), F.min("_bound").over(Window.partitionBy()))
-    out = out.withColumn("_most", most).withColumn("_total", total.cast("double"))
-    out = out.withColumn("fraction", F.explode(F.array(*[F.lit(x) for x in FRACTIONS])))
-    out = out.withColumn("part", F.col("_most") * F.col("fraction")).drop("_bound", "_most")
+def rake(cells: DataFrame, dimensions: int, sweeps: int = SWEEPS, few: bool = True) -> DataFrame:
+    """Add ``probability`` to the cells of each fraction."""
+    every = range(dimensions)
+    out = cells.withColumn("_total", F.sum("tokens").over(Window.partitionBy("fraction")).cast("double"))
     out = out.withColumns({f"f{i}": F.lit(1.0) for i in every})
     for sweep in range(sweeps):
         for i in every:
@@ -105,7 +125,8 @@ def rake(cells: DataFrame, dimensions: int, part: float, sweeps: int = SWEEPS) -
             out = out.withColumn(f"f{i}", best).drop("_others", "_own")
         if sweep % PLANNED == PLANNED - 1:
             out = saved(out, "raking")
-            out = out.coalesce(1) if _few(cells) else out
+            release(out)
+            out = out.coalesce(1) if few else out
     return out.withColumn("probability", F.least(F.lit(1.0), _product([f"f{i}" for i in every])))
 
 
@@ -129,15 +150,17 @@ def chosen(raked: DataFrame, dimensions: int, tolerance: float = TOLERANCE) -> D
 
 
 def mix(docs: DataFrame, targets: Mapping[str, Column], tokens: str, part: float, seed: int = 0,
-        id_col: str = "doc_id", sweeps: int = SWEEPS) -> DataFrame:
+        id_col: str = "doc_id", sweeps: int = SWEEPS, least_part: float = LEAST_PART) -> DataFrame:
     """All documents with ``probability`` and ``sampled``. ``targets`` has the wanted weight of each
     dimension's values, as a column of ``tokens`` (those of the value) or of the value."""
     names = list(targets)
     require("tokens" not in names, "a dimension may not be called tokens")
     docs = docs.drop("probability", "sampled")
-    cells = saved(with_targets(saved(cells_of(docs, names, tokens), "cells"), targets), "cell-targets")
-    cells = cells.coalesce(1) if _few(cells) else cells
-    found = saved(chosen(rake(cells, len(names), part, sweeps), len(names)), "raked")
+    cells = saved(cells_of(docs, names, tokens), "cells")
+    few = _few(cells)
+    cells = saved(with_targets(cells, targets, part, least_part), "cell-targets")
+    cells = cells.coalesce(1) if few else cells
+    found = saved(chosen(rake(cells, len(names), sweeps, few), len(names)), "raked")
     keys = {n: own_name(docs.columns, f"cell_{n}") for n in names}
     chance = own_name(docs.columns, "chance")
     found = found.select(

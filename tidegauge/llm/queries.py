@@ -57,20 +57,29 @@ def mixed(docs: DataFrame) -> DataFrame:
 def mixing_sql() -> str:
     names = list(MIX_POWERS)
     steps = [
-        f"""{n}_t AS (SELECT {n} AS v, sum(tokens) ** {p} AS w FROM cells GROUP BY {n}),
-        {n}_s AS (SELECT v, w / (SELECT sum(w) FROM {n}_t) AS s FROM {n}_t)"""
+        f"""{n}_t AS (SELECT {n} AS v, sum(tokens) / (SELECT sum(tokens) FROM cells) AS share, sum(tokens) ** {p} AS w
+            FROM cells GROUP BY {n}),
+        {n}_s AS (SELECT v, share, w / (SELECT sum(w) FROM {n}_t) AS s FROM {n}_t)"""
         for n, p in MIX_POWERS.items()
     ]
-    joins = " ".join(f"JOIN {n}_s ON {n} IS NOT DISTINCT FROM {n}_s.v" for n in names)
-    bounds = ", ".join(f"sum(tokens) OVER (PARTITION BY {n}) / ({n}_s.s * sum(tokens) OVER ())" for n in names)
+    joins = " ".join(
+        f"JOIN {n}_g ON {n} IS NOT DISTINCT FROM {n}_g.v AND {n}_g.fraction = x.fraction" for n in names)
+    bounds = ", ".join(
+        f"greatest({mixing.LEAST_PART}, (SELECT min(share / s) FROM {n}_s))" for n in names)
     fractions = ", ".join(f"({x}::DOUBLE)" for x in mixing.FRACTIONS)
     factors = " * ".join(f"f_{n}" for n in names)
     steps.append(
-        f"""b AS (SELECT {', '.join(names)}, tokens, {', '.join(f'{n}_s.s AS g_{n}' for n in names)},
-            least({bounds}) AS bound FROM cells {joins}),
-        r0 AS (SELECT b.* EXCLUDE (bound), fraction, {', '.join(f'1.0::DOUBLE AS f_{n}' for n in names)},
-            fraction * least({MIX_PART}, min(bound) OVER ()) * (SELECT sum(tokens) FROM cells) AS wanted
-            FROM b, (VALUES {fractions}) x(fraction))"""
+        f"x AS (SELECT fraction, fraction * least({MIX_PART}, {bounds}) AS part FROM (VALUES {fractions}) x(fraction))")
+    for n in names:
+        steps.append(f"""{n}_r AS (SELECT v, s, fraction, share / part AS most,
+            (1 - coalesce(sum(share / part) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(s) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS up
+            FROM {n}_s, x WINDOW w AS (PARTITION BY fraction ORDER BY s / (share / part) DESC)),
+        {n}_g AS (SELECT v, fraction, least(most, s * max(up) OVER (PARTITION BY fraction)) AS g FROM {n}_r)""")
+    steps.append(
+        f"""r0 AS (SELECT {', '.join(names)}, tokens, x.fraction, {', '.join(f'{n}_g.g AS g_{n}' for n in names)},
+            {', '.join(f'1.0::DOUBLE AS f_{n}' for n in names)}, part * (SELECT sum(tokens) FROM cells) AS wanted
+            FROM cells CROSS JOIN x {joins})"""
     )
     for i in range(mixing.SWEEPS * len(names)):
         n = names[i % len(names)]
