@@ -48,7 +48,8 @@ def test_globs_equal_shell_globs(spark):
     assert got == {(g, n): fnmatch.fnmatchcase(n, g) for g in GLOBS for n in NAMES}
 
 
-def test_silence_by_equality_and_by_glob(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_silence_by_equality_and_by_glob(spark, monkeypatch, few):
     monkeypatch.setattr(R, "SILENCE_BLOCK", 2)
     names = ["p1", "p2", "q?", "a.b"]
     df = events(spark, *[event(10 * i + j, pipeline=p, check=c) for i, p in enumerate(names) for j, c in enumerate(names)])
@@ -56,7 +57,35 @@ def test_silence_by_equality_and_by_glob(spark, monkeypatch):
     r = spark.createDataFrame([(a, b, None) for a, b in rules], "pipeline_glob string, check_glob string, expires_at timestamp_ntz")
     want = {10 * i + j for i, p in enumerate(names) for j, c in enumerate(names)
             if not any(fnmatch.fnmatchcase(p, a) and fnmatch.fnmatchcase(c, b) for a, b in rules)}
-    assert {x.event_id for x in R.silence(df, r, "2024-01-01 00:00:00").collect()} == want
+    assert {x.event_id for x in R.silence(df, r, "2024-01-01 00:00:00", few).collect()} == want
+
+
+def test_silence_with_every_pair_of_globs(spark):
+    """All odd globs on both sides, filed by their pieces, against trying each."""
+    df = events(spark, *[event(100 * i + j, pipeline=p, check=c) for i, p in enumerate(NAMES) for j, c in enumerate(NAMES)])
+    schema = "pipeline_glob string, check_glob string, expires_at timestamp_ntz"
+    for some in (GLOBS[1::3], GLOBS[2::3], ["*x?", "a*", "job?", "*b*", "?", "a.*y"]):
+        rules = [(a, b, None) for a in some for b in some]
+        r = spark.createDataFrame(rules, schema)
+        want = {100 * i + j for i, p in enumerate(NAMES) for j, c in enumerate(NAMES)
+                if any(fnmatch.fnmatchcase(p, a) for a in some) and any(fnmatch.fnmatchcase(c, b) for b in some)}
+        left = {x.event_id for x in R.silence(df, r, "2024-01-01 00:00:00", few=0).collect()}
+        assert {100 * i + j for i in range(len(NAMES)) for j in range(len(NAMES))} - left == want
+
+
+def test_many_globs_on_many_keys(spark):
+    """Tens of thousands of globs and keys meet by equality of pieces; no loop over all pairs in the plan."""
+    keys = spark.range(20_000).select(
+        F.col("id").alias("event_id"), F.concat(F.lit("team"), F.col("id") % 500, F.lit("-job"), F.col("id")).alias("pipeline"),
+        F.concat(F.lit("check"), F.col("id") % 50).alias("check_name"))
+    rules = spark.range(20_000).select(
+        F.concat(F.lit("team"), F.col("id") % 500, F.lit("-job"), F.col("id") * 2, F.lit("*")).alias("pipeline_glob"),
+        F.lit("check*").alias("check_glob"), F.lit(None).cast("timestamp_ntz").alias("expires_at"))
+    left = R.silence(keys, rules, "2024-01-01 00:00:00")
+    names = {f"team{i % 500}-job{i}" for i in range(20_000)}
+    globs = {f"team{i % 500}-job{2 * i}" for i in range(20_000)}
+    gone = {n for n in names if any(n[:k] in globs for k in range(1, len(n) + 1))}
+    assert left.count() == 20_000 - len(gone)
 
 
 def test_fingerprint_of_any_name(spark):

@@ -54,8 +54,7 @@ CASES = {
         e.withColumn("metric", F.col("check_name")), 9, 1.0, ORDER, max_rows=m
     ),
     "profile": lambda e, m: A.profile_report(
-        e.select(*KEYS, F.col("value").alias("duration_ms"), F.col("event_id").alias("sample_id")),
-        max_rows=m,
+        e.select(*KEYS, F.col("value").alias("duration_ms")), exact_rows=m or A.EXACT_ROWS,
     ),
 }
 
@@ -128,3 +127,32 @@ def test_fold_does_not_depend_on_layout(spark, events, parts, arrow_rows):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
         spark.conf.set("spark.sql.shuffle.partitions", 8)
+
+
+@pytest.mark.parametrize("exact_rows", [1, 50, 100_000])
+def test_percentiles_by_selection(spark, exact_rows):
+    """Outliers, ties, values that are close, signs, nulls and what is no finite number; against sorting."""
+    rng = random.Random(9)
+    series = {
+        "wide": [10 ** rng.uniform(-8, 300) * rng.choice([-1, 1]) for _ in range(500)],
+        "close": [1e9 + i * 1e-7 for i in range(300)],
+        "tied": [float(rng.randint(0, 3)) for _ in range(400)],
+        "odd": [None] * 5 + [float("-inf")] * 3 + [1.0, 2.0] + [float("inf")] * 4 + [float("nan")] * 9,
+        "nulls": [None] * 40 + [1.0], "low": [float("-inf")] * 39 + [3.0], "one": [7.5], None: [0.0, -0.0, 4.0],
+        "high": [1.0] * 10 + [float("inf")] * 30,
+    }
+    rows = [(p, "c", d) for p, ds in series.items() for d in ds]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "pipeline string, check_name string, duration_ms double").repartition(4)
+    got = {r.pipeline: r for r in A.profile_report(df, exact_rows=exact_rows).collect()}
+    order = lambda d: (0, 0.0) if d is None else (2, 0.0) if d != d else (1, d)
+    for p, ds in series.items():
+        want = sorted(ds, key=order)[max(1, int(len(ds) * 0.95)) - 1]
+        assert got[p]["count"] == len(ds)
+        assert got[p].p95_ms == want or (want != want and got[p].p95_ms != got[p].p95_ms), p
+
+
+def test_percentiles_sort_no_samples(spark):
+    df = spark.range(5_000).select(F.lit("hot").alias("pipeline"), F.lit("c").alias("check_name"), F.rand(1).alias("duration_ms"))
+    plan = A.profile_report(df, exact_rows=100)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan

@@ -16,6 +16,7 @@ from tidegauge.functions.common import (
     salted_join,
     severity_of_rank,
     severity_rank,
+    written,
 )
 from tidegauge.operators.enrich import fingerprint
 from tidegauge.operators.spread import MAX_ROWS, Spread
@@ -374,26 +375,89 @@ def project(metrics: DataFrame, horizon_hours: float = 24) -> DataFrame:
     )
 
 
+#: Values between which a rank is looked for are counted one by one when there are no more per key.
+EXACT_ROWS = 200_000
+BUCKETS = 4_096
+
+
+def _bucket(value: Column, low: Column, high: Column) -> Column:
+    """The part of [low, high] that a value is in; it never falls as the value rises.
+
+    On a logarithmic scale, so that a few outliers do not put all else into one bucket;
+    where the logarithms are too close to tell apart, on a linear one.
+    """
+    def scaled(x: Column) -> Column:
+        return F.signum(x) * F.log1p(F.abs(x))
+
+    log = F.try_divide(scaled(value) - scaled(low), scaled(high) - scaled(low))
+    linear = F.try_divide(value - low, high - low)
+    return F.floor(F.coalesce(log, linear, F.lit(0.0)) * BUCKETS)
+
+
+def values_at(rows: DataFrame, keys: Sequence[str], value: str, wanted: DataFrame, exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """``keys`` and ``value_at``: the value at a 1-based rank in ascending order, without sorting the rows.
+
+    ``wanted`` has the keys, ``_low`` and ``_high`` (least and greatest value, both finite),
+    ``_inside`` (how many there are) and ``_nth``. Each round counts the values per bucket and
+    goes on with the one that holds the rank, until it has few enough to count them singly.
+    """
+    keys = list(keys)
+    v = F.col(value)
+    bounds = written(wanted.select(*keys, "_low", "_high", "_inside", "_nth"), "rank-bounds")
+    slim = rows.select(*keys, value, F.monotonically_increasing_id().alias("_salt_of"))
+    while True:
+        inside = salted_join(slim, bounds, keys, salt="_salt_of", how="inner").filter(v.between(F.col("_low"), F.col("_high")))
+        open_ = bounds.filter((F.col("_low") < F.col("_high")) & (F.col("_inside") > exact_rows))
+        if open_.isEmpty():
+            break
+        counted = inside.groupBy(*keys, "_nth", _bucket(v, F.col("_low"), F.col("_high")).alias("_bucket")).agg(
+            F.count(F.lit(1)).alias("_inside"), F.min(v).alias("_low"), F.max(v).alias("_high"))
+        # A key has no more than ``BUCKETS`` + 1 of them.
+        up_to = F.sum("_inside").over(Window.partitionBy(*keys).orderBy("_bucket"))
+        counted = counted.withColumn("_up_to", up_to)
+        held = counted.filter((F.col("_up_to") >= F.col("_nth")) & (F.col("_up_to") - F.col("_inside") < F.col("_nth")))
+        bounds = written(
+            held.select(*keys, "_low", "_high", "_inside", (F.col("_nth") - F.col("_up_to") + F.col("_inside")).alias("_nth")),
+            "rank-bounds")
+    single = inside.groupBy(*keys, "_nth", v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    single = single.withColumn("_up_to", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v")))
+    return single.filter(F.col("_up_to") >= F.col("_nth")).groupBy(*keys).agg(F.min("_v").alias("value_at"))
+
+
 def profile_report(
-    samples: DataFrame, keys: Sequence[str] = ("pipeline", "check_name"), max_rows: int | None = MAX_ROWS
+    samples: DataFrame, keys: Sequence[str] = ("pipeline", "check_name"), exact_rows: int = EXACT_ROWS
 ) -> DataFrame:
-    """Count, mean, 95th percentile by rank and sample deviation of durations per key."""
-    keys = list(keys)
+    """Count, mean, 95th percentile by rank and sample deviation of durations per key.
+
+    In the order of ranks null durations come first, then negative infinity, numbers,
+    positive infinity and NaN.
+    """
+    keys, d = list(keys), F.col("duration_ms")
+    infinite, nan = F.abs(d) == float("inf"), F.isnan(d)
+    finite = F.when(d.isNotNull() & ~nan & ~infinite, d)
     stats = samples.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("count"),
-        F.avg("duration_ms").alias("mean_ms"),
-        F.when(F.count(F.lit(1)) >= 2, F.stddev_samp("duration_ms")).alias("stdev_ms"),
-    ).withColumn("_rank", F.greatest(F.lit(1), F.floor(F.col("count") * F.lit(0.95))))
-    ranked = Spread(
-        samples.select(*keys, "duration_ms", "sample_id"), keys, ["duration_ms", "sample_id"], max_rows
-    ).position("_rank").result()
-    ranked = ranked.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_rank").alias("_at"), F.col("duration_ms").alias("p95_ms")
+        F.avg(d).alias("mean_ms"),
+        F.when(F.count(F.lit(1)) >= 2, F.stddev_samp(d)).alias("stdev_ms"),
+        F.count_if(d.isNull()).alias("_nulls"), F.count_if(infinite & (d < 0)).alias("_below"),
+        F.count_if(infinite & (d > 0)).alias("_above"), F.count(finite).alias("_inside"),
+        F.min(finite).alias("_low"), F.max(finite).alias("_high"),
     )
-    same = F.col("_rank") == F.col("_at")
+    rank = F.greatest(F.lit(1), F.floor(F.col("count") * F.lit(0.95)))
+    stats = written(stats.withColumn("_nth", rank - F.col("_nulls") - F.col("_below")), "profile")
+    wanted = stats.filter("_nth between 1 and _inside")
+    found = values_at(samples.select(*keys, finite.alias("duration_ms")), keys, "duration_ms", wanted, exact_rows)
+    found = found.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "value_at")
+    same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return stats.join(ranked, same).select(*keys, "count", "mean_ms", "p95_ms", "stdev_ms")
+    past = F.col("_nth") - F.col("_inside")
+    other = (
+        F.when(past > F.col("_above"), F.lit(float("nan"))).when(past > 0, F.lit(float("inf")))
+        .when(F.col("_nth") + F.col("_below") > 0, F.lit(float("-inf")))
+    )
+    p95 = F.when(F.col("_nth").between(1, F.col("_inside")), F.col("value_at")).otherwise(other)
+    return stats.join(found, same, "left").select(*keys, "count", "mean_ms", p95.alias("p95_ms"), "stdev_ms")
 
 
 def shadow_summary(alerts: DataFrame) -> DataFrame:

@@ -19,11 +19,17 @@ from tidegauge.functions.common import (
     plus_seconds,
     require,
     salted_join,
+    within_rows,
+    written,
 )
 
 
-# Silence rules with two real globs that are tried together.
+# Silence rules that are tried together on every key.
 SILENCE_BLOCK = 1_000
+# Letters of a glob's prefix or suffix that it is filed under.
+PIECE = 24
+# Bytes of rules that are broadcast at most.
+RULE_BYTES = 16_000_000
 
 
 def filter_chain(df: DataFrame, rules: Sequence[tuple[str, Column, str]]) -> DataFrame:
@@ -80,39 +86,97 @@ def active_silences(rules: DataFrame, now: str | Column) -> DataFrame:
     return rules.filter(F.col("expires_at").isNull() | (instant(now) < F.col("expires_at")))
 
 
-def silence(events: DataFrame, rules: DataFrame, now: str | Column) -> DataFrame:
+def _pieces(glob: Column) -> Column:
+    """The literal pieces of a glob, between its wildcards; the first and last are its prefix and suffix."""
+    return F.split(F.regexp_replace(glob, r"(?s)\[!?+\]?+[^\]]*+\]|[*?]", "\u0000"), "\u0000")
+
+
+def _terms(name: str, glob: str) -> list[Column]:
+    """What a glob may be filed under: (kind, text) of its prefix, its suffix and a trigram of its longest piece."""
+    pieces = _pieces(F.col(glob))
+    longest = F.array_max(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    ends = [(pieces[0], F.substring(pieces[0], 1, PIECE)), (F.element_at(pieces, -1), F.right(F.element_at(pieces, -1), F.lit(PIECE)))]
+    out = [
+        F.struct(F.length(cut).alias("n"), F.lit(f"{name}{kind}").alias("kind"), cut.alias("term"))
+        for kind, (whole, cut) in zip("ps", ends)
+    ]
+    gram = F.when(F.length(longest) >= 3, F.substring(longest, 1, 3))
+    return [*out, F.struct(F.coalesce(F.length(gram), F.lit(0)).alias("n"), F.lit(f"{name}g").alias("kind"), gram.alias("term"))]
+
+
+def _probes(name: str, column: str, sizes: dict[str, list[int]]) -> Column:
+    """What a name is looked up by: its prefixes and suffixes of the lengths that are filed, and its trigrams."""
+    text, kinds = F.col(column), []
+    for kind, cut in (("p", lambda n: F.substring(text, 1, n)), ("s", lambda n: F.right(text, F.lit(n)))):
+        for n in sizes.get(f"{name}{kind}", []):
+            kinds.append(F.when(F.length(text) >= n, F.struct(F.lit(f"{name}{kind}").alias("kind"), cut(n).alias("term"))))
+    out = F.array_compact(F.array(*kinds)) if kinds else F.array().cast("array<struct<kind:string,term:string>>")
+    if f"{name}g" in sizes:
+        at = F.when(F.length(text) >= 3, F.sequence(F.lit(1), F.length(text) - 2)).otherwise(F.array().cast("array<int>"))
+        grams = F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(3))))
+        out = F.concat(out, F.transform(grams, lambda g: F.struct(F.lit(f"{name}g").alias("kind"), g.alias("term"))))
+    return out
+
+
+def _indexed_hits(keys: DataFrame, rules: DataFrame) -> DataFrame:
+    """Keys that match a rule of two globs, by an index of the globs' literal pieces.
+
+    A rule is filed under the longest of its prefixes, suffixes and trigrams, so that keys
+    meet by equality only the rules that have it in common with them. Rules of two globs
+    without any letter of their own are tried in blocks.
+    """
+    terms = F.array(*_terms("p", "_gp"), *_terms("c", "_gc"))
+    filed = rules.withColumn("_term", F.array_max(F.filter(terms, lambda x: x["n"] > 0))).select(
+        "*", F.col("_term.kind").alias("_kind"), F.col("_term.term").alias("_text"))
+    filed = written(filed.drop("_term"), "globs")
+    sizes: dict[str, list[int]] = {}
+    # At most ``PIECE`` lengths of four kinds, and two kinds of trigrams.
+    for kind, n in filed.where("_kind is not null").select("_kind", F.length("_text")).distinct().collect():
+        sizes.setdefault(kind, []).append(n)
+    like = F.regexp_like(F.col("pipeline"), F.col("_p")) & F.regexp_like(F.col("check_name"), F.col("_c"))
+    probes = F.concat(_probes("p", "pipeline", sizes), _probes("c", "check_name", sizes))
+    asked = keys.select("pipeline", "check_name", F.explode(probes).alias("_x"))
+    by_term = (F.col("_x.kind") == F.col("_kind")) & (F.col("_x.term") == F.col("_text"))
+    hits = asked.join(filed, by_term & like, "left_semi").drop("_x")
+    bare = filed.where("_kind is null")
+    blocks = -(-bare.count() // SILENCE_BLOCK)
+    if not blocks:
+        return hits
+    dealt = bare.withColumn("_block", F.pmod(F.xxhash64("_p", "_c"), F.lit(blocks)).cast("int"))
+    spread = keys.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # With one block the key is constant; its rules are few, so they are broadcast.
+    dealt = F.broadcast(dealt) if blocks == 1 else dealt
+    return hits.unionByName(spread.join(dealt, (F.col("_at") == F.col("_block")) & like, "left_semi").drop("_at"))
+
+
+def silence(events: DataFrame, rules: DataFrame, now: str | Column, few: int = SILENCE_BLOCK) -> DataFrame:
     """Drop events whose pipeline and check match an active silence rule.
 
-    Rules are tried once per distinct (pipeline, check), not once per event, and by
-    equality as far as they are literal. Rules with two real globs meet the keys in blocks
-    of rules, so that their number bounds no broadcast.
+    Rules are tried once per distinct (pipeline, check), not once per event. Up to ``few``
+    are tried as they are; of more, literal names are met by equality and globs by an index.
     """
     r = active_silences(rules, now)
-    flags = [is_literal_glob("pipeline_glob").alias("_lp"), is_literal_glob("check_glob").alias("_lc")]
     r = r.select(
-        F.col("pipeline_glob").alias("_gp"), F.col("check_glob").alias("_gc"), *flags,
+        F.col("pipeline_glob").alias("_gp"), F.col("check_glob").alias("_gc"),
+        is_literal_glob("pipeline_glob").alias("_lp"), is_literal_glob("check_glob").alias("_lc"),
         glob_regex("pipeline_glob").alias("_p"), glob_regex("check_glob").alias("_c"),
     ).distinct()
     keys = events.select("pipeline", "check_name").distinct()
-    by_p, by_c = F.col("pipeline") == F.col("_gp"), F.col("check_name") == F.col("_gc")
     like_p = F.regexp_like(F.col("pipeline"), F.col("_p"))
     like_c = F.regexp_like(F.col("check_name"), F.col("_c"))
-    hits = [
-        keys.join(r.filter("_lp and _lc"), by_p & by_c, "left_semi"),
-        keys.join(r.filter("_lp and not _lc"), by_p & like_c, "left_semi"),
-        keys.join(r.filter("not _lp and _lc"), by_c & like_p, "left_semi"),
-    ]
-    open_rules = r.filter("not _lp and not _lc")
-    blocks = max(1, -(-open_rules.count() // SILENCE_BLOCK))
-    dealt = open_rules.withColumn("_block", F.pmod(F.xxhash64("_p", "_c"), F.lit(blocks)).cast("int"))
-    spread = keys.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    # With one block the key is constant; its rules are few, so they are broadcast.
-    dealt = F.broadcast(dealt) if blocks == 1 else dealt
-    hits.append(spread.join(dealt, (F.col("_at") == F.col("_block")) & like_p & like_c, "left_semi").drop("_at"))
-    hit = hits[0]
-    for h in hits[1:]:
-        hit = hit.unionByName(h)
-    return salted_join(events, hit.distinct(), ["pipeline", "check_name"], salt="event_id", how="left_anti")
+    if within_rows(r, few):
+        hit = keys.join(F.broadcast(r), like_p & like_c, "left_semi")
+    else:
+        by_p, by_c = F.col("pipeline") == F.col("_gp"), F.col("check_name") == F.col("_gc")
+        r, keys = written(r, "silences"), written(keys, "silence-keys")
+        hit = (
+            keys.join(r.filter("_lp and _lc"), by_p & by_c, "left_semi")
+            .unionByName(keys.join(r.filter("_lp and not _lc"), by_p & like_c, "left_semi"))
+            .unionByName(keys.join(r.filter("not _lp and _lc"), by_c & like_p, "left_semi"))
+            .unionByName(_indexed_hits(keys, r.filter("not _lp and not _lc")))
+            .distinct()
+        )
+    return salted_join(events, hit, ["pipeline", "check_name"], salt="event_id", how="left_anti")
 
 
 def in_maintenance(events: DataFrame, windows: DataFrame, suppressed: bool = False) -> DataFrame:
@@ -137,8 +201,9 @@ def match_rules(events: DataFrame, rules: DataFrame, payload: Sequence[str], lim
 
     A null or empty rule ``pipeline``/``severity``/``tags`` matches anything. Rules are
     listed by what they ask for, and each event looks up four lists: those for its
-    pipeline and severity, for one of them, and for neither. Lists of up to ``limit`` keys
-    are broadcast, longer tables are joined on equality; rows stay as they are either way.
+    pipeline and severity, for one of them, and for neither. Up to ``limit`` rules of
+    ``RULE_BYTES`` are broadcast; lists of more meet events that are spread by a salt.
+    Rows stay as they are either way.
     """
     any_tags = F.array().cast("array<string>")
     tags = F.coalesce(F.col("tags"), any_tags) if "tags" in rules.columns else any_tags
@@ -147,18 +212,24 @@ def match_rules(events: DataFrame, rules: DataFrame, payload: Sequence[str], lim
         F.when(F.col("severity") != "", F.col("severity")).alias("_s"),
         F.struct("rule_idx", *payload, tags.alias("_t")).alias("_rule"),
     )
+    sizes = r.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json("_rule"))), F.lit(0))).first()
+    few = sizes[0] <= limit and sizes[1] <= RULE_BYTES
     event_tags = F.coalesce(F.col("tags"), any_tags)
     out, names = events, []
-    for keys in (("_p", "_s"), ("_p",), ("_s",)):
+    for keys in ({"_p": "pipeline", "_s": "severity"}, {"_p": "pipeline"}, {"_s": "severity"}):
         wanted = F.lit(True)
         for k in ("_p", "_s"):
             wanted = wanted & (F.col(k).isNotNull() if k in keys else F.col(k).isNull())
         name = "_rules" + "".join(keys)
         lists = r.filter(wanted).groupBy(*keys).agg(F.collect_list("_rule").alias(name))
-        same = F.lit(True)
-        for k in keys:
-            same = same & (F.col({"_p": "pipeline", "_s": "severity"}[k]) == F.col(k))
-        out = out.join(broadcast_if_small(lists, limit), same, "left").drop(*keys)
+        if few:
+            same = F.lit(True)
+            for k, c in keys.items():
+                same = same & (F.col(c) == F.col(k))
+            out = out.join(F.broadcast(lists), same, "left").drop(*keys)
+        else:
+            lists = lists.select(*[F.col(k).alias(c) for k, c in keys.items()], name)
+            out = salted_join(out, lists, list(keys.values()), salt="event_id")
         names.append(name)
     out = out.withColumn(
         "_rules", r.filter(F.col("_p").isNull() & F.col("_s").isNull()).agg(F.collect_list("_rule")).scalar()
