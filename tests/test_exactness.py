@@ -3,6 +3,7 @@
 import fnmatch
 import hashlib
 import json
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -154,6 +155,67 @@ def test_many_rules_by_table(spark):
     rules = spark.range(5000).select(
         F.lit("t").alias("field"), F.lit("max").alias("rule"), F.col("id").cast("string").alias("value"), F.lit("m").alias("message"))
     assert C.violations_by_table(df, rules, ["id"]).count() == sum(range(50))
+    # A table of more bytes than go into one expression is taken in parts.
+    assert C.violations_by_table(df, rules, ["id"], most_bytes=100_000).count() == sum(range(50))
+
+
+RULE_TABLE = "rule_idx int, field string, rule string, value string, message string"
+
+
+@pytest.mark.parametrize("most_bytes", [16_000_000, 300])
+def test_every_kind_of_rule_from_a_table(spark, most_bytes):
+    """Columns and VARIANT records, fields that are not there, texts that are no numbers, own messages."""
+    rules = [
+        (1, "n", "required", None, None), (2, "n", "min", "2", None), (3, "n", "max", "3.5", None), (4, "n", "type", "str", None),
+        (5, "t", "required", None, "no text"), (6, "t", "regex", "a|b.*", None), (7, "t", "type", "int", None),
+        (8, "gone", "required", None, None), (9, "gone", "min", "1", None), (10, "t", "type", "date", None),
+        (11, "n", "type", "int", None), (12, "t", "min", "5", None), (13, "gone", "regex", "x", None), (14, "n", "max", "3", "large"),
+    ]
+    table = spark.createDataFrame(rules, RULE_TABLE)
+    rows = [(1, 1, "a"), (2, 3, "bcd"), (3, None, ""), (4, 4, None), (5, 2, "7")]
+    df = spark.createDataFrame(rows, "id int, n int, t string")
+    name = lambda v: {int: "int", str: "string"}[type(v)]
+
+    def number(v):
+        try:
+            return float(v)
+        except ValueError:
+            return None
+
+    def brute(record, names):
+        out = []
+        for _, f, kind, value, message in rules:
+            v, bad, text = record.get(f), False, None
+            if kind == "required":
+                bad, text = v is None or v == "", f"Field '{f}' is required."
+            elif v is not None and kind in ("min", "max"):
+                x, limit = number(v), float(value)
+                bad = x is None or (x < limit if kind == "min" else x > limit)
+                text = f"Field '{f}' must be {'>=' if kind == 'min' else '<='} {limit}, got {v}."
+            elif v is not None and kind == "regex":
+                bad, text = re.fullmatch(value, str(v)) is None, f"Field '{f}' does not match pattern '{value}'."
+            elif v is not None and kind == "type" and value in ("int", "str"):
+                bad, text = not isinstance(v, {"int": int, "str": str}[value]), f"Field '{f}' must be {value}, got {names(v)}."
+            if bad:
+                out.append((f, kind, message or text))
+        return out
+
+    want = sorted((i, *x) for i, n, t in rows for x in brute({"n": n, "t": t}, name))
+    got = C.violations_by_table(df, table, ["id"], most_bytes=most_bytes)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    records = df.select("id", F.try_parse_json(F.to_json(F.struct("n", "t"))).alias("r"))
+    variant = lambda v: {int: "bigint", str: "string"}[type(v)]
+    want = sorted((i, *x) for i, n, t in rows for x in brute({"n": n, "t": t}, variant))
+    got = C.violations_by_table(records, table, ["id"], record="r", most_bytes=most_bytes)
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_unknown_rules_in_a_table_are_errors(spark):
+    df = spark.createDataFrame([(1, "x")], "id int, t string")
+    bad = spark.createDataFrame([(1, "t", "nope", None, None)], RULE_TABLE)
+    with pytest.raises(ValueError):
+        C.violations_by_table(df, bad, ["id"])
+    assert C.violations_by_table(df, bad.limit(0), ["id"]).count() == 0
 
 
 def runs(spark, rows):
@@ -174,8 +236,8 @@ def test_null_keys_stay(spark):
     assert sorted((r.pipeline or "", r.total_runs, r.consecutive_failures) for r in got) == [("", 2, 1), ("p", 1, 0)]
     s = spark.createDataFrame(
         [(i, None if i % 2 else "p", "c", float(i)) for i in range(40)], "sample_id bigint, pipeline string, check_name string, duration_ms double")
-    for max_rows in (None, 5):
-        got = A.profile_report(s, max_rows=max_rows).collect()
+    for exact_rows in (100, 5):
+        got = A.profile_report(s, exact_rows=exact_rows).collect()
         assert sorted((r.pipeline or "", r["count"], r.p95_ms) for r in got) == [("", 20, 37.0), ("p", 20, 36.0)]
 
 

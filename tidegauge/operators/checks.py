@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tidegauge.functions.common import (
     instant,
     micros,
     require,
+    written,
 )
 
 
@@ -221,40 +223,92 @@ def validate_records(
     return df.withColumn("violations", violations).withColumn("passed", F.size("violations") == 0)
 
 
-def violations_by_table(df: DataFrame, rules: DataFrame, id_columns: Sequence[str]) -> DataFrame:
-    """One row per violation, for any number of rules: the fields of each row meet the rules on their names.
+#: Bytes of a rule table that go into one expression.
+RULE_BYTES = 4_000_000
+_RULE = "rule string, value string, message string"
 
-    Rules of the kinds required, min, max and regex compare a field's text; the messages
-    are those of ``validate_records``. A rule on a field that is no column is an error.
+
+def _broken(rule: Column, name: str, raw: Column, text: Column, number: Column, numeric: bool, kind: Column, is_kind) -> Column:
+    """The violation of one rule, a struct of a rule table, by a field; null if there is none.
+
+    ``numeric``: a value that is no number is not compared; else it violates limits. ``is_kind``
+    gives, for a type's name, whether the field is of it.
     """
-    unknown = rules.filter(~F.col("field").isin(df.columns))
-    require(unknown.isEmpty(), "rules must be on columns of the table")
-    fields = F.array(*[
-        F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("text"))
-        for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct", "variant"))
-    ])
-    long = df.select(*id_columns, F.explode(fields).alias("_f")).select(*id_columns, "_f.*")
-    r = rules.select("field", "rule", F.col("value").alias("_limit"), F.col("message").alias("_message"))
-    number, limit = F.col("text").try_cast("double"), F.col("_limit").try_cast("double")
-    has = F.col("text").isNotNull()
+    has, limit = raw.isNotNull(), rule["value"].try_cast("double")
+    below, above = F.coalesce(number < limit, F.lit(not numeric)), F.coalesce(number > limit, F.lit(not numeric))
+    field = F.lit(f"Field '{name}' ")
+    bound = F.concat(limit.cast("string"), F.lit(", got "), text, F.lit("."))
+    known = F.lit(False)
+    for want in _TYPE_CLASSES:
+        known = F.when(rule["value"] == want, ~is_kind(want)).otherwise(known)
+    is_ = lambda k: rule["rule"] == k
     bad = (
-        F.when(F.col("rule") == "required", ~has | (F.col("text") == ""))
-        .when(F.col("rule") == "min", has & F.coalesce(number < limit, F.lit(True)))
-        .when(F.col("rule") == "max", has & F.coalesce(number > limit, F.lit(True)))
-        .when(F.col("rule") == "regex", has & ~F.regexp_like("text", F.concat(F.lit("^(?:"), F.col("_limit"), F.lit(")\\z"))))
-        .otherwise(F.raise_error(F.concat(F.lit("unknown validation rule "), F.col("rule"))).cast("boolean"))
-    )
-    name = F.concat(F.lit("Field '"), F.col("field"), F.lit("' "))
-    bound = F.concat(limit.cast("string"), F.lit(", got "), F.col("text"), F.lit("."))
-    text = (
-        F.when(F.col("rule") == "required", F.concat(name, F.lit("is required.")))
-        .when(F.col("rule") == "min", F.concat(name, F.lit("must be >= "), bound))
-        .when(F.col("rule") == "max", F.concat(name, F.lit("must be <= "), bound))
-        .otherwise(F.concat(name, F.lit("does not match pattern '"), F.col("_limit"), F.lit("'.")))
-    )
-    return long.join(r, "field").filter(bad).select(
-        *id_columns, "field", "rule", F.coalesce("_message", text).alias("message")
+        F.when(is_("required"), ~has | (F.coalesce(text, F.lit("")) == ""))
+        .when(is_("min"), has & below).when(is_("max"), has & above)
+        .when(is_("regex"), has & ~F.regexp_like(text, F.concat(F.lit("^(?:"), rule["value"], F.lit(")\\z"))))
+        .otherwise(has & known)
     )
+    message = (
+        F.when(is_("required"), F.concat(field, F.lit("is required.")))
+        .when(is_("min"), F.concat(field, F.lit("must be >= "), bound))
+        .when(is_("max"), F.concat(field, F.lit("must be <= "), bound))
+        .when(is_("regex"), F.concat(field, F.lit("does not match pattern '"), rule["value"], F.lit("'.")))
+        .otherwise(F.concat(field, F.lit("must be "), rule["value"], F.lit(", got "), kind, F.lit(".")))
+    )
+    found = F.struct(F.lit(name).alias("field"), rule["rule"].alias("rule"), F.coalesce(rule["message"], message).alias("message"))
+    return F.when(F.coalesce(bad, F.lit(False)), found)
+
+
+def _of_field(df: DataFrame, name: str, rules: Column, record: str | None) -> Column:
+    """All violations of one field: its rules are an array, tried one after the other."""
+    if record is not None:
+        raw = F.try_variant_get(F.col(record), f"$.{name}", "variant")
+        raw = F.when(F.is_variant_null(raw), None).otherwise(raw)
+        text = F.try_variant_get(F.col(record), f"$.{name}", "string")
+        kind = F.schema_of_variant(raw)
+        number = F.coalesce(F.try_variant_get(F.col(record), f"$.{name}", "double"), text.try_cast("double"))
+        values = raw, text, number, False, F.lower(kind), lambda want: F.coalesce(kind.rlike(_VARIANT_PATTERNS[want]), F.lit(False))
+    elif name in df.columns:
+        dtype, raw = df.schema[name].dataType, F.col(f"`{name}`")
+        is_text = isinstance(dtype, T.StringType)
+        number = raw.try_cast("double") if isinstance(dtype, (T.NumericType, T.StringType)) else F.lit(None).cast("double")
+        text = raw.cast("string") if not isinstance(dtype, T.VariantType) else F.lit(None).cast("string")
+        values = raw, text, number, not is_text, F.lit(dtype.simpleString()), lambda want: F.lit(isinstance(dtype, _TYPE_CLASSES[want]))
+    else:
+        null = F.lit(None).cast("string")
+        values = null, null, F.lit(None).cast("double"), True, null, lambda want: F.lit(True)
+    return F.array_compact(F.transform(rules, lambda r: _broken(r, name, *values)))
+
+
+def violations_by_table(
+    df: DataFrame, rules: DataFrame, id_columns: Sequence[str], record: str | None = None, most_bytes: int = RULE_BYTES
+) -> DataFrame:
+    """One row per violation, for a rule table of any size: the rules of each field are one constant array.
+
+    A field that is not there reads as null. Rules of up to ``most_bytes`` are one projection
+    over the rows; a larger table is taken in parts of that size, each of which is written
+    before the next, so that no more is in the driver at once. No row is exchanged.
+    """
+    known = F.col("rule").isin("required", "min", "max", "type", "regex")
+    slim = rules.select("field", F.struct("rule", F.col("value").cast("string").alias("value"), "message").alias("_rule"), "rule")
+    sizes = slim.agg(
+        F.coalesce(F.sum(F.octet_length(F.to_json("_rule")) + F.octet_length("field")), F.lit(0)), F.count_if(~F.coalesce(known, F.lit(False)))
+    ).first()
+    require(sizes[1] == 0, "unknown validation rule")
+    parts = max(1, -(-sizes[0] // most_bytes))
+    found = []
+    for part in range(parts):
+        own = slim.filter(F.pmod(F.xxhash64("field", "_rule"), F.lit(parts)) == part) if parts > 1 else slim
+        by_field = own.groupBy("field").agg(F.to_json(F.collect_list("_rule")).alias("rules")).collect()
+        arrays = [
+            _of_field(df, r.field, F.from_json(F.lit(r.rules), f"array<struct<{_RULE}>>"), record)
+            for r in sorted(by_field, key=lambda r: r.field)
+        ]
+        nothing = F.array().cast("array<struct<field:string,rule:string,message:string>>")
+        violations = F.concat(*arrays) if arrays else nothing
+        rows = df.select(*id_columns, F.explode(violations).alias("_v")).select(*id_columns, "_v.field", "_v.rule", "_v.message")
+        found.append(written(rows, "violations") if parts > 1 else rows)
+    return reduce(DataFrame.unionByName, found)
 
 
 def violation_rows(validated: DataFrame, id_columns: Sequence[str]) -> DataFrame:

@@ -116,6 +116,34 @@ def validate_pages(spark, folder):
     return C.violation_rows(C.validate_records(D.table(spark, folder, "pages"), rules), ["page_id"])
 
 
+@query(
+    "validate_rule_table",
+    """SELECT c_custkey, 'c_acctbal' AS field, 'min' AS rule, 'Field ''c_acctbal'' must be >= 0.0, got ' || c_acctbal || '.' AS message
+  FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT c_custkey, 'c_acctbal', 'max', 'Field ''c_acctbal'' must be <= 9000.5, got ' || c_acctbal || '.' FROM customer WHERE c_acctbal > 9000.5
+UNION ALL SELECT c_custkey, 'c_mktsegment', 'regex', 'unexpected segment' FROM customer
+  WHERE NOT regexp_full_match(c_mktsegment, 'BUILDING|MACHINERY|HOUSE.*')
+UNION ALL SELECT c_custkey, 'c_name', 'type', 'Field ''c_name'' must be int, got string.' FROM customer WHERE c_name IS NOT NULL
+UNION ALL SELECT c_custkey, 'c_email', 'required', 'Field ''c_email'' is required.' FROM customer""",
+)
+def validate_rule_table(spark, folder):
+    """The rules as a table: every kind, and fields that the records do not have."""
+    rules = rule_table(
+        spark,
+        "rule_idx int, field string, rule string, value string, message string",
+        [
+            (1, "c_acctbal", "min", "0", None),
+            (2, "c_acctbal", "max", "9000.5", None),
+            (3, "c_mktsegment", "regex", "BUILDING|MACHINERY|HOUSE.*", "unexpected segment"),
+            (4, "c_name", "type", "int", None),
+            (5, "c_nationkey", "type", "int", None),
+            (6, "c_email", "required", None, None),
+            (7, "c_email", "min", "1", None),
+        ],
+    )
+    return C.violations_by_table(D.table(spark, folder, "customer"), rules, ["c_custkey"])
+
+
 @query(
     "validate_json_records",
     """WITH r AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
