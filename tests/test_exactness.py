@@ -272,3 +272,65 @@ def test_joins_per_key_do_not_shuffle_events_for_few_keys(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     got = {r.event_id: r.queue_depth for r in R.backlog_depth(df, F.col("pipeline")).collect()}
     assert got == {1: 1, 2: 1}
+
+
+@pytest.mark.parametrize("suppressed", [False, True])
+def test_maintenance_by_time_slots(spark, suppressed):
+    """Windows of seconds to decades, open at neither end, against trying each; nulls match nothing."""
+    import random
+
+    rng = random.Random(3)
+    at = lambda s: T0 + timedelta(seconds=s)
+    windows = [("p1", at(0), at(0)), ("p1", at(10), at(5)), ("p2", None, at(9)), ("p2", at(0), None), (None, at(0), at(10**6))]
+    for _ in range(300):
+        start = rng.uniform(-10**7, 10**7)
+        windows.append((rng.choice(["p1", "p1", "p1", "p2"]), at(start), at(start + 10 ** rng.uniform(-2, 5.5))))
+    windows += [("p3", at(-3 * 10**8), at(-2 * 10**8)), ("p3", at(5 * 10**6), datetime(9999, 12, 31))]
+    w = spark.createDataFrame(windows, "pipeline string, start_at timestamp_ntz, end_at timestamp_ntz")
+    rows = [(i, rng.choice(["p1", "p2", "p3", "p4"]), at(rng.uniform(-10**7, 10**7))) for i in range(600)]
+    rows += [(600, "p1", at(0)), (601, None, at(1)), (602, "p1", None), (603, "p1", windows[9][1]), (604, windows[9][0], windows[9][2])]
+    e = spark.createDataFrame(rows, "event_id int, pipeline string, triggered_at timestamp_ntz")
+    want = {i for i, p, t in rows if suppressed == any(
+        p is not None and p == q and None not in (t, a, b) and a <= t <= b for q, a, b in windows)}
+    for limit in (0, 20_000):
+        assert {r.event_id for r in R.in_maintenance(e, w, suppressed, limit).collect()} == want
+
+
+def test_a_pipeline_of_many_events_and_windows_is_spread(spark):
+    """One pipeline has half of the events and half of 40,000 windows: they meet by time."""
+    events_ = spark.range(40_000).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 100)).alias("pipeline"),
+        F.timestamp_seconds(F.col("id") * 900).cast("timestamp_ntz").alias("triggered_at"))
+    windows = events_.select("pipeline", F.col("triggered_at").alias("start_at"), F.expr("triggered_at + interval 10 seconds").alias("end_at"))
+    left = R.in_maintenance(events_, windows)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "_slot" in plan and left.count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_cycles_in_one_task_and_in_rounds(spark, monkeypatch, few):
+    """Random graphs, self-loops, chains, repeated edges and nulls: what is left after peeling is the same."""
+    import random
+
+    monkeypatch.setattr(N, "FEW_EDGES", few)
+    rng = random.Random(4)
+    graphs = [[(str(rng.randint(0, n)), str(rng.randint(0, n))) for _ in range(m)] for n, m in ((4, 3), (12, 9), (30, 36))]
+    graphs += [[(str(i), str(i + 1)) for i in range(40)], [("a", "a"), ("a", "b")], [("a", "b"), ("b", None), (None, "a")],
+               [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("z", "a"), ("a", "b")]]
+    for edges in graphs:
+        left = {e for e in edges if None not in e}
+        while True:
+            starts, ends = {a for a, _ in left}, {b for _, b in left}
+            now = {(a, b) for a, b in left if a in ends and b in starts}
+            if now == left:
+                break
+            left = now
+        df = spark.createDataFrame(edges, "upstream string, downstream string")
+        assert {(r.upstream, r.downstream) for r in N.cyclic_edges(df).collect()} == left
+        assert N.has_cycle(df).first().has_cycle == bool(left)
+
+
+def test_a_long_chain_is_taken_in_one_task(spark):
+    df = spark.range(10_000).select(F.col("id").cast("string").alias("upstream"), (F.col("id") + 1).cast("string").alias("downstream"))
+    assert not N.has_cycle(df).first().has_cycle
+    assert N.has_cycle(df.union(spark.createDataFrame([("10000", "0")], df.schema))).first().has_cycle

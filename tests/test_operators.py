@@ -451,6 +451,18 @@ def test_history_days_and_versions(spark, tmp_path):
         S.write_version(rows, str(tmp_path / "v"), 1)
 
 
+def test_unreadable_stores_are_empty(spark, tmp_path):
+    """A store that is not there, and files of one that are damaged."""
+    schema = "entry_id long, pipeline string, at timestamp_ntz"
+    assert S.read_table(spark, str(tmp_path / "none"), schema).count() == 0
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    (bad / "part-0.parquet").write_bytes(b"not a parquet file at all")
+    assert S.last_entries(spark, str(bad), schema, ["at", "entry_id"]).count() == 0
+    S.append(spark.createDataFrame([(1, "p", T0)], schema), str(bad))
+    assert [r.entry_id for r in S.last_entries(spark, str(bad), schema, ["at", "entry_id"]).collect()] == [1]
+
+
 def test_jsonl_skips_bad_lines(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\nnot json\n{"a": 2}\n')
     assert sorted(r.a for r in S.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int").collect()) == [1, 2]

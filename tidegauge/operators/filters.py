@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.common import (
     BROADCAST_ROWS,
-    broadcast_if_small,
     col,
     glob_regex,
     is_literal_glob,
@@ -28,6 +28,8 @@ from tidegauge.functions.common import (
 SILENCE_BLOCK = 1_000
 # Letters of a glob's prefix or suffix that it is filed under.
 PIECE = 24
+# Time slots of windows: an hour, 64 hours, and so on.
+SLOT_US, SLOT_FAN, SLOT_LEVELS = 3_600_000_000, 64, 6
 # Bytes of rules that are broadcast at most.
 RULE_BYTES = 16_000_000
 
@@ -179,13 +181,46 @@ def silence(events: DataFrame, rules: DataFrame, now: str | Column, few: int = S
     return salted_join(events, hit, ["pipeline", "check_name"], salt="event_id", how="left_anti")
 
 
-def in_maintenance(events: DataFrame, windows: DataFrame, suppressed: bool = False) -> DataFrame:
-    """Events outside every maintenance window of their pipeline (or inside one, if ``suppressed``)."""
-    w = broadcast_if_small(windows.select(F.col("pipeline").alias("_p"), "start_at", "end_at"))
-    cond = (F.col("pipeline") == F.col("_p")) & F.col("triggered_at").between(
-        F.col("start_at"), F.col("end_at")
-    )
-    return events.join(w, cond, "left_semi" if suppressed else "left_anti")
+def _slot(at: Column, level: int) -> Column:
+    return F.floor(micros(at) / F.lit(SLOT_US * SLOT_FAN**level)).cast("bigint")
+
+
+def _slotted(windows: DataFrame) -> DataFrame:
+    """Windows by the time slots that they touch, ``SLOT_FAN`` + 1 at most, on the finest level on which it is so few."""
+    span = micros("end_at") - micros("start_at")
+    level = F.lit(SLOT_LEVELS - 1)
+    for n in range(SLOT_LEVELS - 2, -1, -1):
+        level = F.when(span < F.lit(SLOT_US * SLOT_FAN ** (n + 1)), n).otherwise(level)
+    found = windows.filter(F.col("end_at") >= F.col("start_at")).withColumn("_level", level)
+    slots = F.sequence(_slot(F.col("start_at"), 0), _slot(F.col("end_at"), 0))
+    for n in range(1, SLOT_LEVELS):
+        slots = F.when(F.col("_level") == n, F.sequence(_slot(F.col("start_at"), n), _slot(F.col("end_at"), n))).otherwise(slots)
+    return found.withColumn("_slot", F.explode(slots))
+
+
+def in_maintenance(
+    events: DataFrame, windows: DataFrame, suppressed: bool = False, limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Events outside every maintenance window of their pipeline (or inside one, if ``suppressed``).
+
+    Up to ``limit`` windows are broadcast. More are cut into time slots of several widths,
+    and events meet those of their pipeline and slot, so that neither a pipeline with very
+    many events nor one with very many windows is in one task.
+    """
+    w = windows.select(F.col("pipeline").alias("_p"), "start_at", "end_at")
+    here = F.col("triggered_at").between(F.col("start_at"), F.col("end_at"))
+    how = "left_semi" if suppressed else "left_anti"
+    if within_rows(w, limit):
+        return events.join(F.broadcast(w), (F.col("pipeline") == F.col("_p")) & here, how)
+    w = written(_slotted(w), "window-slots")
+    inside, rest = [], events
+    # As many joins as there are widths in use.
+    for level in sorted(r[0] for r in w.select("_level").distinct().collect()):
+        own = w.filter(F.col("_level") == level)
+        same = (F.col("pipeline") == F.col("_p")) & (_slot(F.col("triggered_at"), level) == F.col("_slot")) & here
+        inside.append(rest.join(own, same, "left_semi"))
+        rest = rest.join(own, same, "left_anti")
+    return reduce(DataFrame.unionByName, inside, events.limit(0)) if suppressed else rest
 
 
 def window_status(windows: DataFrame, now: str | Column) -> DataFrame:

@@ -24,10 +24,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A parquet store, or no rows when it has not been written yet."""
+    """A parquet store, or no rows when it has not been written yet; files that can't be read have no rows."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path)
 
 
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
