@@ -9,12 +9,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.common import work_folder
 
 U64 = np.uint64
+#: Files that are numbered by a broadcast.
+FEW_FILES = 20_000
 ODD = 0x9E3779B97F4A7C15
 ODD_INVERSE = pow(ODD, -1, 1 << 64)
 
@@ -30,6 +33,23 @@ def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(docs: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """``columns`` and a number for each row that is the same whenever the table is read again.
+
+    Rows of Parquet files are numbered by their file and their place in it, which does not
+    depend on how files are cut into splits. Of another plan the rows are written first.
+    """
+    try:
+        placed = docs.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return saved(docs.select(*columns).withColumn(name, F.monotonically_increasing_id()), "row-keys")
+    # A row for each file.
+    files = placed.select("_file").distinct().withColumn("_no", F.row_number().over(Window.orderBy("_file")).cast("long"))
+    files = saved(files, "files")
+    files = F.broadcast(files) if files.limit(FEW_FILES + 1).count() <= FEW_FILES else files
+    return placed.join(files, "_file").withColumn(name, F.shiftleft("_no", 36) + F.col("_at")).drop("_file", "_at", "_no")
+
+
 def release(df: DataFrame) -> None:
     """Give back the shuffle files of the jobs that are over.
 

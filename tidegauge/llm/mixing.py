@@ -47,7 +47,7 @@ FEW_CELLS = 20_000
 #: Factors stay between this and its inverse, so that products of a few are finite.
 LEAST = 1e-90
 #: Sweeps that are planned together.
-PLANNED = 4
+PLANNED = 2
 
 
 def tempered(power: float) -> Column:

@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import U64, by_value, hash_runs, hash_words, join_groups, mix64, saved, slices, words_of
+from tidegauge.llm.common import U64, by_value, hash_runs, hash_words, join_groups, mix64, release, saved, slices, words_of
 from tidegauge.llm.components import join_labels, merge_components
 
 WORDS, PERCENT = 5, 80
@@ -343,6 +343,7 @@ def node_labels(nodes: DataFrame, percent: int = PERCENT, rounds: int = HUB_ROUN
         links = _similar(pairs, nodes, heads, segments, percent)
         links = join_labels(join_labels(links, "a", labels), "b", labels)
         labels = saved(join_labels(labels, "label", merge_components(links)), "node-labels")
+        release(labels)
 
     for number in range(rounds):
         here = postings.join(labels, "node")
@@ -393,6 +394,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     found = sets(docs.where(F.col("id").isNotNull()), hot, bits, words, percent)
     reps = classes.select(F.col("rep").alias("id"), tag.alias("tag"), "d1", "d2")
     nodes = saved(found.join(reps, ["id", "tag"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    release(nodes)
     labels = node_labels(nodes.select("node", "n", "grams"), percent)
     placed = nodes.select("node", "id", "d1", "d2").join(labels, "node")
     least = placed.groupBy("label").agg(F.min("id").alias("least"))

@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import U64, by_value, hash_words, mix64, saved, slices, words_of
+from tidegauge.llm.common import U64, by_value, hash_words, mix64, release, saved, slices, words_of
 
 SAMPLE_ROWS = 5_000
 DIMS, EPOCHS, RATE, SEED = 8, 4, 2.0, 7
 # Buckets of words, of character n-grams and of word bigrams follow each other.
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 3_000_000
 
 
 @dataclass
@@ -137,6 +137,7 @@ def train(features: DataFrame, epochs: int = EPOCHS, rate: float = RATE, seed: i
         arrays = [np.frombuffer(bytes(p), np.float32) for p in parts]
         model = Model(*[a.reshape(x.shape) for a, x in zip(arrays, (model.vectors, model.weights, model.bias))])
         sent.unpersist()
+    release(features)
     return model
 
 
