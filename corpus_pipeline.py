@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import exact_dedup, ngram_join, packing, quality
-from tidegauge.llm.common import saved, table
+from tidegauge.llm.common import saved, table, with_row_key
 from tidegauge.llm.queries import QUALITY_LEAST, mixed, tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,11 +33,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near duplicates stays, one with the smallest id.
 
-    Rows are told apart by a key of their own, as ids may repeat. It is written with the rows
-    before anything is compared: numbered anew, a table that is read again with other splits
-    has other keys. Rows without an id are in no component and stay.
+    Rows are told apart by a key of their own, as ids may repeat: their file and place in it,
+    so that a table that is read again with other splits has the same keys. Rows without an
+    id are in no component and stay.
     """
-    keyed = saved(docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id()), "near-input")
+    keyed = with_row_key(docs, COLUMNS, "row_key")
     key = F.when(F.col("doc_id").isNotNull(), F.col("row_key")).alias("row_key")
     found = ngram_join.link(keyed.select(key, "text"), id_col="row_key").withColumnRenamed("doc_id", "row_key")
     found = saved(found.where(F.col("row_key").isNotNull()).select("row_key", "component_id"), "near-rows")
