@@ -310,15 +310,15 @@ def rolling_anomalies(
 ) -> DataFrame:
     """z-score of every point against the ``points`` before it in its series."""
     require(points >= 2, "points must be >= 2")
-    s = Spread(metrics, ["pipeline", "metric"], order, max_rows).trailing("_past", "value", points)
-    n = F.size("_past")
-    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
-    mean = F.coalesce(F.try_divide(total("_past"), n), F.col("value"))
-    square = F.transform("_past", lambda x: F.pow(x - F.col("mean"), F.lit(2.0)))
-    std = F.when(n >= 2, F.sqrt(F.try_divide(total(square), n))).otherwise(0.0)
+    keys = ["pipeline", "metric"]
+    rows = Spread(metrics, keys, order, max_rows).with_context(points)
+    past = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(-points, -1)
+    out = rows.withColumns({
+        "mean": F.coalesce(F.avg("value").over(past), F.col("value")),
+        "stddev": F.when(F.count("value").over(past) >= 2, F.stddev_pop("value").over(past)).otherwise(0.0),
+    }).filter(~F.col("_context")).drop("_context", "_chunk")
     z = F.coalesce(F.try_divide(F.abs(F.col("value") - F.col("mean")), F.col("stddev")), F.lit(0.0))
-    out = s.result().withColumn("mean", mean).withColumn("stddev", std).withColumn("z_score", z)
-    return out.withColumn("is_anomaly", F.col("z_score") > F.lit(float(threshold))).drop("_past")
+    return out.withColumn("z_score", z).withColumn("is_anomaly", F.col("z_score") > F.lit(float(threshold)))
 
 
 def _line(metrics: DataFrame) -> DataFrame:

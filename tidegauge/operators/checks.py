@@ -35,6 +35,7 @@ def row_count_checks(
     n = F.col("_n")
     low = n < F.lit(min_count) if min_count is not None else F.lit(False)
     high = n > F.lit(max_count) if max_count is not None else F.lit(False)
+    # The wording of the messages.
     text = F.concat(F.lit("Row count "), n.cast("string"))
     return df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).select(
         *group,
@@ -162,6 +163,7 @@ _VARIANT_PATTERNS = {
 
 def _violated(df: DataFrame, rule: ValidationRule, record: str | None) -> tuple[Column, Column]:
     """(predicate that is true on violation, the default message)."""
+    # The wording of the messages below.
     name = rule.field
     if record is None:
         raw = F.col(name)
@@ -248,6 +250,7 @@ def _broken(rule: Column, name: str, raw: Column, text: Column, number: Column,
         .when(is_("regex"), has & ~F.regexp_like(text, F.concat(F.lit("^(?:"), rule["value"], F.lit(")\\z"))))
         .otherwise(has & known)
     )
+    # The wording of the messages.
     message = (
         F.when(is_("required"), F.concat(field, F.lit("is required.")))
         .when(is_("min"), F.concat(field, F.lit("must be >= "), bound))

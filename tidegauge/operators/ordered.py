@@ -116,6 +116,7 @@ def escalation(
     n = F.coalesce("streak", F.lit(0))
     excess = n - F.col("threshold")
     due = (excess >= 0) & (excess % F.col("notify_every") == 0)
+    # The wording of the reasons.
     text = (
         F.when(excess < 0, F.format_string("only %d/%d consecutive failures", n, F.col("threshold")))
         .when(

@@ -137,29 +137,29 @@ class Spread:
         self.df = out.drop("_prev", "_in_prev")
         return self
 
-    def trailing(self, name: str, column: str, rows: int) -> Spread:
-        """Add the array of up to ``rows`` values of ``column`` before each row, oldest first."""
-        frame = self._window().rowsBetween(-rows, -1)
-        before = F.collect_list(column).over(frame)
-        if self.hot:
-            last = Window.partitionBy(*self.keys, "_chunk").orderBy(*[F.desc(c) for c in self.order])
-            tails = (
-                self.df.filter(F.col("_chunk") > 0)
-                .withColumn("_nth", F.row_number().over(last))
-                .filter(F.col("_nth") <= rows)
-                .groupBy(*self.keys, "_chunk")
-                .agg(F.array_sort(F.collect_list(F.struct(*self.order, F.col(column).alias("_v")))).alias("_tail"))
-            )
-            # Every chunk has a row, so the ``rows`` chunks before it hold enough of them.
-            earlier = self._chunk_window().rowsBetween(-rows, -1)
-            values = F.transform(F.flatten(F.collect_list("_tail").over(earlier)), lambda x: x["_v"])
-            carry = tails.select(*self.keys, "_chunk", values.alias("_in")).filter(F.size("_in") > 0)
-            newest = F.slice("_in", F.greatest(F.lit(1), F.size("_in") - rows + 1), rows)
-            self.df = self._attach(carry.withColumn("_in", newest), ["_in"], rows)
-            whole = F.concat(F.coalesce("_in", F.array().cast(carry.schema["_in"].dataType)), before)
-            before = F.slice(whole, F.greatest(F.lit(1), F.size(whole) - rows + 1), rows)
-        self.df = self.df.withColumn(name, before).drop("_in")
-        return self
+    def with_context(self, rows: int) -> DataFrame:
+        """All rows with ``_context``: false, and true for copies of the ``rows`` rows before each chunk.
+
+        A window of so many rows back is then whole inside a (key, chunk).
+        """
+        own = self.df.withColumn("_context", F.lit(False))
+        if not self.hot:
+            return own
+        numbered = Spread.__new__(Spread)
+        numbered.__dict__.update(self.__dict__, df=self.df.filter(F.col("_chunk") > 0))
+        # The position is taken once more from the chunks, which are checkpointed.
+        placed = numbered.position("_pos").df
+        spans = placed.groupBy(*self.keys, "_chunk").agg(F.min("_pos").alias("_start"), F.max("_pos").alias("_end"))
+        numbered.df = placed
+        near = numbered._attach(spans.drop("_start"), ["_end"], 2).filter(F.col("_pos") > F.col("_end") - rows)
+        # A row is before the chunks that start within ``rows`` of it; there is one chunk for a start.
+        near = near.drop("_end", "_chunk").withColumn("_at", F.explode(F.sequence(F.col("_pos") + 1, F.col("_pos") + rows)))
+        starts = spans.select(*[F.col(k).alias(f"_k_{k}") for k in self.keys], F.col("_chunk").alias("_to"), "_start")
+        cond = F.col("_at") == F.col("_start")
+        for k in self.keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        copies = near.join(starts, cond).withColumn("_chunk", F.col("_to")).withColumn("_context", F.lit(True))
+        return own.unionByName(copies.select(*own.columns))
 
     def with_columns(self, columns: dict[str, Column]) -> Spread:
         self.df = self.df.withColumns(columns)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.common import work_folder
 from tidegauge.operators import checks as C
+from tidegauge.operators import filters as R
 from tidegauge.operators.limits import recent
 from tidegauge.plans.registry import query
 from tidegauge.sources import stores as S
@@ -43,7 +44,7 @@ def history_store(spark, folder):
     path = work_folder(spark, "history")
     h = D.history(spark, folder).select("run_id", "pipeline", "passed", "recorded_at")
     cut = F.expr("timestamp_ntz'1996-01-01 00:00:00'")
-    for part in (h.filter(F.col("recorded_at") < cut), h.filter(F.col("recorded_at") >= cut)):
+    for part in R.split(h, F.col("recorded_at") < cut):
         S.append_history(part, path)
     back = spark.read.parquet(path).filter("month >= date'1997-01-01' and recorded_at >= timestamp_ntz'1997-01-01 00:00:00'")
     return recent(back.drop("month"), ["recorded_at", "run_id"], 200)
@@ -123,8 +124,8 @@ def audit_log(spark, folder):
         F.concat(F.lit("check:"), F.col("check_name")).alias("action"),
         F.col("triggered_at").alias("at"),
     )
-    for part in (0, 1):
-        S.append(log.filter(F.col("entry_id") % 2 == part), path)
+    for part in R.split(log, F.col("entry_id") % 2 == 0):
+        S.append(part, path)
     schema = "entry_id bigint, pipeline string, action string, at timestamp_ntz"
     return S.audit_entries(S.read_table(spark, path, schema), "p4").unionByName(
         S.audit_entries(S.read_table(spark, path + "-missing", schema), "p4"))
@@ -139,8 +140,8 @@ def checkpoint_table(spark, folder):
     path = work_folder(spark, "checkpoints")
     schema = "event_id bigint, pipeline string, check_name string, status string, value double, triggered_at timestamp_ntz"
     e = D.alert_events(spark, folder).select("event_id", "pipeline", "check_name", "status", "value", "triggered_at")
-    for part in (0, 1):
-        S.append(e.filter(F.col("event_id") % 2 == part), path)
+    for part in R.split(e, F.col("event_id") % 2 == 0):
+        S.append(part, path)
     order = ["triggered_at", "event_id"]
     return S.last_entries(spark, path, schema, order).unionByName(
         S.last_entries(spark, path + "-missing", schema, order))
@@ -157,7 +158,7 @@ def baseline_table(spark, folder):
     m = D.metrics(spark, folder).withColumnRenamed("recorded_at", "captured_at")
     parsed = S.parse_baselines(S.baseline_json(m))
     cut = F.expr("timestamp_ntz'1997-01-01 00:00:00'")
-    parts = (parsed.filter(F.col("captured_at") < cut), parsed.filter(F.col("captured_at") >= cut))
+    parts = R.split(parsed, F.col("captured_at") < cut)
     for version, part in enumerate(parts, 1):
         S.write_version(S.upsert_baselines(S.read_version(spark, path, version - 1, schema), part), path, version)
     return S.read_version(spark, path, 2, schema)
@@ -172,8 +173,8 @@ def snapshot_table(spark, folder):
     path = work_folder(spark, "snapshots")
     m = D.metrics(spark, folder)
     cut = F.expr("timestamp_ntz'1998-01-01 00:00:00'")
-    S.append(m.filter(F.col("recorded_at") < cut), path)
-    S.append(m.filter(F.col("recorded_at") >= cut), path)
+    for part in R.split(m, F.col("recorded_at") < cut):
+        S.append(part, path)
     back = S.read_table(spark, path, "pipeline string, metric string, value double, recorded_at timestamp_ntz")
     return back.groupBy("pipeline", "metric").agg(
         F.count(F.lit(1)).alias("snapshots"), F.max("recorded_at").alias("last_at")

@@ -175,6 +175,7 @@ def deliveries(events: DataFrame, channels: Sequence[str] = ("log",)) -> DataFra
     names = list(channels) or ["log"]
     out = events.withColumn("channel", F.explode(F.array(*[F.lit(c) for c in names])))
     ok = F.col("channel") == "log"
+    # Fixed value: the wording of the error.
     text = F.concat(F.lit("Unsupported alert channel: '"), F.col("channel"), F.lit("'"))
     return out.withColumn("success", ok).withColumn("error_message", F.when(~ok, text))
 
@@ -207,6 +208,7 @@ def webhook_payload(events: DataFrame) -> DataFrame:
 
 def chat_payload(events: DataFrame, title: str = "Alert") -> DataFrame:
     """Event id and chat message body."""
+    # The layout of the message.
     icon = F.when(F.col("passed"), ":white_check_mark:").otherwise(":red_circle:")
     text = F.concat(
         icon, F.lit(f" *{title}* — rule `"), F.col("rule_name"),
