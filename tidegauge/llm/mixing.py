@@ -19,7 +19,7 @@ of its id, uniform in [0, 1), is below its probability, so a lost task takes the
 documents again.
 
 Cells are a table with one row per combination of values that occurs. Up to ``FEW_CELLS``
-of them are raked in one task, more by exchanges on the values.
+of them are raked in numpy, each fraction in a task; more by exchanges on the values.
 
 Definitions. A null value of a dimension is a value of its own. Target shares are taken
 relative to each other over the values that have tokens. Documents without tokens have
@@ -33,11 +33,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.functions.common import hash_uniform, require
-from tidegauge.llm.common import own_name, release, saved
+from tidegauge.llm.common import by_value, own_name, release, saved
 
 SWEEPS = 16
 LEAST_PART = 0.1
@@ -105,8 +108,32 @@ def _product(names: list[str]) -> Column:
     return reduce(lambda a, b: a * b, [F.col(n) for n in names])
 
 
-def rake(cells: DataFrame, dimensions: int, sweeps: int = SWEEPS, few: bool = True) -> DataFrame:
-    """Add ``probability`` to the cells of each fraction."""
+def _solved(cells: pd.DataFrame, dimensions: int, sweeps: int) -> pd.DataFrame:
+    """``probability`` of the cells of one fraction."""
+    tokens = cells["tokens"].to_numpy(np.float64)
+    factors = np.ones((dimensions, len(cells)))
+    wanted = [cells[f"t{i}"].to_numpy() * cells["part"].to_numpy() * tokens.sum() for i in range(dimensions)]
+    codes = [pd.factorize(cells[f"d{i}"], use_na_sentinel=False)[0] for i in range(dimensions)]
+    values = [np.split(np.argsort(c, kind="stable"), np.cumsum(np.bincount(c))[:-1]) for c in codes]
+    for _ in range(sweeps):
+        for i in range(dimensions):
+            others = np.prod(np.delete(factors, i, axis=0), axis=0)
+            for own in values[i]:
+                own = own[np.argsort(-others[own], kind="stable")]
+                # If the cells before one are whole, the others have this factor; the true one is the largest.
+                before = np.concatenate([[0.0], np.cumsum(tokens[own])[:-1]])
+                rest = np.cumsum((others[own] * tokens[own])[::-1])[::-1]
+                factors[i, own] = min(1 / LEAST, max(LEAST, ((wanted[i][own] - before) / rest).max()))
+    return cells.assign(probability=np.minimum(1.0, factors.prod(axis=0)))
+
+
+def _raked_in_task(cells: DataFrame, dimensions: int, sweeps: int) -> DataFrame:
+    schema = T.StructType([*cells.schema.fields, T.StructField("probability", T.DoubleType())])
+    return cells.groupBy("fraction").applyInPandas(lambda group: _solved(group, dimensions, sweeps), schema)
+
+
+def rake(cells: DataFrame, dimensions: int, sweeps: int = SWEEPS) -> DataFrame:
+    """Add ``probability`` to the cells of each fraction, by exchanges on the values."""
     every = range(dimensions)
     out = cells.withColumn("_total", F.sum("tokens").over(Window.partitionBy("fraction")).cast("double"))
     out = out.withColumns({f"f{i}": F.lit(1.0) for i in every})
@@ -114,7 +141,6 @@ def rake(cells: DataFrame, dimensions: int, sweeps: int = SWEEPS, few: bool = Tr
         for i in every:
             own = Window.partitionBy("fraction", f"d{i}")
             by = own.orderBy(F.desc("_others"))
-            # If the cells before this one are whole, the others have this factor; the true one is the largest.
             before = F.coalesce(F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
             rest = F.sum(F.col("_others") * F.col("tokens")).over(by.rowsBetween(0, Window.unboundedFollowing))
             wanted = F.col(f"t{i}") * F.col("part") * F.col("_total")
@@ -126,7 +152,6 @@ def rake(cells: DataFrame, dimensions: int, sweeps: int = SWEEPS, few: bool = Tr
         if sweep % PLANNED == PLANNED - 1:
             out = saved(out, "raking")
             release(out)
-            out = out.coalesce(1) if few else out
     return out.withColumn("probability", F.least(F.lit(1.0), _product([f"f{i}" for i in every])))
 
 
@@ -159,8 +184,8 @@ def mix(docs: DataFrame, targets: Mapping[str, Column], tokens: str, part: float
     cells = saved(cells_of(docs, names, tokens), "cells")
     few = _few(cells)
     cells = saved(with_targets(cells, targets, part, least_part), "cell-targets")
-    cells = cells.coalesce(1) if few else cells
-    found = saved(chosen(rake(cells, len(names), sweeps, few), len(names)), "raked")
+    raked = (_raked_in_task if few else rake)(cells, len(names), sweeps)
+    found = saved(chosen(raked, len(names)), "raked")
     keys = {n: own_name(docs.columns, f"cell_{n}") for n in names}
     chance = own_name(docs.columns, "chance")
     found = found.select(
@@ -194,3 +219,6 @@ def shares(mixed: DataFrame, targets: Mapping[str, Column], tokens: str) -> Data
             "dimension", "value",
             *[(F.col(c) / F.sum(c).over(whole)).alias(c) for c in ("all", "target", "expected", "sampled")]))
     return reduce(DataFrame.unionByName, out)
+
+
+by_value(__name__)
