@@ -334,3 +334,18 @@ def test_a_long_chain_is_taken_in_one_task(spark):
     df = spark.range(10_000).select(F.col("id").cast("string").alias("upstream"), (F.col("id") + 1).cast("string").alias("downstream"))
     assert not N.has_cycle(df).first().has_cycle
     assert N.has_cycle(df.union(spark.createDataFrame([("10000", "0")], df.schema))).first().has_cycle
+
+
+@pytest.mark.parametrize("page", [1, 2, 3, 7, 40, 67, 68, 5000])
+def test_deep_pages_are_those_of_a_whole_sort(spark, page):
+    """Nulls, ties in the first column, a page over partitions, the last part of a page, and none."""
+    from tidegauge.operators import limits as L
+
+    df = spark.range(1_000).select(F.when(F.col("id") % 11 > 0, F.col("id") * 37 % 50).alias("a"), "id").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = [tuple(r) for r in L.page(df, ["a", "id"], page, 15, deep_rows=0).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    every = sorted(((r.a, r.id) for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == every[(page - 1) * 15 : page * 15]

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.common import require
+from tidegauge.functions.common import require, written
 
 MAX_PAGE_SIZE = 500
+# Rows before a page that are still sorted with it.
+DEEP_ROWS = 10_000
 
 
 def recent(df: DataFrame, order: Sequence[str], limit: int = 50, pipeline: str | None = None) -> DataFrame:
@@ -24,10 +26,42 @@ def _page_check(page: int, page_size: int) -> None:
     require(1 <= page_size <= MAX_PAGE_SIZE, f"page_size must be in 1..{MAX_PAGE_SIZE}")
 
 
-def page(df: DataFrame, order: Sequence[str | Column], page: int = 1, page_size: int = 20) -> DataFrame:
-    """One page of rows in a total order."""
+def page(
+    df: DataFrame, order: Sequence[str | Column], page: int = 1, page_size: int = 20, deep_rows: int = DEEP_ROWS
+) -> DataFrame:
+    """One page of rows in a total order.
+
+    A page behind more than ``deep_rows`` rows is found by an index of ranks (when the order
+    is of column names), so that as few rows are sorted for it as for the first page.
+    """
     _page_check(page, page_size)
-    return df.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
+    offset = (page - 1) * page_size
+    if offset > deep_rows and all(isinstance(c, str) for c in order):
+        return _deep_page(df, list(order), offset, page_size)
+    return df.orderBy(*order).offset(offset).limit(page_size)
+
+
+def _deep_page(df: DataFrame, order: list[str], offset: int, size: int) -> DataFrame:
+    """The page from the rows between the bounds of the range partitions that hold it.
+
+    The order columns are written by range partition; of each partition its number of rows,
+    first and last values are known then.
+    """
+    mark = F.struct(*order)
+    ranged = df.select(*order).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = written(ranged, "page-index").groupBy("_part").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(mark).alias("_low"), F.max(mark).alias("_high"))
+    # A row for each partition.
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    held = parts.withColumn("_before", before).filter(
+        (F.col("_before") < F.lit(offset + size)) & (F.col("_before") + F.col("_n") > F.lit(offset)))
+    held = written(held.agg(F.min("_before").alias("_before"), F.min("_low").alias("_low"), F.max("_high").alias("_high")), "page-bounds")
+    skipped = held.first()["_before"]
+    if skipped is None:
+        return df.limit(0)
+    # One row.
+    rows = df.join(F.broadcast(held.select("_low", "_high")), (mark >= F.col("_low")) & (mark <= F.col("_high")))
+    return rows.drop("_low", "_high").orderBy(*order).offset(offset - skipped).limit(size)
 
 
 def page_after(df: DataFrame, order: Sequence[str], last_seen: Sequence[object], page_size: int = 20) -> DataFrame:

@@ -12,6 +12,7 @@ keys go through the same expressions; infrequent keys are one chunk each.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from copy import copy
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,8 +146,8 @@ class Spread:
         own = self.df.withColumn("_context", F.lit(False))
         if not self.hot:
             return own
-        numbered = Spread.__new__(Spread)
-        numbered.__dict__.update(self.__dict__, df=self.df.filter(F.col("_chunk") > 0))
+        numbered = copy(self)
+        numbered.df = self.df.filter(F.col("_chunk") > 0)
         # The position is taken once more from the chunks, which are checkpointed.
         placed = numbered.position("_pos").df
         spans = placed.groupBy(*self.keys, "_chunk").agg(F.min("_pos").alias("_start"), F.max("_pos").alias("_end"))

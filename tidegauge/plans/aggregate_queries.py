@@ -284,6 +284,17 @@ def paginate(spark, folder):
     return L.page(e, ["triggered_at", "event_id"], 3, 40)
 
 
+@query(
+    "paginate_deep",
+    """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100
+OFFSET (SELECT (count(*) * 9 // 1000) * 100 FROM orders)""",
+)
+def paginate_deep(spark, folder):
+    """A page near the end, by an index of ranks."""
+    o = D.table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    return L.page(o, ["o_totalprice", "o_orderkey"], o.count() * 9 // 1000 + 1, 100, deep_rows=100)
+
+
 @query(
     "paginate_after",
     """SELECT o_orderkey, o_totalprice FROM orders WHERE (o_totalprice, o_orderkey) > (250000.0, 17) ORDER BY o_totalprice, o_orderkey LIMIT 100""",
