@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import sys
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from tidegauge.functions.common import work_folder
 
 U64 = np.uint64
+RELEASE_SECONDS = 3.0
+_released = [0.0]
 #: Files that are numbered by a broadcast.
 FEW_FILES = 20_000
 ODD = 0x9E3779B97F4A7C15
@@ -27,9 +30,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """Write ``df`` to the shared work folder and read it back: lineage ends there."""
+    """Write ``df`` to the shared work folder and read it back: lineage ends there.
+
+    What the job has left behind is given back, though not more than once in ``RELEASE_SECONDS``.
+    """
     path = work_folder(df.sparkSession, name)
     df.write.partitionBy(*by).parquet(path)
+    if time.monotonic() - _released[0] > RELEASE_SECONDS:
+        release(df)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -51,13 +59,14 @@ def with_row_key(docs: DataFrame, columns: list[str], name: str) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Give back the shuffle files of the jobs that are over.
+    """Give back the shuffle files of the jobs that are over, and the driver's memory of them.
 
-    Spark deletes them once the driver's JVM has collected what stood for them, which a long
-    job with a large heap may not do before the disks are full.
+    Spark deletes the files once the driver's JVM has collected what stood for them, which a
+    long job with a large heap may not do before the disks are full.
     """
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
+    _released[0] = time.monotonic()
 
 
 def text_or_empty(text: str | Column) -> Column:

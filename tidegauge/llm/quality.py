@@ -33,6 +33,8 @@ DIMS, EPOCHS, RATE, SEED = 8, 4, 2.0, 7
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
 SLICE_BYTES = 3_000_000
+#: Words whose vectors are gathered at a time.
+WORDS_AT_ONCE = 20_000
 
 
 @dataclass
@@ -182,8 +184,12 @@ def probabilities(model: Model, texts: pa.Array) -> np.ndarray:
     count = np.diff(bounds).astype(np.float32)
     if len(codes):
         buckets, owner, hashes = word_buckets(words)
-        firsts = np.searchsorted(owner, np.arange(len(words)))
-        means = np.add.reduceat(model.vectors[buckets], firsts) / np.bincount(owner)[:, None].astype(np.float32)
+        firsts = np.searchsorted(owner, np.arange(len(words) + 1))
+        means = np.empty((len(words), DIMS), np.float32)
+        for a in range(0, len(words), WORDS_AT_ONCE):
+            b = min(a + WORDS_AT_ONCE, len(words))
+            own = model.vectors[buckets[firsts[a] : firsts[b]]]
+            means[a:b] = np.add.reduceat(own, firsts[a:b] - firsts[a]) / np.diff(firsts[a : b + 1])[:, None].astype(np.float32)
         some = np.flatnonzero(np.diff(bounds))
         total[some] = np.add.reduceat(means[codes], bounds[some])
         pairs, doc = bigram_buckets(codes, hashes, bounds)
@@ -207,6 +213,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
             for batch in slices(big, place, SLICE_BYTES):
                 p = pa.array(probabilities(own, batch.column(place)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, p], names=[*batch.schema.names, name])
+        # The worker goes on to other tasks.
+        pa.default_memory_pool().release_unused()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{schema}, `{name}` double")
