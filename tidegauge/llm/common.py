@@ -9,6 +9,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -66,9 +67,38 @@ def release(df: DataFrame) -> None:
     """
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
+    trimmed(df.sparkSession)
     _released[0] = time.monotonic()
 
 
+def trimmed(spark: SparkSession) -> str | None:
+    """Let the driver's JVM return the native memory that it has freed, as ``jcmd System.trim_native_heap`` does.
+
+    The C library keeps what threads and compilers have freed, in a pool for each of many
+    threads, so a driver of many small jobs grows by more than its heap. Null: this JVM has
+    no such command.
+    """
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+
+    def filled(kind, *values):
+        out = array(kind, len(values))
+        for i, value in enumerate(values):
+            out[i] = value
+        return out
+
+    try:
+        # The server's own class is not open to calls, its interface is.
+        kind, name = jvm.java.lang.Class, jvm.java.lang.Class.forName
+        names = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+        invoke = name("javax.management.MBeanServer").getMethod("invoke", filled(kind, *map(name, names)))
+        none = filled(jvm.java.lang.Object), filled(jvm.java.lang.String)
+        bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return invoke.invoke(server, filled(jvm.java.lang.Object, bean, "systemTrimNativeHeap", *none))
+    except Py4JError:
+        return None
+
+
 def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
