@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -584,6 +585,25 @@ def test_quality_slices_do_not_change_scores():
     assert np.allclose(together, alone)
 
 
+def test_quality_memory_of_many_words(monkeypatch):
+    """What is made of all n-grams of a slice is not held at a time; parts of the words change no score."""
+    model = learnt_model(["a b c", "d d d"], [1, 0])
+    texts = pa.array([" ".join(f"word{i * 7919 + t}" for i in range(25_000)) for t in range(10)])
+    tracemalloc.start()
+    try:
+        scores = quality.probabilities(model, texts)
+        assert tracemalloc.get_traced_memory()[1] < 120e6
+    finally:
+        tracemalloc.stop()
+    monkeypatch.setattr(quality, "WORD_BYTES", 1 << 40)
+    assert (quality.probabilities(model, texts) == scores).all()
+
+
+def test_tasks_give_back():
+    """The function's batches pass through, and its end is the end."""
+    assert list(common.giving_back(lambda batches: (b + 1 for b in batches))(iter([1, 2, 3]))) == [2, 3, 4]
+
+
 def test_quality_score_word_by_word():
     """The score from its definition: word by word, gram by gram, pair by pair."""
     texts = ["One two, two\nthree", "x", "", "ÄÖ ä日本 one one one"]

@@ -43,7 +43,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import U64, by_value, hash_runs, hash_words, join_groups, mix64, release, saved, slices, words_of
+from tidegauge.llm.common import (
+    U64, by_value, giving_back, hash_runs, hash_words, join_groups, mix64, release, saved, slices, words_of,
+)
 from tidegauge.llm.components import join_labels, merge_components
 
 WORDS, PERCENT = 5, 80
@@ -160,7 +162,7 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
                     names=names,
                 )
 
-    return docs.mapInArrow(describe, "kind int, id long, n long, d1 long, d2 long")
+    return docs.mapInArrow(giving_back(describe), "kind int, id long, n long, d1 long, d2 long")
 
 
 def sets(docs: DataFrame, hot: dict[int, int], bits: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -244,7 +246,7 @@ def sets(docs: DataFrame, hot: dict[int, int], bits: int, words: int = WORDS, pe
             "grams": pd.Series([gram[a:b].view(np.int64) for a, b in zip(start[keep], end[keep])], dtype=object),
         })
 
-    counted = docs.mapInArrow(cut, _PACKED).groupBy("key").applyInPandas(count, _PACKED)
+    counted = docs.mapInArrow(giving_back(cut), _PACKED).groupBy("key").applyInPandas(count, _PACKED)
     return counted.groupBy("key").applyInPandas(gather, "id long, tag int, n long, grams array<long>")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import by_value, saved, slices
+from tidegauge.llm.common import by_value, giving_back, saved, slices
 from tidegauge.llm.tokens import SLICE_BYTES, encoder
 
 ROOM = 2048
@@ -67,7 +67,7 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, end: int = 1, id_c
                 yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return texts.mapInArrow(cut, _PIECE + ", ids binary" * with_ids)
+    return texts.mapInArrow(giving_back(cut), _PIECE + ", ids binary" * with_ids)
 
 
 class Rooms:

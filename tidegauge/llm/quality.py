@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import U64, by_value, hash_words, mix64, release, saved, slices, words_of
+from tidegauge.llm.common import U64, by_value, giving_back, hash_words, mix64, release, saved, slices, words_of
 
 SAMPLE_ROWS = 5_000
 DIMS, EPOCHS, RATE, SEED = 8, 4, 2.0, 7
@@ -33,8 +33,8 @@ DIMS, EPOCHS, RATE, SEED = 8, 4, 2.0, 7
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
 SLICE_BYTES = 3_000_000
-#: Words whose vectors are gathered at a time.
-WORDS_AT_ONCE = 20_000
+#: Bytes of distinct words whose n-grams are made at a time; those take some 150 times as much.
+WORD_BYTES = 60_000
 
 
 @dataclass
@@ -135,7 +135,7 @@ def train(features: DataFrame, epochs: int = EPOCHS, rate: float = RATE, seed: i
 
         # The steps of an epoch follow each other: one task, over a sample of bounded size.
         ordered = features.coalesce(1).sortWithinPartitions(F.xxhash64("id", F.lit(seed + epoch)), "id")
-        parts = ordered.mapInArrow(run, "vectors binary, weights binary, bias binary").first()
+        parts = ordered.mapInArrow(giving_back(run), "vectors binary, weights binary, bias binary").first()
         arrays = [np.frombuffer(bytes(p), np.float32) for p in parts]
         model = Model(*[a.reshape(x.shape) for a, x in zip(arrays, (model.vectors, model.weights, model.bias))])
         sent.unpersist()
@@ -174,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
                 names=["id", "label", "buckets", "weights"],
             )
 
-    return train(saved(rows.mapInArrow(extract, "id string, label int, buckets binary, weights binary"), "features"))
+    rows = rows.mapInArrow(giving_back(extract), "id string, label int, buckets binary, weights binary")
+    return train(saved(rows, "features"))
 
 
 def probabilities(model: Model, texts: pa.Array) -> np.ndarray:
@@ -183,13 +184,13 @@ def probabilities(model: Model, texts: pa.Array) -> np.ndarray:
     total = np.zeros((len(texts), DIMS), np.float32)
     count = np.diff(bounds).astype(np.float32)
     if len(codes):
-        buckets, owner, hashes = word_buckets(words)
-        firsts = np.searchsorted(owner, np.arange(len(words) + 1))
-        means = np.empty((len(words), DIMS), np.float32)
-        for a in range(0, len(words), WORDS_AT_ONCE):
-            b = min(a + WORDS_AT_ONCE, len(words))
-            own = model.vectors[buckets[firsts[a] : firsts[b]]]
-            means[a:b] = np.add.reduceat(own, firsts[a:b] - firsts[a]) / np.diff(firsts[a : b + 1])[:, None].astype(np.float32)
+        means, hashes, a = np.empty((len(words), DIMS), np.float32), np.empty(len(words), U64), 0
+        for part in slices(pa.RecordBatch.from_arrays([words], ["word"]), 0, WORD_BYTES):
+            b = a + len(part)
+            buckets, owner, hashes[a:b] = word_buckets(part.column(0))
+            firsts = np.searchsorted(owner, np.arange(b - a + 1))
+            n = np.diff(firsts)[:, None].astype(np.float32)
+            means[a:b], a = np.add.reduceat(model.vectors[buckets], firsts[:-1]) / n, b
         some = np.flatnonzero(np.diff(bounds))
         total[some] = np.add.reduceat(means[codes], bounds[some])
         pairs, doc = bigram_buckets(codes, hashes, bounds)
@@ -213,11 +214,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
             for batch in slices(big, place, SLICE_BYTES):
                 p = pa.array(probabilities(own, batch.column(place)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, p], names=[*batch.schema.names, name])
-        # The worker goes on to other tasks.
-        pa.default_memory_pool().release_unused()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, `{name}` double")
+    return docs.mapInArrow(giving_back(run), f"{schema}, `{name}` double")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
