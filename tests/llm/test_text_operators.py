@@ -349,6 +349,36 @@ def test_long_lines_that_share_words(make):
     assert Counter((r.doc_id, r.n_lines, r.n_removed, tuple(r.removed)) for r in got) == removed_lines(rows)
 
 
+def test_line_pairs_of_a_group_of_variants(spark, make, monkeypatch):
+    """Variants of a line make a few pairs each, not one for each two of them; ids far apart, null and equal."""
+    rng = np.random.default_rng(4)
+    rows, ids = [], [None, -(2**63), -1, 0, 2**63 - 1, *range(1, 120)]
+    for number in ids:
+        line = [f"v{x}" for x in range(60)]
+        line[rng.integers(0, 60)] = f"own{rng.integers(0, 40)}"
+        rows.append((number, " ".join(line) + "\n" + " ".join(line[1:])))
+    pairs, write = [], line_dedup.saved
+
+    def watched(df, name, *by):
+        out = write(df, name, *by)
+        pairs.extend([out.count()] * (name == "line-pairs" and "later" in out.columns))
+        return out
+
+    monkeypatch.setattr(line_dedup, "saved", watched)
+    got = line_dedup.dedup_lines(make(rows), with_text=False).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, tuple(r.removed)) for r in got) == removed_lines(rows)
+    assert 0 < sum(pairs) < 10 * 2 * len(rows)
+
+
+@pytest.mark.parametrize("few", [0, 250_000])
+def test_marks_of_settled_lines(make, monkeypatch, few):
+    """By a broadcast and by an exchange."""
+    monkeypatch.setattr(line_dedup, "FEW_SETTLED", few)
+    rows = line_rows()
+    got = line_dedup.dedup_lines(make(rows), with_text=False).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, tuple(r.removed)) for r in got) == removed_lines(rows)
+
+
 def test_lines_are_native(make):
     plan = line_dedup.dedup_lines(make(line_rows()))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

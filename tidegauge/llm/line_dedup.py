@@ -11,9 +11,10 @@ threshold with it. Lines are judged on the input, so a line that goes still remo
 2. Equal sets are one class, with its first line and a number. A class has a posting for each
    word of its prefix, the n - ceil(threshold * n) + 1 rarest: two similar sets share one.
 3. A word in the prefixes of more than ``OFTEN`` classes has a hub, the class with the first
-   line of those, which the others are compared with first. That settles most lines of large
-   groups of variants.
-4. Postings meet by word, a part of the words at a time. Two classes that are both settled are
+   line of those, which the others are compared with first. So have each two of a class's
+   ``PAIRED`` rarest words. That settles most lines of groups of variants, by a pair or a few
+   for each line.
+4. Postings meet by word, a part of the words at a time. Pairs whose later class is settled are
    left out; sizes (length filter), places in the order (positional filter) and the parity of
    hashed words (which bounds the difference of two sets) leave few pairs. Similar sets share
    not one of their first words but several, at places that move on with each; pairs that
@@ -38,15 +39,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import release, saved
+from tidegauge.llm.common import join_groups, release, saved
 
 PERCENT = 80
 CELLS = 1 << 18
 LEVEL = 1 << 56
 #: A word in more prefixes than this has a hub.
 OFTEN = 1_000
+#: Of a class's rarest words so many are paired; a pair of words has a hub, too.
+PAIRED = 3
 #: Hubs are broadcast up to this number.
 FEW_HUBS = 20_000
+#: Numbers of settled classes are broadcast up to this number.
+FEW_SETTLED = 250_000
+#: The bit of a posting's sizes, above the place, for a class that is settled.
+SETTLED = 1 << 31
 #: Parts of the words whose postings meet one after the other.
 PASSES = 3
 #: Common words that are counted at most.
@@ -128,17 +135,21 @@ def classes(rows: DataFrame) -> DataFrame:
     return found.withColumn("number", F.monotonically_increasing_id())
 
 
+def _sizes(at: Column) -> Column:
+    """The size of the set above, the place of a word in its order below."""
+    return F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(at.cast("long")).alias("sizes")
+
+
 def _postings(found: DataFrame, *others: str) -> DataFrame:
-    """``word``, ``number``, ``sizes`` (that of the set above, the word's place in the order below), ``parity``."""
+    """``word``, ``number``, ``sizes``, ``parity``."""
     rows = found.select("number", "n", "parity", *others, F.posexplode("prefix").alias("at", "word"))
-    sizes = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
-    return rows.select("word", "number", sizes.alias("sizes"), "parity", *others)
+    return rows.select("word", "number", _sizes(F.col("at")), "parity", *others)
 
 
 def _bounds(a: str, b: str, percent: int) -> tuple[Column, Column, Column]:
     """For two postings of one word: length and parity filter, the least overlap, and what is left after the word."""
     (n_a, at_a), (n_b, at_b) = (
-        (F.shiftright(f"{x}sizes", 32), F.col(f"{x}sizes").bitwiseAND(F.lit((1 << 32) - 1))) for x in (a, b))
+        (F.shiftright(f"{x}sizes", 32), F.col(f"{x}sizes").bitwiseAND(F.lit(SETTLED - 1))) for x in (a, b))
     least = F.ceil((n_a + n_b) * percent / (100 + percent))
     near = (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (
         F.bit_count(F.col(f"{a}parity").bitwiseXOR(F.col(f"{b}parity"))) <= n_a + n_b - 2 * least)
@@ -169,18 +180,53 @@ def _hub_pairs(found: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("h_number").alias("x"), F.col("number").alias("y")).distinct()
 
 
+def _paired(found: DataFrame) -> DataFrame:
+    """``word`` (a hash of two), ``first``, ``number``, ``sizes``, ``parity`` for each two of the rarest words of a class."""
+    words = [F.get("prefix", F.lit(i)) for i in range(PAIRED)]
+    both = [F.when(b.isNotNull(), F.xxhash64(a, b)) for i, a in enumerate(words) for b in words[i + 1 :]]
+    return found.select("first", "number", _sizes(F.lit(0)), "parity", F.explode(F.array_compact(F.array(*both))).alias("word"))
+
+
+def _group_pairs(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``x``, ``y`` of classes and the first class that has the same two rare words, if they may match.
+
+    Two rare words are hardly ever in lines that are not variants of each other, so in a group of
+    variants this leaves a pair or a few for each, not one for each two.
+    """
+    rows = _paired(found)
+    hubs = rows.groupBy("word").agg(F.count("*").alias("times"), F.min(F.struct("first", "number", "sizes", "parity")).alias("hub"))
+    hubs = hubs.where("times > 1").select("word", "times", *[F.col(f"hub.{c}").alias(f"h_{c}") for c in ("number", "sizes", "parity")])
+    met = join_groups(rows.drop("first"), saved(hubs, "hubs"), ["word"], "times", F.lit(True))
+    near, _, _ = _bounds("", "h_", percent)
+    met = met.where((F.col("number") != F.col("h_number")) & near)
+    return met.select(F.col("h_number").alias("x"), F.col("number").alias("y")).distinct()
+
+
+def _marked(found: DataFrame, settled: DataFrame) -> DataFrame:
+    """The classes as postings need them, with ``id`` of the first line and the bit ``mark`` of those that are settled."""
+    few = settled.limit(FEW_SETTLED + 1).count() <= FEW_SETTLED
+    marks = settled.select("number", F.lit(SETTLED).alias("mark"))
+    rows = found.select("number", "n", "parity", "prefix", F.coalesce("first.id", F.lit(-(1 << 63))).alias("id"))
+    rows = rows.join(F.broadcast(marks) if few else marks, "number", "left").withColumn("mark", F.coalesce("mark", F.lit(0)))
+    return rows if few else saved(rows, "line-classes")
+
+
 def _pairs(found: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes with enough common prefix words that may match; not both are settled."""
-    marked = found.join(settled.withColumn("settled", F.lit(True)), "number", "left")
-    parts = []
+    """Pairs of classes with enough common prefix words that may match.
+
+    Left out are those of which the later class is settled; where ids are equal, if both are.
+    """
+    marked, parts = _marked(found, settled), []
     for part in range(PASSES):
-        postings = _postings(marked, "settled").where(F.pmod("word", F.lit(PASSES)) == part)
+        postings = _postings(marked, "id", "mark").where(F.pmod("word", F.lit(PASSES)) == part)
+        postings = postings.withColumn("sizes", F.col("sizes").bitwiseOR(F.col("mark"))).drop("mark")
         # The same plan on both sides, so that postings are exchanged once.
         met = postings.alias("a").join(postings.alias("b"), F.col("a.word") == F.col("b.word"))
-        both = F.coalesce(F.col("a.settled") & F.col("b.settled"), F.lit(False))
+        done_a, done_b = (F.col(f"{x}.sizes").bitwiseAND(F.lit(SETTLED)) != 0 for x in "ab")
+        over = (done_a & (F.col("a.id") > F.col("b.id"))) | (done_b & (F.col("b.id") > F.col("a.id"))) | (done_a & done_b)
         near, least, rest = _bounds("a.", "b.", percent)
         shared = _shared("a.", "b.", least, percent)
-        met = met.where((F.col("a.number") < F.col("b.number")) & ~both & near & (rest >= least - shared + 1))
+        met = met.where((F.col("a.number") < F.col("b.number")) & ~over & near & (rest >= least - shared + 1))
         met = met.groupBy(F.col("a.number").alias("x"), F.col("b.number").alias("y"))
         parts.append(saved(
             met.agg(F.count("*").alias("times"), F.max(shared).alias("shared"), F.max(rest - least).alias("spare")),
@@ -203,8 +249,8 @@ def _ordered(pairs: DataFrame, found: DataFrame) -> DataFrame:
         F.least("x_first", "y_first").alias("place"))
 
 
-def _similar(pairs: DataFrame, found: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """``number`` of the later class of each pair that is similar, from the words of their first lines."""
+def _words(pairs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """``number`` and ``words`` (of the first line) of the classes in pairs."""
     ends = pairs.select(F.explode(F.array("later", "earlier")).alias("number")).distinct()
     asked = found.join(ends, "number").groupBy("first.id", "first.text_key").agg(
         F.collect_list(F.struct("number", "first.line_no")).alias("asked"))
@@ -218,6 +264,11 @@ def _similar(pairs: DataFrame, found: DataFrame, docs: DataFrame, percent: int)
         F.any_value(F.array_distinct(F.array_remove(F.split("own.line", " "), ""))).alias("words"))
     words = saved(words, "line-words")
     release(words)
+    return words
+
+
+def _similar(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+    """``number`` of the later class of each pair that is similar."""
     met = pairs.select("later", "earlier")
     for end in met.columns:
         met = met.join(words.select(F.col("number").alias(end), F.col("words").alias(f"{end}_words")), end)
@@ -232,14 +283,15 @@ def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, percent: int)
         return []
     ordered = saved(_ordered(pairs, found), "line-pairs")
     release(ordered)
+    words = _words(ordered, found, docs)
     first = ordered.groupBy("later").agg(F.min_by("earlier", "place").alias("earlier"))
-    settled = saved(_similar(saved(first, "line-first"), found, docs, percent), "line-hits")
+    settled = saved(_similar(saved(first, "line-first"), words, percent), "line-hits")
     release(settled)
     rest = ordered.join(settled.withColumnRenamed("number", "later"), "later", "left_anti").select("later", "earlier")
     rest = saved(rest.join(first, ["later", "earlier"], "left_anti"), "line-rest")
     if rest.isEmpty():
         return [settled]
-    more = saved(_similar(rest, found, docs, percent), "line-hits")
+    more = saved(_similar(rest, words, percent), "line-hits")
     release(more)
     return [settled, more]
 
@@ -247,7 +299,8 @@ def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, percent: int)
 def matched(found: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``number`` of the classes that match a class with an earlier first line."""
     none = found.select("number").limit(0)
-    by_hub = _verified(saved(_hub_pairs(found, percent), "line-pairs"), found, docs, percent)
+    hubs = _hub_pairs(found, percent).unionByName(_group_pairs(found, percent)).distinct()
+    by_hub = _verified(saved(hubs, "line-pairs"), found, docs, percent)
     settled = reduce(DataFrame.unionByName, by_hub, none)
     pairs = saved(_pairs(found, settled, percent), "line-pairs")
     release(pairs)
