@@ -370,6 +370,28 @@ def test_line_pairs_of_a_group_of_variants(spark, make, monkeypatch):
     assert 0 < sum(pairs) < 10 * 2 * len(rows)
 
 
+def test_long_unrelated_lines_hardly_meet(make, monkeypatch):
+    """Of postings of frequent words, few pass the join if lines are long but not similar."""
+    rng = np.random.default_rng(5)
+    lines = [[f"w{x}" for x in rng.choice(1500, 150, replace=False)] for _ in range(80)]
+    similar = [line[:8 * k] + [f"own{k}x{x}" for x in range(12)] + line[8 * k + 12 :] for k, line in enumerate(lines[:10])]
+    rows = [(i, " ".join(line)) for i, line in enumerate(lines + similar)]
+    met, write = [], line_dedup.saved
+
+    def watched(df, name, *by):
+        out = write(df, name, *by)
+        if name == "line-pairs" and "spare" in out.columns:
+            met.append(out.agg(F.sum("times")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(line_dedup, "saved", watched)
+    got = line_dedup.dedup_lines(make(rows), with_text=False).collect()
+    want = removed_lines(rows)
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, tuple(r.removed)) for r in got) == want
+    assert sum(n for _, _, n, _ in want) == 10 and len(met) == line_dedup.PASSES
+    assert sum(met) < 100
+
+
 @pytest.mark.parametrize("few", [0, 250_000])
 def test_marks_of_settled_lines(make, monkeypatch, few):
     """By a broadcast and by an exchange."""

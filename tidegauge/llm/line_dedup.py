@@ -4,7 +4,7 @@ A line is the set of its words (lower case, split at ASCII white space). A line
 earlier line, by document id and line number, has a Jaccard similarity of at least the
 threshold with it. Lines are judged on the input, so a line that goes still removes others.
 
-1. Words are counted, by documents, in ``CELLS`` cells by hash. A cell's count is never
+1. Words are counted, wherever they occur, in ``CELLS`` cells by hash. A cell's count is never
    below that of its words; its binary logarithm is a level from 0 to 9, and all levels are
    one constant of fixed size. Words ordered by level, then by hash, are ordered by rarity;
    any fixed order gives exact results, a coarse one costs candidates.
@@ -35,6 +35,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,9 @@ SETTLED = 1 << 31
 PASSES = 3
 #: Common words that are counted at most.
 SHARED = 4
+#: 64 bits of parity each. Of unrelated sets with n words, half of all bits differ; of similar ones
+#: up to 2 n / 9, so 64 bits tell lines of up to about 90 words apart and 128 those of up to 180.
+PARITIES = ["parity0", "parity1"]
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -91,9 +95,8 @@ def _level_of(count: Column) -> Column:
 
 
 def word_levels(docs: DataFrame) -> Column:
-    """The level of each cell as a constant array, from the documents that have its words."""
-    # A document counts once for a word.
-    words = F.array_distinct(F.split(F.replace(_folded(), F.lit("\n"), F.lit(" ")), " "))
+    """The level of each cell as a constant array, from how often its words occur."""
+    words = F.split(F.replace(_folded(), F.lit("\n"), F.lit(" ")), " ")
     words = docs.select(F.explode(words).alias("word"))
     counted = words.where("word <> ''").groupBy(_cell(F.xxhash64("word")).alias("cell"))
     counted = counted.agg(_level_of(F.count("*").cast("double")).alias("level"))
@@ -104,8 +107,19 @@ def word_levels(docs: DataFrame) -> Column:
     return F.split(F.lit(levels.decode()), "").cast("array<tinyint>")
 
 
+def _parities(words: str) -> list[Column]:
+    """A bit for each 128th of the words, set if a line has an odd number of them."""
+
+    def parity(part: int) -> Column:
+        own = F.filter(words, lambda x: x.bitwiseAND(F.lit(64)) == part * 64)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return [parity(part).alias(name) for part, name in enumerate(PARITIES)]
+
+
 def described(docs: DataFrame, levels: Column, percent: int) -> DataFrame:
-    """Every line: ``id``, ``text_key``, ``line_no``, ``k1``, ``k2`` (null without words), ``n``, ``prefix``, ``parity``."""
+    """Every line: ``id``, ``text_key``, ``line_no``, ``k1``, ``k2`` (null without words), ``n``, ``prefix``, parities."""
     lines = docs.select("id", "text_key", F.posexplode(F.split(_folded(), "\n")).alias("line_no", "line"))
     hashes = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
     hashes = F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
@@ -115,23 +129,20 @@ def described(docs: DataFrame, levels: Column, percent: int) -> DataFrame:
         lambda h: F.shiftleft(F.get(levels, _cell(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(LEVEL - 1))))
     rows = lines.select("id", "text_key", "line_no", _once(F.sort_array(ordered)).alias("ordered"))
     n = F.size("ordered")
-    parity = F.aggregate(
-        "ordered", F.lit(0).cast("long"),
-        lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     some = n > 0
     return rows.select(
         "id", "text_key", "line_no",
         *[F.when(some, F.xxhash64(F.lit(seed), "ordered")).alias(k) for seed, k in ((1, "k1"), (2, "k2"))],
         n.alias("n"), F.slice("ordered", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int")).alias("prefix"),
-        parity.alias("parity"),
+        *_parities("ordered"),
     )
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """One row per set: ``number``, ``k1``, ``k2``, ``first`` (its first line), ``copies``, ``n``, ``prefix``, ``parity``."""
+    """One row per set: ``number``, ``k1``, ``k2``, ``first`` (its first line), ``copies``, ``n``, ``prefix``, parities."""
     found = rows.where(F.col("k1").isNotNull()).groupBy("k1", "k2").agg(
         F.min(F.struct("id", "text_key", "line_no")).alias("first"), F.count("*").alias("copies"),
-        F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("parity").alias("parity"))
+        *[F.any_value(c).alias(c) for c in ("n", "prefix", *PARITIES)])
     return found.withColumn("number", F.monotonically_increasing_id())
 
 
@@ -141,9 +152,9 @@ def _sizes(at: Column) -> Column:
 
 
 def _postings(found: DataFrame, *others: str) -> DataFrame:
-    """``word``, ``number``, ``sizes``, ``parity``."""
-    rows = found.select("number", "n", "parity", *others, F.posexplode("prefix").alias("at", "word"))
-    return rows.select("word", "number", _sizes(F.col("at")), "parity", *others)
+    """``word``, ``number``, ``sizes``, parities."""
+    rows = found.select("number", "n", *PARITIES, *others, F.posexplode("prefix").alias("at", "word"))
+    return rows.select("word", "number", _sizes(F.col("at")), *PARITIES, *others)
 
 
 def _bounds(a: str, b: str, percent: int) -> tuple[Column, Column, Column]:
@@ -152,7 +163,7 @@ def _bounds(a: str, b: str, percent: int) -> tuple[Column, Column, Column]:
         (F.shiftright(f"{x}sizes", 32), F.col(f"{x}sizes").bitwiseAND(F.lit(SETTLED - 1))) for x in (a, b))
     least = F.ceil((n_a + n_b) * percent / (100 + percent))
     near = (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (
-        F.bit_count(F.col(f"{a}parity").bitwiseXOR(F.col(f"{b}parity"))) <= n_a + n_b - 2 * least)
+        reduce(add, [F.bit_count(F.col(f"{a}{p}").bitwiseXOR(F.col(f"{b}{p}"))) for p in PARITIES]) <= n_a + n_b - 2 * least)
     return near, least, F.least(n_a - at_a, n_b - at_b)
 
 
@@ -170,9 +181,9 @@ def _hub_pairs(found: DataFrame, percent: int) -> DataFrame:
     """Pairs ``x``, ``y`` of classes and the hubs of their frequent words that may match."""
     least = F.lit(OFTEN).cast("double")
     often = _postings(found, "first").where(F.col("word") >= F.shiftleft(_level_of(least).cast("long"), 56))
-    hub = F.min(F.struct("first", "number", "sizes", "parity")).alias("hub")
+    hub = F.min(F.struct("first", "number", "sizes", *PARITIES)).alias("hub")
     hubs = often.groupBy("word").agg(F.count("*").alias("times"), hub).where(F.col("times") > OFTEN)
-    hubs = saved(hubs.select("word", *[F.col(f"hub.{c}").alias(f"h_{c}") for c in ("number", "sizes", "parity")]), "hubs")
+    hubs = saved(hubs.select("word", *[F.col(f"hub.{c}").alias(f"h_{c}") for c in ("number", "sizes", *PARITIES)]), "hubs")
     few = hubs.limit(FEW_HUBS + 1).count() <= FEW_HUBS
     met = often.drop("first").join(F.broadcast(hubs) if few else hubs, "word")
     near, overlap, rest = _bounds("", "h_", percent)
@@ -181,10 +192,10 @@ def _hub_pairs(found: DataFrame, percent: int) -> DataFrame:
 
 
 def _paired(found: DataFrame) -> DataFrame:
-    """``word`` (a hash of two), ``first``, ``number``, ``sizes``, ``parity`` for each two of the rarest words of a class."""
+    """``word`` (a hash of two), ``first``, ``number``, ``sizes``, parities for each two of the rarest words of a class."""
     words = [F.get("prefix", F.lit(i)) for i in range(PAIRED)]
     both = [F.when(b.isNotNull(), F.xxhash64(a, b)) for i, a in enumerate(words) for b in words[i + 1 :]]
-    return found.select("first", "number", _sizes(F.lit(0)), "parity", F.explode(F.array_compact(F.array(*both))).alias("word"))
+    return found.select("first", "number", _sizes(F.lit(0)), *PARITIES, F.explode(F.array_compact(F.array(*both))).alias("word"))
 
 
 def _group_pairs(found: DataFrame, percent: int) -> DataFrame:
@@ -194,8 +205,8 @@ def _group_pairs(found: DataFrame, percent: int) -> DataFrame:
     variants this leaves a pair or a few for each, not one for each two.
     """
     rows = _paired(found)
-    hubs = rows.groupBy("word").agg(F.count("*").alias("times"), F.min(F.struct("first", "number", "sizes", "parity")).alias("hub"))
-    hubs = hubs.where("times > 1").select("word", "times", *[F.col(f"hub.{c}").alias(f"h_{c}") for c in ("number", "sizes", "parity")])
+    hubs = rows.groupBy("word").agg(F.count("*").alias("times"), F.min(F.struct("first", "number", "sizes", *PARITIES)).alias("hub"))
+    hubs = hubs.where("times > 1").select("word", "times", *[F.col(f"hub.{c}").alias(f"h_{c}") for c in ("number", "sizes", *PARITIES)])
     met = join_groups(rows.drop("first"), saved(hubs, "hubs"), ["word"], "times", F.lit(True))
     near, _, _ = _bounds("", "h_", percent)
     met = met.where((F.col("number") != F.col("h_number")) & near)
@@ -206,7 +217,7 @@ def _marked(found: DataFrame, settled: DataFrame) -> DataFrame:
     """The classes as postings need them, with ``id`` of the first line and the bit ``mark`` of those that are settled."""
     few = settled.limit(FEW_SETTLED + 1).count() <= FEW_SETTLED
     marks = settled.select("number", F.lit(SETTLED).alias("mark"))
-    rows = found.select("number", "n", "parity", "prefix", F.coalesce("first.id", F.lit(-(1 << 63))).alias("id"))
+    rows = found.select("number", "n", *PARITIES, "prefix", F.coalesce("first.id", F.lit(-(1 << 63))).alias("id"))
     rows = rows.join(F.broadcast(marks) if few else marks, "number", "left").withColumn("mark", F.coalesce("mark", F.lit(0)))
     return rows if few else saved(rows, "line-classes")
 
@@ -337,7 +348,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     """Every row as ``doc_id``, ``n_lines``, ``n_removed``, ``removed`` and, if asked for, ``kept_text``."""
     found = removed_lines(_documents(docs, id_col, text_col), percent)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    n_lines = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    n_lines = F.when(text == "", 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("own_key"),
                        n_lines.cast("long").alias("n_lines"), *[text.alias("text")] * with_text)
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("text_key"))
